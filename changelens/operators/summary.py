@@ -82,7 +82,8 @@ def profile(facts: DataFrame, options: ScanOptions = ScanOptions()) -> DataFrame
         F.sum("additions").alias("total_additions"),
         F.sum("deletions").alias("total_deletions"),
         *[F.count_if(condition).alias(name) for name, condition in counts.items()],
-        F.sum("complexity").alias("total_complexity"),
+        # Complexities are whole hundredths; integers make the sum independent of its order.
+        (F.sum(F.round(F.col("complexity") * 100).cast("bigint")) / 100).alias("total_complexity"),
         F.max("complexity").alias("max_complexity"),
         *[F.sum(severity_count(s.upper(), options)).alias(f"n_{s}") for s in severities],
         F.sum(F.coalesce(F.array_size("findings"), F.lit(0))).alias("n_findings"),

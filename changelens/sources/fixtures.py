@@ -202,7 +202,7 @@ def parts(spark: SparkSession, folder: str) -> DataFrame:
 _TITLES = [
     "concat('feat(auth): add login flow ', change_id)",
     "concat('fix: handle empty rows in batch ', change_id)",
-    "concat('\\\\\"chore(ci): rebuild image ', change_id, '...\\\\\"')",
+    "concat(chr(92), '\"chore(ci): rebuild image ', change_id, '...', chr(92), '\"')",
     "concat('feat(reports): ', repeat('very ', 14), 'long title ', change_id)",
     "'fix: x'",
     "concat('  Improve the pipeline a lot ', change_id, '! ')",
