@@ -30,6 +30,7 @@ CUSTOM = ScanOptions(
         SecretPattern("INTERNAL_HOST", r"(?:corp|db)\.(?:io|internal)\b", "MEDIUM", 0.6, "Internal host", "Use a name"),
     ),
 )
+TERM = ScanOptions(custom_patterns=(SecretPattern("TERM", r"\bque\b", "LOW", 0.3),))
 MAX_TWO = ScanOptions(max_findings=2)
 MAX_TEN = ScanOptions(max_findings=10)
 CONTEXT = ScanOptions(include_context=True)
@@ -148,7 +149,8 @@ def scan_conversations(spark, folder):
     turns = spread(read_table(spark, folder, "conversations")).withColumn(
         "path", F.concat(F.lit("chat/"), F.col("conv_id").cast("string"), F.lit(".txt"))
     )
-    return scan.scan_content(turns, ["conv_id", "turn"]).select("conv_id", "turn", "line", "column", "type", "content")
+    found = scan.scan_content(turns, ["conv_id", "turn"], TERM)
+    return found.select("conv_id", "turn", "line", "column", "match_idx", "type", "content")
 
 
 @query

@@ -9,6 +9,7 @@ spellings that differ are in ``Dialect``.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -234,30 +235,28 @@ def _answer_sql(text: str, n: str) -> str:
     return f"concat('{{\"model_id\":\"m-1\",\"results\":[', {some}, '],\"created_at\":\"2024-01-01\"}}')"
 
 
-def responses_sql(kind: str) -> tuple[list[str], str]:
-    """Columns and filter over the chunks for the answers of one kind.
+def responses_sql() -> list[tuple[list[str], str]]:
+    """Columns and filter over the document keys, for each kind of answer.
 
     Titles and descriptions: one per change set, made from its first document.
-    Tests: one per document, for the first file of its part.
+    Tests: one per file that a document's part may hold.
     """
-    cases, selector = {
-        "title": (_TITLES, "change_id % 6"),
-        "description": (_DESCRIPTIONS, "change_id % 4"),
-        "tests": (_TESTS, "doc_id % 4"),
-    }[kind]
-    n = "doc_id" if kind == "tests" else "change_id"
-    file_idx = f"part_idx * {FILES_PER_PART}" if kind == "tests" else "cast(null as bigint)"
-    columns = ["change_id", f"'{kind}' AS kind", f"{file_idx} AS file_idx",
-               f"{_answer_sql(pick(cases, selector), n)} AS raw", f"{n} % 1000 + 5 AS duration_ms"]
-    return columns, "true" if kind == "tests" else "part_idx = 0"
+
+    def columns(kind: str, cases: list[str], selector: str, n: str, file_idx: str) -> list[str]:
+        return ["change_id", f"'{kind}' AS kind", f"{file_idx} AS file_idx",
+                f"{_answer_sql(pick(cases, selector), n)} AS raw", f"{n} % 1000 + 5 AS duration_ms"]
+
+    none, first = "cast(null as bigint)", f"part_idx * {FILES_PER_PART}"
+    return [
+        (columns("title", _TITLES, "change_id % 6", "change_id", none), "part_idx = 0"),
+        (columns("description", _DESCRIPTIONS, "change_id % 4", "change_id", none), "part_idx = 0"),
+        (columns("tests", _TESTS, "doc_id % 4", "doc_id", first), "true"),
+        (columns("tests", _TESTS, "((doc_id % 16) - (doc_id % 4)) % 7 % 4", "doc_id", f"{first} + 1"), "doc_id % 4 = 1"),
+    ]
 
 
 def responses(spark: SparkSession, folder: str) -> DataFrame:
     """``change_id, kind, file_idx, raw, duration_ms``: answers to the prompts."""
     keys = scan_files(spark, folder).select("change_id", "part_idx", "doc_id")
-    out = None
-    for kind in ("title", "description", "tests"):
-        columns, condition = responses_sql(kind)
-        rows = keys.where(condition).selectExpr(*columns)
-        out = rows if out is None else out.unionByName(rows)
-    return out
+    rows = [keys.where(condition).selectExpr(*columns) for columns, condition in responses_sql()]
+    return reduce(DataFrame.unionByName, rows)

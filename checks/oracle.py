@@ -124,11 +124,9 @@ _SOURCES = " UNION ALL ".join(
 
 
 def _responses() -> str:
-    out = []
-    for kind in ("title", "description", "tests"):
-        columns, where = fixtures.responses_sql(kind)
-        out.append(f"SELECT {', '.join(columns)} FROM chunks WHERE {where}")
-    return " UNION ALL ".join(out)
+    return " UNION ALL ".join(
+        f"SELECT {', '.join(columns)} FROM chunks WHERE {where}" for columns, where in fixtures.responses_sql()
+    )
 
 
 _CATEGORY = " UNION ALL ".join(

@@ -131,10 +131,15 @@ TABLES["chat_lines"] = (
     "SELECT conv_id, turn, 'chat/' || conv_id || '.txt' AS path, unnest(a) AS txt, unnest(range(1, len(a) + 1)) AS line,"
     " unnest(range(len(a))) AS line_ord FROM (SELECT *, string_split(text, chr(10)) AS a FROM conversations)",
 )
-TABLES["chat_hits"] = (("chat_lines",), hits("chat_lines", "conv_id, turn"))
+TABLES["chat_hits"] = (
+    ("chat_lines",),
+    hits("chat_lines", "conv_id, turn", [(len(fixed.SECRET_PATTERNS), r"\bque\b")]),
+)
 add(
     "scan_conversations",
-    f'SELECT conv_id, turn, line, "column", type, content FROM ({findings("chat_hits", "conv_id, turn")})',
+    'SELECT conv_id, turn, cast(line AS bigint) AS line, cast(col AS bigint) AS "column",'
+    " cast(match_idx AS bigint) AS match_idx, coalesce(type, 'TERM') AS type, m AS content"
+    f" FROM chat_hits LEFT JOIN {PATTERNS} USING (pattern_idx)",
     "chat_hits",
 )
 TABLES["page_lines"] = (
