@@ -11,7 +11,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from changelens.functions import paths
+from changelens.functions import fixed, paths
+from changelens.functions.rows import each
+from changelens.functions.text import texts
 from changelens.operators import answers, filters, parse, prompts, report, risk, scan, summary
 from changelens.params import RiskParams, ScanOptions, SecretPattern
 from changelens.plans import analysis
@@ -307,11 +309,9 @@ def path_metadata(spark, folder):
 
 @query
 def path_categories(spark, folder):
-    facts = _files(spark, folder).where(paths.is_critical(F.col("path")))
-    names = F.array_compact(
-        F.array(*[F.when(paths.in_category(F.col("path"), c), F.lit(c)) for c in risk.fixed.CRITICAL_CATEGORIES])
-    )
-    return facts.select("change_id", "file_idx", "path", F.explode(names).alias("category"))
+    critical = _files(spark, folder).where(paths.is_critical())
+    names = texts(*[f"if({paths.in_category(c)}, '{c}', null)" for c in fixed.CRITICAL_CATEGORIES])
+    return each(critical, ["change_id", "file_idx", "path"], names, "category")
 
 
 # --- change sets ----------------------------------------------------------------------------
@@ -453,10 +453,11 @@ def risk_critical(spark, folder):
 @query
 def risk_overall(spark, folder):
     scored = _scored(spark, folder)
-    return scored.select(
-        "change_id", r6("overall_score"), "overall_risk", F.round(risk.weighted_score(), 6).alias("weighted_score"),
-        risk.percent(F.col("overall_score")).alias("percent"),
-        risk.review_time(F.col("overall_score"), long=True).alias("review_time"),
+    return scored.selectExpr(
+        "change_id", "round(overall_score, 6) AS overall_score", "overall_risk",
+        f"round({risk.weighted_score()}, 6) AS weighted_score",
+        f"{risk.percent('overall_score')} AS percent",
+        f"{risk.review_time('overall_score', long=True)} AS review_time",
     )
 
 
@@ -521,8 +522,9 @@ def merge_gate(spark, folder):
 @query
 def main_changes(spark, folder):
     profile = summary.profile(_facts(spark, folder))
-    return profile.select(
-        "change_id", prompts.main_changes().alias("main_changes"), text(prompts.change_patterns()).alias("patterns")
+    return profile.selectExpr(
+        "change_id", f"{prompts.main_changes()} AS main_changes",
+        f"array_join({prompts.change_patterns()}, '{JOIN}') AS patterns",
     )
 
 
@@ -535,7 +537,7 @@ def key_changes(spark, folder):
 def security_issue_lines(spark, folder):
     facts = analysis.cut(_facts(spark, folder))
     profile = summary.profile(facts).join(prompts.top_types(facts), "change_id", "left")
-    return profile.select("change_id", F.array_join(prompts.security_issues(), "\n- ").alias("lines"))
+    return profile.selectExpr("change_id", rf"array_join({prompts.security_issues()}, '\n- ') AS lines")
 
 
 @query

@@ -142,7 +142,7 @@ CRITICAL_CATEGORIES = {
     "database": ["migration", "schema", "model", "entity"],
     "api": ["api", "endpoint", "route", "controller"],
     "security": ["security", "crypto", "encrypt", "hash"],
-    "configuration": ["config", ".env", "settings"],
+    "configuration": ["config", r"\.env", "settings"],
     "core": ["core", "main", "app", "index"],
 }
 

@@ -1,20 +1,12 @@
-"""Path predicates and lookups, all as expressions over a path column."""
+"""Path predicates and lookups as SQL text over a path expression."""
 
 from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 from changelens.functions import fixed
 from changelens.functions.regex import any_of, glob, java
-
-
-def _lookup(table: dict[str, str], key: Column) -> Column:
-    pairs = [F.lit(x) for pair in table.items() for x in pair]
-    return F.try_element_at(F.create_map(*pairs), key)
-
+from changelens.functions.sql import either, quote
 
 _LANGUAGE_BY_EXTENSION: dict[str, str] = {}
 for _language, _extensions in fixed.LANGUAGE_EXTENSIONS.items():
@@ -24,70 +16,72 @@ for _language, _extensions in fixed.LANGUAGE_EXTENSIONS.items():
 _FRAMEWORK_BY_LANGUAGE = {language: names[0] for language, names in fixed.TEST_FRAMEWORKS.items()}
 
 
-def extension(path: Column) -> Column:
+def _lookup(table: dict[str, str], key: str) -> str:
+    pairs = ", ".join(f"{quote(k)}, {quote(v)}" for k, v in table.items())
+    return f"try_element_at(map({pairs}), {key})"
+
+
+def _matches(path: str, patterns: Iterable[str]) -> str:
+    return f"{path} rlike {quote(any_of(patterns))}"
+
+
+def extension(path: str = "path") -> str:
     """From the last dot on; the whole path when it has no dot."""
-    return F.when(path.contains("."), F.concat(F.lit("."), F.substring_index(path, ".", -1))).otherwise(path)
+    return f"if(contains({path}, '.'), concat('.', substring_index({path}, '.', -1)), {path})"
 
 
-def directory(path: Column) -> Column:
+def directory(path: str = "path") -> str:
     """Before the last slash, ``.`` when that is empty."""
-    before = F.regexp_extract(path, r"(?s)^(.*)/", 1)
-    return F.when(before == "", F.lit(".")).otherwise(before)
+    before = f"regexp_extract({path}, '(?s)^(.*)/', 1)"
+    return f"if({before} = '', '.', {before})"
 
 
-def language(path: Column) -> Column:
+def language(path: str = "path") -> str:
     return _lookup(_LANGUAGE_BY_EXTENSION, extension(path))
 
 
-def suggestion_language(file_language: Column, path: Column) -> Column:
-    by_extension = _lookup(fixed.SUGGESTION_LANGUAGES, extension(path))
-    return F.coalesce(file_language, by_extension, F.lit("unknown"))
+def suggestion_language(file_language: str = "language", path: str = "path") -> str:
+    return f"coalesce({file_language}, {_lookup(fixed.SUGGESTION_LANGUAGES, extension(path))}, 'unknown')"
 
 
-def test_framework(file_language: Column) -> Column:
-    by_language = _lookup(_FRAMEWORK_BY_LANGUAGE, F.coalesce(file_language, F.lit("typescript")))
-    return F.coalesce(by_language, F.lit("jest"))
+def test_framework(file_language: str = "language") -> str:
+    key = f"coalesce({file_language}, 'typescript')"
+    return f"coalesce({_lookup(_FRAMEWORK_BY_LANGUAGE, key)}, 'jest')"
 
 
-def is_critical(path: Column) -> Column:
-    return path.rlike(any_of(fixed.CRITICAL_PATHS))
+def is_critical(path: str = "path") -> str:
+    return _matches(path, fixed.CRITICAL_PATHS)
 
 
-def is_test(path: Column) -> Column:
-    return path.rlike(any_of(fixed.TEST_PATHS))
+def is_test(path: str = "path") -> str:
+    return _matches(path, fixed.TEST_PATHS)
 
 
-def is_config(path: Column) -> Column:
-    return path.rlike(any_of(fixed.CONFIG_PATHS))
+def is_config(path: str = "path") -> str:
+    return _matches(path, fixed.CONFIG_PATHS)
 
 
-def is_doc(path: Column) -> Column:
-    return path.rlike(java(fixed.DOC_PATHS, ignore_case=True))
+def is_doc(path: str = "path") -> str:
+    return f"{path} rlike {quote(java(fixed.DOC_PATHS, ignore_case=True))}"
 
 
-def is_excluded(path: Column) -> Column:
+def is_excluded(path: str = "path") -> str:
     """Paths that no built-in secret pattern applies to."""
-    return path.rlike(any_of(fixed.EXCLUDED_PATHS))
+    return _matches(path, fixed.EXCLUDED_PATHS)
 
 
-def in_category(path: Column, category: str) -> Column:
-    return _any(path.contains(word) for word in fixed.CRITICAL_CATEGORIES[category])
+def in_category(category: str, path: str = "path") -> str:
+    return _matches(path, fixed.CRITICAL_CATEGORIES[category])
 
 
-def is_testable(path: Column, status: Column, binary: Column) -> Column:
+def is_testable() -> str:
     """Code files worth a test suggestion; looser path rules than is_test."""
-    in_tests = _any(path.contains(part) for part in fixed.TEST_PATH_PARTS)
-    in_config = path.contains(".config.") | _any(path.endswith(e) for e in fixed.CONFIG_PATH_ENDINGS)
-    code = _any(path.endswith(e) for e in fixed.TESTABLE_EXTENSIONS)
-    return ~in_tests & ~in_config & ~binary & (status != "deleted") & code
-
-
-def matches_glob(path: Column, patterns: Iterable[str]) -> Column:
-    return path.rlike("|".join(f"(?:{glob(p)})" for p in patterns))
+    in_tests = either(f"contains(path, {quote(part)})" for part in fixed.TEST_PATH_PARTS)
+    endings = [f"endswith(path, {quote(e)})" for e in fixed.CONFIG_PATH_ENDINGS]
+    in_config = either(["contains(path, '.config.')", *endings])
+    code = either(f"endswith(path, {quote(e)})" for e in fixed.TESTABLE_EXTENSIONS)
+    return f"NOT {in_tests} AND NOT {in_config} AND NOT binary AND status <> 'deleted' AND {code}"
 
 
-def _any(conditions: Iterable[Column]) -> Column:
-    out = F.lit(False)
-    for condition in conditions:
-        out = out | condition
-    return out
+def matches_glob(patterns: Iterable[str], path: str = "path") -> str:
+    return f"{path} rlike {quote('|'.join(f'(?:{glob(p)})' for p in patterns))}"

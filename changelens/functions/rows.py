@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from changelens.functions.sql import quote
+
 # Files of one diff part are numbered below this, so that
 # file_idx = part_idx * FILES_PER_PART + position orders a change set's files.
 FILES_PER_PART = 1 << 26
@@ -17,57 +19,51 @@ FILES_PER_PART = 1 << 26
 PARTS_PER_CELL = 1024
 
 
-def each(df: DataFrame, keep: Sequence[str | Column], values: Column, name: str) -> DataFrame:
+def each(df: DataFrame, keep: Sequence[str], values: str, name: str) -> DataFrame:
     """One row per array element, next to the columns to keep.
 
     An inner explode makes the optimizer infer a size filter and push it below
     the projection, which would compute a costly array twice; an outer explode
     followed by a null filter does not.  Elements must not be null.
     """
-    return df.select(*keep, F.explode_outer(values).alias(name)).where(F.col(name).isNotNull())
+    return df.selectExpr(*keep, f"explode_outer({values}) AS {name}").where(f"{name} IS NOT NULL")
 
 
-def each_with_position(
-    df: DataFrame, keep: Sequence[str | Column], values: Column, position: str, name: str
-) -> DataFrame:
+def each_with_position(df: DataFrame, keep: Sequence[str], values: str, position: str, name: str) -> DataFrame:
     """Like ``each``, with the element's position from zero on."""
-    rows = df.select(*keep, F.posexplode_outer(values).alias(position, name)).where(F.col(name).isNotNull())
-    return rows.withColumn(position, F.col(position).cast("bigint"))
+    rows = df.selectExpr(*keep, f"posexplode_outer({values}) AS (_p, {name})").where(f"{name} IS NOT NULL")
+    return rows.selectExpr(*[_name(k) for k in keep], f"cast(_p as bigint) AS {position}", name)
+
+
+def _name(column: str) -> str:
+    return column.rsplit(" AS ", 1)[-1]
 
 
-def first_n(df: DataFrame, n: int, keys: Sequence[str], order: Sequence[str | Column], rank: str = "rank") -> DataFrame:
+def first_n(df: DataFrame, n: int, keys: Sequence[str], order: Sequence[str], rank: str = "rank") -> DataFrame:
     """The first ``n`` rows per key, ranked from one.
 
     A row-number limit is applied per task before the shuffle, so one key with
     most of the rows does not load one task.
     """
-    ranked = df.withColumn(rank, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("bigint"))
-    return ranked.where(F.col(rank) <= n)
+    window = f"PARTITION BY {', '.join(keys)} ORDER BY {', '.join(order)}"
+    return df.selectExpr("*", f"cast(row_number() OVER ({window}) as bigint) AS {rank}").where(f"{rank} <= {n}")
 
 
-def cell_no(file_idx: Column) -> Column:
-    return F.floor(file_idx / F.lit(PARTS_PER_CELL * FILES_PER_PART)).cast("bigint")
+def cell_no(file_idx: str) -> str:
+    return f"{file_idx} div {PARTS_PER_CELL * FILES_PER_PART}L"
 
 
-def joined_in_cells(df: DataFrame, keys: Sequence[str], order: str, text: Column, separator: str) -> DataFrame:
+def joined_in_cells(df: DataFrame, keys: Sequence[str], order: str, text: str, separator: str) -> DataFrame:
     """Ordered texts joined per key and cell: ``keys, cell_no, text, is_first, is_last``.
 
     Groups are bounded by the parts of a cell.  Joining the cells in order with
     the separator gives the whole text.
     """
+    joined = f"array_join(array_sort(collect_list(struct({order} AS o, {text} AS t))).t, {quote(separator)})"
     cells = (
-        df.select(
-            *keys, cell_no(F.col(order)).alias("cell_no"), F.col(order).alias("_o"), text.alias("_t")
-        )
-        .groupBy(*keys, "cell_no")
-        .agg(F.array_sort(F.collect_list(F.struct("_o", "_t"))).alias("_ts"))
-        .select(*keys, "cell_no", F.array_join(F.col("_ts._t"), separator).alias("text"))
+        df.withColumn("cell_no", F.expr(cell_no(order))).groupBy(*keys, "cell_no").agg(F.expr(joined).alias("text"))
     )
     ends = cells.groupBy(*keys).agg(F.min("cell_no").alias("_first"), F.max("cell_no").alias("_last"))
-    return cells.join(ends, list(keys)).select(
-        *keys,
-        "cell_no",
-        "text",
-        (F.col("cell_no") == F.col("_first")).alias("is_first"),
-        (F.col("cell_no") == F.col("_last")).alias("is_last"),
+    return cells.join(ends, list(keys)).selectExpr(
+        *keys, "cell_no", "text", "cell_no = _first AS is_first", "cell_no = _last AS is_last"
     )

@@ -8,34 +8,32 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
+from changelens.functions.sql import quote
 from changelens.functions.text import non_empty
 
 _PART = re.compile(r"\{\{#if\s+(\w+)\}\}(.*?)\{\{/if\}\}|\{\{(\w+)\}\}", re.S)
 
 
-def number_text(number: Column) -> Column:
+def number_text(number: str) -> str:
     """A number as a template value; zero prints as nothing."""
-    return F.when(number == 0, F.lit("")).otherwise(number.cast("string"))
+    return f"if({number} = 0, '', cast({number} as string))"
 
 
-def fill(template: str, values: dict[str, Column]) -> Column:
-    """The template with ``{{name}}`` put in and ``{{#if name}}…{{/if}}`` kept only
-    where the value is not empty."""
-    parts: list[Column] = []
+def fill(template: str, values: dict[str, str]) -> str:
+    """SQL text of the template with ``{{name}}`` put in and ``{{#if name}}…{{/if}}``
+    kept only where the value is not empty."""
+    parts: list[str] = []
     at = 0
     for m in _PART.finditer(template):
-        parts.append(F.lit(template[at : m.start()]))
+        parts.append(quote(template[at : m.start()]))
         condition, block, name = m.groups()
         if condition:
-            value = values.get(condition, F.lit(""))
-            parts.append(F.when(non_empty(value), fill(block, values)).otherwise(F.lit("")))
+            value = values.get(condition, "''")
+            parts.append(f"if({non_empty(value)}, {fill(block, values)}, '')")
         else:
-            parts.append(F.coalesce(values[name], F.lit("")) if name in values else F.lit(m.group(0)))
+            parts.append(f"coalesce({values.get(name, quote(''))}, '')")
         at = m.end()
-    return F.concat(*parts, F.lit(template[at:]))
+    return f"concat({', '.join([*parts, quote(template[at:])])})"
 
 
 def around(template: str, name: str) -> tuple[str, str]:

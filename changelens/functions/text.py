@@ -1,31 +1,29 @@
-"""Text, number and array helpers built from native column functions."""
+"""Text and number helpers as SQL text."""
 
 from __future__ import annotations
 
 import math
 from fractions import Fraction
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 from changelens.functions.regex import JAVA_SPACE
+from changelens.functions.sql import quote
 
 
-def trim(text: Column) -> Column:
+def trim(text: str) -> str:
     """Strip every kind of white space at both ends."""
-    return F.regexp_replace(text, rf"^[{JAVA_SPACE}]+|[{JAVA_SPACE}]+\z", "")
+    return f"regexp_replace({text}, {quote(f'^[{JAVA_SPACE}]+|[{JAVA_SPACE}]+' + chr(92) + 'z')}, '')"
 
 
-def is_blank(text: Column) -> Column:
-    return ~F.coalesce(text, F.lit("")).rlike(rf"[^{JAVA_SPACE}]")
+def is_blank(text: str) -> str:
+    return f"NOT coalesce({text}, '') rlike {quote(f'[^{JAVA_SPACE}]')}"
 
 
-def non_empty(text: Column) -> Column:
-    return F.coalesce(text, F.lit("")) != ""
+def non_empty(text: str) -> str:
+    return f"coalesce({text}, '') <> ''"
 
 
-def round_half_up(number: Column) -> Column:
-    return F.floor(number + F.lit(0.5)).cast("bigint")
+def round_half_up(number: str) -> str:
+    return f"cast(floor({number} + 0.5D) as bigint)"
 
 
 def _half_up_bounds() -> list[float]:
@@ -38,31 +36,34 @@ def _half_up_bounds() -> list[float]:
     return bounds
 
 
-def one_decimal(number: Column) -> Column:
+def one_decimal(number: str) -> str:
     """One decimal, rounding the exact binary value half up; not for negative numbers.
 
     (Number formatting rounds the shortest decimal form instead, and would print
     1.45, which is really a bit less, as 1.5.)
     """
-    whole = F.floor(number)
-    tenths = sum((F.when(number - whole >= F.lit(b), 1).otherwise(0) for b in _half_up_bounds()), F.lit(0))
-    n = whole * 10 + tenths
-    return F.concat(F.floor(n / 10).cast("string"), F.lit("."), (n % 10).cast("string"))
+    steps = " + ".join(f"if({number} - floor({number}) >= {b!r}D, 1, 0)" for b in _half_up_bounds())
+    n = f"(floor({number}) * 10 + {steps})"
+    return f"concat({n} div 10, '.', {n} % 10)"
 
 
-def first_match(text: Column, pattern: str, group: int) -> Column:
+def first_match(text: str, pattern: str, group: int) -> str:
     """The group of the first match, null when there is none."""
-    return F.when(text.rlike(pattern), F.regexp_extract(text, pattern, group))
+    return f"if({text} rlike {quote(pattern)}, regexp_extract({text}, {quote(pattern)}, {group}), null)"
 
 
-def all_matches(text: Column, pattern: str, group: int = 0) -> Column:
-    return F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
+def all_matches(text: str, pattern: str, group: int = 0) -> str:
+    return f"regexp_extract_all({text}, {quote(pattern)}, {group})"
 
 
-def last(values: Column) -> Column:
-    return F.try_element_at(values, F.lit(-1))
+def last(values: str) -> str:
+    return f"try_element_at({values}, -1)"
 
 
-def texts(*values: Column) -> Column:
+def texts(*values: str) -> str:
     """An array of the given texts without the null ones, in order."""
-    return F.array_compact(F.array(*values))
+    return f"array_compact(array({', '.join(values)}))"
+
+
+def when(condition: str, text: str) -> str:
+    return f"CASE WHEN {condition} THEN {text} END"

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from changelens.functions import fixed, paths
 from changelens.functions.regex import java
 from changelens.functions.rows import each_with_position
-from changelens.functions.text import all_matches, first_match, non_empty, texts, trim
+from changelens.functions.sql import either, quote
+from changelens.functions.text import all_matches, first_match, non_empty, texts, trim, when
 
 _ANSWER = (
     "model_id string, results array<struct<generated_text string, generated_token_count bigint, "
@@ -22,39 +23,40 @@ def parse_responses(responses: DataFrame, raw: str = "raw") -> DataFrame:
     The first result counts.  ``status`` is ``ok``, ``no results`` or ``no
     text``; only ok rows have a text.
     """
-    parsed = responses.withColumn("_a", F.from_json(F.col(raw), _ANSWER))
-    first = F.get("_a.results", F.lit(0))
-    text = first["generated_text"]
+    kept = [c for c in responses.columns if c != raw]
     status = (
-        F.when(first.isNull(), "no results").when(~non_empty(text), "no text").otherwise("ok")
+        "CASE WHEN _first IS NULL THEN 'no results'"
+        f" WHEN NOT ({non_empty('_first.generated_text')}) THEN 'no text' ELSE 'ok' END"
     )
-    ok = F.col("status") == "ok"
-    sent = F.coalesce(first["input_token_count"], F.lit(0))
-    made = F.coalesce(first["generated_token_count"], F.lit(0))
+    sent = "coalesce(_first.input_token_count, 0L)"
+    made = "coalesce(_first.generated_token_count, 0L)"
     return (
-        parsed.withColumn("status", status)
-        .withColumn("text", F.when(ok, trim(text)))
-        .withColumn("model", F.when(ok, F.col("_a.model_id")))
-        .withColumn("tokens_input", F.when(ok, sent))
-        .withColumn("tokens_output", F.when(ok, made))
-        .withColumn("tokens_total", F.when(ok, sent + made))
-        .drop("_a", raw)
+        responses.selectExpr(*kept, f"from_json({raw}, {quote(_ANSWER)}) AS _a")
+        .selectExpr(*kept, "_a.model_id AS _model", "get(_a.results, 0) AS _first")
+        .selectExpr(
+            *kept,
+            f"{status} AS status",
+            f"if(status = 'ok', {trim('_first.generated_text')}, null) AS text",
+            "if(status = 'ok', _model, null) AS model",
+            f"if(status = 'ok', {sent}, null) AS tokens_input",
+            f"if(status = 'ok', {made}, null) AS tokens_output",
+            f"if(status = 'ok', {sent} + {made}, null) AS tokens_total",
+        )
     )
 
 
 def call_stats(parsed: DataFrame, *keys: str) -> DataFrame:
     """Calls in total, good, bad, and the rate of good ones (zero without calls)."""
-    total, good = F.count("*"), F.count_if(F.col("status") == "ok")
     return parsed.groupBy(*keys).agg(
-        total.alias("total_requests"),
-        good.alias("successful_requests"),
-        (total - good).alias("failed_requests"),
-        F.coalesce(F.try_divide(good, total), F.lit(0.0)).alias("success_rate"),
+        F.expr("count(*) AS total_requests"),
+        F.expr("count_if(status = 'ok') AS successful_requests"),
+        F.expr("count_if(status <> 'ok') AS failed_requests"),
+        F.expr("coalesce(try_divide(count_if(status = 'ok'), count(*)), 0D) AS success_rate"),
     )
 
 
-def utf16_length(text: Column) -> Column:
-    return F.floor(F.octet_length(F.encode(text, "UTF-16BE")) / 2).cast("bigint")
+def utf16_length(text: str) -> str:
+    return f"octet_length(encode({text}, 'UTF-16BE')) div 2"
 
 
 # --- titles ---------------------------------------------------------------------------------
@@ -63,37 +65,36 @@ _CONVENTIONAL = java(rf"^({fixed.TITLE_TYPES})(\(.+\))?: .+")
 _TITLE_PARTS = java(rf"^({fixed.TITLE_TYPES})(?:\(([^)]+)\))?: (.+)$")
 
 
-def clean_title(text: Column) -> Column:
+def clean_title(text: str) -> str:
     """White space, one quote at each end and closing punctuation taken off."""
-    unquoted = F.regexp_replace(trim(text), r"""^["']|["']\z""", "")
-    return F.regexp_replace(unquoted, r"[.!?]+\z", "")
+    ends = r"""^["']|["']\z"""
+    unquoted = f"regexp_replace({trim(text)}, {quote(ends)}, '')"
+    return f"regexp_replace({unquoted}, {quote('[.!?]+' + chr(92) + 'z')}, '')"
 
 
-def title_errors(title: Column) -> Column:
+def title_errors(title: str) -> str:
     """What is wrong with a title, as an array."""
     length = utf16_length(title)
     return texts(
-        F.when(length > fixed.TITLE_MAX, f"Title exceeds {fixed.TITLE_MAX} characters"),
-        F.when(length < fixed.TITLE_MIN, f"Title is too short (minimum {fixed.TITLE_MIN} characters)"),
-        F.when(~title.rlike(_CONVENTIONAL), "Title does not follow conventional commit format"),
+        when(f"{length} > {fixed.TITLE_MAX}", f"'Title exceeds {fixed.TITLE_MAX} characters'"),
+        when(f"{length} < {fixed.TITLE_MIN}", f"'Title is too short (minimum {fixed.TITLE_MIN} characters)'"),
+        when(f"NOT {title} rlike {quote(_CONVENTIONAL)}", "'Title does not follow conventional commit format'"),
     )
 
 
 def titles(parsed: DataFrame) -> DataFrame:
     """One row per usable title answer: ``change_id, title, type, scope, description,
     is_conventional, length, errors``.  Titles with errors are kept."""
-    rows = parsed.where((F.col("kind") == "title") & (F.col("status") == "ok"))
-    t = F.col("title")
-    scope = F.regexp_extract(t, _TITLE_PARTS, 2)
-    return rows.select("change_id", clean_title(F.col("text")).alias("title")).select(
+    rows = parsed.where("kind = 'title' AND status = 'ok'")
+    return rows.selectExpr("change_id", f"{clean_title('text')} AS title").selectExpr(
         "change_id",
         "title",
-        first_match(t, _TITLE_PARTS, 1).alias("type"),
-        F.when(scope != "", scope).alias("scope"),
-        first_match(t, _TITLE_PARTS, 3).alias("description"),
-        t.rlike(_TITLE_PARTS).alias("is_conventional"),
-        utf16_length(t).alias("length"),
-        title_errors(t).alias("errors"),
+        f"{first_match('title', _TITLE_PARTS, 1)} AS type",
+        f"nullif(regexp_extract(title, {quote(_TITLE_PARTS)}, 2), '') AS scope",
+        f"{first_match('title', _TITLE_PARTS, 3)} AS description",
+        f"title rlike {quote(_TITLE_PARTS)} AS is_conventional",
+        f"{utf16_length('title')} AS length",
+        f"{title_errors('title')} AS errors",
     )
 
 
@@ -102,31 +103,28 @@ def titles(parsed: DataFrame) -> DataFrame:
 _BREAKING = r"breaking change[s]?:?\s*\n?-?\s*"
 
 
-def _section(heading: str) -> Column:
+def _section(heading: str) -> str:
     pattern = java(rf"##\s*{heading}\s*\n([\s\S]*?)(?=##|$)", ignore_case=True)
-    return trim(F.regexp_extract("text", pattern, 1))
+    return trim(f"regexp_extract(text, {quote(pattern)}, 1)")
 
 
 def descriptions(parsed: DataFrame) -> DataFrame:
     """One row per usable description answer: ``change_id, what_changed,
     why_changed, impact, breaking_changes``; without sections all text is what changed."""
-    rows = parsed.where((F.col("kind") == "description") & (F.col("status") == "ok"))
-    prefix = r"\A" + java(_BREAKING, ignore_case=True)
-    breaking = F.transform(
-        all_matches(F.col("text"), java(_BREAKING + "(.+)", ignore_case=True)),
-        lambda m: trim(F.regexp_replace(m, prefix, "")),
-    )
-    no_sections = (F.col("_what") == "") & (F.col("why_changed") == "") & (F.col("impact") == "")
-    return rows.select(
+    rows = parsed.where("kind = 'description' AND status = 'ok'")
+    prefix = quote(r"\A" + java(_BREAKING, ignore_case=True))
+    found = all_matches("text", java(_BREAKING + "(.+)", ignore_case=True))
+    plain = trim(f"regexp_replace(m, {prefix}, '')")
+    return rows.selectExpr(
         "change_id",
         "text",
-        _section("What Changed").alias("_what"),
-        _section("Why").alias("why_changed"),
-        _section("Impact").alias("impact"),
-        breaking.alias("breaking_changes"),
-    ).select(
+        f"{_section('What Changed')} AS _what",
+        f"{_section('Why')} AS why_changed",
+        f"{_section('Impact')} AS impact",
+        f"transform({found}, m -> {plain}) AS breaking_changes",
+    ).selectExpr(
         "change_id",
-        F.when(no_sections, F.col("text")).otherwise(F.col("_what")).alias("what_changed"),
+        "if(_what = '' AND why_changed = '' AND impact = '', text, _what) AS what_changed",
         "why_changed",
         "impact",
         "breaking_changes",
@@ -137,48 +135,48 @@ def pr_content(parsed: DataFrame) -> DataFrame:
     """Title and description of change sets that have both, with ``pr_text``."""
     both = titles(parsed).withColumnRenamed("description", "title_description").join(descriptions(parsed), "change_id")
 
-    def section(heading: str, column: str) -> Column:
-        return F.when(non_empty(F.col(column)), F.concat(F.lit(f"## {heading}\n\n"), F.col(column)))
+    def section(heading: str, column: str) -> str:
+        return when(non_empty(column), rf"concat('## {heading}\n\n', {column})")
 
-    listed = F.array_join(F.transform("breaking_changes", lambda c: F.concat(F.lit("- "), c)), "\n")
-    text = F.concat_ws(
-        "\n\n",
-        F.concat(F.lit("# "), F.col("title")),
+    listed = r"array_join(transform(breaking_changes, c -> concat('- ', c)), '\n')"
+    parts = [
+        "concat('# ', title)",
         section("What Changed", "what_changed"),
         section("Why", "why_changed"),
         section("Impact", "impact"),
-        F.when(F.size("breaking_changes") > 0, F.concat(F.lit("## Breaking Changes\n\n"), listed)),
-    )
-    return both.withColumn("pr_text", text)
+        when("size(breaking_changes) > 0", rf"concat('## Breaking Changes\n\n', {listed})"),
+    ]
+    return both.selectExpr("*", rf"concat_ws('\n\n', {', '.join(parts)}) AS pr_text")
 
 
 # --- test suggestions -------------------------------------------------------------------------
 
 
-def test_blocks(text: Column) -> Column:
+def test_blocks(text: str) -> str:
     """Fenced blocks, else ``describe(`` blocks, else paragraphs, as an array."""
     fenced = all_matches(text, r"```[\s\S]*?```")
     described = all_matches(text, java(r"describe\([^)]+\)[\s\S]*?(?=describe\(|$)"))
-    paragraphs = F.filter(F.split(text, "\n\n", -1), lambda b: non_empty(trim(b)))
-    return F.when(F.size(fenced) > 0, fenced).when(F.size(described) > 0, described).otherwise(paragraphs)
-
+    paragraphs = rf"filter(split({text}, '\n\n', -1), b -> {non_empty(trim('b'))})"
+    return (
+        f"CASE WHEN size({fenced}) > 0 THEN {fenced} WHEN size({described}) > 0 THEN {described}"
+        f" ELSE {paragraphs} END"
+    )
 
-def test_type(block: Column) -> Column:
-    low = F.lower(block)
 
-    def has(words: list[str]) -> Column:
-        out = F.lit(False)
-        for word in words:
-            out = out | low.contains(word)
-        return out
+def test_type(block: str) -> str:
+    def has(words: list[str]) -> str:
+        return either(f"contains(lower({block}), '{word}')" for word in words)
 
-    return F.when(has(fixed.INTEGRATION_WORDS), "integration").when(has(fixed.E2E_WORDS), "e2e").otherwise("unit")
+    return (
+        f"CASE WHEN {has(fixed.INTEGRATION_WORDS)} THEN 'integration' WHEN {has(fixed.E2E_WORDS)} THEN 'e2e'"
+        " ELSE 'unit' END"
+    )
 
 
-def scenario(block: Column) -> Column:
+def scenario(block: str) -> str:
     said = first_match(block, r"(?i:should|when|given)[\s\S]{0,100}", 0)
-    line = F.substring(F.substring_index(block, "\n", 1), 1, 100)
-    return F.coalesce(trim(said), F.when(line != "", line), F.lit("Test scenario"))
+    line = rf"nullif(substring(substring_index({block}, '\n', 1), 1, 100), '')"
+    return f"coalesce({trim(said)}, {line}, 'Test scenario')"
 
 
 def suggestions(chosen: DataFrame, parsed: DataFrame, include_snippets: bool = True) -> DataFrame:
@@ -189,47 +187,40 @@ def suggestions(chosen: DataFrame, parsed: DataFrame, include_snippets: bool = T
     A change set with a failed or missing answer has none.  An answer without
     any block gives two general suggestions.
     """
-    answers = parsed.where(F.col("kind") == "tests").select(
-        "change_id", "file_idx", F.when(F.col("status") == "ok", F.col("text")).alias("_answer")
+    answers = parsed.where("kind = 'tests'").selectExpr(
+        "change_id", "file_idx", "if(status = 'ok', text, null) AS _answer"
     )
     files = chosen.select("change_id", "file_idx", "file_rank", "path", "language")
-    asked = files.join(answers, ["change_id", "file_idx"], "left")
-    complete = asked.groupBy("change_id").agg(F.bool_and(F.col("_answer").isNotNull()).alias("_all")).where("_all")
-    answered = asked.join(complete, "change_id", "left_semi").withColumn("_blocks", test_blocks(F.col("_answer")))
     keep = ["change_id", "file_idx", "file_rank"]
-    framework = paths.test_framework(F.col("language")).alias("framework")
-
-    block = F.col("_b")
-    body = F.regexp_extract(block, r"```(?:[0-9A-Za-z_]+)?\n([\s\S]*?)```", 1)
-    snippet = F.when(body != "", trim(body)).otherwise(trim(block))
-    priority = F.create_map(*[F.lit(x) for kv in fixed.PRIORITY_BY_TEST_TYPE.items() for x in kv])
-    found = each_with_position(answered, [*keep, framework], F.col("_blocks"), "block_idx", "_b").select(
+    # The window covers the few chosen files of a change set.
+    answered = (
+        files.join(answers, ["change_id", "file_idx"], "left")
+        .selectExpr("*", "min(_answer IS NOT NULL) OVER (PARTITION BY change_id) AS _complete")
+        .where("_complete")
+        .selectExpr(*keep, "path", f"{paths.test_framework()} AS framework", f"{test_blocks('_answer')} AS _blocks")
+    )
+    body = "regexp_extract(_b, " + quote(r"```(?:[0-9A-Za-z_]+)?\n([\s\S]*?)```") + ", 1)"
+    snippet = f"if({body} <> '', {trim(body)}, {trim('_b')})" if include_snippets else "cast(null as string)"
+    said = first_match("_b", r"""it\(['"]([^'"]+)['"]""", 1)
+    priorities = " ".join(f"WHEN '{k}' THEN {v}L" for k, v in fixed.PRIORITY_BY_TEST_TYPE.items())
+    found = each_with_position(answered, [*keep, "framework"], "_blocks", "block_idx", "_b").selectExpr(
         *keep,
         "block_idx",
-        test_type(block).alias("type"),
-        F.coalesce(first_match(block, r"""it\(['"]([^'"]+)['"]""", 1), F.lit("Test case")).alias("description"),
-        scenario(block).alias("scenario"),
-        (snippet if include_snippets else F.lit(None).cast("string")).alias("code_snippet"),
+        f"{test_type('_b')} AS type",
+        f"coalesce({said}, 'Test case') AS description",
+        f"{scenario('_b')} AS scenario",
+        f"{snippet} AS code_snippet",
         "framework",
-        priority[test_type(block)].cast("bigint").alias("priority"),
+        f"CASE type {priorities} END AS priority",
     )
     general = [("functionality", "Verify core functionality works as expected", 4),
                ("edge cases", "Handle edge cases and error conditions", 3)]
-    rows = F.array(
-        *[
-            F.struct(
-                F.lit(i).cast("bigint").alias("block_idx"),
-                F.lit("unit").alias("type"),
-                F.concat(F.lit("Test "), F.col("path"), F.lit(f" {what}")).alias("description"),
-                F.lit(how).alias("scenario"),
-                F.lit(None).cast("string").alias("code_snippet"),
-                framework,
-                F.lit(priority_).cast("bigint").alias("priority"),
-            )
-            for i, (what, how, priority_) in enumerate(general)
-        ]
+    rows = ", ".join(
+        f"named_struct('block_idx', {i}L, 'type', 'unit', 'description', concat('Test ', path, ' {what}'),"
+        f" 'scenario', '{how}', 'code_snippet', cast(null as string), 'framework', framework, 'priority', {priority}L)"
+        for i, (what, how, priority) in enumerate(general)
     )
-    fallback = answered.where(F.size("_blocks") == 0).select(*keep, F.inline(rows))
+    fallback = answered.where("size(_blocks) = 0").selectExpr(*keep, f"inline(array({rows}))")
     return found.unionByName(fallback)
 
 
@@ -238,34 +229,27 @@ def combine(suggested: DataFrame) -> DataFrame:
 
     A group is bounded: it comes from the answers for a few files of one change set.
     """
-    group = Window.partitionBy("change_id", "type").orderBy(F.col("priority").desc(), "file_rank", "block_idx")
-    return suggested.withColumn("number", F.row_number().over(group).cast("bigint"))
+    order = "PARTITION BY change_id, type ORDER BY priority DESC, file_rank, block_idx"
+    return suggested.selectExpr("*", f"cast(row_number() OVER ({order}) as bigint) AS number")
 
 
 def suggestion_totals(suggested: DataFrame) -> DataFrame:
     """``change_id, total_suggestions, n_unit, n_integration, n_e2e, coverage_improvement``."""
-    kinds = list(fixed.COVERAGE_BY_TEST_TYPE)
+    kinds = fixed.COVERAGE_BY_TEST_TYPE
     counted = suggested.groupBy("change_id").agg(
-        F.count("*").alias("total_suggestions"),
-        *[F.count_if(F.col("type") == k).alias(f"n_{k}") for k in kinds],
-    )
-    points = sum((F.col(f"n_{k}") * fixed.COVERAGE_BY_TEST_TYPE[k] for k in kinds), F.lit(0))
-    return counted.withColumn(
-        "coverage_improvement", F.least(F.lit(fixed.COVERAGE_CAP), points).cast("bigint")
+        F.expr("count(*) AS total_suggestions"), *[F.expr(f"count_if(type = '{k}') AS n_{k}") for k in kinds]
     )
+    points = " + ".join(f"n_{k} * {p}" for k, p in kinds.items())
+    return counted.selectExpr("*", f"cast(least({fixed.COVERAGE_CAP}, {points}) as bigint) AS coverage_improvement")
 
 
 def suggestion_text(combined: DataFrame) -> DataFrame:
     """Adds ``suggestion_text``, the printed form of a numbered suggestion."""
-    fence = F.concat(F.lit("```typescript\n"), F.col("code_snippet"), F.lit("\n```"))
-    return combined.withColumn(
-        "suggestion_text",
-        F.concat_ws(
-            "\n\n",
-            F.concat(F.lit("### "), F.col("number").cast("string"), F.lit(". "), F.col("description")),
-            F.concat(F.lit("**Scenario:** "), F.col("scenario")),
-            F.when(F.col("type") != "e2e", F.concat(F.lit("**Framework:** "), F.col("framework"))),
-            F.when(F.col("type") == "unit", F.concat(F.lit("**Priority:** "), F.col("priority").cast("string"))),
-            F.when(non_empty(F.col("code_snippet")), fence),
-        ),
-    )
+    parts = [
+        "concat('### ', number, '. ', description)",
+        "concat('**Scenario:** ', scenario)",
+        when("type <> 'e2e'", "concat('**Framework:** ', framework)"),
+        when("type = 'unit'", "concat('**Priority:** ', priority)"),
+        when(non_empty("code_snippet"), r"concat('```typescript\n', code_snippet, '\n```')"),
+    ]
+    return combined.selectExpr("*", rf"concat_ws('\n\n', {', '.join(parts)}) AS suggestion_text")

@@ -14,12 +14,12 @@ from changelens.operators.parse import FILE_KEY
 
 def include(files: DataFrame, patterns: Sequence[str]) -> DataFrame:
     """Keep files whose path matches any glob; no globs keep all."""
-    return files.where(paths.matches_glob(F.col("path"), patterns)) if patterns else files
+    return files.where(paths.matches_glob(patterns)) if patterns else files
 
 
 def exclude(files: DataFrame, patterns: Sequence[str]) -> DataFrame:
     """Drop files whose path matches any glob."""
-    return files.where(~paths.matches_glob(F.col("path"), patterns)) if patterns else files
+    return files.where(f"NOT {paths.matches_glob(patterns)}") if patterns else files
 
 
 def cap_lines(files: DataFrame, max_lines: int) -> DataFrame:
@@ -45,14 +45,13 @@ def cap_lines(files: DataFrame, max_lines: int) -> DataFrame:
     mark = "CASE c.type WHEN 'addition' THEN '+' WHEN 'deletion' THEN '-' ELSE ' ' END"
     lines = f"concat(array(h.header), transform(h.changes, c -> concat({mark}, c.content)))"
     text = f"array_join(flatten(transform(_cut, h -> {lines})), '\\n')"
-    over = "additions + deletions > " + str(max_lines)
-    capped = files.withColumn("_cut", F.expr(f"if({over}, {cut}, null)"))
-    return (
-        capped.withColumn("hunks", F.coalesce("_cut", "hunks"))
-        .withColumn("body", F.when(F.col("_cut").isNotNull(), F.expr(text)).otherwise(F.col("body")))
-        .withColumn("n_hunks", F.when(F.col("_cut").isNotNull(), F.size("_cut")).otherwise(F.col("n_hunks")))
-        .drop("_cut")
-    )
+    capped = files.selectExpr("*", f"if(additions + deletions > {max_lines}, {cut}, null) AS _cut")
+    new = {
+        "hunks": "coalesce(_cut, hunks)",
+        "body": f"if(_cut IS NULL, body, {text})",
+        "n_hunks": "cast(if(_cut IS NULL, n_hunks, size(_cut)) as bigint)",
+    }
+    return capped.selectExpr(*[f"{new[c]} AS {c}" if c in new else c for c in files.columns])
 
 
 def apply_filters(

@@ -16,12 +16,11 @@ Rules kept on purpose:
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
 from changelens.functions import paths
 from changelens.functions.regex import JAVA_LINE_CHAR
-from changelens.functions.rows import FILES_PER_PART, each
+from changelens.functions.rows import FILES_PER_PART, each, each_with_position
 from changelens.functions.sql import let, quote, sums_before
 from changelens.functions.text import all_matches, last
 
@@ -39,17 +38,12 @@ _NEW_PATH = rf"^\+\+\+ b/({JAVA_LINE_CHAR}+)$"
 
 def split_files(diffs: DataFrame) -> DataFrame:
     """One row per emitted file: the diff row's columns plus ``file_idx, segment``."""
-    segments = F.filter(
-        F.split(F.col("diff_text"), r"(?md)^(?=diff --git )", -1),
-        lambda s: s.startswith("diff --git ") & s.rlike(rf"(?md)^{_HUNK}"),
-    )
-    part = F.coalesce(F.col("part_idx").cast("bigint"), F.lit(0)) if "part_idx" in diffs.columns else F.lit(0)
+    pieces = f"split(diff_text, {quote('(?md)^(?=diff --git )')}, -1)"
+    segments = f"filter({pieces}, s -> startswith(s, 'diff --git ') AND s rlike {quote(f'(?md)^{_HUNK}')})"
+    part = "coalesce(cast(part_idx as bigint), 0L)" if "part_idx" in diffs.columns else "0L"
     keep = [c for c in diffs.columns if c not in ("diff_text", "part_idx")]
-    return diffs.select(*keep, part.alias("_part"), F.posexplode(segments).alias("_pos", "segment")).select(
-        *keep,
-        (F.col("_part") * F.lit(FILES_PER_PART).cast("bigint") + F.col("_pos")).alias("file_idx"),
-        "segment",
-    )
+    rows = each_with_position(diffs, [*keep, f"{part} AS _part"], segments, "_pos", "segment")
+    return rows.selectExpr(*keep, f"_part * {FILES_PER_PART}L + _pos AS file_idx", "segment")
 
 
 def parse_files(diffs: DataFrame) -> DataFrame:
@@ -62,33 +56,28 @@ def parse_files(diffs: DataFrame) -> DataFrame:
     new_lines, header, changes) with changes ARRAY of (change_idx, line_number,
     old_line_number, type, content).  Columns that are not used cost nothing.
     """
-    seg = F.col("segment")
     files = split_files(diffs)
     keep = [c for c in files.columns if c != "segment"]
-    new_path = last(all_matches(seg, rf"(?md){_NEW_PATH}", 1))
-    new_line = last(all_matches(seg, rf"(?md)^\+\+\+ (?:b/{JAVA_LINE_CHAR}+|/dev/null)$"))
-    null_mark = last(all_matches(seg, r"(?md)^(---|\+\+\+) /dev/null$", 1))
+    new_path = last(all_matches("segment", rf"(?md){_NEW_PATH}", 1))
+    new_line = last(all_matches("segment", rf"(?md)^\+\+\+ (?:b/{JAVA_LINE_CHAR}+|/dev/null)$"))
+    null_mark = last(all_matches("segment", r"(?md)^(---|\+\+\+) /dev/null$", 1))
     # A deleted file is named by the last old path above its "+++ /dev/null".
-    path_above_null = last(all_matches(seg, rf"(?md){_OLD_PATH}(?=[\s\S]*^\+\+\+ /dev/null$)", 1))
-    path = F.when(new_line == "+++ /dev/null", path_above_null).otherwise(new_path)
-    pieces = F.split(seg, rf"(?md)^(?={_HUNK})", -1)
-    body = F.expr("substring(segment, length(_pieces[0]) + 1)")
-    return files.withColumn("_pieces", pieces).select(
+    above_null = last(all_matches("segment", rf"(?md){_OLD_PATH}(?=[\s\S]*^\+\+\+ /dev/null$)", 1))
+    body = "substring(segment, length(_pieces[0]) + 1)"
+    pieces = f"split(segment, {quote(f'(?md)^(?={_HUNK})')}, -1) AS _pieces"
+    return files.selectExpr("*", pieces).selectExpr(
         *keep,
-        F.coalesce(path, F.lit("")).alias("path"),
-        last(all_matches(seg, rf"(?md){_OLD_PATH}", 1)).alias("old_path"),
-        F.when(null_mark == "---", F.lit("added"))
-        .when(null_mark == "+++", F.lit("deleted"))
-        .otherwise(F.lit("modified"))
-        .alias("status"),
-        paths.language(new_path).alias("language"),
-        seg.rlike(r"(?md)^Binary files ").alias("binary"),
-        F.regexp_count(body, F.lit(rf"(?md)^{ADDED}")).cast("bigint").alias("additions"),
-        F.regexp_count(body, F.lit(rf"(?md)^{_DELETED}")).cast("bigint").alias("deletions"),
-        (F.size("_pieces") - 1).cast("bigint").alias("n_hunks"),
-        seg.rlike(rf"(?md)^@@(?!{_HUNK[2:]})").alias("parse_warning"),
-        body.alias("body"),
-        F.expr(f"transform(slice(_pieces, 2, size(_pieces)), (piece, n) -> {_hunk_sql()})").alias("hunks"),
+        f"coalesce(if({new_line} = '+++ /dev/null', {above_null}, {new_path}), '') AS path",
+        f"{last(all_matches('segment', rf'(?md){_OLD_PATH}', 1))} AS old_path",
+        f"CASE {null_mark} WHEN '---' THEN 'added' WHEN '+++' THEN 'deleted' ELSE 'modified' END AS status",
+        f"{paths.language(new_path)} AS language",
+        f"segment rlike {quote(r'(?md)^Binary files ')} AS binary",
+        f"cast(regexp_count({body}, {quote(rf'(?md)^{ADDED}')}) as bigint) AS additions",
+        f"cast(regexp_count({body}, {quote(rf'(?md)^{_DELETED}')}) as bigint) AS deletions",
+        "cast(size(_pieces) - 1 as bigint) AS n_hunks",
+        f"segment rlike {quote(rf'(?md)^@@(?!{_HUNK[2:]})')} AS parse_warning",
+        f"{body} AS body",
+        f"transform(slice(_pieces, 2, size(_pieces)), (piece, n) -> {_hunk_sql()}) AS hunks",
     )
 
 
@@ -133,18 +122,17 @@ def _changes_sql() -> str:
 def hunks(files: DataFrame) -> DataFrame:
     """Flat hunk rows, keyed by change_id, file_idx, hunk_idx."""
     columns = ("hunk_idx", "old_start", "old_lines", "new_start", "new_lines", "header")
-    return each(files, [*FILE_KEY, "path"], F.col("hunks"), "_h").select(
-        *FILE_KEY, "path", *[F.col(f"_h.{c}").alias(c) for c in columns]
+    return each(files, [*FILE_KEY, "path"], "hunks", "_h").selectExpr(
+        *FILE_KEY, "path", *[f"_h.{c} AS {c}" for c in columns]
     )
 
 
 def changes(files: DataFrame) -> DataFrame:
     """Flat line rows, keyed by change_id, file_idx, hunk_idx, change_idx."""
-    by_hunk = each(files, [*FILE_KEY, "path"], F.col("hunks"), "_h")
-    keep = [*FILE_KEY, "path", F.col("_h.hunk_idx").alias("hunk_idx")]
+    by_hunk = each(files, [*FILE_KEY, "path"], "hunks", "_h")
     columns = ("change_idx", "line_number", "old_line_number", "type", "content")
-    return each(by_hunk, keep, F.col("_h.changes"), "_c").select(
-        *FILE_KEY, "path", "hunk_idx", *[F.col(f"_c.{c}").alias(c) for c in columns]
+    return each(by_hunk, [*FILE_KEY, "path", "_h.hunk_idx AS hunk_idx"], "_h.changes", "_c").selectExpr(
+        *FILE_KEY, "path", "hunk_idx", *[f"_c.{c} AS {c}" for c in columns]
     )
 
 
@@ -159,11 +147,8 @@ def deleted_lines(files: DataFrame) -> DataFrame:
 
 
 def _lines_of(files: DataFrame, kind: str) -> DataFrame:
-    return (
-        changes(files)
-        .where(F.col("type") == kind)
-        .select(*FILE_KEY, "path", "hunk_idx", "change_idx", "line_number", "content")
-    )
+    rows = changes(files).where(f"type = '{kind}'")
+    return rows.select(*FILE_KEY, "path", "hunk_idx", "change_idx", "line_number", "content")
 
 
 def additions_sql(hunks: str = "hunks") -> str:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from changelens.functions import fixed, paths
@@ -10,86 +10,83 @@ from changelens.functions.regex import java
 from changelens.functions.rows import first_n, joined_in_cells
 from changelens.functions.sql import quote
 from changelens.functions.template import around, fill, number_text
-from changelens.functions.text import texts
+from changelens.functions.text import texts, when
 from changelens.operators import scan, summary
 from changelens.operators.parse import ADDED, FILE_KEY, LINES
 from changelens.params import ScanOptions
 
+# --- change-set contexts: expressions over a profile row -------------------------------------
 
-def _count(n: str, before: str, after: str) -> Column:
-    return F.concat(F.lit(before), F.col(n).cast("string"), F.lit(after))
 
+def _counted(n: str, before: str, after: str) -> str:
+    return when(f"{n} > 0", f"concat('{before}', {n}, '{after}')")
 
-# --- change-set contexts: columns over a profile row -------------------------------------
 
-
-def main_changes() -> Column:
+def main_changes() -> str:
     """"Added n file(s), Modified …", zero parts left out."""
-    return F.concat_ws(
-        ", ",
-        F.when(F.col("n_added") > 0, _count("n_added", "Added ", " file(s)")),
-        F.when(F.col("n_modified") > 0, _count("n_modified", "Modified ", " file(s)")),
-        F.when(F.col("n_deleted") > 0, _count("n_deleted", "Deleted ", " file(s)")),
-        F.when(F.col("n_critical_files") > 0, _count("n_critical_files", "", " critical file(s) affected")),
-    )
+    return "concat_ws(', ', " + ", ".join(
+        [
+            _counted("n_added", "Added ", " file(s)"),
+            _counted("n_modified", "Modified ", " file(s)"),
+            _counted("n_deleted", "Deleted ", " file(s)"),
+            _counted("n_critical_files", "", " critical file(s) affected"),
+        ]
+    ) + ")"
 
 
-def change_patterns() -> Column:
+def change_patterns() -> str:
     """What kind of change this is, as an array of texts."""
     found = texts(
-        F.when(F.col("n_added") > F.col("n_deleted"), "New feature implementation"),
-        F.when((F.col("n_modified") > F.col("n_added")) & (F.col("n_deleted") > 0), "Code refactoring"),
-        F.when(F.col("n_test_files") > 0, _count("n_test_files", "Test coverage updates (", " test files)")),
-        F.when(F.col("n_config_files") > 0, _count("n_config_files", "Configuration changes (", " config files)")),
-        F.when(F.col("n_modified_docs") > 0, "Documentation updates"),
+        when("n_added > n_deleted", "'New feature implementation'"),
+        when("n_modified > n_added AND n_deleted > 0", "'Code refactoring'"),
+        _counted("n_test_files", "Test coverage updates (", " test files)"),
+        _counted("n_config_files", "Configuration changes (", " config files)"),
+        when("n_modified_docs > 0", "'Documentation updates'"),
     )
-    return F.when(F.size(found) > 0, found).otherwise(F.array(F.lit("General code changes")))
+    return f"if(size({found}) > 0, {found}, array('General code changes'))"
 
 
-def churn_order() -> list[Column | str]:
-    """Most changed lines first, then file order."""
-    return [(F.col("additions") + F.col("deletions")).desc(), "file_idx"]
+# Most changed lines first, then file order.
+CHURN_ORDER = ["additions + deletions DESC", "file_idx"]
 
 
 def key_changes(files: DataFrame, n: int = 5) -> DataFrame:
     """The most changed files: ``change_id, rank, path, change``."""
-    total = (F.col("additions") + F.col("deletions")).cast("string")
-    change = F.concat(
-        F.col("status"), F.lit(": +"), F.col("additions").cast("string"), F.lit(" -"),
-        F.col("deletions").cast("string"), F.lit(" ("), total, F.lit(" lines changed)"),
+    change = (
+        "concat(status, ': +', additions, ' -', deletions, ' (', additions + deletions, ' lines changed)') AS change"
     )
     thin = files.select(*FILE_KEY, "path", "status", "additions", "deletions")
-    return first_n(thin, n, ["change_id"], churn_order()).select("change_id", "rank", "path", change.alias("change"))
+    return first_n(thin, n, ["change_id"], CHURN_ORDER).selectExpr("change_id", "rank", "path", change)
 
 
 def top_types(facts: DataFrame, options: ScanOptions = ScanOptions(), n: int = 3) -> DataFrame:
     """The most frequent issue types as one text: ``change_id, top_types``."""
     findings = scan.explode_findings(facts, FILE_KEY, options, ["change_id"])
     counts = scan.type_counts(findings, ["change_id"])
-    label = F.concat(F.col("type"), F.lit(": "), F.col("n").cast("string"))
+    label = "concat(type, ': ', n) AS label"
+    # At most n entries per group are collected.
     return (
-        first_n(counts, n, ["change_id"], [F.col("n").desc(), "first_seen"])
+        first_n(counts, n, ["change_id"], ["n DESC", "first_seen"])
         .groupBy("change_id")
-        # At most n entries per group.
-        .agg(F.array_sort(F.collect_list(F.struct("rank", label.alias("label")))).alias("_t"))
-        .select("change_id", F.array_join(F.col("_t.label"), ", ").alias("top_types"))
+        .agg(F.expr(f"array_join(array_sort(collect_list(struct(rank, {label}))).label, ', ') AS top_types"))
     )
 
 
-def security_issues() -> Column:
+def security_issues() -> str:
     """The security lines of a description prompt, as an array; needs ``top_types``."""
     return texts(
-        F.when(F.col("n_critical") > 0, _count("n_critical", "⚠️ ", " CRITICAL security issue(s) found")),
-        F.when(F.col("n_high") > 0, _count("n_high", "⚠️ ", " HIGH severity security issue(s) found")),
-        F.concat(F.lit("Issue types: "), F.col("top_types")),
+        _counted("n_critical", "⚠️ ", " CRITICAL security issue(s) found"),
+        _counted("n_high", "⚠️ ", " HIGH severity security issue(s) found"),
+        "concat('Issue types: ', top_types)",
     )
 
 
 # --- prompts ------------------------------------------------------------------------------
 
 
-def _in_cells(rows: DataFrame, context: DataFrame, template: str, values: dict[str, Column], kind: str,
-              line: Column, separator: str) -> DataFrame:
+def _in_cells(
+    rows: DataFrame, context: DataFrame, template: str, values: dict[str, str], kind: str, line: str, separator: str
+) -> DataFrame:
     """A prompt whose ``{{files}}`` lists all files: ``change_id, kind, cell_no, prompt``.
 
     One cell holds the whole prompt of all but huge change sets; the cells of
@@ -97,101 +94,75 @@ def _in_cells(rows: DataFrame, context: DataFrame, template: str, values: dict[s
     """
     before, after = around(template, "files")
     cells = joined_in_cells(rows, ["change_id"], "file_idx", line, separator)
-    return cells.join(context, "change_id").select(
-        "change_id",
-        F.lit(kind).alias("kind"),
-        "cell_no",
-        F.concat(
-            F.when(F.col("is_first"), fill(before, values)).otherwise(F.lit(separator)),
-            F.col("text"),
-            F.when(F.col("is_last"), fill(after, values)).otherwise(F.lit("")),
-        ).alias("prompt"),
-    )
+    prompt = f"concat(if(is_first, {fill(before, values)}, {quote(separator)}), text, if(is_last, {fill(after, values)}, ''))"
+    return cells.join(context, "change_id").selectExpr("change_id", f"'{kind}' AS kind", "cell_no", f"{prompt} AS prompt")
 
 
 def title_prompts(facts: DataFrame, profile: DataFrame) -> DataFrame:
     """``change_id, kind, cell_no, prompt`` for titles."""
-    context = profile.join(summary.languages(facts), "change_id", "left").select(
+    context = profile.join(summary.languages(facts), "change_id", "left").selectExpr(
         "change_id",
-        number_text(F.col("total_additions")).alias("_additions"),
-        number_text(F.col("total_deletions")).alias("_deletions"),
-        F.array_join("languages", ", ").alias("_languages"),
-        main_changes().alias("_main"),
+        f"{number_text('total_additions')} AS _additions",
+        f"{number_text('total_deletions')} AS _deletions",
+        "array_join(languages, ', ') AS _languages",
+        f"{main_changes()} AS _main",
     )
-    values = {
-        "additions": F.col("_additions"),
-        "deletions": F.col("_deletions"),
-        "languages": F.col("_languages"),
-        "mainChanges": F.col("_main"),
-    }
-    return _in_cells(facts, context, fixed.TITLE_PROMPT, values, "title", F.col("path"), ", ")
+    values = {"additions": "_additions", "deletions": "_deletions", "languages": "_languages", "mainChanges": "_main"}
+    return _in_cells(facts, context, fixed.TITLE_PROMPT, values, "title", "path", ", ")
 
 
-def description_prompts(
-    facts: DataFrame, profile: DataFrame, options: ScanOptions = ScanOptions()
-) -> DataFrame:
+def description_prompts(facts: DataFrame, profile: DataFrame, options: ScanOptions = ScanOptions()) -> DataFrame:
     """``change_id, kind, cell_no, prompt`` for descriptions."""
-    change = F.concat(F.lit("File: "), F.col("path"), F.lit("\n"), F.col("change"))
+    change = r"concat('File: ', path, '\n', change) AS text"
+    # At most five entries per group are collected.
     keys = (
         key_changes(facts)
         .groupBy("change_id")
-        # At most five entries per group.
-        .agg(F.array_sort(F.collect_list(F.struct("rank", change.alias("text")))).alias("_k"))
-        .select("change_id", F.array_join(F.col("_k.text"), "\n\n").alias("_keys"))
+        .agg(F.expr(rf"array_join(array_sort(collect_list(struct(rank, {change}))).text, '\n\n') AS _keys"))
     )
     context = (
         profile.join(top_types(facts, options), "change_id", "left")
         .join(keys, "change_id", "left")
-        .select(
+        .selectExpr(
             "change_id",
             "_keys",
-            F.array_join(change_patterns(), "\n- ").alias("_patterns"),
-            F.array_join(security_issues(), "\n- ").alias("_security"),
+            rf"array_join({change_patterns()}, '\n- ') AS _patterns",
+            rf"array_join({security_issues()}, '\n- ') AS _security",
         )
     )
-    values = {
-        "keyChanges": F.col("_keys"),
-        "patterns": F.col("_patterns"),
-        "securityIssues": F.col("_security"),
-    }
-    line = F.concat(
-        F.lit("- "), F.col("path"), F.lit(" ("), F.col("status"), F.lit("): +"), F.col("additions").cast("string"),
-        F.lit(" -"), F.col("deletions").cast("string"),
-    )
+    values = {"keyChanges": "_keys", "patterns": "_patterns", "securityIssues": "_security"}
+    line = "concat('- ', path, ' (', status, '): +', additions, ' -', deletions)"
     return _in_cells(facts, context, fixed.DESCRIPTION_PROMPT, values, "description", line, "\n")
 
 
 # --- test prompts: row-local, one file each ---------------------------------------------------
 
 
-def function_names() -> Column:
+def function_names() -> str:
     """Names of functions in a file's added lines, distinct, in order of line and pattern."""
     added = f"regexp_extract_all(body, {quote(rf'(?md)^{ADDED}([^\n]*)')}, 1)"
     names = ", ".join(f"regexp_extract_all(s, {quote(java(p))}, 1)" for p in fixed.FUNCTION_PATTERNS)
-    return F.expr(f"array_distinct(flatten(transform({added}, s -> flatten(array({names})))))")
+    return f"array_distinct(flatten(transform({added}, s -> flatten(array({names})))))"
 
 
-def code_snippets() -> Column:
+def code_snippets() -> str:
     """The first runs of added lines, each at most five lines long.
 
     A context or deleted line ends a run; a hunk boundary does not.
     """
-    marked = f"concat(array_join(regexp_extract_all(body, {quote(LINES)}, 0), '\\n'), '\\n')"
+    marked = rf"concat(array_join(regexp_extract_all(body, {quote(LINES)}, 0), '\n'), '\n')"
     run = quote(rf"(?md)(?:^\+[^\n]*\n){{1,{fixed.SNIPPET_LINES}}}")
     plain = f"regexp_replace(r, {quote(r'(?md)^\+|\n\z')}, '')"
-    return F.expr(
-        f"transform(slice(regexp_extract_all({marked}, {run}, 0), 1, {fixed.SNIPPETS_PER_FILE}), r -> {plain})"
-    )
+    return f"transform(slice(regexp_extract_all({marked}, {run}, 0), 1, {fixed.SNIPPETS_PER_FILE}), r -> {plain})"
 
 
 def test_contexts(files: DataFrame) -> DataFrame:
     """Testable files with ``test_language, functions, snippets``; nothing of the text is kept."""
-    testable = paths.is_testable(F.col("path"), F.col("status"), F.col("binary"))
-    return files.where(testable).select(
+    return files.where(paths.is_testable()).selectExpr(
         *FILE_KEY, "path", "language", "additions", "deletions",
-        paths.suggestion_language(F.col("language"), F.col("path")).alias("test_language"),
-        function_names().alias("functions"),
-        code_snippets().alias("snippets"),
+        f"{paths.suggestion_language()} AS test_language",
+        f"{function_names()} AS functions",
+        f"{code_snippets()} AS snippets",
     )
 
 
@@ -202,7 +173,7 @@ def test_files(testable: DataFrame, max_files: int = 5, order: str = "churn") ->
     """
     if order not in ("churn", "input"):
         raise ValueError("order is churn or input")
-    by = churn_order() if order == "churn" else ["file_idx"]
+    by = CHURN_ORDER if order == "churn" else ["file_idx"]
     return first_n(testable, max_files or 5, ["change_id"], by, rank="file_rank")
 
 
@@ -211,11 +182,10 @@ def test_prompts(chosen: DataFrame) -> DataFrame:
     prompt = fill(
         fixed.TEST_PROMPT,
         {
-            "file": F.col("path"),
-            "language": F.col("test_language"),
-            "functions": F.array_join("functions", "\n- "),
-            "codeSnippets": F.array_join("snippets", "\n\n"),
-            "existingTestPatterns": F.lit(""),
+            "file": "path",
+            "language": "test_language",
+            "functions": r"array_join(functions, '\n- ')",
+            "codeSnippets": r"array_join(snippets, '\n\n')",
         },
     )
-    return chosen.select("change_id", F.lit("tests").alias("kind"), "file_idx", prompt.alias("prompt"))
+    return chosen.selectExpr("change_id", "'tests' AS kind", "file_idx", f"{prompt} AS prompt")

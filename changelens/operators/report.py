@@ -8,60 +8,45 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
-from changelens.functions.rows import each_with_position, first_n
-from changelens.functions.text import non_empty, one_decimal, round_half_up, texts
+from changelens.functions.rows import each, first_n
+from changelens.functions.text import non_empty, one_decimal, round_half_up, texts, when
 from changelens.operators import risk, scan, summary
 from changelens.operators.parse import FILE_KEY
-from changelens.params import RiskParams, ScanOptions
+from changelens.params import ScanOptions
 
-SECTIONS = ["header", "risk", "content", "summary", "findings", "tests", "footer"]
+HEADER, RISK, CONTENT, SUMMARY, FINDINGS, TESTS, FOOTER = range(7)
 _COLUMNS = ["change_id", "section_idx", "line_idx", "cell_no", "line"]
-
-
-def _cat(*parts) -> Column:
-    return F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
-
-
-def _score() -> Column:
-    return _cat(F.col("overall_risk"), " (", round_half_up(F.col("overall_score")), "/100)")
+_SCORE = f"concat(overall_risk, ' (', {round_half_up('overall_score')}, '/100)')"
 
 
 def compact(assessment: DataFrame, titles: DataFrame | None = None) -> DataFrame:
     """The short form: ``change_id, compact_text``."""
+    parts = [
+        f"concat('**Risk:** ', {_SCORE})",
+        "concat('**Changes:** ', total_files, ' files, +', total_additions, ' -', total_deletions)",
+        when("n_findings > 0",
+             "concat('**Security:** ', n_findings, ' issue(s)', if(n_critical > 0, ' (CRITICAL)', ''))"),
+    ]
     rows = assessment
-    title = F.lit(None).cast("string")
     if titles is not None:
         rows = rows.join(titles.select("change_id", "title"), "change_id", "left")
-        title = _cat("**Title:** ", F.col("title"))
-    critical = F.when(F.col("n_critical") > 0, " (CRITICAL)").otherwise("")
-    text = F.concat_ws(
-        "\n",
-        _cat("**Risk:** ", _score()),
-        _cat("**Changes:** ", F.col("total_files"), " files, +", F.col("total_additions"), " -",
-             F.col("total_deletions")),
-        F.when(F.col("n_findings") > 0, _cat("**Security:** ", F.col("n_findings"), " issue(s)", critical)),
-        title,
-    )
-    return rows.select("change_id", text.alias("compact_text"))
+        parts.append("concat('**Title:** ', title)")
+    return rows.selectExpr("change_id", rf"concat_ws('\n', {', '.join(parts)}) AS compact_text")
 
 
-def _lines(df: DataFrame, section: str, lines: Column, start: int | Column = 0) -> DataFrame:
-    """Lines of one array column; null entries are left out."""
-    rows = each_with_position(df, ["change_id", F.lit(start).alias("_s") if isinstance(start, int) else
-                                   start.alias("_s")], F.array_compact(lines), "_i", "line")
-    return _placed(rows, section, F.col("_s") + F.col("_i"))
+def _numbered(lines: str, start: str | int = 0) -> str:
+    """An array of lines as an array of (line_idx, line), numbered from ``start``."""
+    return f"transform({lines}, (x, i) -> named_struct('line_idx', {start} + cast(i as bigint), 'line', x))"
 
 
-def _placed(rows: DataFrame, section: str, line_idx: Column, cell: Column | None = None) -> DataFrame:
-    return rows.select(
-        "change_id",
-        F.lit(SECTIONS.index(section)).cast("bigint").alias("section_idx"),
-        line_idx.cast("bigint").alias("line_idx"),
-        (F.lit(0) if cell is None else cell).cast("bigint").alias("cell_no"),
-        "line",
+def _lines(df: DataFrame, section: int, *blocks: str) -> DataFrame:
+    """Report rows of arrays of (line_idx, line)."""
+    joined = f"concat({', '.join(blocks)})"
+    return each(df, ["change_id"], joined, "_l").selectExpr(
+        "change_id", f"{section}L AS section_idx", "cast(_l.line_idx as bigint) AS line_idx", "0L AS cell_no",
+        "_l.line AS line",
     )
 
 
@@ -69,84 +54,86 @@ def _union(*parts: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
+_HEADER = _numbered(
+    "array('# PR Readiness Analysis', concat('**Files Changed:** ', total_files, ' | **Lines:** +', total_additions,"
+    f" ' -', total_deletions, if({non_empty('base_branch')}, concat(' | **Base:** ', base_branch), '')))"
+)
+
+
 def header(assessment: DataFrame) -> DataFrame:
-    base = F.when(non_empty(F.col("base_branch")), _cat(" | **Base:** ", F.col("base_branch"))).otherwise("")
-    counts = _cat("**Files Changed:** ", F.col("total_files"), " | **Lines:** +", F.col("total_additions"), " -",
-                  F.col("total_deletions"), base)
-    return _lines(assessment, "header", F.array(F.lit("# PR Readiness Analysis"), counts))
+    return _lines(assessment, HEADER, _HEADER)
 
 
-def risk_section(assessment: DataFrame, facts: DataFrame, params: RiskParams = RiskParams()) -> DataFrame:
+def risk_section(assessment: DataFrame, facts: DataFrame) -> DataFrame:
     """Level, factors with up to two details each, critical issues, five recommendations."""
-    top = F.array(F.lit("## Risk Assessment"), _cat("**Overall Risk:** ", _score()), F.lit("### Risk Factors"))
-    factors = risk.risk_factors(assessment, params)
-    category = F.concat(F.upper(F.substring("category", 1, 1)), F.substring("category", 2, 100))
-    share = round_half_up(F.col("weight") * 100)
-    factor_lines = F.array(
-        _cat("- **", category, "** (", share, "% weight)"),
-        _cat("  - Score: ", one_decimal(F.col("score")), "/100"),
-        _cat("  - ", F.col("explanation")),
+    top = _numbered(f"array('## Risk Assessment', concat('**Overall Risk:** ', {_SCORE}), '### Risk Factors')")
+    capitalized = "concat(upper(left(f.category, 1)), substring(f.category, 2))"
+    factor = texts(
+        f"concat('- **', {capitalized}, '** (', f.share, '% weight)')",
+        f"concat('  - Score: ', {one_decimal('f.score')}, '/100')",
+        "concat('  - ', f.explanation)",
     )
-    details = (
-        risk.risk_details(assessment, facts)
-        .where(F.col("detail_idx") < 2)
-        .join(factors.where(F.col("score") > 30).select("change_id", "factor_idx"), ["change_id", "factor_idx"],
-              "left_semi")
-        .withColumn("line", F.when(F.col("cell_no") == 0, _cat("    - ", F.col("detail"))).otherwise(F.col("detail")))
+    detail = "transform(if(f.score > 30, slice(f.details, 1, 2), array()), d -> concat('    - ', d))"
+    factors = f"flatten(transform(factors, f -> {_numbered(f'concat({factor}, {detail})', 'f.factor_idx * 10 + 10')}))"
+    found = _numbered(
+        "if(size(critical_issues) = 0, array(), concat(array('### Critical Issues'),"
+        " transform(critical_issues, x -> concat('- ', x))))",
+        60,
     )
-    n_issues = F.size("critical_issues")
-    issue_lines = F.when(
-        n_issues > 0,
-        F.concat(F.array(F.lit("### Critical Issues")), F.transform("critical_issues", lambda i: _cat("- ", i))),
-    ).otherwise(F.array().cast("array<string>"))
-    recs = risk.recommendations(assessment, facts).where(F.col("rec_idx") < 5)
-    rec_line = F.when(F.col("cell_no") == 0, _cat("- ", F.col("recommendation"))).otherwise(F.col("recommendation"))
-    return _union(
-        _lines(assessment, "risk", top),
-        _lines(factors, "risk", factor_lines, F.col("factor_idx") * 10 + 10),
-        _placed(details, "risk", F.col("factor_idx") * 10 + 13 + F.col("detail_idx"), F.col("cell_no")),
-        _lines(assessment, "risk", issue_lines, 60),
-        _lines(assessment, "risk", F.array(F.lit("### Recommendations")), 80),
-        _placed(recs.withColumn("line", rec_line), "risk", F.col("rec_idx") + 81, F.col("cell_no")),
+    heading = _numbered("array('### Recommendations')", 80)
+    fixed_part = _lines(assessment, RISK, top, factors, found, heading)
+    # All complex files are named, in as many cells as it takes.
+    complex_part = (
+        risk.complex_file_details(facts)
+        .join(assessment.where("complexity_score > 30").select("change_id"), "change_id", "left_semi")
+        .selectExpr("change_id", f"{RISK}L AS section_idx", "24L AS line_idx", "cell_no",
+                    "if(startswith(detail, 'High'), concat('    - ', detail), detail) AS line")
+    )
+    recs = risk.recommendations(assessment, facts).where("rec_idx < 5").selectExpr(
+        "change_id", f"{RISK}L AS section_idx", "rec_idx + 81 AS line_idx", "cell_no",
+        "if(cell_no = 0, concat('- ', recommendation), recommendation) AS line",
     )
+    return _union(fixed_part, complex_part, recs)
 
 
 def content_section(pr_content: DataFrame) -> DataFrame:
     """Title and description, for change sets that have both."""
 
-    def part(heading: str, column: str) -> list[Column]:
-        there = non_empty(F.col(column))
-        return [F.when(there, heading), F.when(there, F.col(column))]
-
-    some = F.size("breaking_changes") > 0
-    fence = F.lit("```")
-    lines = F.array(
-        F.lit("## Suggested PR Content"), F.lit("### Title"), fence, F.col("title"), fence,
-        F.when(F.col("is_conventional"), "✓ Follows conventional commit format"),
-        F.lit("### Description"),
-        *part("**What Changed**", "what_changed"),
-        *part("**Why**", "why_changed"),
-        *part("**Impact**", "impact"),
-        F.when(some, "**Breaking Changes**"),
+    def part(heading: str, column: str) -> list[str]:
+        return [when(non_empty(column), f"'**{heading}**'"), when(non_empty(column), column)]
+
+    lines = texts(
+        "'## Suggested PR Content'", "'### Title'", "'```'", "title", "'```'",
+        when("is_conventional", "'✓ Follows conventional commit format'"),
+        "'### Description'",
+        *part("What Changed", "what_changed"),
+        *part("Why", "why_changed"),
+        *part("Impact", "impact"),
+        when("size(breaking_changes) > 0", "'**Breaking Changes**'"),
     )
-    breaking = F.transform("breaking_changes", lambda c: _cat("- ", c))
-    return _lines(pr_content, "content", F.concat(lines, breaking))
+    breaking = "transform(breaking_changes, c -> concat('- ', c))"
+    return _lines(pr_content, CONTENT, _numbered(f"concat({lines}, {breaking})"))
 
 
-_LIST_TITLES = ["added", "modified", "deleted", "critical", "test"]
+_LIST_TITLES = {"added": "Added", "modified": "Modified", "deleted": "Deleted", "critical": "Critical Files",
+                "test": "Test Files"}
 
 
 def summary_section(facts: DataFrame) -> DataFrame:
-    """The first three paths of five lists and how many more there are."""
-    heads = summary.list_heads(facts, 3).where(F.col("list").isin(*_LIST_TITLES))
-    name = F.initcap("list")
-    title = F.when(F.col("list").isin("critical", "test"), F.concat(name, F.lit(" Files"))).otherwise(name)
-    more = F.when(F.col("size") > 3, _cat(" and ", F.col("size") - 3, " more")).otherwise("")
-    line = _cat("**", title, " (", F.col("size"), "):** ", F.array_join("head", ", "), more)
-    order = F.array_position(F.array(*[F.lit(x) for x in _LIST_TITLES]), F.col("list"))
-    rows = heads.select("change_id", order.alias("_o"), line.alias("line"))
-    every = facts.select("change_id").distinct().withColumn("line", F.lit("## Change Summary"))
-    return _union(_placed(every, "summary", F.lit(0)), _placed(rows, "summary", F.col("_o")))
+    """The first three paths of five lists and how many more there are.
+
+    Every file is in a list by status, so the heading comes from one of them.
+    """
+    names = ", ".join(f"'{x}'" for x in _LIST_TITLES)
+    title = "CASE list " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in _LIST_TITLES.items()) + " END"
+    line = (
+        f"concat('**', {title}, ' (', size, '):** ', array_join(head, ', '),"
+        " if(size > 3, concat(' and ', size - 3, ' more'), ''))"
+    )
+    order = f"cast(array_position(array({names}), list) as bigint)"
+    return summary.list_heads(facts, 3).where(f"list IN ({names})").selectExpr(
+        "change_id", f"{SUMMARY}L AS section_idx", f"{order} AS line_idx", "0L AS cell_no", f"{line} AS line"
+    )
 
 
 def top_findings(findings: DataFrame, n: int = 5) -> DataFrame:
@@ -154,63 +141,53 @@ def top_findings(findings: DataFrame, n: int = 5) -> DataFrame:
     return first_n(findings, n, ["change_id"], scan.severity_order())
 
 
-def findings_section(
-    assessment: DataFrame, facts: DataFrame, options: ScanOptions = ScanOptions()
-) -> DataFrame:
+def findings_section(assessment: DataFrame, facts: DataFrame, options: ScanOptions = ScanOptions()) -> DataFrame:
     """Counts and the top five findings of change sets that have any."""
-    some = assessment.where(F.col("n_findings") > 0)
     counts = texts(
-        F.lit("## Security Findings"),
-        _cat("**Total Issues:** ", F.col("n_findings")),
-        *[_cat(f"- {s}: ", F.col(f"n_{s.lower()}")) for s in ("Critical", "High", "Medium", "Low")],
-        F.when(F.col("n_critical") > 0, "**Contains critical security issues that must be fixed!**"),
+        "'## Security Findings'",
+        "concat('**Total Issues:** ', n_findings)",
+        *[f"concat('- {s}: ', n_{s.lower()})" for s in ("Critical", "High", "Medium", "Low")],
+        when("n_critical > 0", "'**Contains critical security issues that must be fixed!**'"),
     )
-    found = scan.explode_findings(facts, FILE_KEY, options, ["change_id"])
-    entry = F.array(
-        _cat(F.col("rank"), ". **", F.col("type"), "** (", F.col("severity"), ")"),
-        _cat("   - File: ", F.col("file"), ":", F.col("line")),
-        _cat("   - ", F.col("description")),
-        _cat("   - Fix: ", F.col("recommendation")),
+    heading = _numbered("array('### Top Findings')", 10)
+    found = top_findings(scan.explode_findings(facts, FILE_KEY, options, ["change_id"]))
+    entry = texts(
+        "concat(rank, '. **', type, '** (', severity, ')')",
+        "concat('   - File: ', file, ':', line)",
+        "concat('   - ', description)",
+        "concat('   - Fix: ', recommendation)",
     )
     return _union(
-        _lines(some, "findings", counts),
-        _lines(some, "findings", F.array(F.lit("### Top Findings")), 10),
-        _lines(top_findings(found), "findings", entry, F.col("rank") * 10 + 10),
+        _lines(assessment.where("n_findings > 0"), FINDINGS, _numbered(counts), heading),
+        _lines(found, FINDINGS, _numbered(entry, "rank * 10 + 10")),
     )
 
 
 def tests_section(combined: DataFrame, totals: DataFrame) -> DataFrame:
     """Counts, three unit tests and two integration tests."""
     counts = texts(
-        F.lit("## Test Suggestions"),
-        _cat("**Total Suggestions:** ", F.col("total_suggestions")),
-        _cat("- Unit Tests: ", F.col("n_unit")),
-        _cat("- Integration Tests: ", F.col("n_integration")),
-        _cat("- E2E Tests: ", F.col("n_e2e")),
-        F.when(F.col("coverage_improvement") > 0,
-               _cat("**Estimated Coverage Improvement:** +", F.col("coverage_improvement"), "%")),
-    )
-    snippet = F.array_join(F.slice(F.split("code_snippet", "\n", -1), 1, 10), "\n")
-    has_snippet = non_empty(F.col("code_snippet"))
-    unit = F.array(
-        _cat(F.col("number"), ". ", F.col("description")),
-        _cat("   - Priority: ", F.col("priority")),
-        _cat("   - ", F.col("scenario")),
-        F.when(has_snippet, "```typescript"),
-        F.when(has_snippet, snippet),
-        F.when(has_snippet, "```"),
+        "'## Test Suggestions'",
+        "concat('**Total Suggestions:** ', total_suggestions)",
+        "concat('- Unit Tests: ', n_unit)",
+        "concat('- Integration Tests: ', n_integration)",
+        "concat('- E2E Tests: ', n_e2e)",
+        when("coverage_improvement > 0", "concat('**Estimated Coverage Improvement:** +', coverage_improvement, '%')"),
     )
-    integration = F.array(
-        _cat(F.col("number"), ". ", F.col("description")), _cat("   - ", F.col("scenario"))
+    units = _numbered("if(n_unit > 0, array('### Unit Tests'), array())", 10)
+    integrations = _numbered("if(n_integration > 0, array('### Integration Tests'), array())", 50)
+    shown = f"type = 'unit' AND {non_empty('code_snippet')}"
+    entry = texts(
+        "concat(number, '. ', description)",
+        when("type = 'unit'", "concat('   - Priority: ', priority)"),
+        "concat('   - ', scenario)",
+        when(shown, "'```typescript'"),
+        when(shown, r"array_join(slice(split(code_snippet, '\n', -1), 1, 10), '\n')"),
+        when(shown, "'```'"),
     )
-    first_units = combined.where((F.col("type") == "unit") & (F.col("number") <= 3))
-    first_integrations = combined.where((F.col("type") == "integration") & (F.col("number") <= 2))
+    first = combined.where("(type = 'unit' AND number <= 3) OR (type = 'integration' AND number <= 2)")
     return _union(
-        _lines(totals, "tests", counts),
-        _lines(totals.where(F.col("n_unit") > 0), "tests", F.array(F.lit("### Unit Tests")), 10),
-        _lines(first_units, "tests", unit, F.col("number") * 10 + 10),
-        _lines(totals.where(F.col("n_integration") > 0), "tests", F.array(F.lit("### Integration Tests")), 50),
-        _lines(first_integrations, "tests", integration, F.col("number") * 10 + 50),
+        _lines(totals, TESTS, _numbered(counts), units, integrations),
+        _lines(first, TESTS, _numbered(entry, "number * 10 + if(type = 'unit', 10, 50)")),
     )
 
 
@@ -223,18 +200,17 @@ _NEXT_STEPS = {
 }
 
 
-def footer(assessment: DataFrame) -> DataFrame:
-    def steps(level: str) -> Column:
-        return F.array(*[F.lit(f"{i}. {step}") for i, step in enumerate(_NEXT_STEPS[level], 1)])
-
-    level = F.col("overall_risk")
-    by_level = F.when(level == "HIGH", steps("HIGH")).when(level == "MEDIUM", steps("MEDIUM")).otherwise(steps("LOW"))
-    lines = F.concat(
-        F.array(F.lit("---"), F.lit("## Next Steps")),
-        by_level,
-        F.array(_cat("**Estimated Review Time:** ", risk.review_time(F.col("overall_score"), long=True))),
+def _footer() -> str:
+    steps = " ".join(
+        f"WHEN '{level}' THEN array({', '.join(f"'{i}. {step}'" for i, step in enumerate(names, 1))})"
+        for level, names in _NEXT_STEPS.items()
     )
-    return _lines(assessment, "footer", lines)
+    time = f"concat('**Estimated Review Time:** ', {risk.review_time('overall_score', long=True)})"
+    return _numbered(f"concat(array('---', '## Next Steps'), CASE overall_risk {steps} END, array({time}))")
+
+
+def footer(assessment: DataFrame) -> DataFrame:
+    return _lines(assessment, FOOTER, _footer())
 
 
 def complete(
@@ -243,11 +219,11 @@ def complete(
     pr_content: DataFrame | None = None,
     combined: DataFrame | None = None,
     totals: DataFrame | None = None,
-    params: RiskParams = RiskParams(),
     options: ScanOptions = ScanOptions(),
 ) -> DataFrame:
     """All sections: ``change_id, section_idx, line_idx, cell_no, line``."""
-    parts = [header(assessment), risk_section(assessment, facts, params), summary_section(facts),
+    heading = _lines(assessment, SUMMARY, _numbered("array('## Change Summary')"))
+    parts = [header(assessment), risk_section(assessment, facts), heading, summary_section(facts),
              findings_section(assessment, facts, options), footer(assessment)]
     if pr_content is not None:
         parts.append(content_section(pr_content))

@@ -9,265 +9,280 @@ from __future__ import annotations
 
 from decimal import ROUND_HALF_UP, Decimal
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from changelens.functions import fixed
 from changelens.functions.rows import each_with_position, first_n, joined_in_cells
-from changelens.functions.text import one_decimal, round_half_up, texts
+from changelens.functions.sql import quote
+from changelens.functions.text import one_decimal, round_half_up, texts, when
 from changelens.operators import summary
 from changelens.params import RiskParams, ScanOptions
 
 FACTORS = ["security", "complexity", "changeSize", "criticalFiles"]
+_SCORES = dict(zip(FACTORS, ("security_score", "complexity_score", "size_score", "critical_score"), strict=True))
+_HIGH_COMPLEXITY = f"complexity >= {fixed.COMPLEXITY_THRESHOLDS['high']}"
 
 
-def _text(*parts) -> Column:
-    return F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
+# --- scores: columns over a profile row, later ones use earlier ones -------------------------
 
 
-# --- scores: columns over a profile row ------------------------------------------------
-
-
-def security_score(profile: DataFrame) -> DataFrame:
-    """Adds ``security_score, has_blocking_issues`` from the findings by severity."""
-    points = sum((F.col(f"n_{s}") * p for s, p in fixed.SECURITY_POINTS.items()), F.lit(0))
-    return profile.withColumn("security_score", F.least(F.lit(100.0), points.cast("double"))).withColumn(
-        "has_blocking_issues", (F.col("n_critical") > 0) | (F.col("n_high") > 2)
-    )
+def security_score() -> dict[str, str]:
+    points = " + ".join(f"n_{s} * {p}" for s, p in fixed.SECURITY_POINTS.items())
+    return {
+        "security_score": f"least(100D, cast({points} as double))",
+        "has_blocking_issues": "n_critical > 0 OR n_high > 2",
+    }
 
 
-def complexity_score(profile: DataFrame) -> DataFrame:
-    """Adds ``avg_complexity, complexity_score``."""
-    average = F.when(F.col("total_files") > 0, F.col("total_complexity") / F.col("total_files")).otherwise(F.lit(0.0))
-    score = F.col("n_complex") * 20 + F.least(F.lit(50.0), F.col("avg_complexity") * 3)
-    return profile.withColumn("avg_complexity", average).withColumn(
-        "complexity_score", F.least(F.lit(100.0), score)
-    )
+def complexity_score() -> dict[str, str]:
+    return {
+        "avg_complexity": "if(total_files > 0, total_complexity / total_files, 0D)",
+        "complexity_score": "least(100D, n_complex * 20 + least(50D, avg_complexity * 3))",
+    }
 
 
-def size_score(profile: DataFrame) -> DataFrame:
-    """Adds ``net_lines, size_score, is_too_large``."""
+def size_score() -> dict[str, str]:
     at = fixed.SIZE_THRESHOLDS
-    files = F.col("total_files")
-    lines = F.col("total_additions") + F.col("total_deletions")
+    lines = "(total_additions + total_deletions)"
 
-    def band(n: Column, large: int, medium: int, most: float, half: float) -> Column:
-        return F.when(n >= large, F.lit(most)).when(n >= medium, F.lit(half)).otherwise(n / F.lit(float(medium)) * half)
+    def band(n: str, large: int, medium: int, most: int, half: int) -> str:
+        return f"CASE WHEN {n} >= {large} THEN {most}D WHEN {n} >= {medium} THEN {half}D ELSE {n} / {medium}D * {half}D END"
 
-    score = band(files, at["large_files"], at["medium_files"], 40.0, 20.0) + band(
-        lines, at["large_lines"], at["medium_lines"], 60.0, 30.0
-    )
-    return (
-        profile.withColumn("net_lines", F.abs(F.col("total_additions") - F.col("total_deletions")))
-        .withColumn("size_score", F.least(F.lit(100.0), score))
-        .withColumn("is_too_large", (files >= at["large_files"]) | (lines >= at["large_lines"]))
-    )
+    files_part = band("total_files", at["large_files"], at["medium_files"], 40, 20)
+    lines_part = band(lines, at["large_lines"], at["medium_lines"], 60, 30)
+    return {
+        "net_lines": "abs(total_additions - total_deletions)",
+        "size_score": f"least(100D, {files_part} + {lines_part})",
+        "is_too_large": f"total_files >= {at['large_files']} OR {lines} >= {at['large_lines']}",
+    }
 
 
-def critical_score(profile: DataFrame) -> DataFrame:
-    """Adds ``categories, affects_core, critical_score``.
+def _seen(*categories: str) -> str:
+    return "(" + " OR ".join(f"first_{c} IS NOT NULL" for c in categories) + ")"
 
-    The n-th critical file counts 30, 25, … down to 5 points: in closed form
-    30n - 5n(n-1)/2 up to five files and 100 + 5(n-5) beyond.
-    """
-    n = F.col("n_critical_files")
-    points = F.when(n <= 5, n * 30 - 5 * n * (n - 1) / 2).otherwise(n * 5 + 75)
-    seen = F.array_sort(
-        texts(
-            *[
-                F.when(
-                    F.col(f"first_{c}").isNotNull(),
-                    F.struct(F.col(f"first_{c}").alias("at"), F.lit(i).alias("i"), F.lit(c).alias("name")),
-                )
-                for i, c in enumerate(fixed.CRITICAL_CATEGORIES)
-            ]
-        )
-    )
 
-    def has(*names: str) -> Column:
-        out = F.lit(False)
-        for name in names:
-            out = out | F.col(f"first_{name}").isNotNull()
-        return out
-
-    bonus = F.when(has("core", "authentication"), 20.0).otherwise(0.0)
-    return (
-        profile.withColumn("categories", seen["name"])
-        .withColumn("affects_core", has("core", "api", "database"))
-        .withColumn("critical_score", F.least(F.lit(100.0), points + bonus))
+def critical_score() -> dict[str, str]:
+    """The n-th critical file counts 30, 25, … down to 5 points: in closed form
+    30n - 5n(n-1)/2 up to five files and 100 + 5(n-5) beyond."""
+    n = "n_critical_files"
+    points = f"if({n} <= 5, {n} * 30 - 5 * {n} * ({n} - 1) / 2, {n} * 5 + 75)"
+    seen = texts(
+        *[
+            when(f"first_{c} IS NOT NULL", f"named_struct('at', first_{c}, 'i', {i}, 'name', '{c}')")
+            for i, c in enumerate(fixed.CRITICAL_CATEGORIES)
+        ]
     )
+    return {
+        "categories": f"array_sort({seen}).name",
+        "affects_core": _seen("core", "api", "database"),
+        "critical_score": f"least(100D, {points} + if({_seen('core', 'authentication')}, 20D, 0D))",
+    }
 
 
-_SCORES = {
-    "security": "security_score",
-    "complexity": "complexity_score",
-    "changeSize": "size_score",
-    "criticalFiles": "critical_score",
-}
-
-
-def weighted_score(params: RiskParams = RiskParams()) -> Column:
+def weighted_score(params: RiskParams = RiskParams()) -> str:
     """The weighted sum of the four scores."""
-    return sum((F.col(_SCORES[f]) * F.lit(params.weights[f]) for f in FACTORS[1:]),
-               F.col(_SCORES["security"]) * F.lit(params.weights["security"]))
+    return "(" + " + ".join(f"{_SCORES[f]} * {params.weights[f]}D" for f in FACTORS) + ")"
 
 
-def risk_level(score: Column, params: RiskParams = RiskParams()) -> Column:
-    return F.when(score >= params.high, "HIGH").when(score >= params.medium, "MEDIUM").otherwise("LOW")
+def risk_level(score: str, params: RiskParams = RiskParams()) -> str:
+    return f"CASE WHEN {score} >= {params.high} THEN 'HIGH' WHEN {score} >= {params.medium} THEN 'MEDIUM' ELSE 'LOW' END"
 
 
-def review_time(score: Column, long: bool = False) -> Column:
+def review_time(score: str, long: bool = False) -> str:
     def wording(time: str, note: str) -> str:
-        return f"{time} ({note})" if long else time
+        return f"'{time} ({note})'" if long else f"'{time}'"
 
     return (
-        F.when(score >= 75, wording("2-4 hours", "thorough review required"))
-        .when(score >= 40, wording("1-2 hours", "careful review recommended"))
-        .otherwise(wording("30-60 minutes", "standard review"))
+        f"CASE WHEN {score} >= 75 THEN {wording('2-4 hours', 'thorough review required')}"
+        f" WHEN {score} >= 40 THEN {wording('1-2 hours', 'careful review recommended')}"
+        f" ELSE {wording('30-60 minutes', 'standard review')} END"
     )
 
 
-def percent(score: Column) -> Column:
-    return F.concat(round_half_up(score).cast("string"), F.lit("%"))
+def percent(score: str) -> str:
+    return f"concat({round_half_up(score)}, '%')"
+
+
+def _with(df: DataFrame, columns: dict[str, str]) -> DataFrame:
+    return df.selectExpr("*", *[f"{expression} AS {name}" for name, expression in columns.items()])
 
 
 def scores(profile: DataFrame, params: RiskParams = RiskParams()) -> DataFrame:
     """All four scores, the overall score and the level, next to the profile."""
-    scored = critical_score(size_score(complexity_score(security_score(profile))))
-    overall = F.least(F.lit(100.0), F.greatest(F.lit(0.0), weighted_score(params)))
-    return scored.withColumn("overall_score", overall).withColumn(
-        "overall_risk", risk_level(F.col("overall_score"), params)
+    return _with(
+        profile,
+        {
+            **security_score(),
+            **complexity_score(),
+            **size_score(),
+            **critical_score(),
+            "overall_score": f"least(100D, greatest(0D, {weighted_score(params)}))",
+            "overall_risk": risk_level("overall_score", params),
+        },
     )
 
 
 # --- texts ------------------------------------------------------------------------------
 
 
-def _explanations() -> dict[str, Column]:
-    critical, high, medium, low = (F.col(f"n_{s}") for s in ("critical", "high", "medium", "low"))
-    found = " severity security issue(s) found"
+def _explanations() -> dict[str, str]:
+    found = "severity security issue(s) found"
     return {
-        "security": F.when(critical > 0, _text(critical, " critical security issue(s) found"))
-        .when(high > 0, _text(high, " high" + found))
-        .when(medium > 0, _text(medium, " medium" + found))
-        .when(low > 0, _text(low, " low" + found))
-        .otherwise("No security issues detected"),
-        "complexity": F.when(F.col("n_complex") > 0, _text(F.col("n_complex"), " file(s) with high complexity"))
-        .when(F.col("avg_complexity") >= fixed.COMPLEXITY_THRESHOLDS["medium"], "Moderate code complexity")
-        .otherwise("Low code complexity"),
-        "changeSize": F.when(F.col("is_too_large"), "Large change set - consider splitting")
-        .when(F.col("total_files") >= fixed.SIZE_THRESHOLDS["medium_files"], "Medium-sized change set")
-        .otherwise("Small, focused change set"),
-        "criticalFiles": F.when(
-            F.col("n_critical_files") > 0, _text(F.col("n_critical_files"), " critical file(s) affected")
-        ).otherwise("No critical files affected"),
+        "security": "CASE WHEN n_critical > 0 THEN concat(n_critical, ' critical security issue(s) found')"
+        + "".join(f" WHEN n_{s} > 0 THEN concat(n_{s}, ' {s} {found}')" for s in ("high", "medium", "low"))
+        + " ELSE 'No security issues detected' END",
+        "complexity": "CASE WHEN n_complex > 0 THEN concat(n_complex, ' file(s) with high complexity')"
+        f" WHEN avg_complexity >= {fixed.COMPLEXITY_THRESHOLDS['medium']} THEN 'Moderate code complexity'"
+        " ELSE 'Low code complexity' END",
+        "changeSize": "CASE WHEN is_too_large THEN 'Large change set - consider splitting'"
+        f" WHEN total_files >= {fixed.SIZE_THRESHOLDS['medium_files']} THEN 'Medium-sized change set'"
+        " ELSE 'Small, focused change set' END",
+        "criticalFiles": "if(n_critical_files > 0, concat(n_critical_files, ' critical file(s) affected'),"
+        " 'No critical files affected')",
     }
 
 
-def _fixed_details() -> dict[str, Column]:
+def _fixed_details() -> dict[str, str]:
     """Details that do not grow with the change set, as arrays."""
-    critical, high, medium, low = (F.col(f"n_{s}") for s in ("critical", "high", "medium", "low"))
     worst = (
-        F.when(critical > 0, _text(critical, " critical severity findings"))
-        .when(high > 0, _text(high, " high severity findings"))
-        .when(medium > 0, _text(medium, " medium severity findings"))
-        .when(low > 0, _text(low, " low severity findings"))
-        .otherwise("Clean security scan")
+        "CASE "
+        + " ".join(
+            f"WHEN n_{s} > 0 THEN concat(n_{s}, ' {s} severity findings')" for s in ("critical", "high", "medium", "low")
+        )
+        + " ELSE 'Clean security scan' END"
     )
-    some = F.col("n_critical_files") > 0
+    some = "n_critical_files > 0"
     return {
-        "security": texts(worst, F.when(F.col("has_blocking_issues"), "⚠️ Contains blocking security issues")),
-        "complexity": texts(_text("Average complexity: ", one_decimal(F.col("avg_complexity")))),
+        "security": texts(worst, when("has_blocking_issues", "'⚠️ Contains blocking security issues'")),
+        "complexity": f"array(concat('Average complexity: ', {one_decimal('avg_complexity')}))",
         "changeSize": texts(
-            _text(F.col("total_files"), " files changed"),
-            _text("+", F.col("total_additions"), " -", F.col("total_deletions"), " lines"),
-            F.when(F.col("is_too_large"), F.col("split_directory")),
+            "concat(total_files, ' files changed')",
+            "concat('+', total_additions, ' -', total_deletions, ' lines')",
+            when("is_too_large", "split_directory"),
         ),
         "criticalFiles": texts(
-            F.when(some, _text("Categories: ", F.array_join("categories", ", "))).otherwise(
-                "Changes are in non-critical areas"
-            ),
-            F.when(some & F.col("affects_core"), "⚠️ Affects core functionality"),
+            f"if({some}, concat('Categories: ', array_join(categories, ', ')), 'Changes are in non-critical areas')",
+            when(f"{some} AND affects_core", "'⚠️ Affects core functionality'"),
         ),
     }
 
 
-def critical_issues() -> Column:
+def critical_issues() -> str:
     """Issues that must be dealt with before a merge, as an array."""
-    n_complex, n_files, n_critical = F.col("n_complex"), F.col("total_files"), F.col("n_critical_files")
     return texts(
-        F.when(F.col("n_critical") > 0, _text(F.col("n_critical"), " critical security vulnerability(ies) detected")),
-        F.when(F.col("has_blocking_issues"), "Security scan contains blocking issues that prevent merge"),
-        F.when(n_complex > 3, _text(n_complex, " files with very high complexity")),
-        F.when(n_files > 30, _text("Large change set (", n_files, " files) - difficult to review")),
-        F.when(F.col("affects_core") & (n_critical > 5), _text(n_critical, " critical system files modified")),
+        when("n_critical > 0", "concat(n_critical, ' critical security vulnerability(ies) detected')"),
+        when("has_blocking_issues", "'Security scan contains blocking issues that prevent merge'"),
+        when("n_complex > 3", "concat(n_complex, ' files with very high complexity')"),
+        when("total_files > 30", "concat('Large change set (', total_files, ' files) - difficult to review')"),
+        when("affects_core AND n_critical_files > 5", "concat(n_critical_files, ' critical system files modified')"),
     )
 
 
+_SLOT = "Suggested splits: "
+
+
+def recommendation_array() -> str:
+    """The recommendations in order as (slot, text, is_fix); the slot ``types``
+    stands for the split by file type, whose text is filled in from its cells."""
+    security, complexity = "security_score > 50", "complexity_score > 50"
+    rules: list[tuple[str, str]] = [
+        (f"{security} AND n_critical > 0", "'🚨 CRITICAL: Fix all critical security issues before merging'"),
+        (f"{security} AND n_critical > 0", "'Remove hardcoded secrets and use environment variables'"),
+        (f"{security} AND n_high > 0", "'⚠️ Address high severity security findings'"),
+        (f"{security} AND has_blocking_issues", "'Security scan has blocking issues - review required'"),
+        (f"{complexity} AND n_complex > 0", "'Consider refactoring high complexity functions'"),
+        (f"{complexity} AND n_complex > 0", "concat('Review these files: ', complex_head)"),
+        (complexity, "'Add unit tests for complex logic'"),
+        ("is_too_large", "'📦 Consider splitting this PR into smaller, focused changes'"),
+        ("is_too_large AND split_directory IS NOT NULL", f"concat('{_SLOT}', split_directory)"),
+        ("is_too_large AND split_directory IS NULL AND split_type_fix IS NOT NULL", f"'{_SLOT}'"),
+        ("affects_core", "'🔍 Extra review needed - changes affect core functionality'"),
+        ("affects_core", "'Ensure comprehensive test coverage for critical changes'"),
+        ("overall_risk = 'HIGH'", "'⏰ Schedule thorough code review with senior team members'"),
+        ("overall_risk = 'HIGH'", "'Consider staging deployment before production'"),
+        ("overall_risk = 'MEDIUM'", "'👀 Standard code review recommended'"),
+        ("overall_risk = 'MEDIUM'", "'Verify test coverage is adequate'"),
+        ("overall_risk = 'LOW'", "'✅ Low risk - standard review process applies'"),
+        ("complexity_score > 30 OR critical_score > 30", "'Add integration tests for changed components'"),
+    ]
+    items = []
+    for condition, text in rules:
+        slot = "types" if text == f"'{_SLOT}'" else "text"
+        fix = "split_type_fix" if slot == "types" else f"{text} rlike 'Fix|Remove|Add'"
+        items.append(when(condition, f"named_struct('slot', '{slot}', 'text', {text}, 'is_fix', {fix})"))
+    return texts(*items)
+
+
+def _factor_array(params: RiskParams) -> str:
+    details, explanations = _fixed_details(), _explanations()
+    items = [
+        f"named_struct('factor_idx', {i}L, 'category', '{f}', 'score', {_SCORES[f]}, 'weight', {params.weights[f]}D,"
+        f" 'weighted_score', {_SCORES[f]} * {params.weights[f]}D, 'share', '{_whole_percent(params.weights[f])}',"
+        f" 'explanation', {explanations[f]}, 'details', {details[f]})"
+        for i, f in enumerate(FACTORS)
+    ]
+    return f"array({', '.join(items)})"
+
+
+def _whole_percent(weight: float) -> str:
+    return str(Decimal(weight * 100).quantize(Decimal(1), rounding=ROUND_HALF_UP))
+
+
 def complex_files(facts: DataFrame) -> DataFrame:
-    return facts.where(F.col("complexity") >= fixed.COMPLEXITY_THRESHOLDS["high"]).select(
-        "change_id", "file_idx", "path"
-    )
+    return facts.where(_HIGH_COMPLEXITY).select("change_id", "file_idx", "path")
 
 
 def assess(
     facts: DataFrame, params: RiskParams = RiskParams(), options: ScanOptions = ScanOptions()
 ) -> DataFrame:
-    """One row per change set: profile, scores, level, explanations, issues and
-    the bounded texts that recommendations need.
+    """One row per change set: profile, scores, level, and the arrays ``factors``,
+    ``recommendations`` and ``critical_issues``, all of bounded size.
 
     Side tables are aggregated by change set first, so the joins are between
     one-row-per-change-set tables that share a partitioning.
     """
     scored = scores(summary.profile(facts, options), params)
+    # At most three entries per group are collected.
     head = (
         first_n(complex_files(facts), 3, ["change_id"], ["file_idx"])
         .groupBy("change_id")
-        # At most three entries per group.
-        .agg(F.array_sort(F.collect_list(F.struct("rank", "path"))).alias("_c"))
-        .select("change_id", F.array_join(F.col("_c.path"), ", ").alias("complex_head"))
+        .agg(F.expr("array_join(array_sort(collect_list(struct(rank, path))).path, ', ') AS complex_head"))
     )
     joined = (
         scored.join(head, "change_id", "left")
         .join(summary.directory_split(facts), "change_id", "left")
         .join(summary.type_split_marks(facts), "change_id", "left")
     )
-    for factor, text in _explanations().items():
-        joined = joined.withColumn(f"explain_{factor}", text)
-    return joined.withColumn("critical_issues", critical_issues())
+    return _with(
+        joined,
+        {
+            "factors": _factor_array(params),
+            "recommendations": recommendation_array(),
+            "critical_issues": critical_issues(),
+        },
+    )
 
 
-def risk_factors(assessment: DataFrame, params: RiskParams = RiskParams()) -> DataFrame:
+def risk_factors(assessment: DataFrame) -> DataFrame:
     """Four rows per change set: ``change_id, factor_idx, category, score, weight,
     weighted_score, explanation, breakdown_text``."""
-    rows = [
-        F.struct(
-            F.lit(i).cast("bigint").alias("factor_idx"),
-            F.lit(f).alias("category"),
-            F.col(_SCORES[f]).alias("score"),
-            F.lit(params.weights[f]).alias("weight"),
-            F.lit(_whole_percent(params.weights[f])).alias("share"),
-            F.col(f"explain_{f}").alias("explanation"),
-        )
-        for i, f in enumerate(FACTORS)
-    ]
-    flat = assessment.select("change_id", F.inline(F.array(*rows))).withColumn(
-        "weighted_score", F.col("score") * F.col("weight")
+    breakdown = (
+        "concat('### ', category, ' (Weight: ', share, '%)\\n- Score: ', "
+        f"{one_decimal('score')}, '/100\\n- Weighted: ', {one_decimal('weighted_score')}, '\\n- ', explanation)"
     )
-    return flat.select(
+    return assessment.selectExpr("change_id", "inline(factors)").selectExpr(
         "change_id", "factor_idx", "category", "score", "weight", "weighted_score", "explanation",
-        F.concat_ws(
-            "\n",
-            _text("### ", F.col("category"), " (Weight: ", F.col("share"), "%)"),
-            _text("- Score: ", one_decimal(F.col("score")), "/100"),
-            _text("- Weighted: ", one_decimal(F.col("weighted_score"))),
-            _text("- ", F.col("explanation")),
-        ).alias("breakdown_text"),
+        f"{breakdown} AS breakdown_text",
     )
 
 
-def _whole_percent(weight: float) -> str:
-    return str(Decimal(weight * 100).quantize(Decimal(1), rounding=ROUND_HALF_UP))
+def complex_file_details(facts: DataFrame) -> DataFrame:
+    """The list of all complex files as text cells: ``change_id, cell_no, detail``."""
+    files = joined_in_cells(complex_files(facts), ["change_id"], "file_idx", "path", ", ")
+    return files.selectExpr(
+        "change_id", "cell_no", "concat(if(is_first, 'High complexity files: ', ', '), text) AS detail"
+    )
 
 
 def risk_details(assessment: DataFrame, facts: DataFrame) -> DataFrame:
@@ -275,144 +290,84 @@ def risk_details(assessment: DataFrame, facts: DataFrame) -> DataFrame:
 
     A list of all complex files or file types comes in text cells.
     """
-    details = _fixed_details()
-    by_factor = [
-        F.struct(F.lit(i).cast("bigint").alias("factor_idx"), details[f].alias("details"))
-        for i, f in enumerate(FACTORS)
-    ]
-    fixed_rows = each_with_position(
-        assessment.select("change_id", F.inline(F.array(*by_factor))),
-        ["change_id", "factor_idx"],
-        F.col("details"),
-        "detail_idx",
-        "detail",
-    ).select("change_id", "factor_idx", "detail_idx", F.lit(0).cast("bigint").alias("cell_no"), "detail")
-
-    files = joined_in_cells(complex_files(facts), ["change_id"], "file_idx", F.col("path"), ", ")
-    start = F.when(F.col("is_first"), F.lit("High complexity files: ")).otherwise(F.lit(", "))
-    file_rows = files.select(
-        "change_id",
-        F.lit(1).cast("bigint").alias("factor_idx"),
-        F.lit(1).cast("bigint").alias("detail_idx"),
-        "cell_no",
-        F.concat(start, F.col("text")).alias("detail"),
+    by_factor = assessment.selectExpr("change_id", "inline(factors)")
+    fixed_rows = each_with_position(by_factor, ["change_id", "factor_idx"], "details", "detail_idx", "detail")
+    file_rows = complex_file_details(facts).selectExpr(
+        "change_id", "1L AS factor_idx", "1L AS detail_idx", "cell_no", "detail"
     )
-
-    large = assessment.where(F.col("is_too_large")).select(
-        "change_id", F.when(F.col("split_directory").isNull(), 2).otherwise(3).cast("bigint").alias("detail_idx")
+    large = assessment.where("is_too_large").selectExpr(
+        "change_id", "if(split_directory IS NULL, 2L, 3L) AS detail_idx"
     )
-    of_large = facts.join(large, "change_id", "left_semi")
     type_rows = (
-        summary.type_split(of_large)
+        summary.type_split(facts.join(large, "change_id", "left_semi"))
         .join(large, "change_id")
-        .select("change_id", F.lit(2).cast("bigint").alias("factor_idx"), "detail_idx", "cell_no",
-                F.col("text").alias("detail"))
+        .selectExpr("change_id", "2L AS factor_idx", "detail_idx", "cell_no", "text AS detail")
+    )
+    return (
+        fixed_rows.selectExpr("change_id", "factor_idx", "detail_idx", "0L AS cell_no", "detail")
+        .unionByName(file_rows)
+        .unionByName(type_rows)
     )
-    return fixed_rows.unionByName(file_rows).unionByName(type_rows)
 
 
 # --- recommendations --------------------------------------------------------------------
 
 
-def _recommendation_array() -> Column:
-    """The recommendations in order as (slot, text); the slot ``types`` stands for
-    the split by file type, whose text is filled in from its cells."""
-    security, complexity = F.col("security_score") > 50, F.col("complexity_score") > 50
-    large, level = F.col("is_too_large"), F.col("overall_risk")
-    by_directory, by_type = F.col("split_directory").isNotNull(), F.col("split_type_fix").isNotNull()
-    core = F.col("affects_core")
-    rules: list[tuple[Column, str | Column]] = [
-        (security & (F.col("n_critical") > 0), "🚨 CRITICAL: Fix all critical security issues before merging"),
-        (security & (F.col("n_critical") > 0), "Remove hardcoded secrets and use environment variables"),
-        (security & (F.col("n_high") > 0), "⚠️ Address high severity security findings"),
-        (security & F.col("has_blocking_issues"), "Security scan has blocking issues - review required"),
-        (complexity & (F.col("n_complex") > 0), "Consider refactoring high complexity functions"),
-        (complexity & (F.col("n_complex") > 0), _text("Review these files: ", F.col("complex_head"))),
-        (complexity, "Add unit tests for complex logic"),
-        (large, "📦 Consider splitting this PR into smaller, focused changes"),
-        (large & by_directory, _text("Suggested splits: ", F.col("split_directory"))),
-        (large & ~by_directory & by_type, "Suggested splits: "),
-        (core, "🔍 Extra review needed - changes affect core functionality"),
-        (core, "Ensure comprehensive test coverage for critical changes"),
-        (level == "HIGH", "⏰ Schedule thorough code review with senior team members"),
-        (level == "HIGH", "Consider staging deployment before production"),
-        (level == "MEDIUM", "👀 Standard code review recommended"),
-        (level == "MEDIUM", "Verify test coverage is adequate"),
-        (level == "LOW", "✅ Low risk - standard review process applies"),
-        ((F.col("complexity_score") > 30) | (F.col("critical_score") > 30),
-         "Add integration tests for changed components"),
-    ]
-    out = []
-    for condition, rule in rules:
-        text = F.lit(rule) if isinstance(rule, str) else rule
-        slot = "types" if isinstance(rule, str) and rule == "Suggested splits: " else "text"
-        fix = F.col("split_type_fix") if slot == "types" else text.rlike("Fix|Remove|Add")
-        out.append(F.when(condition, F.struct(F.lit(slot).alias("slot"), text.alias("text"), fix.alias("is_fix"))))
-    return F.array_compact(F.array(*out))
-
-
-def _filled(rows: DataFrame, facts: DataFrame, keep: list[str]) -> DataFrame:
+def _filled(assessment: DataFrame, facts: DataFrame, items: str, idx: str, name: str) -> DataFrame:
     """Recommendation rows with the type split put in, cell by cell."""
-    plain = rows.where(F.col("slot") == "text").select(*keep, F.lit(0).cast("bigint").alias("cell_no"), "text")
-    slots = rows.where(F.col("slot") == "types").select(*keep, F.col("text").alias("_prefix"))
+    rows = each_with_position(assessment, ["change_id"], items, idx, "_r")
+    plain = rows.where("_r.slot = 'text'").selectExpr("change_id", idx, "0L AS cell_no", f"_r.text AS {name}")
+    slots = rows.where("_r.slot = 'types'").selectExpr("change_id", idx, "_r.text AS _prefix")
     cells = summary.type_split(facts.join(slots, "change_id", "left_semi"))
-    filled = slots.join(cells, "change_id").select(
-        *keep,
-        "cell_no",
-        F.when(F.startswith(F.col("text"), F.lit("Split by type: ")), F.concat("_prefix", "text"))
-        .otherwise(F.col("text"))
-        .alias("text"),
+    filled = slots.join(cells, "change_id").selectExpr(
+        "change_id", idx, "cell_no", f"if(startswith(text, 'Split by type: '), concat(_prefix, text), text) AS {name}"
     )
     return plain.unionByName(filled)
 
 
 def recommendations(assessment: DataFrame, facts: DataFrame) -> DataFrame:
     """``change_id, rec_idx, cell_no, recommendation`` in order of the rules."""
-    rows = each_with_position(assessment, ["change_id"], _recommendation_array(), "rec_idx", "_r")
-    flat = rows.select("change_id", "rec_idx", "_r.slot", "_r.text")
-    return _filled(flat, facts, ["change_id", "rec_idx"]).withColumnRenamed("text", "recommendation")
+    return _filled(assessment, facts, "recommendations", "rec_idx", "recommendation")
 
 
 def quick_fixes(assessment: DataFrame, facts: DataFrame) -> DataFrame:
     """The first three recommendations that fix, remove or add something:
     ``change_id, fix_idx, cell_no, quick_fix``."""
-    fixes = F.slice(F.filter(_recommendation_array(), lambda r: r["is_fix"]), 1, 3)
-    rows = each_with_position(assessment, ["change_id"], fixes, "fix_idx", "_r")
-    flat = rows.select("change_id", "fix_idx", "_r.slot", "_r.text")
-    return _filled(flat, facts, ["change_id", "fix_idx"]).withColumnRenamed("text", "quick_fix")
+    fixes = "slice(filter(recommendations, r -> r.is_fix), 1, 3)"
+    return _filled(assessment, facts, fixes, "fix_idx", "quick_fix")
 
 
 def risk_summary(assessment: DataFrame) -> DataFrame:
     """``change_id, level, score, concerns, estimated_review_time``; quick fixes are
     rows of their own."""
-    concerns = texts(
-        *[F.when(F.col(_SCORES[f]) > 50, F.concat(F.lit(f"{f}: "), F.col(f"explain_{f}"))) for f in FACTORS]
-    )
-    return assessment.select(
+    high = "filter(factors, f -> f.score > 50)"
+    return assessment.selectExpr(
         "change_id",
-        F.col("overall_risk").alias("level"),
-        round_half_up(F.col("overall_score")).alias("score"),
-        F.slice(concerns, 1, 3).alias("concerns"),
-        review_time(F.col("overall_score")).alias("estimated_review_time"),
+        "overall_risk AS level",
+        f"{round_half_up('overall_score')} AS score",
+        f"slice(transform({high}, f -> concat(f.category, ': ', f.explanation)), 1, 3) AS concerns",
+        f"{review_time('overall_score')} AS estimated_review_time",
     )
 
 
 def merge_gate(assessment: DataFrame) -> DataFrame:
     """``change_id, safe, reason``; the reason is null for safe change sets."""
-    first = F.get("critical_issues", F.lit(0))
     reason = (
-        F.when(first.isNotNull(), F.concat(F.lit("Critical issues must be resolved: "), first))
-        .when(F.col("overall_score") >= 90, "Risk score too high - requires significant changes")
-        .when(F.col("overall_risk") == "HIGH", "High risk - thorough review and testing required before merge")
+        "CASE WHEN size(critical_issues) > 0"
+        " THEN concat('Critical issues must be resolved: ', get(critical_issues, 0))"
+        " WHEN overall_score >= 90 THEN 'Risk score too high - requires significant changes'"
+        f" WHEN overall_risk = 'HIGH' THEN {quote('High risk - thorough review and testing required before merge')} END"
+    )
+    return assessment.selectExpr("change_id", f"{reason} AS reason").selectExpr(
+        "change_id", "reason IS NULL AS safe", "reason"
     )
-    return assessment.select("change_id", reason.isNull().alias("safe"), reason.alias("reason"))
 
 
 def issues(assessment: DataFrame) -> DataFrame:
     """Critical issues as rows: ``change_id, issue_idx, issue``."""
-    return each_with_position(assessment, ["change_id"], F.col("critical_issues"), "issue_idx", "issue")
+    return each_with_position(assessment, ["change_id"], "critical_issues", "issue_idx", "issue")
 
 
 def timestamped(assessment: DataFrame) -> DataFrame:
     """Adds the time of the assessment."""
-    return assessment.withColumn("assessed_at", F.current_timestamp())
+    return assessment.selectExpr("*", "current_timestamp() AS assessed_at")

@@ -10,13 +10,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from changelens.functions import fixed, paths
 from changelens.functions.regex import any_of, java
-from changelens.functions.rows import each
+from changelens.functions.rows import each, first_n
 from changelens.functions.sql import either, let, quote, sums_before
+from changelens.functions.text import round_half_up
 from changelens.operators.parse import FILE_KEY, additions_sql
 from changelens.params import ScanOptions, SecretPattern
 
@@ -76,11 +77,11 @@ def by_type(patterns: DataFrame, kind: str) -> DataFrame:
 
 def high_confidence(rows: DataFrame) -> DataFrame:
     """Patterns or findings of at least 0.8 confidence."""
-    return rows.where(F.col("confidence") >= HIGH_CONFIDENCE)
+    return rows.where(f"confidence >= {HIGH_CONFIDENCE}")
 
 
 def critical_patterns(patterns: DataFrame) -> DataFrame:
-    return patterns.where(F.col("severity").isin("CRITICAL", "HIGH"))
+    return patterns.where("severity IN ('CRITICAL', 'HIGH')")
 
 
 def active_patterns(files: DataFrame, keys: Sequence[str], path: str = "path") -> DataFrame:
@@ -88,10 +89,10 @@ def active_patterns(files: DataFrame, keys: Sequence[str], path: str = "path") -
     applies = ", ".join(
         f"if({_rule_holds((p.exclude_files, p.include_files), path)}, {n}L, null)" for n, p in enumerate(BUILT_IN)
     )
-    rows = files.where(~paths.is_excluded(F.col(path)))
-    return each(rows, [*keys, path], F.expr(f"array_compact(array({applies}))"), "pattern_idx").withColumn(
-        "type", _attribute([p.type for p in BUILT_IN], F.col("pattern_idx"))
+    rows = each(
+        files.where(f"NOT {paths.is_excluded(path)}"), [*keys, path], f"array_compact(array({applies}))", "pattern_idx"
     )
+    return rows.selectExpr("*", f"{_attribute([p.type for p in BUILT_IN], 'pattern_idx')} AS type")
 
 
 # --- the scan plan ------------------------------------------------------------------
@@ -120,7 +121,7 @@ class _Scan:
 
     def rules(self, path: str) -> str:
         """Per file: which distinct path rules hold, as an array of booleans."""
-        scanned = f"NOT {path} rlike {quote(any_of(fixed.EXCLUDED_PATHS))}"
+        scanned = f"NOT {paths.is_excluded(path)}"
         return "array(" + ", ".join(f"{scanned} AND {_rule_holds(r, path)}" for r in self._rules) + ")"
 
     def any_rule(self) -> str:
@@ -156,7 +157,7 @@ class _Scan:
             f" m -> NOT m.content rlike {quote(_FALSE_POSITIVE)})"
         )
 
-    def describe(self, idx: Column) -> list[Column]:
+    def describe(self, idx: str) -> list[str]:
         columns = {
             "type": [p.type for p in self.patterns],
             "severity": [p.severity for p in self.patterns],
@@ -165,7 +166,7 @@ class _Scan:
             "recommendation": [p.recommendation for p in self.patterns],
             "confidence": [p.confidence for p in self.patterns],
         }
-        return [_attribute(values, idx).alias(name) for name, values in columns.items()]
+        return [f"{_attribute(values, idx)} AS {name}" for name, values in columns.items()]
 
 
 _MATCHES = "array<struct<pattern_idx:bigint,match_idx:bigint,column:bigint,content:string>>"
@@ -201,9 +202,9 @@ def _quick_tests(p: SecretPattern) -> list[str]:
     return [f"line rlike {quote(_SHORT_TEST.get(p.type, java(p.regex, ignore_case=True)))}"]
 
 
-def _attribute(values: list, idx: Column) -> Column:
+def _attribute(values: list, idx: str) -> str:
     literals = ", ".join(quote(v) if isinstance(v, str) else f"{v}D" for v in values)
-    return F.get(F.expr(f"array({literals})"), idx.cast("int"))
+    return f"get(array({literals}), cast({idx} as int))"
 
 
 # --- findings -----------------------------------------------------------------------
@@ -234,17 +235,17 @@ def _findings_sql(path: str, lines: str, options: ScanOptions, skip: str = "fals
     return let("rules", scan.rules(path), f"if({scan.any_rule()} AND NOT {skip}, {in_text}, null)")
 
 
-def text_findings(path: str, text: str, options: ScanOptions = ScanOptions()) -> Column:
+def text_findings(path: str, text: str, options: ScanOptions = ScanOptions()) -> str:
     """The findings in a whole text column as an array; lines count from one."""
     lines = f"transform(split({text}, '\\n', -1), (s, i) -> named_struct('i', i, 'line', i + 1L, 'content', s))"
-    return F.expr(_findings_sql(path, lines, options))
+    return _findings_sql(path, lines, options)
 
 
-def file_findings(options: ScanOptions = ScanOptions()) -> Column:
+def file_findings(options: ScanOptions = ScanOptions()) -> str:
     """The findings in a diff file's added lines as an array; binary files have none."""
     line = "named_struct('i', i, 'line', c.line_number, 'content', c.content)"
     lines = f"transform({additions_sql()}, (c, i) -> {line})"
-    return F.expr(_findings_sql("path", lines, options, skip="binary"))
+    return _findings_sql("path", lines, options, skip="binary")
 
 
 def scan_content(
@@ -259,9 +260,7 @@ def scan_content(
 
     Row-local but for ``max_findings``, so it also runs on a stream.
     """
-    found = texts_df.select(
-        *keys, F.col(path).alias("path"), text_findings(path, text, options).alias("findings")
-    )
+    found = texts_df.selectExpr(*keys, f"{path} AS path", f"{text_findings(path, text, options)} AS findings")
     return explode_findings(found, keys, options)
 
 
@@ -271,7 +270,7 @@ def scan_diff(files: DataFrame, options: ScanOptions = ScanOptions()) -> DataFra
     Discovery order within a change set is ``file_idx, line_ord, pattern_idx,
     match_idx``.  Context lines are neighbours among the file's added lines.
     """
-    found = files.select(*FILE_KEY, "path", file_findings(options).alias("findings"))
+    found = files.selectExpr(*FILE_KEY, "path", f"{file_findings(options)} AS findings")
     return explode_findings(found, FILE_KEY, options, ["change_id"])
 
 
@@ -284,37 +283,33 @@ def explode_findings(
     """Findings rows of rows that carry ``path`` and the ``findings`` array."""
     scan = _Scan(options)
     context = ["context_before", "context_after"] if options.include_context else []
-    found = each(rows, [*keys, F.col("path").alias("file")], F.col("findings"), "_m")
-    flat = found.select(
-        *keys,
-        "file",
-        *scan.describe(F.col("_m.pattern_idx")),
-        *[F.col(f"_m.{c}").alias(c) for c in
-          ("line", "column", "content", "line_ord", "pattern_idx", "match_idx", *context)],
+    found = each(rows, [*keys, "path AS file"], "findings", "_m")
+    fields = ("line", "column", "content", "line_ord", "pattern_idx", "match_idx", *context)
+    flat = found.selectExpr(
+        *keys, "file", *scan.describe("_m.pattern_idx"), *[f"_m.{c} AS {c}" for c in fields]
     ).select(*keys, *_RESULT, *context)
     return _limit(flat, limit_keys or keys, options.max_findings)
 
 
-def _limit(findings: DataFrame, keys: Sequence[str], max_findings: int) -> DataFrame:
-    """The first findings in discovery order, per text or change set.
+def _order(findings: DataFrame) -> list[str]:
+    """Discovery order within a text or change set."""
+    return [c for c in ("file_idx", "line_ord", "pattern_idx", "match_idx") if c in findings.columns]
 
-    The ranking keeps at most ``max_findings`` rows per key and task before the
-    shuffle, so one large key does not load one task.
-    """
+
+def _limit(findings: DataFrame, keys: Sequence[str], max_findings: int) -> DataFrame:
+    """The first findings in discovery order, per text or change set."""
     if max_findings <= 0:
         return findings
-    order = [c for c in ("file_idx", "line_ord", "pattern_idx", "match_idx") if c in findings.columns]
-    ranked = findings.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
-    return ranked.where(F.col("_n") <= max_findings).drop("_n")
+    return first_n(findings, max_findings, keys, _order(findings), rank="_n").drop("_n")
 
 
-def priority(severity: Column) -> Column:
-    pairs = [F.lit(x) for pair in fixed.SEVERITY_PRIORITY.items() for x in pair]
-    return F.try_element_at(F.create_map(*pairs), severity)
+def priority(severity: str = "severity") -> str:
+    whens = " ".join(f"WHEN '{s}' THEN {p}" for s, p in fixed.SEVERITY_PRIORITY.items())
+    return f"CASE {severity} {whens} END"
 
 
 def at_least(findings: DataFrame, severity: str) -> DataFrame:
-    return findings.where(priority(F.col("severity")) >= fixed.SEVERITY_PRIORITY[severity])
+    return findings.where(f"{priority()} >= {fixed.SEVERITY_PRIORITY[severity]}")
 
 
 def apply_filters(findings: DataFrame, keys: Sequence[str], options: ScanOptions) -> DataFrame:
@@ -324,32 +319,32 @@ def apply_filters(findings: DataFrame, keys: Sequence[str], options: ScanOptions
     return _limit(findings, keys, options.max_findings)
 
 
-def severity_order() -> list[Column]:
+def severity_order() -> list[str]:
     """Sort keys of a report: worst first, then discovery order."""
-    return [priority(F.col("severity")).desc(), *[F.col(c) for c in
-            ("file_idx", "line_ord", "pattern_idx", "match_idx")]]
+    return [f"{priority()} DESC", "file_idx", "line_ord", "pattern_idx", "match_idx"]
 
 
-def severity_count(severity: str, options: ScanOptions = ScanOptions()) -> Column:
+def severity_count(severity: str, options: ScanOptions = ScanOptions()) -> str:
     """How many elements of a ``findings`` array have the severity."""
     patterns = _Scan(options).patterns
     wanted = ", ".join(f"{n}L" for n, p in enumerate(patterns) if p.severity == severity)
-    return F.expr(f"coalesce(size(filter(findings, m -> m.pattern_idx IN ({wanted or 'null'}))), 0)")
+    return f"coalesce(size(filter(findings, m -> m.pattern_idx IN ({wanted or 'null'}))), 0)"
 
 
 def severity_counts(findings: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Counts by severity and in total for every key that has findings."""
     return findings.groupBy(*keys).agg(
-        *[F.count_if(F.col("severity") == s).alias(f"n_{s.lower()}") for s in fixed.SEVERITY_PRIORITY],
-        F.count("*").alias("n_findings"),
+        *[F.expr(f"count_if(severity = '{s}') AS n_{s.lower()}") for s in fixed.SEVERITY_PRIORITY],
+        F.expr("count(*) AS n_findings"),
     )
 
 
 def type_counts(findings: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Counts by issue type; ``first_seen`` orders types as a sorted report meets them."""
-    order = [c for c in ("file_idx", "line_ord", "pattern_idx", "match_idx") if c in findings.columns]
-    seen = F.struct((-priority(F.col("severity"))).alias("p"), *[F.col(c) for c in order])
-    return findings.groupBy(*keys, "type").agg(F.count("*").alias("n"), F.min(seen).alias("first_seen"))
+    seen = ", ".join(f"'{c}', {c}" for c in _order(findings))
+    return findings.groupBy(*keys, "type").agg(
+        F.expr("count(*) AS n"), F.expr(f"min(named_struct('p', -{priority()}, {seen})) AS first_seen")
+    )
 
 
 def scan_summary(change_sets: DataFrame, findings: DataFrame) -> DataFrame:
@@ -359,42 +354,31 @@ def scan_summary(change_sets: DataFrame, findings: DataFrame) -> DataFrame:
     """
     counts = severity_counts(findings, ["change_id"])
     names = [c for c in counts.columns if c != "change_id"]
+    # At most one entry per issue type is collected.
+    entries = "transform(array_sort(collect_list(struct(first_seen, type, n))), t -> struct(t.type, t.n))"
     kinds = (
         type_counts(findings, ["change_id"])
         .groupBy("change_id")
-        # At most one entry per issue type.
-        .agg(F.array_sort(F.collect_list(F.struct("first_seen", "type", "n"))).alias("_types"))
-        .select(
-            "change_id",
-            F.map_from_entries(F.transform("_types", lambda t: F.struct(t["type"], t["n"]))).alias("by_type"),
-        )
+        .agg(F.expr(f"map_from_entries({entries}) AS by_type"))
     )
-    empty = F.create_map().cast("map<string,bigint>")
     return (
-        change_sets.select("change_id", F.col("total_files").alias("files_scanned"))
+        change_sets.selectExpr("change_id", "total_files AS files_scanned")
         .join(counts, "change_id", "left")
         .join(kinds, "change_id", "left")
-        .select(
+        .selectExpr(
             "change_id",
             "files_scanned",
-            *[F.coalesce(F.col(c), F.lit(0)).alias(c) for c in names],
-            (F.coalesce(F.col("n_critical"), F.lit(0)) > 0).alias("has_critical_issues"),
-            F.coalesce("by_type", empty).alias("by_type"),
+            *[f"coalesce({c}, 0L) AS {c}" for c in names],
+            "coalesce(n_critical, 0L) > 0 AS has_critical_issues",
+            "coalesce(by_type, cast(map() as map<string, bigint>)) AS by_type",
         )
     )
 
 
 def finding_text(findings: DataFrame) -> DataFrame:
     """Adds ``finding_text``, the printed form of a finding."""
-    percent = F.concat(F.floor(F.col("confidence") * 100 + 0.5).cast("string"), F.lit("%"))
-    return findings.withColumn(
-        "finding_text",
-        F.concat_ws(
-            "\n",
-            F.concat_ws(" - ", "severity", "type"),
-            F.concat(F.lit("   File: "), F.col("file"), F.lit(":"), F.col("line").cast("string")),
-            F.concat(F.lit("   Issue: "), F.col("description")),
-            F.concat(F.lit("   Fix: "), F.col("recommendation")),
-            F.concat(F.lit("   Confidence: "), percent),
-        ),
+    text = (
+        "concat(severity, ' - ', type, '\\n   File: ', file, ':', line, '\\n   Issue: ', description,"
+        f" '\\n   Fix: ', recommendation, '\\n   Confidence: ', {round_half_up('confidence * 100')}, '%')"
     )
+    return findings.selectExpr("*", f"{text} AS finding_text")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from changelens.functions import fixed, paths
@@ -14,24 +14,24 @@ from changelens.operators.scan import file_findings, severity_count
 from changelens.params import ScanOptions
 
 
-def with_metadata(files: DataFrame, path: str = "path") -> DataFrame:
-    """Adds ``extension, language, is_critical, is_test, is_config``."""
-    p = F.col(path)
-    return (
-        files.withColumn("extension", paths.extension(p))
-        .withColumn("language", paths.language(p))
-        .withColumn("is_critical", paths.is_critical(p))
-        .withColumn("is_test", paths.is_test(p))
-        .withColumn("is_config", paths.is_config(p))
-    )
+def with_metadata(files: DataFrame) -> DataFrame:
+    """Adds ``extension, language, is_critical, is_test, is_config`` of the path."""
+    new = {
+        "extension": paths.extension(),
+        "language": paths.language(),
+        "is_critical": paths.is_critical(),
+        "is_test": paths.is_test(),
+        "is_config": paths.is_config(),
+    }
+    kept = [c for c in files.columns if c not in new]
+    return files.selectExpr(*kept, *[f"{expression} AS {name}" for name, expression in new.items()])
 
 
-def file_complexity() -> Column:
+def file_complexity() -> str:
     """Hunks, size and the indentation of added lines, each capped; 30 at most."""
     indents = f"regexp_extract_all(body, {quote(rf'(?md)^{ADDED}([{JAVA_LINE_SPACE}]+)')}, 1)"
     start = "least(10D, cast(n_hunks as double)) + least(10D, (additions + deletions) / 50D)"
-    total = f"aggregate({indents}, {start}, (acc, w) -> acc + least(5D, char_length(w) / 4D))"
-    return F.expr(f"least(30D, {total})")
+    return f"least(30D, aggregate({indents}, {start}, (acc, w) -> acc + least(5D, char_length(w) / 4D)))"
 
 
 def file_facts(files: DataFrame, options: ScanOptions = ScanOptions()) -> DataFrame:
@@ -40,77 +40,76 @@ def file_facts(files: DataFrame, options: ScanOptions = ScanOptions()) -> DataFr
     Parsing, path rules, complexity and the secret scan are one row-local pass;
     everything after it works on these rows and never on the text again.
     """
-    base = F.col("base_branch") if "base_branch" in files.columns else F.lit(None).cast("string")
-    p = F.col("path")
-    return files.select(
-        *FILE_KEY, "path", "old_path", "status", "language", "binary", "additions", "deletions", "n_hunks",
-        base.alias("base_branch"),
-        paths.is_critical(p).alias("is_critical"),
-        paths.is_test(p).alias("is_test"),
-        paths.is_config(p).alias("is_config"),
-        file_complexity().alias("complexity"),
-        file_findings(options).alias("findings"),
+    base = "base_branch" if "base_branch" in files.columns else "cast(null as string) AS base_branch"
+    return files.selectExpr(
+        *FILE_KEY, "path", "old_path", "status", "language", "binary", "additions", "deletions", "n_hunks", base,
+        f"{paths.is_critical()} AS is_critical",
+        f"{paths.is_test()} AS is_test",
+        f"{paths.is_config()} AS is_config",
+        f"{file_complexity()} AS complexity",
+        f"{file_findings(options)} AS findings",
     )
 
 
+_MODIFIED = "status NOT IN ('added', 'deleted', 'renamed')"
+
+
 def profile(facts: DataFrame, options: ScanOptions = ScanOptions()) -> DataFrame:
     """One row per change set: totals, counts by status and flag, complexity,
     findings by severity, and where each critical category is first seen.
 
     One aggregation with map-side partials; no lists are collected.
     """
-    status = F.col("status")
     counts = {
-        "n_added": status == "added",
-        "n_modified": ~status.isin("added", "deleted", "renamed"),
-        "n_deleted": status == "deleted",
-        "n_renamed": status == "renamed",
-        "n_critical_files": F.col("is_critical"),
-        "n_test_files": F.col("is_test"),
-        "n_config_files": F.col("is_config"),
-        "n_modified_docs": ~status.isin("added", "deleted", "renamed") & paths.is_doc(F.col("path")),
-        "n_complex": F.col("complexity") >= fixed.COMPLEXITY_THRESHOLDS["high"],
+        "n_added": "status = 'added'",
+        "n_modified": _MODIFIED,
+        "n_deleted": "status = 'deleted'",
+        "n_renamed": "status = 'renamed'",
+        "n_critical_files": "is_critical",
+        "n_test_files": "is_test",
+        "n_config_files": "is_config",
+        "n_modified_docs": f"{_MODIFIED} AND {paths.is_doc()}",
+        "n_complex": f"complexity >= {fixed.COMPLEXITY_THRESHOLDS['high']}",
     }
-    severities = [s.lower() for s in fixed.SEVERITY_PRIORITY]
-    first = [
-        F.min(F.when(F.col("is_critical") & paths.in_category(F.col("path"), c), F.col("file_idx"))).alias(f"first_{c}")
-        for c in fixed.CRITICAL_CATEGORIES
-    ]
-    return facts.groupBy("change_id").agg(
-        F.max("base_branch").alias("base_branch"),
-        F.count("*").alias("total_files"),
-        F.sum("additions").alias("total_additions"),
-        F.sum("deletions").alias("total_deletions"),
-        *[F.count_if(condition).alias(name) for name, condition in counts.items()],
+    columns = [
+        "max(base_branch) AS base_branch",
+        "count(*) AS total_files",
+        "sum(additions) AS total_additions",
+        "sum(deletions) AS total_deletions",
+        *[f"count_if({condition}) AS {name}" for name, condition in counts.items()],
         # Complexities are whole hundredths; integers make the sum independent of its order.
-        (F.sum(F.round(F.col("complexity") * 100).cast("bigint")) / 100).alias("total_complexity"),
-        F.max("complexity").alias("max_complexity"),
-        *[F.sum(severity_count(s.upper(), options)).alias(f"n_{s}") for s in severities],
-        F.sum(F.coalesce(F.array_size("findings"), F.lit(0))).alias("n_findings"),
-        *first,
-    )
+        "sum(cast(round(complexity * 100) as bigint)) / 100 AS total_complexity",
+        "max(complexity) AS max_complexity",
+        *[f"sum({severity_count(s, options)}) AS n_{s.lower()}" for s in fixed.SEVERITY_PRIORITY],
+        "sum(coalesce(size(findings), 0)) AS n_findings",
+        *[
+            f"min(if(is_critical AND {paths.in_category(c)}, file_idx, null)) AS first_{c}"
+            for c in fixed.CRITICAL_CATEGORIES
+        ],
+    ]
+    return facts.groupBy("change_id").agg(*map(F.expr, columns))
 
 
 def change_totals(files: DataFrame) -> DataFrame:
     """Files, additions and deletions per change set."""
     return files.groupBy("change_id").agg(
-        F.count("*").alias("total_files"),
-        F.sum("additions").alias("total_additions"),
-        F.sum("deletions").alias("total_deletions"),
+        F.expr("count(*) AS total_files"),
+        F.expr("sum(additions) AS total_additions"),
+        F.expr("sum(deletions) AS total_deletions"),
     )
 
 
 def diff_stat(files: DataFrame) -> DataFrame:
     """Counts per change set and path, with a total row (null path) each."""
     rows = files.rollup("change_id", "path").agg(
-        F.sum("additions").alias("additions"), F.sum("deletions").alias("deletions"), F.count("*").alias("n_files")
+        F.expr("sum(additions) AS additions"), F.expr("sum(deletions) AS deletions"), F.expr("count(*) AS n_files")
     )
-    return rows.where(F.col("change_id").isNotNull())
+    return rows.where("change_id IS NOT NULL")
 
 
 def changed_files(files: DataFrame) -> DataFrame:
     """Distinct paths per change set."""
-    return files.where(F.trim("path") != "").select("change_id", "path").distinct()
+    return files.where("trim(path) <> ''").select("change_id", "path").distinct()
 
 
 # The lists of a change summary, by name.
@@ -123,82 +122,70 @@ def path_lists(facts: DataFrame) -> DataFrame:
     A file stands in one list by status and in any number by kind; ``file_idx``
     orders a list.
     """
-    by_status = (
-        "CASE WHEN status IN ('added', 'deleted', 'renamed') THEN status ELSE 'modified' END"
-    )
     lists = (
-        f"array_compact(array({by_status}, if(is_critical, 'critical', null),"
+        f"array_compact(array(if({_MODIFIED}, 'modified', status), if(is_critical, 'critical', null),"
         " if(is_test, 'test', null), if(is_config, 'config', null)))"
     )
-    return each(facts, [*FILE_KEY, "path", "old_path"], F.expr(lists), "list").select(
-        "change_id", "list", "file_idx", "path", "old_path"
-    )
+    rows = each(facts, [*FILE_KEY, "path", "old_path"], lists, "list")
+    return rows.select("change_id", "list", "file_idx", "path", "old_path")
 
 
 def list_heads(facts: DataFrame, n: int = 3) -> DataFrame:
     """Size and first ``n`` paths of every list: ``change_id, list, size, head``."""
     rows = path_lists(facts)
-    sizes = rows.groupBy("change_id", "list").agg(F.count("*").alias("size"))
+    sizes = rows.groupBy("change_id", "list").agg(F.expr("count(*) AS size"))
+    # At most n entries per group are collected.
     heads = (
         first_n(rows, n, ["change_id", "list"], ["file_idx"])
         .groupBy("change_id", "list")
-        # At most n entries per group.
-        .agg(F.array_sort(F.collect_list(F.struct("rank", "path"))).alias("_h"))
-        .select("change_id", "list", F.col("_h.path").alias("head"))
+        .agg(F.expr("array_sort(collect_list(struct(rank, path))).path AS head"))
     )
     return sizes.join(heads, ["change_id", "list"])
 
 
 def path_list_texts(facts: DataFrame) -> DataFrame:
     """Every list as text cells: ``change_id, list, cell_no, text``."""
-    rows = joined_in_cells(path_lists(facts), ["change_id", "list"], "file_idx", F.col("path"), ", ")
+    rows = joined_in_cells(path_lists(facts), ["change_id", "list"], "file_idx", "path", ", ")
     return rows.select("change_id", "list", "cell_no", "text")
 
 
 def languages(files: DataFrame) -> DataFrame:
     """Languages of a change set in first-seen order: ``change_id, languages``."""
     seen = (
-        files.where(F.col("language").isNotNull())
+        files.where("language IS NOT NULL")
         .groupBy("change_id", "language")
-        .agg(F.min("file_idx").alias("first"))
+        .agg(F.expr("min(file_idx) AS first"))
     )
-    return (
-        seen.groupBy("change_id")
-        # At most one entry per known language.
-        .agg(F.array_sort(F.collect_list(F.struct("first", "language"))).alias("_l"))
-        .select("change_id", F.col("_l.language").alias("languages"))
+    # At most one entry per known language is collected.
+    return seen.groupBy("change_id").agg(
+        F.expr("array_sort(collect_list(struct(first, language))).language AS languages")
     )
 
 
 def group_counts(files: DataFrame, by: str) -> DataFrame:
     """Files per ``directory`` or ``extension``: ``change_id, name, n_files, first``."""
-    name = paths.directory(F.col("path")) if by == "directory" else paths.extension(F.col("path"))
+    name = paths.directory() if by == "directory" else paths.extension()
     return (
-        files.select("change_id", "file_idx", name.alias("name"))
+        files.selectExpr("change_id", "file_idx", f"{name} AS name")
         .groupBy("change_id", "name")
-        .agg(F.count("*").alias("n_files"), F.min("file_idx").alias("first"))
+        .agg(F.expr("count(*) AS n_files"), F.expr("min(file_idx) AS first"))
     )
 
 
-def _label() -> Column:
-    return F.concat(F.col("name"), F.lit(" ("), F.col("n_files").cast("string"), F.lit(" files)"))
+_LABEL = "concat(name, ' (', n_files, ' files)')"
 
 
 def directory_split(files: DataFrame) -> DataFrame:
     """The split by the three largest directories, for change sets with several:
     ``change_id, split_directory``."""
-    counts = group_counts(files, "directory")
-    several = counts.groupBy("change_id").agg(F.count("*").alias("_n")).where(F.col("_n") > 1)
+    labels = f"array_sort(collect_list(struct(rank, {_LABEL} AS label))).label"
+    # At most three entries per group are collected; two or more mean several directories.
     return (
-        first_n(counts, 3, ["change_id"], [F.col("n_files").desc(), "first"])
+        first_n(group_counts(files, "directory"), 3, ["change_id"], ["n_files DESC", "first"])
         .groupBy("change_id")
-        # At most three entries per group.
-        .agg(F.array_sort(F.collect_list(F.struct("rank", _label().alias("label")))).alias("_d"))
-        .join(several, "change_id", "left_semi")
-        .select(
-            "change_id",
-            F.concat(F.lit("Split by directory: "), F.array_join(F.col("_d.label"), ", ")).alias("split_directory"),
-        )
+        .agg(F.expr("count(*) AS _n"), F.expr(f"concat('Split by directory: ', array_join({labels}, ', ')) AS split_directory"))
+        .where("_n > 1")
+        .drop("_n")
     )
 
 
@@ -208,8 +195,8 @@ def type_split_marks(files: DataFrame) -> DataFrame:
     return (
         group_counts(files, "extension")
         .groupBy("change_id")
-        .agg(F.count("*").alias("_n"), F.max(F.col("name").rlike("Fix|Remove|Add")).alias("split_type_fix"))
-        .where(F.col("_n") > 1)
+        .agg(F.expr("count(*) AS _n"), F.expr("max(name rlike 'Fix|Remove|Add') AS split_type_fix"))
+        .where("_n > 1")
         .drop("_n")
     )
 
@@ -217,18 +204,17 @@ def type_split_marks(files: DataFrame) -> DataFrame:
 def type_split(files: DataFrame) -> DataFrame:
     """The split by file type in first-seen order as text cells: ``change_id, cell_no, text``."""
     counts = group_counts(files, "extension")
-    cells = joined_in_cells(counts, ["change_id"], "first", _label(), ", ")
-    text = F.concat(F.when(F.col("is_first"), F.lit("Split by type: ")).otherwise(F.lit(", ")), F.col("text"))
-    return cells.join(type_split_marks(files), "change_id", "left_semi").select("change_id", "cell_no", text.alias("text"))
+    several = counts.groupBy("change_id").agg(F.expr("count(*) AS _n")).where("_n > 1")
+    cells = joined_in_cells(counts, ["change_id"], "first", _LABEL, ", ")
+    return cells.join(several, "change_id", "left_semi").selectExpr(
+        "change_id", "cell_no", "concat(if(is_first, 'Split by type: ', ', '), text) AS text"
+    )
 
 
 def split_suggestions(files: DataFrame) -> DataFrame:
     """Ways to split each change set: ``change_id, kind, cell_no, suggestion``."""
-    by_directory = directory_split(files).select(
-        "change_id", F.lit("directory").alias("kind"), F.lit(0).cast("bigint").alias("cell_no"),
-        F.col("split_directory").alias("suggestion"),
-    )
-    by_type = type_split(files).select(
-        "change_id", F.lit("type").alias("kind"), "cell_no", F.col("text").alias("suggestion")
+    by_directory = directory_split(files).selectExpr(
+        "change_id", "'directory' AS kind", "0L AS cell_no", "split_directory AS suggestion"
     )
+    by_type = type_split(files).selectExpr("change_id", "'type' AS kind", "cell_no", "text AS suggestion")
     return by_directory.unionByName(by_type)

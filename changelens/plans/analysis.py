@@ -92,12 +92,11 @@ def prepare(
 def complete_report(
     prepared: Prepared,
     responses: DataFrame | None = None,
-    params: RiskParams = RiskParams(),
     options: ScanOptions = ScanOptions(),
 ) -> DataFrame:
     """The report lines; without responses the generated sections are left out."""
     if responses is None:
-        return report.complete(prepared.assessment, prepared.facts, params=params, options=options)
+        return report.complete(prepared.assessment, prepared.facts, options=options)
     parsed = answers.parse_responses(responses)
     suggested = answers.suggestions(prepared.chosen, parsed)
     return report.complete(
@@ -106,7 +105,6 @@ def complete_report(
         answers.pr_content(parsed),
         answers.combine(suggested),
         answers.suggestion_totals(suggested),
-        params,
         options,
     )
 
@@ -114,6 +112,6 @@ def complete_report(
 def analyze(diffs: DataFrame, responses: DataFrame | None = None, params: RiskParams = RiskParams(),
             options: ScanOptions = ScanOptions()) -> DataFrame:
     """Both halves in one go, for diffs whose answers are already there."""
-    return complete_report(prepare(diffs, params, options), responses, params, options)
+    return complete_report(prepare(diffs, params, options), responses, options)
 
 

@@ -49,9 +49,10 @@ def choose_source(diffs: DataFrame, staged_only: bool = False) -> DataFrame:
     set without any text disappears.  The rank is reduced to one thin row per
     change set before the join; texts are only read, never aggregated.
     """
-    rank = F.array_position(F.array(*[F.lit(k) for k in SOURCE_KINDS]), F.col("source_kind"))
-    rows = diffs.withColumn("_rank", rank).where((F.col("_rank") > 0) & ~is_blank(F.col("diff_text")))
+    kinds = ", ".join(f"'{kind}'" for kind in SOURCE_KINDS)
+    rows = diffs.selectExpr("*", f"array_position(array({kinds}), source_kind) AS _rank")
+    rows = rows.where(f"_rank > 0 AND NOT ({is_blank('diff_text')})")
     if staged_only:
-        return rows.where(F.col("source_kind") == "staged").drop("_rank")
+        return rows.where("source_kind = 'staged'").drop("_rank")
     best = rows.groupBy("change_id").agg(F.min("_rank").alias("_rank"))
     return rows.join(best, ["change_id", "_rank"], "left_semi").drop("_rank")
