@@ -387,7 +387,7 @@ def diff_max_findings(spark, folder):
 
 @query
 def diff_scan_summary(spark, folder):
-    facts = _facts(spark, folder)
+    facts = analysis.cut(_facts(spark, folder).select("change_id", "file_idx", "path", "additions", "deletions", "findings"))
     found = scan.explode_findings(facts, parse.FILE_KEY, limit_keys=["change_id"])
     kinds = F.transform(
         F.array_sort(F.map_entries("by_type")),

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable
 
 from changelens.functions import fixed
 from changelens.functions.regex import any_of, glob, java
-from changelens.functions.sql import either, quote
+from changelens.functions.sql import quote
 
 _LANGUAGE_BY_EXTENSION: dict[str, str] = {}
 for _language, _extensions in fixed.LANGUAGE_EXTENSIONS.items():
@@ -76,11 +77,12 @@ def in_category(category: str, path: str = "path") -> str:
 
 def is_testable() -> str:
     """Code files worth a test suggestion; looser path rules than is_test."""
-    in_tests = either(f"contains(path, {quote(part)})" for part in fixed.TEST_PATH_PARTS)
-    endings = [f"endswith(path, {quote(e)})" for e in fixed.CONFIG_PATH_ENDINGS]
-    in_config = either(["contains(path, '.config.')", *endings])
-    code = either(f"endswith(path, {quote(e)})" for e in fixed.TESTABLE_EXTENSIONS)
-    return f"NOT {in_tests} AND NOT {in_config} AND NOT binary AND status <> 'deleted' AND {code}"
+    parts = "|".join(map(re.escape, [*fixed.TEST_PATH_PARTS, ".config."]))
+    endings = "|".join(map(re.escape, fixed.CONFIG_PATH_ENDINGS))
+    code = "|".join(map(re.escape, fixed.TESTABLE_EXTENSIONS))
+    skipped = quote(rf"(?:{parts})|(?:{endings})\z")
+    wanted = quote(rf"(?:{code})\z")
+    return f"path rlike {wanted} AND NOT path rlike {skipped} AND NOT binary AND status <> 'deleted'"
 
 
 def matches_glob(patterns: Iterable[str], path: str = "path") -> str:

@@ -39,13 +39,25 @@ def _name(column: str) -> str:
     return column.rsplit(" AS ", 1)[-1]
 
 
+# Up to this rank the optimizer limits groups per task before it shuffles them.
+_GROUP_LIMIT = 1000
+_SALTS = 256
+
+
 def first_n(df: DataFrame, n: int, keys: Sequence[str], order: Sequence[str], rank: str = "rank") -> DataFrame:
     """The first ``n`` rows per key, ranked from one.
 
-    A row-number limit is applied per task before the shuffle, so one key with
-    most of the rows does not load one task.
+    One key with most of the rows does not load one task: small ranks are limited
+    per task before the shuffle, and for large ones every key is first cut down
+    in salted groups.
     """
-    window = f"PARTITION BY {', '.join(keys)} ORDER BY {', '.join(order)}"
+    by = ", ".join(order)
+    if n > _GROUP_LIMIT:
+        names = ", ".join(c for c in df.columns if c in {o.split()[0] for o in order})
+        salted = df.selectExpr("*", f"pmod(xxhash64({names or by}), {_SALTS}) AS _salt")
+        window = f"PARTITION BY {', '.join(keys)}, _salt ORDER BY {by}"
+        df = salted.selectExpr("*", f"row_number() OVER ({window}) AS _r").where(f"_r <= {n}").drop("_salt", "_r")
+    window = f"PARTITION BY {', '.join(keys)} ORDER BY {by}"
     return df.selectExpr("*", f"cast(row_number() OVER ({window}) as bigint) AS {rank}").where(f"{rank} <= {n}")
 
 

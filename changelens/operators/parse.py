@@ -37,13 +37,25 @@ _NEW_PATH = rf"^\+\+\+ b/({JAVA_LINE_CHAR}+)$"
 
 
 def split_files(diffs: DataFrame) -> DataFrame:
-    """One row per emitted file: the diff row's columns plus ``file_idx, segment``."""
+    """One row per emitted file: the diff row's columns plus ``file_idx, segment, marks``.
+
+    ``marks`` holds the path, binary and hunk lines alone: one pass over the
+    text finds them, and all that is read off them later works on a short text.
+    Both come out of a generator, so no filter on something derived from them
+    can be pushed below and repeat the pass.
+    """
     pieces = f"split(diff_text, {quote('(?md)^(?=diff --git )')}, -1)"
-    segments = f"filter({pieces}, s -> startswith(s, 'diff --git ') AND s rlike {quote(f'(?md)^{_HUNK}')})"
+    marked = (
+        "transform(filter({pieces}, s -> startswith(s, 'diff --git ')), s -> named_struct('segment', s,"
+        " 'marks', array_join(regexp_extract_all(s, {marks}, 0), '\\n')))"
+    ).format(pieces=pieces, marks=quote(r"(?md)^(?:--- |\+\+\+ |Binary files |@@)[^\n]*"))
+    emitted = f"filter({marked}, f -> f.marks rlike {quote(f'(?md)^{_HUNK}')})"
     part = "coalesce(cast(part_idx as bigint), 0L)" if "part_idx" in diffs.columns else "0L"
     keep = [c for c in diffs.columns if c not in ("diff_text", "part_idx")]
-    rows = each_with_position(diffs, [*keep, f"{part} AS _part"], segments, "_pos", "segment")
-    return rows.selectExpr(*keep, f"_part * {FILES_PER_PART}L + _pos AS file_idx", "segment")
+    rows = each_with_position(diffs, [*keep, f"{part} AS _part"], emitted, "_pos", "_f")
+    return rows.selectExpr(
+        *keep, f"_part * {FILES_PER_PART}L + _pos AS file_idx", "_f.segment AS segment", "_f.marks AS marks"
+    )
 
 
 def parse_files(diffs: DataFrame) -> DataFrame:
@@ -57,30 +69,48 @@ def parse_files(diffs: DataFrame) -> DataFrame:
     old_line_number, type, content).  Columns that are not used cost nothing.
     """
     files = split_files(diffs)
-    keep = [c for c in files.columns if c != "segment"]
-    new_path = last(all_matches("segment", rf"(?md){_NEW_PATH}", 1))
-    new_line = last(all_matches("segment", rf"(?md)^\+\+\+ (?:b/{JAVA_LINE_CHAR}+|/dev/null)$"))
-    null_mark = last(all_matches("segment", r"(?md)^(---|\+\+\+) /dev/null$", 1))
+    keep = [c for c in files.columns if c not in ("segment", "marks")]
+    new_path = last(all_matches("marks", rf"(?md){_NEW_PATH}", 1))
+    new_line = last(all_matches("marks", rf"(?md)^\+\+\+ (?:b/{JAVA_LINE_CHAR}+|/dev/null)$"))
+    null_mark = last(all_matches("marks", r"(?md)^(---|\+\+\+) /dev/null$", 1))
     # A deleted file is named by the last old path above its "+++ /dev/null".
-    above_null = last(all_matches("segment", rf"(?md){_OLD_PATH}(?=[\s\S]*^\+\+\+ /dev/null$)", 1))
-    body = "substring(segment, length(_pieces[0]) + 1)"
-    pieces = f"split(segment, {quote(f'(?md)^(?={_HUNK})')}, -1) AS _pieces"
-    return files.selectExpr("*", pieces).selectExpr(
+    above_null = last(all_matches("marks", rf"(?md){_OLD_PATH}(?=[\s\S]*^\+\+\+ /dev/null$)", 1))
+    pieces = f"split(segment, {quote(f'(?md)^(?={_HUNK})')}, -1)"
+    return files.selectExpr(
         *keep,
         f"coalesce(if({new_line} = '+++ /dev/null', {above_null}, {new_path}), '') AS path",
-        f"{last(all_matches('segment', rf'(?md){_OLD_PATH}', 1))} AS old_path",
+        f"{last(all_matches('marks', rf'(?md){_OLD_PATH}', 1))} AS old_path",
         f"CASE {null_mark} WHEN '---' THEN 'added' WHEN '+++' THEN 'deleted' ELSE 'modified' END AS status",
         f"{paths.language(new_path)} AS language",
-        f"segment rlike {quote(r'(?md)^Binary files ')} AS binary",
-        f"cast(regexp_count({body}, {quote(rf'(?md)^{ADDED}')}) as bigint) AS additions",
-        f"cast(regexp_count({body}, {quote(rf'(?md)^{_DELETED}')}) as bigint) AS deletions",
-        "cast(size(_pieces) - 1 as bigint) AS n_hunks",
-        f"segment rlike {quote(rf'(?md)^@@(?!{_HUNK[2:]})')} AS parse_warning",
-        f"{body} AS body",
-        f"transform(slice(_pieces, 2, size(_pieces)), (piece, n) -> {_hunk_sql()}) AS hunks",
+        f"marks rlike {quote(r'(?md)^Binary files ')} AS binary",
+        f"cast(regexp_count(marks, {quote(f'(?md)^{_HUNK}')}) as bigint) AS n_hunks",
+        f"marks rlike {quote(rf'(?md)^@@(?!{_HUNK[2:]})')} AS parse_warning",
+        f"slice({pieces}, 2, n_hunks) AS _pieces",
+    ).selectExpr(
+        *keep,
+        *("path", "old_path", "status", "language", "binary"),
+        f"{_lines_with('+', '+++ ')} AS additions",
+        f"{_lines_with('-', '--- ')} AS deletions",
+        *("n_hunks", "parse_warning"),
+        "array_join(_pieces, '') AS body",
+        f"transform(_pieces, (piece, n) -> {_hunk_sql()}) AS hunks",
     )
 
 
+def _lines_with(mark: str, but_not: str) -> str:
+    """How many lines of the hunks start with a mark, by what their removal takes away.
+
+    A hunk piece starts with its header line, so every such line follows a line end.
+    """
+
+    def occurrences(text: str) -> str:
+        needle = f"'\\n{text}'"
+        return f"(octet_length(piece) - octet_length(replace(piece, {needle}, ''))) div {1 + len(text)}"
+
+    counts = f"transform(_pieces, piece -> {occurrences(mark)} - {occurrences(but_not)})"
+    return f"aggregate({counts}, 0L, (acc, x) -> acc + x)"
+
+
 def _hunk_sql() -> str:
     """A hunk piece (lambda variables ``piece``, ``n``) as a struct."""
 

@@ -156,14 +156,24 @@ def code_snippets() -> str:
     return f"transform(slice(regexp_extract_all({marked}, {run}, 0), 1, {fixed.SNIPPETS_PER_FILE}), r -> {plain})"
 
 
+def test_context() -> dict[str, str]:
+    """What a test prompt says about a file, null for files not worth one."""
+
+    def if_testable(value: str) -> str:
+        return f"if(is_testable, {value}, null)"
+
+    return {
+        "is_testable": paths.is_testable(),
+        "test_language": if_testable(paths.suggestion_language()),
+        "functions": if_testable(function_names()),
+        "snippets": if_testable(code_snippets()),
+    }
+
+
 def test_contexts(files: DataFrame) -> DataFrame:
     """Testable files with ``test_language, functions, snippets``; nothing of the text is kept."""
-    return files.where(paths.is_testable()).selectExpr(
-        *FILE_KEY, "path", "language", "additions", "deletions",
-        f"{paths.suggestion_language()} AS test_language",
-        f"{function_names()} AS functions",
-        f"{code_snippets()} AS snippets",
-    )
+    columns = [f"{expression} AS {name}" for name, expression in test_context().items()]
+    return files.selectExpr(*FILE_KEY, "path", "language", "additions", "deletions", *columns).where("is_testable")
 
 
 def test_files(testable: DataFrame, max_files: int = 5, order: str = "churn") -> DataFrame:

@@ -352,23 +352,26 @@ def scan_summary(change_sets: DataFrame, findings: DataFrame) -> DataFrame:
 
     ``change_sets`` needs ``change_id, total_files``.
     """
-    counts = severity_counts(findings, ["change_id"])
-    names = [c for c in counts.columns if c != "change_id"]
-    # At most one entry per issue type is collected.
+    names = [f"n_{s.lower()}" for s in fixed.SEVERITY_PRIORITY]
+    # One entry per issue type and severity at most is collected.
     entries = "transform(array_sort(collect_list(struct(first_seen, type, n))), t -> struct(t.type, t.n))"
-    kinds = (
-        type_counts(findings, ["change_id"])
-        .groupBy("change_id")
-        .agg(F.expr(f"map_from_entries({entries}) AS by_type"))
+    by_type = type_counts(findings, ["change_id", "severity"]).groupBy("change_id", "type").agg(
+        F.expr("sum(n) AS n"),
+        F.expr("min(first_seen) AS first_seen"),
+        *[F.expr(f"sum(if(severity = '{s}', n, 0L)) AS n_{s.lower()}") for s in fixed.SEVERITY_PRIORITY],
+    )
+    counts = by_type.groupBy("change_id").agg(
+        *[F.expr(f"sum({c}) AS {c}") for c in names],
+        F.expr("sum(n) AS n_findings"),
+        F.expr(f"map_from_entries({entries}) AS by_type"),
     )
     return (
         change_sets.selectExpr("change_id", "total_files AS files_scanned")
         .join(counts, "change_id", "left")
-        .join(kinds, "change_id", "left")
         .selectExpr(
             "change_id",
             "files_scanned",
-            *[f"coalesce({c}, 0L) AS {c}" for c in names],
+            *[f"coalesce({c}, 0L) AS {c}" for c in (*names, "n_findings")],
             "coalesce(n_critical, 0L) > 0 AS has_critical_issues",
             "coalesce(by_type, cast(map() as map<string, bigint>)) AS by_type",
         )

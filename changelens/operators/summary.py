@@ -34,11 +34,14 @@ def file_complexity() -> str:
     return f"least(30D, aggregate({indents}, {start}, (acc, w) -> acc + least(5D, char_length(w) / 4D)))"
 
 
-def file_facts(files: DataFrame, options: ScanOptions = ScanOptions()) -> DataFrame:
+def file_facts(
+    files: DataFrame, options: ScanOptions = ScanOptions(), more: dict[str, str] | None = None
+) -> DataFrame:
     """One thin row per file with all a change set's analysis needs.
 
     Parsing, path rules, complexity and the secret scan are one row-local pass;
     everything after it works on these rows and never on the text again.
+    ``more`` adds named expressions over the file rows.
     """
     base = "base_branch" if "base_branch" in files.columns else "cast(null as string) AS base_branch"
     return files.selectExpr(
@@ -48,6 +51,7 @@ def file_facts(files: DataFrame, options: ScanOptions = ScanOptions()) -> DataFr
         f"{paths.is_config()} AS is_config",
         f"{file_complexity()} AS complexity",
         f"{file_findings(options)} AS findings",
+        *[f"{expression} AS {name}" for name, expression in (more or {}).items()],
     )
 
 

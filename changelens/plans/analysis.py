@@ -77,11 +77,10 @@ def prepare(
 
     ``prompts`` has ``change_id, kind, file_idx, cell_no, prompt``.
     """
-    chosen_diffs = choose_source(diffs)
-    facts = cut(facts_of(chosen_diffs, options))
+    files = parse.parse_files(choose_source(diffs))
+    facts = cut(summary.file_facts(files, options, more=prompts.test_context()))
     assessment = cut(risk.assess(facts, params, options))
-    contexts = prompts.test_contexts(parse.parse_files(chosen_diffs))
-    chosen = cut(prompts.test_files(contexts, max_test_files, order="churn"))
+    chosen = prompts.test_files(facts.where("is_testable"), max_test_files, order="churn")
     by_change = prompts.title_prompts(facts, assessment).unionByName(
         prompts.description_prompts(facts, assessment, options)
     )
