@@ -260,8 +260,8 @@ def scan_content(
 
     Row-local but for ``max_findings``, so it also runs on a stream.
     """
-    found = texts_df.selectExpr(*keys, f"{path} AS path", f"{text_findings(path, text, options)} AS findings")
-    return explode_findings(found, keys, options)
+    found = texts_df.selectExpr(*keys, f"{path} AS _path", f"{text_findings(path, text, options)} AS findings")
+    return explode_findings(found, keys, options, path="_path")
 
 
 def scan_diff(files: DataFrame, options: ScanOptions = ScanOptions()) -> DataFrame:
@@ -279,11 +279,12 @@ def explode_findings(
     keys: Sequence[str],
     options: ScanOptions = ScanOptions(),
     limit_keys: Sequence[str] | None = None,
+    path: str = "path",
 ) -> DataFrame:
-    """Findings rows of rows that carry ``path`` and the ``findings`` array."""
+    """Findings rows of rows that carry a path and the ``findings`` array."""
     scan = _Scan(options)
     context = ["context_before", "context_after"] if options.include_context else []
-    found = each(rows, [*keys, "path AS file"], "findings", "_m")
+    found = each(rows, [*keys, f"{path} AS file"], "findings", "_m")
     fields = ("line", "column", "content", "line_ord", "pattern_idx", "match_idx", *context)
     flat = found.selectExpr(
         *keys, "file", *scan.describe("_m.pattern_idx"), *[f"_m.{c} AS {c}" for c in fields]
