@@ -300,8 +300,8 @@ TABLES: dict[str, tuple[tuple[str, ...], str]] = {
         ("profile", "categories", "splits", "facts"),
         "SELECT *, CASE WHEN overall_score >= 75 THEN 'HIGH' WHEN overall_score >= 40 THEN 'MEDIUM' ELSE 'LOW' END"
         " AS overall_risk FROM (SELECT *, least(100.0, greatest(0.0,"
-        f" security_score * {_W['security']} + complexity_score * {_W['complexity']}"
-        f" + size_score * {_W['changeSize']} + critical_score * {_W['criticalFiles']})) AS overall_score FROM ("
+        f" security_score * {_W['security']}e0 + complexity_score * {_W['complexity']}e0"
+        f" + size_score * {_W['changeSize']}e0 + critical_score * {_W['criticalFiles']}e0)) AS overall_score FROM ("
         "SELECT p.*, least(100.0, n_critical * 25 + n_high * 15 + n_medium * 8 + n_low * 3) AS security_score,"
         " n_critical > 0 OR n_high > 2 AS blocking, total_complexity / total_files AS avg_complexity,"
         " least(100.0, n_complex * 20 + least(50.0, total_complexity / total_files * 3)) AS complexity_score,"

@@ -410,16 +410,16 @@ _TIME_LONG = (
 )
 add(
     "risk_overall",
-    f"SELECT change_id, {r6('overall_score')}, overall_risk, round(cast(security_score * 0.4 + complexity_score * 0.3"
-    " + size_score * 0.15 + critical_score * 0.15 AS double), 6) AS weighted_score,"
+    f"SELECT change_id, {r6('overall_score')}, overall_risk, round(security_score * 0.4e0 + complexity_score * 0.3e0"
+    " + size_score * 0.15e0 + critical_score * 0.15e0, 6) AS weighted_score,"
     f" {half_up('overall_score')} || '%' AS percent, {_TIME_LONG} AS review_time FROM scores",
     "scores",
 )
 add(
     "risk_custom_weights",
     "SELECT change_id, round(s, 6) AS overall_score, CASE WHEN s >= 60 THEN 'HIGH' WHEN s >= 30 THEN 'MEDIUM'"
-    " ELSE 'LOW' END AS overall_risk FROM (SELECT change_id, cast(security_score * 0.5 + complexity_score * 0.2"
-    " + size_score * 0.2 + critical_score * 0.1 AS double) AS s FROM scores)",
+    " ELSE 'LOW' END AS overall_risk FROM (SELECT change_id, security_score * 0.5e0 + complexity_score * 0.2e0"
+    " + size_score * 0.2e0 + critical_score * 0.1e0 AS s FROM scores)",
     "scores",
 )
 add(
