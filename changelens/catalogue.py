@@ -50,8 +50,9 @@ def text(values: str | Column) -> Column:
     return F.array_join(values, JOIN)
 
 
-def r6(name: str) -> Column:
-    return F.round(F.col(name), 6).alias(name)
+def rounded(name: str) -> Column:
+    """Ten decimals: past every exact decimal that occurs, short of floating-point noise."""
+    return F.round(F.col(name), 10).alias(name)
 
 
 def _files(spark: SparkSession, folder: str) -> DataFrame:
@@ -263,7 +264,7 @@ def line_cap(spark, folder):
 def file_filters(spark, folder):
     kept = filters.apply_filters(_files(spark, folder), INCLUDE, EXCLUDE, CAP)
     return summary.file_facts(kept).select(
-        "change_id", "file_idx", "path", "additions", "deletions", "n_hunks", r6("complexity")
+        "change_id", "file_idx", "path", "additions", "deletions", "n_hunks", rounded("complexity")
     )
 
 
@@ -417,13 +418,13 @@ def diff_type_order(spark, folder):
 
 @query
 def file_complexity(spark, folder):
-    return _facts(spark, folder).select("change_id", "file_idx", r6("complexity"))
+    return _facts(spark, folder).select("change_id", "file_idx", rounded("complexity"))
 
 
 @query
 def risk_security(spark, folder):
     return _scored(spark, folder).select(
-        "change_id", "n_critical", "n_high", "n_medium", "n_low", "n_findings", r6("security_score"),
+        "change_id", "n_critical", "n_high", "n_medium", "n_low", "n_findings", rounded("security_score"),
         "has_blocking_issues",
     )
 
@@ -431,21 +432,21 @@ def risk_security(spark, folder):
 @query
 def risk_complexity(spark, folder):
     return _scored(spark, folder).select(
-        "change_id", r6("avg_complexity"), r6("max_complexity"), "n_complex", r6("complexity_score")
+        "change_id", rounded("avg_complexity"), rounded("max_complexity"), "n_complex", rounded("complexity_score")
     )
 
 
 @query
 def risk_size(spark, folder):
     return _scored(spark, folder).select(
-        "change_id", "total_files", "total_additions", "total_deletions", "net_lines", r6("size_score"), "is_too_large"
+        "change_id", "total_files", "total_additions", "total_deletions", "net_lines", rounded("size_score"), "is_too_large"
     )
 
 
 @query
 def risk_critical(spark, folder):
     return _scored(spark, folder).select(
-        "change_id", "n_critical_files", F.array_join("categories", ", ").alias("categories"), r6("critical_score"),
+        "change_id", "n_critical_files", F.array_join("categories", ", ").alias("categories"), rounded("critical_score"),
         "affects_core",
     )
 
@@ -454,8 +455,8 @@ def risk_critical(spark, folder):
 def risk_overall(spark, folder):
     scored = _scored(spark, folder)
     return scored.selectExpr(
-        "change_id", "round(overall_score, 6) AS overall_score", "overall_risk",
-        f"round({risk.weighted_score()}, 6) AS weighted_score",
+        "change_id", "round(overall_score, 10) AS overall_score", "overall_risk",
+        f"round({risk.weighted_score()}, 10) AS weighted_score",
         f"{risk.percent('overall_score')} AS percent",
         f"{risk.review_time('overall_score', long=True)} AS review_time",
     )
@@ -463,14 +464,14 @@ def risk_overall(spark, folder):
 
 @query
 def risk_custom_weights(spark, folder):
-    return _scored(spark, folder, STRICT).select("change_id", r6("overall_score"), "overall_risk")
+    return _scored(spark, folder, STRICT).select("change_id", rounded("overall_score"), "overall_risk")
 
 
 @query
 def risk_factors(spark, folder):
     _, assessed = _assessed(spark, folder)
     return risk.risk_factors(assessed).select(
-        "change_id", "factor_idx", "category", r6("score"), "weight", r6("weighted_score"), "explanation"
+        "change_id", "factor_idx", "category", rounded("score"), "weight", rounded("weighted_score"), "explanation"
     )
 
 
@@ -602,7 +603,7 @@ def answers_parsed(spark, folder):
 @query
 def call_stats(spark, folder):
     stats = answers.call_stats(_parsed(spark, folder), "kind")
-    return stats.withColumn("success_rate", F.round("success_rate", 6))
+    return stats.withColumn("success_rate", F.round("success_rate", 10))
 
 
 @query

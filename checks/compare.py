@@ -17,7 +17,7 @@ TABLE_NAMES = ["documents", "labels", "pages", "conversations"]
 
 def plain(value):
     if isinstance(value, float):
-        return None if math.isnan(value) else round(value, 6) + 0.0
+        return None if math.isnan(value) else value + 0.0
     return value
 
 

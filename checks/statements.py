@@ -240,7 +240,7 @@ add(
     " count(DISTINCT c.hunk_idx) AS n_hunks, round(least(30.0, least(10.0, count(DISTINCT c.hunk_idx))"
     " + least(10.0, any_value(f.additions + f.deletions) / 50.0)"
     f" + coalesce(sum(least(5.0, len(regexp_extract(c.content, {lit(f'^[{RE2_SPACE}]+')})) / 4.0))"
-    " FILTER (type = 'addition'), 0)), 6) AS complexity FROM files f JOIN capped c USING (change_id, file_idx)"
+    " FILTER (type = 'addition'), 0)), 10) AS complexity FROM files f JOIN capped c USING (change_id, file_idx)"
     f" WHERE {_IN.replace('path', 'f.path')} AND NOT {_OUT.replace('path', 'f.path')} GROUP BY ALL",
     "files",
     "capped",
@@ -374,34 +374,34 @@ add(
 # --- risk --------------------------------------------------------------------------------------
 
 
-def r6(name: str) -> str:
-    return f"round(cast({name} AS double), 6) AS {name}"
+def rounded(name: str) -> str:
+    return f"round(cast({name} AS double), 10) AS {name}"
 
 
-add("file_complexity", f"SELECT change_id, file_idx, {r6('complexity')} FROM complexities", "complexities")
+add("file_complexity", f"SELECT change_id, file_idx, {rounded('complexity')} FROM complexities", "complexities")
 add(
     "risk_security",
     "SELECT change_id, cast(n_critical AS bigint) AS n_critical, cast(n_high AS bigint) AS n_high,"
     " cast(n_medium AS bigint) AS n_medium, cast(n_low AS bigint) AS n_low, n_findings,"
-    f" {r6('security_score')}, blocking AS has_blocking_issues FROM scores",
+    f" {rounded('security_score')}, blocking AS has_blocking_issues FROM scores",
     "scores",
 )
 add(
     "risk_complexity",
-    f"SELECT change_id, {r6('avg_complexity')}, {r6('max_complexity')}, cast(n_complex AS bigint) AS n_complex,"
-    f" {r6('complexity_score')} FROM scores",
+    f"SELECT change_id, {rounded('avg_complexity')}, {rounded('max_complexity')}, cast(n_complex AS bigint) AS n_complex,"
+    f" {rounded('complexity_score')} FROM scores",
     "scores",
 )
 add(
     "risk_size",
     "SELECT change_id, total_files, total_additions, total_deletions, abs(total_additions - total_deletions)"
-    f" AS net_lines, {r6('size_score')}, too_large AS is_too_large FROM scores",
+    f" AS net_lines, {rounded('size_score')}, too_large AS is_too_large FROM scores",
     "scores",
 )
 add(
     "risk_critical",
     "SELECT change_id, cast(n_critical_files AS bigint) AS n_critical_files, coalesce(categories, '') AS categories,"
-    f" {r6('critical_score')}, core AS affects_core FROM scores",
+    f" {rounded('critical_score')}, core AS affects_core FROM scores",
     "scores",
 )
 _TIME_LONG = (
@@ -410,21 +410,21 @@ _TIME_LONG = (
 )
 add(
     "risk_overall",
-    f"SELECT change_id, {r6('overall_score')}, overall_risk, round(security_score * 0.4e0 + complexity_score * 0.3e0"
-    " + size_score * 0.15e0 + critical_score * 0.15e0, 6) AS weighted_score,"
+    f"SELECT change_id, {rounded('overall_score')}, overall_risk, round(security_score * 0.4e0 + complexity_score * 0.3e0"
+    " + size_score * 0.15e0 + critical_score * 0.15e0, 10) AS weighted_score,"
     f" {half_up('overall_score')} || '%' AS percent, {_TIME_LONG} AS review_time FROM scores",
     "scores",
 )
 add(
     "risk_custom_weights",
-    "SELECT change_id, round(s, 6) AS overall_score, CASE WHEN s >= 60 THEN 'HIGH' WHEN s >= 30 THEN 'MEDIUM'"
+    "SELECT change_id, round(s, 10) AS overall_score, CASE WHEN s >= 60 THEN 'HIGH' WHEN s >= 30 THEN 'MEDIUM'"
     " ELSE 'LOW' END AS overall_risk FROM (SELECT change_id, security_score * 0.5e0 + complexity_score * 0.2e0"
     " + size_score * 0.2e0 + critical_score * 0.1e0 AS s FROM scores)",
     "scores",
 )
 add(
     "risk_factors",
-    f"SELECT change_id, factor_idx, category, {r6('score')}, weight, {r6('weighted_score')}, explanation FROM factors",
+    f"SELECT change_id, factor_idx, category, {rounded('score')}, weight, {rounded('weighted_score')}, explanation FROM factors",
     "factors",
 )
 add(
@@ -573,7 +573,7 @@ add(
     "call_stats",
     "SELECT kind, count(*) AS total_requests, count(*) FILTER (status = 'ok') AS successful_requests,"
     " count(*) FILTER (status <> 'ok') AS failed_requests,"
-    " round(count(*) FILTER (status = 'ok') / count(*), 6) AS success_rate FROM parsed GROUP BY kind",
+    " round(count(*) FILTER (status = 'ok') / count(*), 10) AS success_rate FROM parsed GROUP BY kind",
     "parsed",
 )
 _PARTS = f"^({fixed.TITLE_TYPES})(?:\\(([^)]+)\\))?: (.+)$"
