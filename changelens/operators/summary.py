@@ -62,7 +62,7 @@ def profile(facts: DataFrame, options: ScanOptions = ScanOptions()) -> DataFrame
     """One row per change set: totals, counts by status and flag, complexity,
     findings by severity, and where each critical category is first seen.
 
-    One aggregation with map-side partials; no lists are collected.
+    Aggregated by hash with map-side partials; no lists are collected.
     """
     counts = {
         "n_added": "status = 'added'",
@@ -75,23 +75,31 @@ def profile(facts: DataFrame, options: ScanOptions = ScanOptions()) -> DataFrame
         "n_modified_docs": f"{_MODIFIED} AND {paths.is_doc()}",
         "n_complex": f"complexity >= {fixed.COMPLEXITY_THRESHOLDS['high']}",
     }
-    columns = [
-        "max(base_branch) AS base_branch",
-        "count(*) AS total_files",
-        "sum(additions) AS total_additions",
-        "sum(deletions) AS total_deletions",
-        *[f"count_if({condition}) AS {name}" for name, condition in counts.items()],
+    columns = {
+        "total_files": ("sum", "1L"),
+        "total_additions": ("sum", "additions"),
+        "total_deletions": ("sum", "deletions"),
+        **{name: ("sum", f"if({condition}, 1L, 0L)") for name, condition in counts.items()},
         # Complexities are whole hundredths; integers make the sum independent of its order.
-        "sum(cast(round(complexity * 100) as bigint)) / 100 AS total_complexity",
-        "max(complexity) AS max_complexity",
-        *[f"sum({severity_count(s, options)}) AS n_{s.lower()}" for s in fixed.SEVERITY_PRIORITY],
-        "sum(coalesce(size(findings), 0)) AS n_findings",
-        *[
-            f"min(if(is_critical AND {paths.in_category(c)}, file_idx, null)) AS first_{c}"
+        "total_complexity": ("sum", "cast(round(complexity * 100) as bigint)"),
+        "max_complexity": ("max", "complexity"),
+        **{f"n_{s.lower()}": ("sum", severity_count(s, options)) for s in fixed.SEVERITY_PRIORITY},
+        "n_findings": ("sum", "coalesce(size(findings), 0)"),
+        **{
+            f"first_{c}": ("min", f"if(is_critical AND {paths.in_category(c)}, file_idx, null)")
             for c in fixed.CRITICAL_CATEGORIES
-        ],
-    ]
-    return facts.groupBy("change_id").agg(*map(F.expr, columns))
+        },
+    }
+    # A text cannot be aggregated by hash, but it can be a key: the branch is one
+    # per change set, so the second aggregation only sees a row or so for each.
+    by_branch = facts.groupBy("change_id", "base_branch").agg(
+        *[F.expr(f"{how}({value}) AS {name}") for name, (how, value) in columns.items()]
+    )
+    whole = by_branch.groupBy("change_id").agg(
+        F.expr("max(base_branch) AS base_branch"),
+        *[F.expr(f"{how}({name}) AS {name}") for name, (how, _) in columns.items()],
+    )
+    return whole.withColumn("total_complexity", F.col("total_complexity") / 100)
 
 
 def change_totals(files: DataFrame) -> DataFrame:

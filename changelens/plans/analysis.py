@@ -8,27 +8,39 @@ model call between prompts and answers is the caller's.
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from changelens.operators import answers, filters, parse, prompts, report, risk, summary
 from changelens.params import RiskParams, ScanOptions
 from changelens.sources.diffs import choose_source
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the session names in ``spark.checkpoint.dir``.
+
+    A temporary one is set only where none is named, as in tests.
+    """
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if folder is None:
+        folder = tempfile.mkdtemp(prefix="checkpoint-")
+        context.setCheckpointDir(folder)
+    return folder
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Write the rows to the checkpoint folder and go on from there.
+    """Write the rows to a table in the shared folder and go on from there.
 
-    The folder is the one the session names in ``spark.checkpoint.dir``; a
-    temporary one is set only where none is named, as in tests.
+    Branches that read it need only their columns, and a lost executor costs
+    none of the work before it.
     """
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        spark.sparkContext.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoint-"))
-    return df.checkpoint(eager=True)
+    path = f"{shared_folder(df.sparkSession).rstrip('/')}/changelens-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def facts_of(

@@ -47,12 +47,14 @@ def choose_source(diffs: DataFrame, staged_only: bool = False) -> DataFrame:
 
     Sources rank staged, worktree, branch.  Blank rows are dropped, so a change
     set without any text disappears.  The rank is reduced to one thin row per
-    change set before the join; texts are only read, never aggregated.
+    change set before the join, and the last source need not be looked at for
+    it; texts are only read, never aggregated.
     """
     kinds = ", ".join(f"'{kind}'" for kind in SOURCE_KINDS)
     rows = diffs.selectExpr("*", f"array_position(array({kinds}), source_kind) AS _rank")
     rows = rows.where(f"_rank > 0 AND NOT ({is_blank('diff_text')})")
     if staged_only:
         return rows.where("source_kind = 'staged'").drop("_rank")
-    best = rows.groupBy("change_id").agg(F.min("_rank").alias("_rank"))
-    return rows.join(best, ["change_id", "_rank"], "left_semi").drop("_rank")
+    last = len(SOURCE_KINDS)
+    best = rows.where(f"_rank < {last}").groupBy("change_id").agg(F.min("_rank").alias("_best"))
+    return rows.join(best, "change_id", "left").where(f"_rank = coalesce(_best, {last})").drop("_rank", "_best")

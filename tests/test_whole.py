@@ -64,10 +64,12 @@ def test_filtered_facts(spark):
     assert [(r.path, r.additions) for r in rows] == [("a.py", 9)]
 
 
-def test_checkpoint_folder_of_the_session_is_used(spark):
-    before = spark.sparkContext.getCheckpointDir()
-    analysis.cut(spark.range(3)).count()
-    assert spark.sparkContext.getCheckpointDir() == before
+def test_shared_folder_of_the_session_is_used(spark):
+    folder = spark.sparkContext.getCheckpointDir()
+    assert analysis.shared_folder(spark) == folder
+    table = analysis.cut(spark.range(3))
+    assert table.count() == 3
+    assert all(folder.split(":")[-1] in name for name in table.inputFiles())
 
 
 def test_text_and_diff_folders(spark, tmp_path):
