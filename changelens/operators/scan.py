@@ -84,15 +84,20 @@ def critical_patterns(patterns: DataFrame) -> DataFrame:
     return patterns.where("severity IN ('CRITICAL', 'HIGH')")
 
 
-def active_patterns(files: DataFrame, keys: Sequence[str], path: str = "path") -> DataFrame:
-    """One row per file and built-in pattern that applies to its path."""
+def patterns_for_files(
+    files: DataFrame, keys: Sequence[str], patterns: Sequence[SecretPattern] = BUILT_IN, path: str = "path"
+) -> DataFrame:
+    """One row per file and pattern whose own path rules allow the file."""
     applies = ", ".join(
-        f"if({_rule_holds((p.exclude_files, p.include_files), path)}, {n}L, null)" for n, p in enumerate(BUILT_IN)
-    )
-    rows = each(
-        files.where(f"NOT {paths.is_excluded(path)}"), [*keys, path], f"array_compact(array({applies}))", "pattern_idx"
+        f"if({_rule_holds((p.exclude_files, p.include_files), path)}, {n}L, null)" for n, p in enumerate(patterns)
     )
-    return rows.selectExpr("*", f"{_attribute([p.type for p in BUILT_IN], 'pattern_idx')} AS type")
+    rows = each(files, [*keys, path], f"array_compact(array({applies}))", "pattern_idx")
+    return rows.selectExpr("*", f"{_attribute([p.type for p in patterns], 'pattern_idx')} AS type")
+
+
+def active_patterns(files: DataFrame, keys: Sequence[str], path: str = "path") -> DataFrame:
+    """One row per file and built-in pattern that applies to its path; excluded files have none."""
+    return patterns_for_files(files.where(f"NOT {paths.is_excluded(path)}"), keys, BUILT_IN, path)
 
 
 # --- the scan plan ------------------------------------------------------------------

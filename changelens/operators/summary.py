@@ -9,6 +9,8 @@ from changelens.functions import fixed, paths
 from changelens.functions.regex import JAVA_LINE_SPACE
 from changelens.functions.rows import each, first_n, joined_in_cells
 from changelens.functions.sql import quote
+from changelens.functions.text import trim
+from changelens.operators import scan
 from changelens.operators.parse import ADDED, FILE_KEY
 from changelens.operators.scan import file_findings, severity_count
 from changelens.params import ScanOptions
@@ -62,7 +64,8 @@ def profile(facts: DataFrame, options: ScanOptions = ScanOptions()) -> DataFrame
     """One row per change set: totals, counts by status and flag, complexity,
     findings by severity, and where each critical category is first seen.
 
-    Aggregated by hash with map-side partials; no lists are collected.
+    Aggregated by hash with map-side partials; no lists are collected.  With a
+    limit on findings only the first ones of a change set are counted.
     """
     counts = {
         "n_added": "status = 'added'",
@@ -99,7 +102,14 @@ def profile(facts: DataFrame, options: ScanOptions = ScanOptions()) -> DataFrame
         F.expr("max(base_branch) AS base_branch"),
         *[F.expr(f"{how}({name}) AS {name}") for name, (how, _) in columns.items()],
     )
-    return whole.withColumn("total_complexity", F.col("total_complexity") / 100)
+    whole = whole.withColumn("total_complexity", F.col("total_complexity") / 100)
+    if options.max_findings <= 0:
+        return whole
+    kept = scan.explode_findings(facts, FILE_KEY, options, ["change_id"])
+    names = ["n_findings", *[f"n_{s.lower()}" for s in fixed.SEVERITY_PRIORITY]]
+    counts = scan.severity_counts(kept, ["change_id"])
+    limited = whole.drop(*names).join(counts, "change_id", "left")
+    return limited.selectExpr(*[f"coalesce({c}, 0L) AS {c}" if c in names else c for c in limited.columns])
 
 
 def change_totals(files: DataFrame) -> DataFrame:
@@ -113,15 +123,14 @@ def change_totals(files: DataFrame) -> DataFrame:
 
 def diff_stat(files: DataFrame) -> DataFrame:
     """Counts per change set and path, with a total row (null path) each."""
-    rows = files.rollup("change_id", "path").agg(
+    return files.groupingSets([["change_id", "path"], ["change_id"]], "change_id", "path").agg(
         F.expr("sum(additions) AS additions"), F.expr("sum(deletions) AS deletions"), F.expr("count(*) AS n_files")
     )
-    return rows.where("change_id IS NOT NULL")
 
 
 def changed_files(files: DataFrame) -> DataFrame:
-    """Distinct paths per change set."""
-    return files.where("trim(path) <> ''").select("change_id", "path").distinct()
+    """Distinct paths per change set, without white space around them."""
+    return files.selectExpr("change_id", f"{trim('path')} AS path").where("path <> ''").distinct()
 
 
 # The lists of a change summary, by name.

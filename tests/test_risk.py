@@ -1,7 +1,7 @@
 import pytest
 
 from changelens.operators import report, risk, summary
-from changelens.params import RiskParams
+from changelens.params import RiskParams, ScanOptions
 
 FILE = (
     "change_id bigint, file_idx bigint, path string, old_path string, status string, language string, binary boolean,"
@@ -129,3 +129,11 @@ def test_renamed_files_have_their_own_list(spark):
 
 def test_time_of_assessment(spark):
     assert risk.timestamped(assessed(spark, MOCK)[1]).collect()[0].assessed_at is not None
+
+
+def test_a_limit_on_findings_limits_what_counts(spark):
+    lines = [(1, "a@corp.io"), (2, "password = 'hunter2hunter2'"), (3, "passwd = 'hunter2hunter2'")]
+    facts = summary.file_facts(spark.createDataFrame([file_row(0, "a.py", "modified", 3, 0, lines)], FILE))
+    [a] = risk.assess(facts, options=ScanOptions(max_findings=2)).collect()
+    assert (a.n_findings, a.n_critical, a.n_low, a.n_high) == (2, 1, 1, 0)
+    assert risk.assess(facts).collect()[0].n_critical == 2

@@ -143,3 +143,12 @@ def test_added_lines_only(parse_text):
     assert [r.content for r in scan.scan_diff(parse_text(text)).collect()] == ["c@corp.io"]
     assert [r.content for r in parse.added_lines(parse_text(text)).collect()] == ["c@corp.io"]
     assert [r.content for r in parse.deleted_lines(parse_text(text)).collect()] == ["b@corp.io"]
+
+
+def test_patterns_for_files(spark):
+    own = (SecretPattern("A", "x", "LOW", 0.1, include_files=(r"\.py$",)),
+           SecretPattern("B", "x", "LOW", 0.1, exclude_files=(r"^a",)))
+    df = texts(spark, ("a.py", ""), ("b.ts", ""), ("dist/c.py", ""))
+    rows = scan.patterns_for_files(df, ["id"], own).orderBy("id", "pattern_idx").collect()
+    assert [(r.id, r.type) for r in rows] == [(0, "A"), (1, "B"), (2, "A"), (2, "B")]
+    assert scan.active_patterns(df, ["id"]).select("id").distinct().count() == 2
