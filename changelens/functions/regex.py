@@ -16,18 +16,19 @@ from collections.abc import Iterable
 _SPACE_POINTS = [0x00A0, 0x1680, (0x2000, 0x200A), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF]
 
 
-def _space(point: str, keep_newline: bool = True) -> str:
+def _space(point: str) -> str:
     wide = "".join(
         point.format(p) if isinstance(p, int) else f"{point.format(p[0])}-{point.format(p[1])}"
         for p in _SPACE_POINTS
     )
-    return r"\t\x0B\f\r " + (r"\n" if keep_newline else "") + wide
+    return r"\t\x0B\f\r \n" + wide
 
 
+SPACE_CHARS = "\t\x0b\f\r \n" + "".join(
+    chr(p) for point in _SPACE_POINTS for p in ([point] if isinstance(point, int) else range(point[0], point[1] + 1))
+)
 JAVA_SPACE = _space(r"\u{:04x}")
-JAVA_LINE_SPACE = _space(r"\u{:04x}", keep_newline=False)
 RE2_SPACE = _space(r"\x{{{:04x}}}")
-RE2_LINE_SPACE = _space(r"\x{{{:04x}}}", keep_newline=False)
 JAVA_LINE_CHAR = r"[^\n\r\u2028\u2029]"
 RE2_LINE_CHAR = r"[^\n\r\x{2028}\x{2029}]"
 _WORD_EDGE = r"(?:(?<=[0-9A-Za-z_])(?![0-9A-Za-z_])|(?<![0-9A-Za-z_])(?=[0-9A-Za-z_]))"

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-_BLOCK = 128
+_BLOCK = 64
 
 
 def quote(text: str) -> str:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from changelens.functions import paths
 from changelens.functions.sql import let, sums_before
-from changelens.operators.parse import FILE_KEY
+from changelens.operators.parse import FILE_KEY, additions_sql
 
 
 def include(files: DataFrame, patterns: Sequence[str]) -> DataFrame:
@@ -26,7 +26,7 @@ def cap_lines(files: DataFrame, max_lines: int) -> DataFrame:
     """Cut files with more than ``max_lines`` counted lines to their first lines.
 
     Context lines count towards the cut; the addition and deletion counters
-    stay as they were.  ``body`` is rewritten from the hunks that are left.
+    stay as they were.
     """
     if max_lines <= 0:
         return files
@@ -42,14 +42,11 @@ def cap_lines(files: DataFrame, max_lines: int) -> DataFrame:
         sums_before("transform(hunks, h -> cast(size(h.changes) as bigint))"),
         f"array_compact(transform(hunks, (h, i) -> if({fits} OR {some}, {part}, null)))",
     )
-    mark = "CASE c.type WHEN 'addition' THEN '+' WHEN 'deletion' THEN '-' ELSE ' ' END"
-    lines = f"concat(array(h.header), transform(h.changes, c -> concat({mark}, c.content)))"
-    text = f"array_join(flatten(transform(_cut, h -> {lines})), '\\n')"
     capped = files.selectExpr("*", f"if(additions + deletions > {max_lines}, {cut}, null) AS _cut")
     new = {
         "hunks": "coalesce(_cut, hunks)",
-        "body": f"if(_cut IS NULL, body, {text})",
         "n_hunks": "cast(if(_cut IS NULL, n_hunks, size(_cut)) as bigint)",
+        "added": f"if(_cut IS NULL, added, {additions_sql('_cut')})",
     }
     return capped.selectExpr(*[f"{new[c]} AS {c}" if c in new else c for c in files.columns])
 

@@ -28,10 +28,10 @@ FILE_KEY = ["change_id", "file_idx"]
 
 _HUNK = r"@@ -[0-9]+,?[0-9]* \+[0-9]+,?[0-9]* @@"
 _HUNK_PARTS = r"^@@ -([0-9]+),?([0-9]*) \+([0-9]+),?([0-9]*) @@"
-ADDED = r"\+(?!\+\+ )"
-_DELETED = r"-(?!-- )"
-_CONTEXT = r" "
-LINES = rf"(?md)^(?:{ADDED}|{_DELETED}|{_CONTEXT})[^\n]*"
+_COUNTED = (
+    "(startswith(s, '+') AND NOT startswith(s, '+++ ')) OR (startswith(s, '-') AND NOT startswith(s, '--- '))"
+    " OR startswith(s, ' ')"
+)
 _OLD_PATH = rf"^--- a/({JAVA_LINE_CHAR}+)$"
 _NEW_PATH = rf"^\+\+\+ b/({JAVA_LINE_CHAR}+)$"
 
@@ -63,10 +63,11 @@ def parse_files(diffs: DataFrame) -> DataFrame:
 
     Columns: the keys and extra columns of the diff rows, ``file_idx, path,
     old_path, status, language, binary, additions, deletions, n_hunks,
-    parse_warning, body, hunks``.  ``body`` is the text from the first hunk on;
-    ``hunks`` is ARRAY of (hunk_idx, old_start, old_lines, new_start,
-    new_lines, header, changes) with changes ARRAY of (change_idx, line_number,
-    old_line_number, type, content).  Columns that are not used cost nothing.
+    parse_warning, hunks, added``.  ``hunks`` is ARRAY of (hunk_idx, old_start,
+    old_lines, new_start, new_lines, header, changes) with changes ARRAY of
+    (change_idx, line_number, old_line_number, type, content); ``added`` is the
+    additions across hunks in order, ARRAY of (line_number, content).  Columns
+    that are not used cost nothing.
     """
     files = split_files(diffs)
     keep = [c for c in files.columns if c not in ("segment", "marks")]
@@ -92,9 +93,8 @@ def parse_files(diffs: DataFrame) -> DataFrame:
         f"{_lines_with('+', '+++ ')} AS additions",
         f"{_lines_with('-', '--- ')} AS deletions",
         *("n_hunks", "parse_warning"),
-        "array_join(_pieces, '') AS body",
         f"transform(_pieces, (piece, n) -> {_hunk_sql()}) AS hunks",
-    )
+    ).selectExpr("*", f"{additions_sql()} AS added")
 
 
 def _lines_with(mark: str, but_not: str) -> str:
@@ -126,7 +126,7 @@ def _hunk_sql() -> str:
         "named_struct('hunk_idx', cast(n as bigint), 'old_start', at.old_start, 'old_lines', at.old_lines,"
         f" 'new_start', at.new_start, 'new_lines', at.new_lines, 'header', header, 'changes', {_changes_sql()})"
     )
-    lines = f"regexp_extract_all(piece, {quote(LINES)}, 0)"
+    lines = f"filter(split(piece, '\\n', -1), s -> {_COUNTED})"
     return let("header", "substring_index(piece, '\\n', 1)", let("at", at, let("lines", lines, hunk)))
 
 
@@ -182,5 +182,9 @@ def _lines_of(files: DataFrame, kind: str) -> DataFrame:
 
 
 def additions_sql(hunks: str = "hunks") -> str:
-    """A file's additions in order, across its hunks, as an array of changes."""
-    return f"filter(flatten(transform({hunks}, h -> h.changes)), c -> c.type = 'addition')"
+    """The additions across an array of hunks, in order, as (line_number, content)."""
+    per_hunk = (
+        "transform(filter(h.changes, c -> c.type = 'addition'),"
+        " c -> named_struct('line_number', c.line_number, 'content', c.content))"
+    )
+    return f"flatten(transform({hunks}, h -> {per_hunk}))"

@@ -12,7 +12,7 @@ from changelens.functions.sql import quote
 from changelens.functions.template import around, fill, number_text
 from changelens.functions.text import texts, when
 from changelens.operators import scan, summary
-from changelens.operators.parse import ADDED, FILE_KEY, LINES
+from changelens.operators.parse import FILE_KEY
 from changelens.params import ScanOptions
 
 # --- change-set contexts: expressions over a profile row -------------------------------------
@@ -140,9 +140,8 @@ def description_prompts(facts: DataFrame, profile: DataFrame, options: ScanOptio
 
 def function_names() -> str:
     """Names of functions in a file's added lines, distinct, in order of line and pattern."""
-    added = f"regexp_extract_all(body, {quote(rf'(?md)^{ADDED}([^\n]*)')}, 1)"
-    names = ", ".join(f"regexp_extract_all(s, {quote(java(p))}, 1)" for p in fixed.FUNCTION_PATTERNS)
-    return f"array_distinct(flatten(transform({added}, s -> flatten(array({names})))))"
+    names = ", ".join(f"regexp_extract_all(c.content, {quote(java(p))}, 1)" for p in fixed.FUNCTION_PATTERNS)
+    return f"array_distinct(flatten(transform(added, c -> flatten(array({names})))))"
 
 
 def code_snippets() -> str:
@@ -150,10 +149,11 @@ def code_snippets() -> str:
 
     A context or deleted line ends a run; a hunk boundary does not.
     """
-    marked = rf"concat(array_join(regexp_extract_all(body, {quote(LINES)}, 0), '\n'), '\n')"
+    marked = "transform(h.changes, c -> if(c.type = 'addition', concat('+', c.content, '\\n'), '\\n'))"
+    text = f"array_join(flatten(transform(hunks, h -> {marked})), '')"
     run = quote(rf"(?md)(?:^\+[^\n]*\n){{1,{fixed.SNIPPET_LINES}}}")
     plain = f"regexp_replace(r, {quote(r'(?md)^\+|\n\z')}, '')"
-    return f"transform(slice(regexp_extract_all({marked}, {run}, 0), 1, {fixed.SNIPPETS_PER_FILE}), r -> {plain})"
+    return f"transform(slice(regexp_extract_all({text}, {run}, 0), 1, {fixed.SNIPPETS_PER_FILE}), r -> {plain})"
 
 
 def test_context() -> dict[str, str]:

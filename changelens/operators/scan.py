@@ -18,7 +18,7 @@ from changelens.functions.regex import any_of, java
 from changelens.functions.rows import each, first_n
 from changelens.functions.sql import either, let, quote, sums_before
 from changelens.functions.text import round_half_up
-from changelens.operators.parse import FILE_KEY, additions_sql
+from changelens.operators.parse import FILE_KEY
 from changelens.params import ScanOptions, SecretPattern
 
 # Lower-case literals that a match of the n-th built-in pattern cannot do
@@ -249,7 +249,7 @@ def text_findings(path: str, text: str, options: ScanOptions = ScanOptions()) ->
 def file_findings(options: ScanOptions = ScanOptions()) -> str:
     """The findings in a diff file's added lines as an array; binary files have none."""
     line = "named_struct('i', i, 'line', c.line_number, 'content', c.content)"
-    lines = f"transform({additions_sql()}, (c, i) -> {line})"
+    lines = f"transform(added, (c, i) -> {line})"
     return _findings_sql("path", lines, options, skip="binary")
 
 

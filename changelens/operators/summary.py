@@ -6,12 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from changelens.functions import fixed, paths
-from changelens.functions.regex import JAVA_LINE_SPACE
+from changelens.functions.regex import SPACE_CHARS
 from changelens.functions.rows import each, first_n, joined_in_cells
 from changelens.functions.sql import quote
 from changelens.functions.text import trim
 from changelens.operators import scan
-from changelens.operators.parse import ADDED, FILE_KEY
+from changelens.operators.parse import FILE_KEY
 from changelens.operators.scan import file_findings, severity_count
 from changelens.params import ScanOptions
 
@@ -31,9 +31,11 @@ def with_metadata(files: DataFrame) -> DataFrame:
 
 def file_complexity() -> str:
     """Hunks, size and the indentation of added lines, each capped; 30 at most."""
-    indents = f"regexp_extract_all(body, {quote(rf'(?md)^{ADDED}([{JAVA_LINE_SPACE}]+)')}, 1)"
+    spaces = quote(SPACE_CHARS)
+    indent = f"char_length(c.content) - char_length(ltrim({spaces}, c.content))"
+    indented = f"filter(added, c -> contains({spaces}, left(c.content, 1)))"
     start = "least(10D, cast(n_hunks as double)) + least(10D, (additions + deletions) / 50D)"
-    return f"least(30D, aggregate({indents}, {start}, (acc, w) -> acc + least(5D, char_length(w) / 4D)))"
+    return f"least(30D, aggregate({indented}, {start}, (acc, c) -> acc + least(5D, ({indent}) / 4D)))"
 
 
 def file_facts(

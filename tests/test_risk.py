@@ -5,20 +5,19 @@ from changelens.params import RiskParams, ScanOptions
 
 FILE = (
     "change_id bigint, file_idx bigint, path string, old_path string, status string, language string, binary boolean,"
-    " additions bigint, deletions bigint, n_hunks bigint, body string,"
+    " additions bigint, deletions bigint, n_hunks bigint,"
     " hunks array<struct<hunk_idx:bigint,old_start:bigint,old_lines:bigint,new_start:bigint,new_lines:bigint,"
     "header:string,changes:array<struct<change_idx:bigint,line_number:bigint,old_line_number:bigint,type:string,"
-    "content:string>>>>"
+    "content:string>>>>, added array<struct<line_number:bigint,content:string>>"
 )
 
 
 def file_row(idx, path, status, additions, deletions, added=None, language=None, change_id=0):
     """A file with one hunk of added (line, text) pairs, or none."""
-    hunks, body = [], ""
+    hunks = []
     if added is not None:
         hunks = [(0, 1, 1, 1, 1, "@@ -1 +1 @@", [(i, n, None, "addition", t) for i, (n, t) in enumerate(added)])]
-        body = "\n".join(["@@ -1 +1 @@", *["+" + t for _, t in added]])
-    return (change_id, idx, path, path, status, language, False, additions, deletions, len(hunks), body, hunks)
+    return (change_id, idx, path, path, status, language, False, additions, deletions, len(hunks), hunks, added or [])
 
 
 MOCK = [
