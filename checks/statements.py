@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from changelens.functions import fixed
-from changelens.functions.regex import RE2_SPACE, java, re2
+from changelens.functions.regex import RE2_SPACE, re2
 from changelens.functions.rows import FILES_PER_PART, PARTS_PER_CELL
 from changelens.functions.template import _PART
 from changelens.operators.report import _NEXT_STEPS
