@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from changelens.llm import hilbert, url_filter
+from changelens.llm import hilbert, quality, url_filter
 from changelens.llm.tables import read
 
 #: The rules of the URL query.
@@ -28,6 +28,12 @@ DOCUMENT_DIMS = (
 )
 
 
+def op2_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    """``documents`` judged by rules whose cutoffs ``labels`` certify by language."""
+    judged = quality.judge(read(spark, folder, "documents"), read(spark, folder, "labels"))
+    return judged.select("doc_id", *quality.STATS, "base_failed", "kept", "stratum", "rejected_by")
+
+
 def op6_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     """Rules and listed URLs over ``pages``; the list are the URLs of the pages
     on hosts with one of the listed words, in whichever form they were met."""
@@ -61,6 +67,7 @@ def op10_hilbert_shards(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_quality_rules": op2_quality_rules,
     "op6_url_filter": op6_url_filter,
     "op10_hilbert_shards": op10_hilbert_shards,
 }
