@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from changelens.llm import hilbert, quality, url_filter
+from changelens.llm import best_fit, cost_pack, hilbert, quality, url_filter
 from changelens.llm.tables import read
 
 #: The rules of the URL query.
@@ -34,6 +34,11 @@ def op2_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return judged.select("doc_id", *quality.STATS, "base_failed", "kept", "stratum", "rejected_by")
 
 
+def op4_cost_packing(spark: SparkSession, folder: str) -> DataFrame:
+    """``documents`` in sequences of 1,024 tokens and of even cost."""
+    return cost_pack.pack(read(spark, folder, "documents"))
+
+
 def op6_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     """Rules and listed URLs over ``pages``; the list are the URLs of the pages
     on hosts with one of the listed words, in whichever form they were met."""
@@ -43,6 +48,11 @@ def op6_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict", "canonical_url", "listed")
 
 
+def op7_best_fit(spark: SparkSession, folder: str) -> DataFrame:
+    """``documents`` as packed id matrices of 1,024 columns."""
+    return best_fit.pack(read(spark, folder, "documents"))
+
+
 def op10_hilbert_shards(spark: SparkSession, folder: str) -> DataFrame:
     """``documents`` in 16 runs of the curve over source, language and size."""
     documents = read(spark, folder, "documents")
@@ -68,6 +78,8 @@ def op10_hilbert_shards(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality_rules": op2_quality_rules,
+    "op4_cost_packing": op4_cost_packing,
     "op6_url_filter": op6_url_filter,
+    "op7_best_fit": op7_best_fit,
     "op10_hilbert_shards": op10_hilbert_shards,
 }
