@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from changelens.llm import best_fit, cost_pack, hilbert, quality, url_filter
+from changelens.llm import best_fit, cost_pack, decontam, hilbert, quality, url_filter
 from changelens.llm.tables import read
 
 #: The rules of the URL query.
@@ -39,6 +39,19 @@ def op4_cost_packing(spark: SparkSession, folder: str) -> DataFrame:
     return cost_pack.pack(read(spark, folder, "documents"))
 
 
+def op5_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    """Words of ``documents`` inside windows of ten words of ``benchmark`` items."""
+    hits = decontam.scan(read(spark, folder, "documents"), read(spark, folder, "benchmark"))
+    return hits.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
 def op6_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     """Rules and listed URLs over ``pages``; the list are the URLs of the pages
     on hosts with one of the listed words, in whichever form they were met."""
@@ -79,6 +92,7 @@ def op10_hilbert_shards(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality_rules": op2_quality_rules,
     "op4_cost_packing": op4_cost_packing,
+    "op5_decontamination": op5_decontamination,
     "op6_url_filter": op6_url_filter,
     "op7_best_fit": op7_best_fit,
     "op10_hilbert_shards": op10_hilbert_shards,
