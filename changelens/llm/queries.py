@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from changelens.llm import best_fit, cost_pack, decontam, hilbert, quality, url_filter
+from changelens.llm import best_fit, cost_pack, decontam, hilbert, pii, quality, url_filter
 from changelens.llm.tables import read
 
 #: The rules of the URL query.
@@ -66,6 +66,27 @@ def op7_best_fit(spark: SparkSession, folder: str) -> DataFrame:
     return best_fit.pack(read(spark, folder, "documents"))
 
 
+def op8_pii(spark: SparkSession, folder: str) -> DataFrame:
+    """Spans of personal data in ``documents``, with their scores."""
+    found = pii.find(read(spark, folder, "documents"))
+
+    def joined(spans: Column) -> Column:
+        texts = F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string")))
+        return F.array_join(texts, ",")
+
+    def counted(kind: str) -> Column:
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    base = F.filter("spans", lambda s: s["kind"].isin(*pii.BASE_KINDS))
+    return found.select(
+        "doc_id",
+        *[counted(kind) for kind in pii.BASE_KINDS],
+        F.sha2(joined(base), 256).alias("base_sha256"),
+        joined(F.col("spans")).alias("spans"),
+        F.array_join(F.transform("spans", lambda s: F.format_number(s["score"], 2)), ",").alias("scores"),
+    )
+
+
 def op10_hilbert_shards(spark: SparkSession, folder: str) -> DataFrame:
     """``documents`` in 16 runs of the curve over source, language and size."""
     documents = read(spark, folder, "documents")
@@ -95,5 +116,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_decontamination": op5_decontamination,
     "op6_url_filter": op6_url_filter,
     "op7_best_fit": op7_best_fit,
+    "op8_pii": op8_pii,
     "op10_hilbert_shards": op10_hilbert_shards,
 }
