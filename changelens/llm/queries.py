@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from changelens.llm import best_fit, cost_pack, decontam, hilbert, pii, quality, url_filter
-from changelens.llm.tables import read
+from changelens.llm import best_fit, cost_pack, decontam, fixity, hilbert, pii, quality, site_lines, url_filter
+from changelens.llm.tables import cut, read
 
 #: The rules of the URL query.
 URL_RULES = (
@@ -28,12 +28,49 @@ DOCUMENT_DIMS = (
 )
 
 
+def damaged_replicas(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Two replicas of the pages' archives, 512 ids to an archive.  By the
+    digest of its id a record in 97 is changed in the second, one is lost there
+    and one is lost in the first."""
+    number = F.coalesce("page_id", -1 - F.abs(F.xxhash64("url", "html") / 2).cast("long"))
+    draw = F.conv(F.substring(F.md5(F.coalesce(F.col("page_id").cast("string"), F.lit(""))), 1, 4), 16, 10).cast("long") % 97
+    url, html = F.coalesce("url", F.lit("")), F.coalesce("html", F.lit(""))
+    other = F.concat(F.translate(F.substring(html, 1, 1), "<", "("), F.substring(html, 2, 1 << 30))
+    rows = pages.select(
+        F.floor(number / 512).cast("long").alias("archive"),
+        number.alias("number"),
+        draw.alias("draw"),
+        fixity.warc_record(url, html).alias("record"),
+        fixity.digest(fixity.warc_record(url, html)).alias("digest_a"),
+        fixity.digest(fixity.warc_record(url, F.when(draw == 1, other).otherwise(html))).alias("digest_b"),
+    )
+    index = cut(fixity.lay_out(rows, "archive", [F.col("number"), F.col("digest_a")], "record"), "warc-index")
+    a = index.where("draw != 3").select("archive", "offset", F.col("digest_a").alias("digest"))
+    b = index.where("draw != 2").select("archive", "offset", F.col("digest_b").alias("digest"))
+    return a, b
+
+
+def op1_warc_fixity(spark: SparkSession, folder: str) -> DataFrame:
+    """Damaged records of two replicas of ``pages`` as archives."""
+    return fixity.audit(*damaged_replicas(read(spark, folder, "pages")))
+
+
 def op2_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     """``documents`` judged by rules whose cutoffs ``labels`` certify by language."""
     judged = quality.judge(read(spark, folder, "documents"), read(spark, folder, "labels"))
     return judged.select("doc_id", *quality.STATS, "base_failed", "kept", "stratum", "rejected_by")
 
 
+def op3_site_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """Texts of ``pages`` without the lines that are common on their host."""
+    pages = read(spark, folder, "pages").select(
+        "page_id",
+        url_filter.url_host(F.col("url")).alias("host"),
+        site_lines.html_lines(F.col("html")).alias("text"),
+    )
+    return site_lines.drop_site_lines(pages, "host")
+
+
 def op4_cost_packing(spark: SparkSession, folder: str) -> DataFrame:
     """``documents`` in sequences of 1,024 tokens and of even cost."""
     return cost_pack.pack(read(spark, folder, "documents"))
@@ -111,7 +148,9 @@ def op10_hilbert_shards(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_warc_fixity": op1_warc_fixity,
     "op2_quality_rules": op2_quality_rules,
+    "op3_site_lines": op3_site_lines,
     "op4_cost_packing": op4_cost_packing,
     "op5_decontamination": op5_decontamination,
     "op6_url_filter": op6_url_filter,
