@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from changelens.llm import best_fit, cost_pack, decontam, fixity, hilbert, pii, quality, site_lines, url_filter
+from changelens.llm import best_fit, cost_pack, decontam, fixity, hilbert, ngram_join, pii, quality, site_lines, url_filter
 from changelens.llm.tables import cut, read
 
 #: The rules of the URL query.
@@ -124,6 +124,13 @@ def op8_pii(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op9_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
+    """Components of ``documents`` whose three-word shingles are 90 % alike."""
+    params = ngram_join.JoinParams(words=3, percent=90)
+    found = ngram_join.near_duplicates(read(spark, folder, "documents"), params)
+    return found.select("doc_id", "n_shingles", "component_id")
+
+
 def op10_hilbert_shards(spark: SparkSession, folder: str) -> DataFrame:
     """``documents`` in 16 runs of the curve over source, language and size."""
     documents = read(spark, folder, "documents")
@@ -156,5 +163,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_url_filter": op6_url_filter,
     "op7_best_fit": op7_best_fit,
     "op8_pii": op8_pii,
+    "op9_ngram_join": op9_ngram_join,
     "op10_hilbert_shards": op10_hilbert_shards,
 }
