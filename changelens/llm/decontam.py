@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from changelens.llm.tables import cut, fresh
+from changelens.llm.tables import cut, fresh, put_back, set_apart
 from changelens.llm.words import LETTERED, Words, buffers, mixed, ranges, slices, words_of
 
 _BASE = 0xC2B2AE3D27D4EB4F | 1
@@ -194,18 +194,16 @@ def _pass(rows: DataFrame, windows: WindowSet, n_carry: int) -> DataFrame:
 
 def drop_documents(docs: DataFrame, benchmark: DataFrame, params: WindowParams = WindowParams(), text_col: str = "text") -> DataFrame:
     """The rows without a hit, with their own columns."""
-    own = fresh(docs, *["own_" + c for c in docs.columns])
-    renamed = docs.select(*[F.col(c).alias(o) for c, o in zip(docs.columns, own)])
-    scanned = scan(renamed, benchmark, params, own, own[docs.columns.index(text_col)])
-    return scanned.where("n_hit = 0").select(*[F.col(o).alias(c) for c, o in zip(docs.columns, own)])
+    apart, own = set_apart(docs)
+    scanned = scan(apart, benchmark, params, own, own[docs.columns.index(text_col)])
+    return put_back(scanned.where("n_hit = 0"), own, docs.columns)
 
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame, params: WindowParams = WindowParams(), text_col: str = "text") -> DataFrame:
     """The rows with the hit words, and what stands between them, cut out."""
-    own = fresh(docs, *["own_" + c for c in docs.columns])
-    renamed = docs.select(*[F.col(c).alias(o) for c, o in zip(docs.columns, own)])
+    apart, own = set_apart(docs)
     text = own[docs.columns.index(text_col)]
-    scanned = scan(renamed, benchmark, params, own, text)
+    scanned = scan(apart, benchmark, params, own, text)
     raw = F.col(text).cast("binary")
     ends = F.concat(F.array(F.lit(0).cast("long")), F.col("spans"), F.array(F.octet_length(text).cast("long")))
     kept = F.transform(
@@ -213,6 +211,5 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame, params: WindowParams = W
         lambda i: F.substring(raw, ends[2 * i].cast("int") + 1, (ends[2 * i + 1] - ends[2 * i]).cast("int")),
     )
     joined = F.aggregate(kept, F.lit(b""), lambda a, x: F.concat(a, x)).cast("string")
-    return scanned.withColumn(text, F.when(F.size("spans") > 0, joined).otherwise(F.col(text))).select(
-        *[F.col(o).alias(c) for c, o in zip(docs.columns, own)]
-    )
+    cleaned = scanned.withColumn(text, F.when(F.size("spans") > 0, joined).otherwise(F.col(text)))
+    return put_back(cleaned, own, docs.columns)

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from changelens.llm.tables import cut, fresh
+from changelens.llm.tables import cut, fresh, put_back, set_apart
 
 SPACES = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
@@ -116,25 +116,29 @@ def with_stats(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """
     added = (*STATS, "n_lines", "n_capitals", "n_exclamations")
     text = F.coalesce(F.col(text_col), F.lit(""))
-    words, lines = fresh(docs, "stat_words", "stat_lines")
-    flat = F.translate(text, SPACES, " " * len(SPACES))
-    with_arrays = docs.drop(*[c for c in added if c != text_col]).withColumns(
-        {
-            words: F.array_remove(F.split(flat, " "), ""),
-            lines: F.filter(F.split(text, "\n"), lambda x: F.btrim(x, F.lit(SPACES)) != ""),
+    words = F.array_remove(F.split(F.translate(text, SPACES, " " * len(SPACES)), " "), "")
+    lines = F.filter(F.split(text, "\n"), lambda x: F.btrim(x, F.lit(SPACES)) != "")
+    parts = F.struct(text.alias("text"), words.alias("words"), lines.alias("lines"))
+
+    def stats(part: Column) -> Column:
+        values = {
+            "n_words": F.size(part["words"]),
+            "word_chars": F.length(F.translate(part["text"], SPACES, "")),
+            "n_symbols": _count_of(part["text"], SYMBOLS),
+            "n_dup_lines": F.size(part["lines"]) - F.size(F.array_distinct(part["lines"])),
+            "n_repeat_words": repeated_words(part["words"]),
+            "n_lines": F.size(part["lines"]),
+            "n_capitals": _count_of(part["text"], CAPITALS),
+            "n_exclamations": _count_of(part["text"], "!"),
         }
-    )
-    stats = {
-        "n_words": F.size(words),
-        "word_chars": F.length(F.translate(text, SPACES, "")),
-        "n_symbols": _count_of(text, SYMBOLS),
-        "n_dup_lines": F.size(lines) - F.size(F.array_distinct(lines)),
-        "n_repeat_words": repeated_words(F.col(words)),
-        "n_lines": F.size(lines),
-        "n_capitals": _count_of(text, CAPITALS),
-        "n_exclamations": _count_of(text, "!"),
-    }
-    return with_arrays.withColumns({k: v.cast("long") for k, v in stats.items()}).drop(words, lines)
+        return F.struct(*[v.cast("long").alias(k) for k, v in values.items()])
+
+    # one element, so one row; a filter on its fields stays above, and the
+    # optimizer can't copy the work into it
+    (one,) = fresh(docs, "text_stats")
+    kept = [F.col(c) for c in docs.columns if c not in added or c == text_col]
+    row = docs.select(*kept, F.explode_outer(F.transform(F.array(parts), stats)).alias(one))
+    return row.select(*kept, *[F.col(one)[name].alias(name) for name in added])
 
 
 def base_failed(params: RiskParams) -> Column:
@@ -301,5 +305,8 @@ def judge(
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, params: RiskParams = RiskParams()) -> DataFrame:
-    """The rows that ``judge`` keeps, with their own columns."""
-    return judge(docs, labels, params).where("kept").select(*docs.columns)
+    """The rows of ``documents`` that ``judge`` keeps, with their own columns."""
+    apart, own = set_apart(docs)
+    doc_id, text, lang = (own[docs.columns.index(c)] for c in ("doc_id", "text", "lang"))
+    ids = labels.select(F.col("doc_id").alias(doc_id), "quality")
+    return put_back(judge(apart, ids, params, doc_id, text, lang).where("kept"), own, docs.columns)

@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from changelens.llm.tables import cut, fresh
+from changelens.llm.tables import cut, fresh, put_back, set_apart
 
 SPACES = " \t\n\x0b\x0c\r"
 
@@ -25,7 +25,7 @@ class SiteParams:
     ``broadcast_bytes`` is sent to all executors; more is joined by shuffling,
     with each site dealt to ``salts`` parts."""
 
-    max_ratio: float = 0.05
+    max_ratio: float = 0.1
     min_pages: int = 20
     broadcast_bytes: int = 32 << 20
     salts: int = 64
@@ -111,6 +111,13 @@ def drop_site_lines(
     )
 
 
+def clean_texts(pages: DataFrame, site_col: str, text_col: str = "text", params: SiteParams = SiteParams()) -> DataFrame:
+    """The rows with their own columns, texts as of ``drop_site_lines``."""
+    apart, own = set_apart(pages)
+    site, text = own[pages.columns.index(site_col)], own[pages.columns.index(text_col)]
+    return put_back(drop_site_lines(apart, site, text, params), own, pages.columns)
+
+
 def html_lines(html: Column) -> Column:
     """Text of a page, a line for each block; scripts and styles left out."""
     quiet = F.regexp_replace(html, r"(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<!--.*?-->", "")

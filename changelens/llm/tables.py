@@ -50,3 +50,13 @@ def fresh(df: DataFrame, *wanted: str) -> list[str]:
         taken.add(name.lower())
         names.append(name)
     return names
+
+
+def set_apart(df: DataFrame) -> tuple[DataFrame, list[str]]:
+    """The rows under column names that no operator adds; undo with ``put_back``."""
+    own = fresh(df, *[f"own_{i}_{c}" for i, c in enumerate(df.columns)])
+    return df.toDF(*own), own
+
+
+def put_back(df: DataFrame, own: list[str], names: list[str]) -> DataFrame:
+    return df.select(*own).toDF(*names)
