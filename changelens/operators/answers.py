@@ -76,9 +76,9 @@ def title_errors(title: str) -> str:
     """What is wrong with a title, as an array."""
     length = utf16_length(title)
     return texts(
-        when(f"{length} > {fixed.TITLE_MAX}", f"'Title exceeds {fixed.TITLE_MAX} characters'"),
-        when(f"{length} < {fixed.TITLE_MIN}", f"'Title is too short (minimum {fixed.TITLE_MIN} characters)'"),
-        when(f"NOT {title} rlike {quote(_CONVENTIONAL)}", "'Title does not follow conventional commit format'"),
+        when(f"{length} > {fixed.TITLE_MAX}", quote(fixed.TITLE_ERRORS["long"])),
+        when(f"{length} < {fixed.TITLE_MIN}", quote(fixed.TITLE_ERRORS["short"])),
+        when(f"NOT {title} rlike {quote(_CONVENTIONAL)}", quote(fixed.TITLE_ERRORS["format"])),
     )
 
 
@@ -100,8 +100,6 @@ def titles(parsed: DataFrame) -> DataFrame:
 
 # --- descriptions ----------------------------------------------------------------------------
 
-_BREAKING = r"breaking change[s]?:?\s*\n?-?\s*"
-
 
 def _section(heading: str) -> str:
     pattern = java(rf"##\s*{heading}\s*\n([\s\S]*?)(?=##|$)", ignore_case=True)
@@ -112,8 +110,8 @@ def descriptions(parsed: DataFrame) -> DataFrame:
     """One row per usable description answer: ``change_id, what_changed,
     why_changed, impact, breaking_changes``; without sections all text is what changed."""
     rows = parsed.where("kind = 'description' AND status = 'ok'")
-    prefix = quote(r"\A" + java(_BREAKING, ignore_case=True))
-    found = all_matches("text", java(_BREAKING + "(.+)", ignore_case=True))
+    prefix = quote(r"\A" + java(fixed.BREAKING_CHANGE, ignore_case=True))
+    found = all_matches("text", java(fixed.BREAKING_CHANGE + "(.+)", ignore_case=True))
     plain = trim(f"regexp_replace(m, {prefix}, '')")
     return rows.selectExpr(
         "change_id",
@@ -185,7 +183,7 @@ def suggestions(chosen: DataFrame, parsed: DataFrame, include_snippets: bool = T
     framework, priority``.
 
     A change set with a failed or missing answer has none.  An answer without
-    any block gives two general suggestions.
+    any block gives two general suggestions.  The files are read once.
     """
     answers = parsed.where("kind = 'tests'").selectExpr(
         "change_id", "file_idx", "if(status = 'ok', text, null) AS _answer"
@@ -202,26 +200,30 @@ def suggestions(chosen: DataFrame, parsed: DataFrame, include_snippets: bool = T
     body = "regexp_extract(_b, " + quote(r"```(?:[0-9A-Za-z_]+)?\n([\s\S]*?)```") + ", 1)"
     snippet = f"if({body} <> '', {trim(body)}, {trim('_b')})" if include_snippets else "cast(null as string)"
     said = first_match("_b", r"""it\(['"]([^'"]+)['"]""", 1)
+    # an answer without blocks has two empty ones, which stand for the general suggestions
+    blocks = answered.selectExpr(
+        *keep, "path", "framework", "size(_blocks) = 0 AS _general",
+        "if(size(_blocks) = 0, array('', ''), _blocks) AS _some",
+    )
+    rows = each_with_position(blocks, [*keep, "path", "framework", "_general"], "_some", "block_idx", "_b")
+
+    def general(values: list[str]) -> str:
+        return f"element_at(array({', '.join(values)}), cast(block_idx as int) + 1)"
+
+    told = [f"concat('Test ', path, ' {what}')" for what, _, _ in fixed.GENERAL_SUGGESTIONS]
+    how = [f"'{text}'" for _, text, _ in fixed.GENERAL_SUGGESTIONS]
+    rank = [f"{priority}L" for _, _, priority in fixed.GENERAL_SUGGESTIONS]
     priorities = " ".join(f"WHEN '{k}' THEN {v}L" for k, v in fixed.PRIORITY_BY_TEST_TYPE.items())
-    found = each_with_position(answered, [*keep, "framework"], "_blocks", "block_idx", "_b").selectExpr(
+    return rows.selectExpr(
         *keep,
         "block_idx",
-        f"{test_type('_b')} AS type",
-        f"coalesce({said}, 'Test case') AS description",
-        f"{scenario('_b')} AS scenario",
-        f"{snippet} AS code_snippet",
+        f"if(_general, 'unit', {test_type('_b')}) AS type",
+        f"if(_general, {general(told)}, coalesce({said}, 'Test case')) AS description",
+        f"if(_general, {general(how)}, {scenario('_b')}) AS scenario",
+        f"if(_general, null, {snippet}) AS code_snippet",
         "framework",
-        f"CASE type {priorities} END AS priority",
-    )
-    general = [("functionality", "Verify core functionality works as expected", 4),
-               ("edge cases", "Handle edge cases and error conditions", 3)]
-    rows = ", ".join(
-        f"named_struct('block_idx', {i}L, 'type', 'unit', 'description', concat('Test ', path, ' {what}'),"
-        f" 'scenario', '{how}', 'code_snippet', cast(null as string), 'framework', framework, 'priority', {priority}L)"
-        for i, (what, how, priority) in enumerate(general)
+        f"if(_general, {general(rank)}, CASE type {priorities} END) AS priority",
     )
-    fallback = answered.where("size(_blocks) = 0").selectExpr(*keep, f"inline(array({rows}))")
-    return found.unionByName(fallback)
 
 
 def combine(suggested: DataFrame) -> DataFrame:
@@ -233,11 +235,17 @@ def combine(suggested: DataFrame) -> DataFrame:
     return suggested.selectExpr("*", f"cast(row_number() OVER ({order}) as bigint) AS number")
 
 
-def suggestion_totals(suggested: DataFrame) -> DataFrame:
-    """``change_id, total_suggestions, n_unit, n_integration, n_e2e, coverage_improvement``."""
+def suggestion_totals(suggested: DataFrame, untestable: DataFrame | None = None) -> DataFrame:
+    """``change_id, total_suggestions, n_unit, n_integration, n_e2e,
+    coverage_improvement``; change sets of ``untestable`` (``change_id``), those
+    without a file to suggest tests for, have zeros."""
     kinds = fixed.COVERAGE_BY_TEST_TYPE
-    counted = suggested.groupBy("change_id").agg(
-        F.expr("count(*) AS total_suggestions"), *[F.expr(f"count_if(type = '{k}') AS n_{k}") for k in kinds]
+    types = suggested.select("change_id", "type")
+    if untestable is not None:
+        none = untestable.selectExpr("change_id", "cast(null as string) AS type").distinct()
+        types = types.unionByName(none)
+    counted = types.groupBy("change_id").agg(
+        F.expr("count(type) AS total_suggestions"), *[F.expr(f"count_if(type = '{k}') AS n_{k}") for k in kinds]
     )
     points = " + ".join(f"n_{k} * {p}" for k, p in kinds.items())
     return counted.selectExpr("*", f"cast(least({fixed.COVERAGE_CAP}, {points}) as bigint) AS coverage_improvement")

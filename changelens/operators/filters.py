@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from changelens.functions import paths
+from changelens.functions.rows import first_n
 from changelens.functions.sql import let, sums_before
-from changelens.operators.parse import FILE_KEY, additions_sql
+from changelens.operators.parse import additions_sql
 
 
 def include(files: DataFrame, patterns: Sequence[str]) -> DataFrame:
@@ -76,6 +77,4 @@ def contains_file(files: DataFrame, wanted: DataFrame) -> DataFrame:
 
 def file_by_path(files: DataFrame, path: str) -> DataFrame:
     """The first file of that path in every change set that has one."""
-    rows = files.where(F.col("path") == path)
-    first = rows.groupBy("change_id").agg(F.min("file_idx").alias("file_idx"))
-    return rows.join(first, FILE_KEY, "left_semi")
+    return first_n(files.where(F.col("path") == path), 1, ["change_id"], ["file_idx"]).drop("rank")

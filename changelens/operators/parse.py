@@ -39,6 +39,9 @@ _NEW_PATH = rf"^\+\+\+ b/({JAVA_LINE_CHAR}+)$"
 def split_files(diffs: DataFrame) -> DataFrame:
     """One row per emitted file: the diff row's columns plus ``file_idx, segment, marks``.
 
+    ``file_idx`` orders a change set's files and is unique where ``part_idx`` is;
+    it is no dense number.
+
     ``marks`` holds the path, binary and hunk lines alone: one pass over the
     text finds them, and all that is read off them later works on a short text.
     Both come out of a generator, so no filter on something derived from them
@@ -50,7 +53,9 @@ def split_files(diffs: DataFrame) -> DataFrame:
         " 'marks', array_join(regexp_extract_all(s, {marks}, 0), '\\n')))"
     ).format(pieces=pieces, marks=quote(r"(?md)^(?:--- |\+\+\+ |Binary files |@@)[^\n]*"))
     emitted = f"filter({marked}, f -> f.marks rlike {quote(f'(?md)^{_HUNK}')})"
-    part = "coalesce(cast(part_idx as bigint), 0L)" if "part_idx" in diffs.columns else "0L"
+    if "part_idx" not in diffs.columns:
+        raise ValueError("diffs need a part_idx, unique for each change set")
+    part = "coalesce(cast(part_idx as bigint), raise_error('a part_idx is null'))"
     keep = [c for c in diffs.columns if c not in ("diff_text", "part_idx")]
     rows = each_with_position(diffs, [*keep, f"{part} AS _part"], emitted, "_pos", "_f")
     return rows.selectExpr(

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from changelens.functions import fixed, paths
 from changelens.functions.regex import java
-from changelens.functions.rows import first_n, joined_in_cells
+from changelens.functions.rows import first_n
 from changelens.functions.sql import quote
 from changelens.functions.template import around, fill, number_text
 from changelens.functions.text import texts, when
@@ -84,22 +84,47 @@ def security_issues() -> str:
 # --- prompts ------------------------------------------------------------------------------
 
 
-def _in_cells(
-    rows: DataFrame, context: DataFrame, template: str, values: dict[str, str], kind: str, line: str, separator: str
+#: What stands between two files in a prompt.
+SEPARATORS = {"title": ", ", "description": "\n"}
+#: Number of the piece after the files.
+LAST_PIECE = (1 << 63) - 1
+
+
+def _in_pieces(
+    rows: DataFrame, context: DataFrame, template: str, values: dict[str, str], kind: str, line: str
 ) -> DataFrame:
-    """A prompt whose ``{{files}}`` lists all files: ``change_id, kind, cell_no, prompt``.
+    """A prompt whose ``{{files}}`` lists all files, a piece for each:
+    ``change_id, kind, piece_no, prompt``.
 
-    One cell holds the whole prompt of all but huge change sets; the cells of
-    one prompt joined in order are the prompt.
+    Piece 0 is what stands before the files, ``LAST_PIECE`` what stands after
+    them.  ``assemble`` puts them together.
     """
     before, after = around(template, "files")
-    cells = joined_in_cells(rows, ["change_id"], "file_idx", line, separator)
-    prompt = f"concat(if(is_first, {fill(before, values)}, {quote(separator)}), text, if(is_last, {fill(after, values)}, ''))"
-    return cells.join(context, "change_id").selectExpr("change_id", f"'{kind}' AS kind", "cell_no", f"{prompt} AS prompt")
+    ends = context.selectExpr(
+        "change_id", f"stack(2, 0L, {fill(before, values)}, {LAST_PIECE}L, {fill(after, values)}) AS (piece_no, prompt)"
+    )
+    files = rows.selectExpr("change_id", "file_idx + 1 AS piece_no", f"{line} AS prompt")
+    return ends.unionByName(files).selectExpr("change_id", f"'{kind}' AS kind", "piece_no", "prompt")
+
+
+def assemble(pieces: DataFrame) -> DataFrame:
+    """Whole prompts of the pieces: ``change_id, kind, prompt``.
+
+    One value holds all of a prompt, so this is for change sets whose file lists
+    a model could take in; choose them first where others occur.
+    """
+    kinds = " ".join(f"WHEN '{k}' THEN {quote(s)}" for k, s in SEPARATORS.items())
+    ordered = "array_sort(collect_list(struct(piece_no, prompt)))"
+    joined = (
+        f"concat(element_at(p, 1).prompt, array_join(transform(slice(p, 2, greatest(size(p) - 2, 0)), x -> x.prompt),"
+        f" CASE kind {kinds} END), element_at(p, -1).prompt)"
+    )
+    rows = pieces.groupBy("change_id", "kind").agg(F.expr(f"{ordered} AS p"))
+    return rows.selectExpr("change_id", "kind", f"{joined} AS prompt")
 
 
 def title_prompts(facts: DataFrame, profile: DataFrame) -> DataFrame:
-    """``change_id, kind, cell_no, prompt`` for titles."""
+    """``change_id, kind, piece_no, prompt`` for titles."""
     context = profile.join(summary.languages(facts), "change_id", "left").selectExpr(
         "change_id",
         f"{number_text('total_additions')} AS _additions",
@@ -108,11 +133,11 @@ def title_prompts(facts: DataFrame, profile: DataFrame) -> DataFrame:
         f"{main_changes()} AS _main",
     )
     values = {"additions": "_additions", "deletions": "_deletions", "languages": "_languages", "mainChanges": "_main"}
-    return _in_cells(facts, context, fixed.TITLE_PROMPT, values, "title", "path", ", ")
+    return _in_pieces(facts, context, fixed.TITLE_PROMPT, values, "title", "path")
 
 
 def description_prompts(facts: DataFrame, profile: DataFrame, options: ScanOptions = ScanOptions()) -> DataFrame:
-    """``change_id, kind, cell_no, prompt`` for descriptions."""
+    """``change_id, kind, piece_no, prompt`` for descriptions."""
     change = r"concat('File: ', path, '\n', change) AS text"
     # At most five entries per group are collected.
     keys = (
@@ -132,7 +157,7 @@ def description_prompts(facts: DataFrame, profile: DataFrame, options: ScanOptio
     )
     values = {"keyChanges": "_keys", "patterns": "_patterns", "securityIssues": "_security"}
     line = "concat('- ', path, ' (', status, '): +', additions, ' -', deletions)"
-    return _in_cells(facts, context, fixed.DESCRIPTION_PROMPT, values, "description", line, "\n")
+    return _in_pieces(facts, context, fixed.DESCRIPTION_PROMPT, values, "description", line)
 
 
 # --- test prompts: row-local, one file each ---------------------------------------------------
@@ -188,14 +213,17 @@ def test_files(testable: DataFrame, max_files: int = 5, order: str = "churn") ->
 
 
 def test_prompts(chosen: DataFrame) -> DataFrame:
-    """``change_id, kind, file_idx, prompt`` for the chosen files."""
-    prompt = fill(
-        fixed.TEST_PROMPT,
-        {
-            "file": "path",
-            "language": "test_language",
-            "functions": r"array_join(functions, '\n- ')",
-            "codeSnippets": r"array_join(snippets, '\n\n')",
-        },
-    )
-    return chosen.selectExpr("change_id", "'tests' AS kind", "file_idx", f"{prompt} AS prompt")
+    """``change_id, kind, file_idx, prompt`` for the chosen files.
+
+    Patterns of tests that are already there come in an array column
+    ``existing_patterns``, if the files have one.
+    """
+    values = {
+        "file": "path",
+        "language": "test_language",
+        "functions": r"array_join(functions, '\n- ')",
+        "codeSnippets": r"array_join(snippets, '\n\n')",
+    }
+    if "existing_patterns" in chosen.columns:
+        values["existingTestPatterns"] = r"array_join(existing_patterns, '\n- ')"
+    return chosen.selectExpr("change_id", "'tests' AS kind", "file_idx", f"{fill(fixed.TEST_PROMPT, values)} AS prompt")

@@ -1,6 +1,6 @@
 """Reports as rows.
 
-A report is lines ordered by ``section_idx, line_idx, cell_no``; only tables
+A report is lines ordered by ``section_idx, line_idx, entry_no``; only tables
 that are bounded per change set or limited to a few rows go into it.
 """
 
@@ -11,13 +11,14 @@ from functools import reduce
 from pyspark.sql import DataFrame
 
 from changelens.functions.rows import each, first_n
+from changelens.functions.sql import quote
 from changelens.functions.text import non_empty, one_decimal, round_half_up, texts, when
 from changelens.operators import risk, scan, summary
 from changelens.operators.parse import FILE_KEY
 from changelens.params import ScanOptions
 
 HEADER, RISK, CONTENT, SUMMARY, FINDINGS, TESTS, FOOTER = range(7)
-_COLUMNS = ["change_id", "section_idx", "line_idx", "cell_no", "line"]
+_COLUMNS = ["change_id", "section_idx", "line_idx", "entry_no", "line"]
 _SCORE = f"concat(overall_risk, ' (', {round_half_up('overall_score')}, '/100)')"
 
 
@@ -41,13 +42,22 @@ def _numbered(lines: str, start: str | int = 0) -> str:
     return f"transform({lines}, (x, i) -> named_struct('line_idx', {start} + cast(i as bigint), 'line', x))"
 
 
+def _in_section(section: int, *blocks: str) -> str:
+    """Arrays of (line_idx, line) as one of (section_idx, line_idx, line)."""
+    placed = f"named_struct('section_idx', {section}L, 'line_idx', cast(l.line_idx as bigint), 'line', l.line)"
+    return f"transform(concat({', '.join(blocks)}), l -> {placed})"
+
+
+def _rows(df: DataFrame, *sections: str) -> DataFrame:
+    """Report rows of arrays of (section_idx, line_idx, line), in one pass."""
+    return each(df, ["change_id"], f"concat({', '.join(sections)})", "_l").selectExpr(
+        "change_id", "_l.section_idx AS section_idx", "_l.line_idx AS line_idx", "0L AS entry_no", "_l.line AS line"
+    )
+
+
 def _lines(df: DataFrame, section: int, *blocks: str) -> DataFrame:
     """Report rows of arrays of (line_idx, line)."""
-    joined = f"concat({', '.join(blocks)})"
-    return each(df, ["change_id"], joined, "_l").selectExpr(
-        "change_id", f"{section}L AS section_idx", "cast(_l.line_idx as bigint) AS line_idx", "0L AS cell_no",
-        "_l.line AS line",
-    )
+    return _rows(df, _in_section(section, *blocks))
 
 
 def _union(*parts: DataFrame) -> DataFrame:
@@ -60,12 +70,9 @@ _HEADER = _numbered(
 )
 
 
-def header(assessment: DataFrame) -> DataFrame:
-    return _lines(assessment, HEADER, _HEADER)
-
-
-def risk_section(assessment: DataFrame, facts: DataFrame) -> DataFrame:
-    """Level, factors with up to two details each, critical issues, five recommendations."""
+def _risk_lines() -> list[str]:
+    """Level, factors with up to two details each, critical issues, and the
+    heading of the recommendations."""
     top = _numbered(f"array('## Risk Assessment', concat('**Overall Risk:** ', {_SCORE}), '### Risk Factors')")
     capitalized = "concat(upper(left(f.category, 1)), substring(f.category, 2))"
     factor = texts(
@@ -75,25 +82,31 @@ def risk_section(assessment: DataFrame, facts: DataFrame) -> DataFrame:
     )
     detail = "transform(if(f.score > 30, slice(f.details, 1, 2), array()), d -> concat('    - ', d))"
     factors = f"flatten(transform(factors, f -> {_numbered(f'concat({factor}, {detail})', 'f.factor_idx * 10 + 10')}))"
+    complex_ = quote("    - " + risk.COMPLEX_FILES)
+    listed = (
+        f"if(complexity_score > 30 AND n_complex > 0, array(named_struct('line_idx', 24L, 'line', {complex_})), array())"
+    )
     found = _numbered(
         "if(size(critical_issues) = 0, array(), concat(array('### Critical Issues'),"
         " transform(critical_issues, x -> concat('- ', x))))",
         60,
     )
-    heading = _numbered("array('### Recommendations')", 80)
-    fixed_part = _lines(assessment, RISK, top, factors, found, heading)
-    # All complex files are named, in as many cells as it takes.
+    return [top, factors, listed, found, _numbered("array('### Recommendations')", 80)]
+
+
+def risk_lists(assessment: DataFrame, facts: DataFrame) -> DataFrame:
+    """What grows with a change set: the names of all complex files, and five
+    recommendations with the entries of theirs."""
     complex_part = (
         risk.complex_file_details(facts)
         .join(assessment.where("complexity_score > 30").select("change_id"), "change_id", "left_semi")
-        .selectExpr("change_id", f"{RISK}L AS section_idx", "24L AS line_idx", "cell_no",
-                    "if(startswith(detail, 'High'), concat('    - ', detail), detail) AS line")
+        .selectExpr("change_id", f"{RISK}L AS section_idx", "24L AS line_idx", "entry_no", "path AS line")
     )
     recs = risk.recommendations(assessment, facts).where("rec_idx < 5").selectExpr(
-        "change_id", f"{RISK}L AS section_idx", "rec_idx + 81 AS line_idx", "cell_no",
-        "if(cell_no = 0, concat('- ', recommendation), recommendation) AS line",
+        "change_id", f"{RISK}L AS section_idx", "rec_idx + 81 AS line_idx", "entry_no",
+        "if(entry_no = 0, concat('- ', recommendation), recommendation) AS line",
     )
-    return _union(fixed_part, complex_part, recs)
+    return _union(complex_part, recs)
 
 
 def content_section(pr_content: DataFrame) -> DataFrame:
@@ -132,7 +145,7 @@ def summary_section(facts: DataFrame) -> DataFrame:
     )
     order = f"cast(array_position(array({names}), list) as bigint)"
     return summary.list_heads(facts, 3).where(f"list IN ({names})").selectExpr(
-        "change_id", f"{SUMMARY}L AS section_idx", f"{order} AS line_idx", "0L AS cell_no", f"{line} AS line"
+        "change_id", f"{SUMMARY}L AS section_idx", f"{order} AS line_idx", "0L AS entry_no", f"{line} AS line"
     )
 
 
@@ -141,8 +154,8 @@ def top_findings(findings: DataFrame, n: int = 5) -> DataFrame:
     return first_n(findings, n, ["change_id"], scan.severity_order())
 
 
-def findings_section(assessment: DataFrame, facts: DataFrame, options: ScanOptions = ScanOptions()) -> DataFrame:
-    """Counts and the top five findings of change sets that have any."""
+def _finding_counts() -> str:
+    """Counts of change sets that have findings, and the heading of the list."""
     counts = texts(
         "'## Security Findings'",
         "concat('**Total Issues:** ', n_findings)",
@@ -150,6 +163,11 @@ def findings_section(assessment: DataFrame, facts: DataFrame, options: ScanOptio
         when("n_critical > 0", "'**Contains critical security issues that must be fixed!**'"),
     )
     heading = _numbered("array('### Top Findings')", 10)
+    return f"if(n_findings > 0, {_in_section(FINDINGS, _numbered(counts), heading)}, array())"
+
+
+def findings_list(facts: DataFrame, options: ScanOptions = ScanOptions()) -> DataFrame:
+    """The top five findings."""
     found = top_findings(scan.explode_findings(facts, FILE_KEY, options, ["change_id"]))
     entry = texts(
         "concat(rank, '. **', type, '** (', severity, ')')",
@@ -157,10 +175,7 @@ def findings_section(assessment: DataFrame, facts: DataFrame, options: ScanOptio
         "concat('   - ', description)",
         "concat('   - Fix: ', recommendation)",
     )
-    return _union(
-        _lines(assessment.where("n_findings > 0"), FINDINGS, _numbered(counts), heading),
-        _lines(found, FINDINGS, _numbered(entry, "rank * 10 + 10")),
-    )
+    return _lines(found, FINDINGS, _numbered(entry, "rank * 10 + 10"))
 
 
 def tests_section(combined: DataFrame, totals: DataFrame) -> DataFrame:
@@ -186,7 +201,7 @@ def tests_section(combined: DataFrame, totals: DataFrame) -> DataFrame:
     )
     first = combined.where("(type = 'unit' AND number <= 3) OR (type = 'integration' AND number <= 2)")
     return _union(
-        _lines(totals, TESTS, _numbered(counts), units, integrations),
+        _lines(totals.where("total_suggestions > 0"), TESTS, _numbered(counts), units, integrations),
         _lines(first, TESTS, _numbered(entry, "number * 10 + if(type = 'unit', 10, 50)")),
     )
 
@@ -209,10 +224,6 @@ def _footer() -> str:
     return _numbered(f"concat(array('---', '## Next Steps'), CASE overall_risk {steps} END, array({time}))")
 
 
-def footer(assessment: DataFrame) -> DataFrame:
-    return _lines(assessment, FOOTER, _footer())
-
-
 def complete(
     assessment: DataFrame,
     facts: DataFrame,
@@ -221,10 +232,19 @@ def complete(
     totals: DataFrame | None = None,
     options: ScanOptions = ScanOptions(),
 ) -> DataFrame:
-    """All sections: ``change_id, section_idx, line_idx, cell_no, line``."""
-    heading = _lines(assessment, SUMMARY, _numbered("array('## Change Summary')"))
-    parts = [header(assessment), risk_section(assessment, facts), heading, summary_section(facts),
-             findings_section(assessment, facts, options), footer(assessment)]
+    """All sections: ``change_id, section_idx, line_idx, entry_no, line``.
+
+    Lines that an assessment row holds come from one projection of it.
+    """
+    fixed_lines = _rows(
+        assessment,
+        _in_section(HEADER, _HEADER),
+        _in_section(RISK, *_risk_lines()),
+        _in_section(SUMMARY, _numbered("array('## Change Summary')")),
+        _finding_counts(),
+        _in_section(FOOTER, _footer()),
+    )
+    parts = [fixed_lines, risk_lists(assessment, facts), summary_section(facts), findings_list(facts, options)]
     if pr_content is not None:
         parts.append(content_section(pr_content))
     if combined is not None and totals is not None:

@@ -2,7 +2,8 @@
 
 ``assess`` is a projection over one profile row per change set plus three
 bounded side tables.  Everything that can grow with a change set (paths in a
-detail or recommendation) is handed out as rows and text cells.
+detail or recommendation) is handed out as rows: entry 0 is a line or a list's
+heading, and the entries after it are the list, whatever its length.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from changelens.functions import fixed
-from changelens.functions.rows import each_with_position, first_n, joined_in_cells
+from changelens.functions.rows import each_with_position, first_n
 from changelens.functions.sql import quote
 from changelens.functions.text import one_decimal, round_half_up, texts, when
 from changelens.operators import summary
@@ -184,7 +185,7 @@ _SLOT = "Suggested splits: "
 
 def recommendation_array() -> str:
     """The recommendations in order as (slot, text, is_fix); the slot ``types``
-    stands for the split by file type, whose text is filled in from its cells."""
+    stands for the split by file type, whose entries are rows of their own."""
     security, complexity = "security_score > 50", "complexity_score > 50"
     rules: list[tuple[str, str]] = [
         (f"{security} AND n_critical > 0", "'🚨 CRITICAL: Fix all critical security issues before merging'"),
@@ -249,10 +250,11 @@ def assess(
         .groupBy("change_id")
         .agg(F.expr("array_join(array_sort(collect_list(struct(rank, path))).path, ', ') AS complex_head"))
     )
+    counts = summary.name_counts(facts)
     joined = (
         scored.join(head, "change_id", "left")
-        .join(summary.directory_split(facts), "change_id", "left")
-        .join(summary.type_split_marks(facts), "change_id", "left")
+        .join(summary.directory_split(counts), "change_id", "left")
+        .join(summary.type_split_marks(counts), "change_id", "left")
     )
     return _with(
         joined,
@@ -278,61 +280,84 @@ def risk_factors(assessment: DataFrame) -> DataFrame:
 
 
 def complex_file_details(facts: DataFrame) -> DataFrame:
-    """The list of all complex files as text cells: ``change_id, cell_no, detail``."""
-    files = joined_in_cells(complex_files(facts), ["change_id"], "file_idx", "path", ", ")
-    return files.selectExpr(
-        "change_id", "cell_no", "concat(if(is_first, 'High complexity files: ', ', '), text) AS detail"
-    )
+    """The entries of the list of complex files: ``change_id, entry_no, path``."""
+    return complex_files(facts).selectExpr("change_id", "file_idx + 1 AS entry_no", "path")
+
+
+COMPLEX_FILES = "High complexity files: "
 
 
 def risk_details(assessment: DataFrame, facts: DataFrame) -> DataFrame:
-    """What stands behind each factor: ``change_id, factor_idx, detail_idx, cell_no, detail``.
+    """What stands behind each factor: ``change_id, factor_idx, detail_idx,
+    entry_no, detail``.
 
-    A list of all complex files or file types comes in text cells.
+    Entry 0 is the detail, or the heading of a list of all complex files or file
+    types; the entries after it are the list.
     """
     by_factor = assessment.selectExpr("change_id", "inline(factors)")
     fixed_rows = each_with_position(by_factor, ["change_id", "factor_idx"], "details", "detail_idx", "detail")
+    heading = assessment.where("n_complex > 0").selectExpr(
+        "change_id", "1L AS factor_idx", "1L AS detail_idx", "0L AS entry_no", f"{quote(COMPLEX_FILES)} AS detail"
+    )
     file_rows = complex_file_details(facts).selectExpr(
-        "change_id", "1L AS factor_idx", "1L AS detail_idx", "cell_no", "detail"
+        "change_id", "1L AS factor_idx", "1L AS detail_idx", "entry_no", "path AS detail"
     )
     large = assessment.where("is_too_large").selectExpr(
         "change_id", "if(split_directory IS NULL, 2L, 3L) AS detail_idx"
     )
     type_rows = (
-        summary.type_split(facts.join(large, "change_id", "left_semi"))
+        summary.type_split(summary.name_counts(facts))
         .join(large, "change_id")
-        .selectExpr("change_id", "2L AS factor_idx", "detail_idx", "cell_no", "text AS detail")
+        .selectExpr("change_id", "2L AS factor_idx", "detail_idx", "entry_no", "text AS detail")
     )
     return (
-        fixed_rows.selectExpr("change_id", "factor_idx", "detail_idx", "0L AS cell_no", "detail")
+        fixed_rows.selectExpr("change_id", "factor_idx", "detail_idx", "0L AS entry_no", "detail")
+        .unionByName(heading)
         .unionByName(file_rows)
         .unionByName(type_rows)
     )
 
 
+def breakdown(assessment: DataFrame, facts: DataFrame) -> DataFrame:
+    """The detailed breakdown as lines: ``change_id, factor_idx, line_no,
+    entry_no, line``.
+
+    Line 0 of a factor is its head, line 1 says that details follow, the details
+    come after it, their lists entry by entry.
+    """
+    head = risk_factors(assessment).selectExpr(
+        "change_id", "factor_idx", "stack(2, 0L, breakdown_text, 1L, 'Details:') AS (line_no, line)"
+    )
+    details = risk_details(assessment, facts).selectExpr(
+        "change_id", "factor_idx", "detail_idx + 2 AS line_no", "entry_no",
+        "if(entry_no = 0, concat('  - ', detail), detail) AS line",
+    )
+    return head.selectExpr("change_id", "factor_idx", "line_no", "0L AS entry_no", "line").unionByName(details)
+
+
 # --- recommendations --------------------------------------------------------------------
 
 
 def _filled(assessment: DataFrame, facts: DataFrame, items: str, idx: str, name: str) -> DataFrame:
-    """Recommendation rows with the type split put in, cell by cell."""
+    """Recommendation rows; the split by type comes as a heading and its entries."""
     rows = each_with_position(assessment, ["change_id"], items, idx, "_r")
-    plain = rows.where("_r.slot = 'text'").selectExpr("change_id", idx, "0L AS cell_no", f"_r.text AS {name}")
+    plain = rows.where("_r.slot = 'text'").selectExpr("change_id", idx, "0L AS entry_no", f"_r.text AS {name}")
     slots = rows.where("_r.slot = 'types'").selectExpr("change_id", idx, "_r.text AS _prefix")
-    cells = summary.type_split(facts.join(slots, "change_id", "left_semi"))
-    filled = slots.join(cells, "change_id").selectExpr(
-        "change_id", idx, "cell_no", f"if(startswith(text, 'Split by type: '), concat(_prefix, text), text) AS {name}"
+    entries = summary.type_split(summary.name_counts(facts))
+    filled = slots.join(entries, "change_id").selectExpr(
+        "change_id", idx, "entry_no", f"if(entry_no = 0, concat(_prefix, text), text) AS {name}"
     )
     return plain.unionByName(filled)
 
 
 def recommendations(assessment: DataFrame, facts: DataFrame) -> DataFrame:
-    """``change_id, rec_idx, cell_no, recommendation`` in order of the rules."""
+    """``change_id, rec_idx, entry_no, recommendation`` in order of the rules."""
     return _filled(assessment, facts, "recommendations", "rec_idx", "recommendation")
 
 
 def quick_fixes(assessment: DataFrame, facts: DataFrame) -> DataFrame:
     """The first three recommendations that fix, remove or add something:
-    ``change_id, fix_idx, cell_no, quick_fix``."""
+    ``change_id, fix_idx, entry_no, quick_fix``."""
     fixes = "slice(filter(recommendations, r -> r.is_fix), 1, 3)"
     return _filled(assessment, facts, fixes, "fix_idx", "quick_fix")
 

@@ -7,13 +7,14 @@ from pyspark.sql import functions as F
 
 from changelens.functions import fixed, paths
 from changelens.functions.regex import SPACE_CHARS
-from changelens.functions.rows import each, first_n, joined_in_cells
+from changelens.functions.rows import each, first_n
 from changelens.functions.sql import quote
 from changelens.functions.text import trim
 from changelens.operators import scan
 from changelens.operators.parse import FILE_KEY
 from changelens.operators.scan import file_findings, severity_count
 from changelens.params import ScanOptions
+from changelens.sources.tables import cut
 
 
 def with_metadata(files: DataFrame) -> DataFrame:
@@ -167,9 +168,16 @@ def list_heads(facts: DataFrame, n: int = 3) -> DataFrame:
 
 
 def path_list_texts(facts: DataFrame) -> DataFrame:
-    """Every list as text cells: ``change_id, list, cell_no, text``."""
-    rows = joined_in_cells(path_lists(facts), ["change_id", "list"], "file_idx", "path", ", ")
-    return rows.select("change_id", "list", "cell_no", "text")
+    """Every list as the entries of a text: ``change_id, list, file_idx, text``.
+
+    The text of a list are its entries in the order of ``file_idx``, put together;
+    each but the first brings its separator.
+    """
+    rows = path_lists(facts)
+    first = rows.groupBy("change_id", "list").agg(F.min("file_idx").alias("_first"))
+    return rows.join(first, ["change_id", "list"]).selectExpr(
+        "change_id", "list", "file_idx", "if(file_idx = _first, path, concat(', ', path)) AS text"
+    )
 
 
 def languages(files: DataFrame) -> DataFrame:
@@ -195,16 +203,29 @@ def group_counts(files: DataFrame, by: str) -> DataFrame:
     )
 
 
+def name_counts(files: DataFrame) -> DataFrame:
+    """Files per directory and per extension: ``change_id, by, name, n_files, first``."""
+    names = (
+        f"array(named_struct('by', 'directory', 'name', {paths.directory()}),"
+        f" named_struct('by', 'extension', 'name', {paths.extension()}))"
+    )
+    return (
+        each(files, ["change_id", "file_idx"], names, "_n")
+        .groupBy("change_id", F.expr("_n.by AS by"), F.expr("_n.name AS name"))
+        .agg(F.expr("count(*) AS n_files"), F.expr("min(file_idx) AS first"))
+    )
+
+
 _LABEL = "concat(name, ' (', n_files, ' files)')"
 
 
-def directory_split(files: DataFrame) -> DataFrame:
+def directory_split(counts: DataFrame) -> DataFrame:
     """The split by the three largest directories, for change sets with several:
-    ``change_id, split_directory``."""
+    ``change_id, split_directory``.  ``counts`` are those of ``name_counts``."""
     labels = f"array_sort(collect_list(struct(rank, {_LABEL} AS label))).label"
     # At most three entries per group are collected; two or more mean several directories.
     return (
-        first_n(group_counts(files, "directory"), 3, ["change_id"], ["n_files DESC", "first"])
+        first_n(counts.where("by = 'directory'"), 3, ["change_id"], ["n_files DESC", "first"])
         .groupBy("change_id")
         .agg(F.expr("count(*) AS _n"), F.expr(f"concat('Split by directory: ', array_join({labels}, ', ')) AS split_directory"))
         .where("_n > 1")
@@ -212,11 +233,11 @@ def directory_split(files: DataFrame) -> DataFrame:
     )
 
 
-def type_split_marks(files: DataFrame) -> DataFrame:
+def type_split_marks(counts: DataFrame) -> DataFrame:
     """Change sets that can be split by type: ``change_id, split_type_fix`` (does
     the text name a quick fix)."""
     return (
-        group_counts(files, "extension")
+        counts.where("by = 'extension'")
         .groupBy("change_id")
         .agg(F.expr("count(*) AS _n"), F.expr("max(name rlike 'Fix|Remove|Add') AS split_type_fix"))
         .where("_n > 1")
@@ -224,20 +245,31 @@ def type_split_marks(files: DataFrame) -> DataFrame:
     )
 
 
-def type_split(files: DataFrame) -> DataFrame:
-    """The split by file type in first-seen order as text cells: ``change_id, cell_no, text``."""
-    counts = group_counts(files, "extension")
-    several = counts.groupBy("change_id").agg(F.expr("count(*) AS _n")).where("_n > 1")
-    cells = joined_in_cells(counts, ["change_id"], "first", _LABEL, ", ")
-    return cells.join(several, "change_id", "left_semi").selectExpr(
-        "change_id", "cell_no", "concat(if(is_first, 'Split by type: ', ', '), text) AS text"
+TYPE_SPLIT = "Split by type: "
+
+
+def type_split(counts: DataFrame) -> DataFrame:
+    """The split by file type: ``change_id, entry_no, text``.
+
+    Entry 0 is the heading; the types follow in first-seen order, a row each,
+    numbered by their first file.
+    """
+    types = counts.where("by = 'extension'")
+    several = types.groupBy("change_id").agg(F.expr("count(*) AS _n")).where("_n > 1").select("change_id")
+    entries = types.join(several, "change_id", "left_semi").selectExpr(
+        "change_id", "first + 1 AS entry_no", f"{_LABEL} AS text"
     )
+    return several.selectExpr("change_id", "0L AS entry_no", f"{quote(TYPE_SPLIT)} AS text").unionByName(entries)
 
 
 def split_suggestions(files: DataFrame) -> DataFrame:
-    """Ways to split each change set: ``change_id, kind, cell_no, suggestion``."""
-    by_directory = directory_split(files).selectExpr(
-        "change_id", "'directory' AS kind", "0L AS cell_no", "split_directory AS suggestion"
+    """Ways to split each change set: ``change_id, kind, entry_no, suggestion``.
+
+    The text is read once: its counts go to a table of the shared folder.
+    """
+    counts = cut(name_counts(files), "name-counts")
+    by_directory = directory_split(counts).selectExpr(
+        "change_id", "'directory' AS kind", "0L AS entry_no", "split_directory AS suggestion"
     )
-    by_type = type_split(files).selectExpr("change_id", "'type' AS kind", "cell_no", "text AS suggestion")
+    by_type = type_split(counts).selectExpr("change_id", "'type' AS kind", "entry_no", "text AS suggestion")
     return by_directory.unionByName(by_type)

@@ -66,3 +66,14 @@ class ScanOptions:
     @property
     def context_size(self) -> int:
         return self.context_lines or 2
+
+
+@dataclass(frozen=True)
+class FileChoice:
+    """Which files of a diff are looked at: staged changes only, include globs,
+    exclude globs, and the first lines of files with more changed lines (0: all)."""
+
+    staged_only: bool = False
+    include_patterns: tuple[str, ...] = ()
+    exclude_patterns: tuple[str, ...] = ()
+    max_lines_per_file: int = 0

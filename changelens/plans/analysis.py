@@ -7,76 +7,60 @@ model call between prompts and answers is the caller's.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 
 from changelens.operators import answers, filters, parse, prompts, report, risk, summary
-from changelens.params import RiskParams, ScanOptions
+from changelens.params import FileChoice, RiskParams, ScanOptions
 from changelens.sources.diffs import choose_source
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that the session names in ``spark.checkpoint.dir``.
-
-    A temporary one is set only where none is named, as in tests.
-    """
-    context = spark.sparkContext
-    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
-    if folder is None:
-        folder = tempfile.mkdtemp(prefix="checkpoint-")
-        context.setCheckpointDir(folder)
-    return folder
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Write the rows to a table in the shared folder and go on from there.
-
-    Branches that read it need only their columns, and a lost executor costs
-    none of the work before it.
-    """
-    path = f"{shared_folder(df.sparkSession).rstrip('/')}/changelens-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+from changelens.sources.tables import cut, drop_tables
 
 
 def facts_of(
-    diffs: DataFrame,
-    options: ScanOptions = ScanOptions(),
-    include_patterns: Sequence[str] = (),
-    exclude_patterns: Sequence[str] = (),
-    max_lines_per_file: int = 0,
+    diffs: DataFrame, options: ScanOptions = ScanOptions(), choice: FileChoice = FileChoice()
 ) -> DataFrame:
     """Diff rows to thin facts per file, in one row-local pass."""
-    files = filters.apply_filters(
-        parse.parse_files(diffs), include_patterns, exclude_patterns, max_lines_per_file
+    return summary.file_facts(_files(diffs, choice), options)
+
+
+def _files(diffs: DataFrame, choice: FileChoice) -> DataFrame:
+    return filters.apply_filters(
+        parse.parse_files(diffs), choice.include_patterns, choice.exclude_patterns, choice.max_lines_per_file
     )
-    return summary.file_facts(files, options)
 
 
 def quick_summary(
-    diffs: DataFrame, params: RiskParams = RiskParams(), options: ScanOptions = ScanOptions()
+    diffs: DataFrame,
+    params: RiskParams = RiskParams(),
+    options: ScanOptions = ScanOptions(),
+    choice: FileChoice = FileChoice(),
 ) -> DataFrame:
     """Choose the source, parse, scan, assess: ``change_id, compact_text``.
 
     Blank diffs and diffs without any file give no row.
     """
-    facts = facts_of(choose_source(diffs), options)
+    facts = facts_of(choose_source(diffs, choice.staged_only), options, choice)
     scored = risk.scores(summary.profile(facts, options), params)
     return report.compact(scored)
 
 
 @dataclass(frozen=True)
 class Prepared:
-    """What the first half of a full analysis leaves for the second."""
+    """What the first half of a full analysis leaves for the second.
+
+    ``tables`` are the paths of its intermediate tables; ``drop`` removes them
+    when the second half is done.
+    """
 
     facts: DataFrame
     assessment: DataFrame
     chosen: DataFrame
     prompts: DataFrame
+    tables: list[str] = field(default_factory=list)
+
+    def drop(self) -> None:
+        drop_tables(self.facts.sparkSession, self.tables)
 
 
 def prepare(
@@ -84,20 +68,26 @@ def prepare(
     params: RiskParams = RiskParams(),
     options: ScanOptions = ScanOptions(),
     max_test_files: int = 5,
+    choice: FileChoice = FileChoice(),
 ) -> Prepared:
     """Facts, assessment and prompts; write ``prompts`` out for batch inference.
 
-    ``prompts`` has ``change_id, kind, file_idx, cell_no, prompt``.
+    ``prompts`` has ``change_id, kind, file_idx, piece_no, prompt``: a prompt for
+    tests in one piece, those for titles and descriptions in the pieces that
+    ``prompts.assemble`` puts together.
     """
-    files = parse.parse_files(choose_source(diffs))
-    facts = cut(summary.file_facts(files, options, more=prompts.test_context()))
-    assessment = cut(risk.assess(facts, params, options))
+    tables: list[str] = []
+    files = _files(choose_source(diffs, choice.staged_only), choice)
+    facts = cut(summary.file_facts(files, options, more=prompts.test_context()), "facts", tables)
+    assessment = cut(risk.assess(facts, params, options), "assessment", tables)
     chosen = prompts.test_files(facts.where("is_testable"), max_test_files, order="churn")
     by_change = prompts.title_prompts(facts, assessment).unionByName(
         prompts.description_prompts(facts, assessment, options)
     )
-    by_file = prompts.test_prompts(chosen)
-    return Prepared(facts, assessment, chosen, by_change.unionByName(by_file, allowMissingColumns=True))
+    by_file = prompts.test_prompts(chosen).selectExpr("*", "0L AS piece_no")
+    return Prepared(
+        facts, assessment, chosen, by_change.unionByName(by_file, allowMissingColumns=True), tables
+    )
 
 
 def complete_report(
@@ -121,8 +111,6 @@ def complete_report(
 
 
 def analyze(diffs: DataFrame, responses: DataFrame | None = None, params: RiskParams = RiskParams(),
-            options: ScanOptions = ScanOptions()) -> DataFrame:
+            options: ScanOptions = ScanOptions(), choice: FileChoice = FileChoice()) -> DataFrame:
     """Both halves in one go, for diffs whose answers are already there."""
-    return complete_report(prepare(diffs, params, options), responses, options)
-
-
+    return complete_report(prepare(diffs, params, options, choice=choice), responses, options)

@@ -7,6 +7,10 @@ A row of a diff table is a piece of one change set's unified diff:
 A change set may come as one row or as many; every row starts at a file
 boundary and ``part_idx`` orders the rows.  Large change sets should come in
 many rows, because one row is parsed by one task.
+
+``part_idx`` must be there, and be unique for each change set and source: files
+are numbered by it.  ``part_faults`` lists rows that break this, and
+``choose_source`` stops on them.
 """
 
 from __future__ import annotations
@@ -17,6 +21,8 @@ from pyspark.sql import functions as F
 from changelens.functions.text import is_blank
 
 SOURCE_KINDS = ("staged", "worktree", "branch")
+PART_KEY = ["change_id", "source_kind", "part_idx"]
+FILE_MARK = "diff --git "
 
 
 def read_diffs(spark: SparkSession, path: str) -> DataFrame:
@@ -25,36 +31,65 @@ def read_diffs(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_diff_files(spark: SparkSession, path: str) -> DataFrame:
-    """A folder of ``*.diff`` files, one change set per file."""
-    files = spark.read.text(path, wholetext=True).withColumn("file_name", F.input_file_name())
-    return files.select(
-        F.col("file_name").alias("change_id"),
-        F.lit(0).cast("bigint").alias("part_idx"),
+    """A folder of ``*.diff`` files, one change set per file and one part per
+    file in it, so a large diff is read by several tasks.
+
+    The reader cuts at ``diff --git`` lines.  A part's number is the place of its
+    split in the file plus its place in the task; a split has more bytes than
+    rows, and only the last of a file shares a task, so numbers are unique and in
+    order.
+    """
+    rows = spark.read.option("lineSep", "\n" + FILE_MARK).text(path)
+    in_task = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    parts = rows.select(
+        F.col("_metadata.file_path").alias("change_id"),
+        (F.col("_metadata.file_block_start") + in_task).alias("part_idx"),
         F.lit("branch").alias("source_kind"),
         F.lit(None).cast("string").alias("base_branch"),
-        F.col("value").alias("diff_text"),
+        F.when(F.startswith("value", F.lit(FILE_MARK)), F.col("value"))
+        .otherwise(F.concat(F.lit(FILE_MARK), "value"))
+        .alias("diff_text"),
     )
+    return parts.where(F.col("diff_text") != FILE_MARK)
 
 
 def read_text_files(spark: SparkSession, path: str) -> DataFrame:
     """A folder of source files as ``path, text`` rows for the content scan."""
-    files = spark.read.text(path, wholetext=True).withColumn("path", F.input_file_name())
-    return files.select("path", F.col("value").alias("text"))
+    files = spark.read.text(path, wholetext=True)
+    return files.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+
+
+def part_faults(diffs: DataFrame) -> DataFrame:
+    """Keys that number no file or more than one row: ``change_id, source_kind,
+    part_idx, n_rows``."""
+    counts = diffs.groupBy(*PART_KEY).agg(F.count("*").alias("n_rows"))
+    return counts.where("n_rows > 1 OR part_idx IS NULL")
 
 
 def choose_source(diffs: DataFrame, staged_only: bool = False) -> DataFrame:
     """Keep, per change set, the rows of its first source that is not blank.
 
     Sources rank staged, worktree, branch.  Blank rows are dropped, so a change
-    set without any text disappears.  The rank is reduced to one thin row per
-    change set before the join, and the last source need not be looked at for
-    it; texts are only read, never aggregated.
+    set without any text disappears.  The choice is made on keys alone, and the
+    texts are then joined to the chosen keys by part, so no task gets a whole
+    change set.  A part number that is null or repeated is an error.
     """
+    if "part_idx" not in diffs.columns:
+        raise ValueError("diffs need a part_idx, unique for each change set and source")
     kinds = ", ".join(f"'{kind}'" for kind in SOURCE_KINDS)
     rows = diffs.selectExpr("*", f"array_position(array({kinds}), source_kind) AS _rank")
     rows = rows.where(f"_rank > 0 AND NOT ({is_blank('diff_text')})")
     if staged_only:
-        return rows.where("source_kind = 'staged'").drop("_rank")
-    last = len(SOURCE_KINDS)
-    best = rows.where(f"_rank < {last}").groupBy("change_id").agg(F.min("_rank").alias("_best"))
-    return rows.join(best, "change_id", "left").where(f"_rank = coalesce(_best, {last})").drop("_rank", "_best")
+        rows = rows.where("source_kind = 'staged'")
+    parts = rows.groupBy(*PART_KEY, "_rank").agg(F.count("*").alias("_n"))
+    best = parts.groupBy(F.col("change_id").alias("_change")).agg(F.min("_rank").alias("_best"))
+    once = "_n = 1 AND part_idx IS NOT NULL"
+    told = "concat('part_idx ', coalesce(part_idx, 'null'), ' of change set ', change_id, ' is not unique')"
+    chosen = (
+        parts.join(best, F.col("change_id").eqNullSafe(F.col("_change")))
+        .where("_rank = _best")
+        .where(f"if({once}, true, raise_error({told}))")
+        .selectExpr(*[f"{k} AS _{k}" for k in PART_KEY])
+    )
+    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in PART_KEY]
+    return rows.join(chosen, same[0] & same[1] & same[2], "left_semi").drop("_rank")

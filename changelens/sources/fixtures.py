@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 
 from changelens.functions.rows import FILES_PER_PART
-from changelens.sources.tables import read_table, spread
+from changelens.sources.tables import read_table
 
 
 @dataclass(frozen=True)
@@ -41,7 +41,7 @@ _PATHS = [
     "concat('test/doc_', doc_id, '.py')",
     "concat('pkg_', doc_id, '/package.json')",
     "concat('dist/doc_', doc_id, '.js')",
-    "concat('config/app_', doc_id, '.yml')",
+    "CASE WHEN doc_id % 16 = 5 THEN concat('deploy_', doc_id, '/.env') ELSE concat('config/app_', doc_id, '.yml') END",
     "concat('lib/doc_', doc_id, '.test.js')",
     "concat('Makefile_', doc_id)",
 ]
@@ -172,7 +172,7 @@ SOURCE_TEXTS = {
 
 def scan_files(spark: SparkSession, folder: str) -> DataFrame:
     """``doc_id, source, change_id, part_idx, path, text``: documents as source files."""
-    docs = spread(read_table(spark, folder, "documents").select("doc_id", "source", "text"))
+    docs = read_table(spark, folder, "documents").select("doc_id", "source", "text")
     return docs.selectExpr(*scan_files_sql(SPARK))
 
 

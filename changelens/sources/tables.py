@@ -1,7 +1,10 @@
-"""Parquet tables."""
+"""Parquet tables, and intermediate tables in the folder that a session shares."""
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterable
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -9,12 +12,41 @@ def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Use all task slots for CPU-heavy row work on a small input.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for intermediate tables: the one that the session names in
+    ``spark.checkpoint.dir``, else its warehouse, which executors share too."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    folder = named or spark.conf.get("spark.sql.warehouse.dir", None)
+    if not folder:
+        raise ValueError("name a folder that all executors share in spark.checkpoint.dir")
+    return folder.rstrip("/")
+
 
-    A few input splits would leave most slots idle; then the rows are dealt
-    out.  A large input has more splits than slots and is left as it is, so no
-    shuffle is added at scale.
+def cut(df: DataFrame, name: str = "changelens", paths: list[str] | None = None) -> DataFrame:
+    """Write the rows to a new table in the shared folder and go on from there.
+
+    A lost executor costs none of the work before it, and each reader gets the
+    same rows and only its columns.  The table's path is added to ``paths``;
+    ``drop_tables`` removes it, else it goes when the application ends.
     """
-    slots = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(slots) if df.rdd.getNumPartitions() < slots else df
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    hadoop, files = _files(spark, path)
+    files.deleteOnExit(hadoop)
+    if paths is not None:
+        paths.append(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def drop_tables(spark: SparkSession, paths: Iterable[str]) -> None:
+    for path in paths:
+        hadoop, files = _files(spark, path)
+        files.delete(hadoop, True)
+
+
+def _files(spark: SparkSession, path: str):
+    """A path and its file system, whichever store it is in."""
+    context = spark.sparkContext
+    hadoop = context._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop, hadoop.getFileSystem(context._jsc.hadoopConfiguration())

@@ -7,12 +7,13 @@ from __future__ import annotations
 
 import math
 import sys
+import tempfile
 import time
 
 import duckdb
 from pyspark.sql import SparkSession
 
-TABLE_NAMES = ["documents", "labels", "pages", "conversations"]
+TABLE_NAMES = ["documents", "labels", "pages", "conversations", "benchmark"]
 
 
 def plain(value):
@@ -59,6 +60,7 @@ def session(threads: str = "8") -> SparkSession:
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.driver.memory", "12g")
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.sql.warehouse.dir", tempfile.mkdtemp(prefix="warehouse-"))
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")

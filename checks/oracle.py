@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from changelens.functions import fixed
 from changelens.functions.regex import RE2_LINE_CHAR, RE2_SPACE, any_of, re2
-from changelens.functions.rows import FILES_PER_PART, PARTS_PER_CELL
+from changelens.functions.rows import FILES_PER_PART
 from changelens.sources import fixtures
 
 DUCK = fixtures.Dialect(
@@ -131,7 +131,7 @@ def _responses() -> str:
 
 _CATEGORY = " UNION ALL ".join(
     f"SELECT change_id, file_idx, {i} AS cat_idx, '{name}' AS category FROM facts WHERE is_critical AND ("
-    + " OR ".join(f"contains(path, {lit(w)})" for w in words) + ")"
+    + " OR ".join(f"regexp_matches(path, {lit(w)})" for w in words) + ")"
     for i, (name, words) in enumerate(fixed.CRITICAL_CATEGORIES.items())
 )
 
@@ -143,7 +143,6 @@ def _band(n: str, large: int, medium: int, most: int, half: int) -> str:
 _AT = fixed.SIZE_THRESHOLDS
 _SEVERITIES = [s.lower() for s in fixed.SEVERITY_PRIORITY]
 _W = fixed.RISK_WEIGHTS
-_CELL = FILES_PER_PART * PARTS_PER_CELL
 
 # Common tables: name -> (tables it reads, statement).
 TABLES: dict[str, tuple[tuple[str, ...], str]] = {
@@ -296,6 +295,12 @@ TABLES: dict[str, tuple[tuple[str, ...], str]] = {
         " string_agg(name || ' (' || n_files || ' files)', ', ' ORDER BY first)"
         " FROM extensions GROUP BY change_id HAVING count(*) > 1",
     ),
+    "types": (
+        ("extensions",),
+        "SELECT change_id, cast(0 AS bigint) AS entry_no, 'Split by type: ' AS text FROM extensions GROUP BY change_id"
+        " HAVING count(*) > 1 UNION ALL SELECT change_id, first + 1, name || ' (' || n_files || ' files)' FROM extensions"
+        " SEMI JOIN (SELECT change_id FROM extensions GROUP BY change_id HAVING count(*) > 1) USING (change_id)",
+    ),
     "scores": (
         ("profile", "categories", "splits", "facts"),
         "SELECT *, CASE WHEN overall_score >= 75 THEN 'HIGH' WHEN overall_score >= 40 THEN 'MEDIUM' ELSE 'LOW' END"
@@ -357,17 +362,29 @@ TABLES: dict[str, tuple[tuple[str, ...], str]] = {
         " ' low severity findings' ELSE 'Clean security scan' END AS detail FROM scores"
         " UNION ALL SELECT change_id, 0, 1, '⚠️ Contains blocking security issues' FROM scores WHERE blocking"
         f" UNION ALL SELECT change_id, 1, 0, 'Average complexity: ' || {tenths('avg_complexity')} FROM scores"
-        " UNION ALL SELECT change_id, 1, 1, 'High complexity files: ' || string_agg(path, ', ' ORDER BY file_idx)"
-        " FROM facts WHERE complexity >= 15 GROUP BY change_id"
+        " UNION ALL SELECT change_id, 1, 1, 'High complexity files: ' FROM facts WHERE complexity >= 15 GROUP BY change_id"
         " UNION ALL SELECT change_id, 2, 0, total_files || ' files changed' FROM scores"
         " UNION ALL SELECT change_id, 2, 1, '+' || total_additions || ' -' || total_deletions || ' lines' FROM scores"
         " UNION ALL SELECT change_id, 2, 2, by_directory FROM scores WHERE too_large"
-        " UNION ALL SELECT change_id, 2, 3, by_type FROM scores WHERE too_large"
+        " UNION ALL SELECT change_id, 2, 3, 'Split by type: ' FROM scores WHERE too_large AND by_type IS NOT NULL"
         " UNION ALL SELECT change_id, 3, 0, CASE WHEN n_critical_files > 0 THEN 'Categories: ' ||"
         " coalesce(categories, '') ELSE 'Changes are in non-critical areas' END FROM scores"
         " UNION ALL SELECT change_id, 3, 1, '⚠️ Affects core functionality' FROM scores"
         " WHERE n_critical_files > 0 AND core) WHERE detail IS NOT NULL",
     ),
+    "detail_entries": (
+        ("details", "facts", "types"),
+        "SELECT change_id, cast(factor_idx AS bigint) AS factor_idx, detail_idx, cast(0 AS bigint) AS entry_no, detail"
+        " FROM details UNION ALL SELECT change_id, 1, 1, file_idx + 1, path FROM facts WHERE complexity >= 15"
+        " UNION ALL SELECT t.change_id, 2, d.detail_idx, entry_no, text FROM types t JOIN details d USING (change_id)"
+        " WHERE d.detail = 'Split by type: ' AND entry_no > 0",
+    ),
+    "rec_entries": (
+        ("rec_rows", "types"),
+        "SELECT change_id, rec_idx, cast(0 AS bigint) AS entry_no, rec FROM rec_rows UNION ALL SELECT r.change_id,"
+        " rec_idx, t.entry_no, text FROM rec_rows r JOIN types t USING (change_id)"
+        " WHERE rec = 'Suggested splits: Split by type: ' AND t.entry_no > 0",
+    ),
     "rec_rows": (
         ("scores",),
         "SELECT change_id, unnest(recs) AS rec, unnest(range(len(recs))) AS rec_idx FROM (SELECT change_id, "
@@ -382,7 +399,8 @@ TABLES: dict[str, tuple[tuple[str, ...], str]] = {
             "CASE WHEN complexity_score > 50 AND n_complex > 0 THEN 'Review these files: ' || complex_head END",
             "CASE WHEN complexity_score > 50 THEN 'Add unit tests for complex logic' END",
             "CASE WHEN too_large THEN '📦 Consider splitting this PR into smaller, focused changes' END",
-            "CASE WHEN too_large THEN 'Suggested splits: ' || coalesce(by_directory, by_type) END",
+            "CASE WHEN too_large THEN 'Suggested splits: ' || coalesce(by_directory,"
+            " CASE WHEN by_type IS NOT NULL THEN 'Split by type: ' END) END",
             "CASE WHEN core THEN '🔍 Extra review needed - changes affect core functionality' END",
             "CASE WHEN core THEN 'Ensure comprehensive test coverage for critical changes' END",
             "CASE WHEN overall_risk = 'HIGH' THEN '⏰ Schedule thorough code review with senior team members' END",

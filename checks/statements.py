@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from changelens.functions import fixed
 from changelens.functions.regex import RE2_SPACE, re2
-from changelens.functions.rows import FILES_PER_PART, PARTS_PER_CELL
-from changelens.functions.template import _PART
+from changelens.functions.template import _PART, around
+from changelens.operators.prompts import LAST_PIECE
 from changelens.operators.report import _NEXT_STEPS
 from checks.oracle import (
     PATTERNS,
@@ -285,7 +285,7 @@ add(
     "SELECT change_id, file_idx, path, category FROM ("
     + " UNION ALL ".join(
         f"SELECT change_id, file_idx, path, '{name}' AS category FROM facts WHERE is_critical AND ("
-        + " OR ".join(f"contains(path, {lit(w)})" for w in words) + ")"
+        + " OR ".join(f"regexp_matches(path, {lit(w)})" for w in words) + ")"
         for name, words in fixed.CRITICAL_CATEGORIES.items()
     )
     + ")",
@@ -308,11 +308,10 @@ add(
     "profile",
 )
 add("change_path_lists", "SELECT * FROM heads", "heads")
-_CELL_SIZE = FILES_PER_PART * PARTS_PER_CELL
 add(
     "change_path_texts",
-    f"SELECT change_id, list, file_idx // {_CELL_SIZE} AS cell_no, string_agg(path, ', ' ORDER BY file_idx) AS text"
-    " FROM heads GROUP BY ALL",
+    "SELECT change_id, list, file_idx, CASE WHEN row_number() OVER (PARTITION BY change_id, list ORDER BY file_idx) = 1"
+    " THEN '' ELSE ', ' END || path AS text FROM heads",
     "heads",
 )
 add(
@@ -327,8 +326,10 @@ add("files_per_directory", "SELECT * FROM directories", "directories")
 add("files_per_extension", "SELECT * FROM extensions", "extensions")
 add(
     "split_suggestions",
-    "SELECT change_id, kind, cast(0 AS bigint) AS cell_no, suggestion FROM splits",
+    "SELECT change_id, kind, cast(0 AS bigint) AS entry_no, suggestion FROM splits WHERE kind = 'directory'"
+    " UNION ALL SELECT change_id, 'type', entry_no, text FROM types",
     "splits",
+    "types",
 )
 add("diff_findings", f"SELECT change_id, file_idx, {_FINDING} FROM diff_findings", "diff_findings")
 _before, _after = context("added", "change_id, file_idx", "")
@@ -427,30 +428,35 @@ add(
     f"SELECT change_id, factor_idx, category, {rounded('score')}, weight, {rounded('weighted_score')}, explanation FROM factors",
     "factors",
 )
-add(
-    "risk_breakdown",
-    "SELECT change_id, factor_idx, '### ' || category || ' (Weight: ' || cast(round(weight * 100) AS bigint) || '%)'"
+_HEAD = (
+    "'### ' || category || ' (Weight: ' || cast(round(weight * 100) AS bigint) || '%)'"
     f" || chr(10) || '- Score: ' || {tenths('cast(score AS double)')} || '/100' || chr(10) || '- Weighted: ' ||"
-    f" {tenths('cast(weighted_score AS double)')} || chr(10) || '- ' || explanation AS breakdown_text FROM factors",
-    "factors",
+    f" {tenths('cast(weighted_score AS double)')} || chr(10) || '- ' || explanation"
 )
 add(
-    "risk_details",
-    "SELECT change_id, cast(factor_idx AS bigint) AS factor_idx, detail_idx, cast(0 AS bigint) AS cell_no, detail"
-    " FROM details",
-    "details",
+    "risk_breakdown",
+    "SELECT change_id, cast(factor_idx AS bigint) AS factor_idx, cast(line_no AS bigint) AS line_no, entry_no, line FROM ("
+    f"SELECT change_id, factor_idx, 0 AS line_no, cast(0 AS bigint) AS entry_no, {_HEAD} AS line FROM factors"
+    " UNION ALL SELECT change_id, factor_idx, 1, 0, 'Details:' FROM factors"
+    " UNION ALL SELECT change_id, factor_idx, detail_idx + 2, entry_no,"
+    " CASE WHEN entry_no = 0 THEN '  - ' ELSE '' END || detail FROM detail_entries)",
+    "factors",
+    "detail_entries",
 )
+add("risk_details", "SELECT change_id, factor_idx, detail_idx, entry_no, detail FROM detail_entries", "detail_entries")
 add(
     "risk_recommendations",
-    "SELECT change_id, rec_idx, cast(0 AS bigint) AS cell_no, rec AS recommendation FROM rec_rows",
-    "rec_rows",
+    "SELECT change_id, rec_idx, entry_no, rec AS recommendation FROM rec_entries",
+    "rec_entries",
 )
 add(
     "risk_quick_fixes",
-    "SELECT change_id, row_number() OVER (PARTITION BY change_id ORDER BY rec_idx) - 1 AS fix_idx,"
-    " cast(0 AS bigint) AS cell_no, rec AS quick_fix FROM rec_rows WHERE contains(rec, 'Fix')"
-    " OR contains(rec, 'Remove') OR contains(rec, 'Add') QUALIFY fix_idx < 3",
+    "SELECT change_id, fix_idx, entry_no, e.rec AS quick_fix FROM (SELECT change_id, rec_idx,"
+    " row_number() OVER (PARTITION BY change_id ORDER BY rec_idx) - 1 AS fix_idx FROM rec_rows WHERE contains(rec, 'Fix')"
+    " OR contains(rec, 'Remove') OR contains(rec, 'Add') QUALIFY fix_idx < 3)"
+    " JOIN rec_entries e USING (change_id, rec_idx)",
     "rec_rows",
+    "rec_entries",
 )
 add("risk_issues", "SELECT change_id, issue_idx, issue FROM issue_rows", "issue_rows")
 add(
@@ -484,44 +490,51 @@ add(
 )
 add("key_changes", "SELECT change_id, rank, path, change FROM keyed", "keyed")
 add("security_issue_lines", "SELECT change_id, lines FROM security_lines", "security_lines")
-_FILES_TEXT = (
-    "(SELECT change_id, string_agg(path, ', ' ORDER BY file_idx) AS file_list,"
-    " string_agg('- ' || path || ' (' || status || '): +' || additions || ' -' || deletions, chr(10) ORDER BY file_idx)"
-    " AS file_lines FROM files GROUP BY change_id)"
-)
+
+
+def pieces(kind: str, text: str, values: dict[str, str], line: str, context: str) -> str:
+    """A prompt as the piece before the files, a piece for each, the one after them."""
+    before, after = around(text, "files")
+    return (
+        f"SELECT change_id, '{kind}' AS kind, cast(0 AS bigint) AS piece_no, {template(before, values)} AS prompt"
+        f" FROM {context} UNION ALL SELECT change_id, '{kind}', {LAST_PIECE}, {template(after, values)} FROM {context}"
+        f" UNION ALL SELECT change_id, '{kind}', file_idx + 1, {line} FROM files"
+    )
+
+
 add(
     "title_prompt",
-    "SELECT change_id, 'title' AS kind, cast(0 AS bigint) AS cell_no, "
-    + template(
+    pieces(
+        "title",
         fixed.TITLE_PROMPT,
         {
-            "files": "file_list",
             "additions": "CASE WHEN total_additions = 0 THEN '' ELSE cast(total_additions AS varchar) END",
             "deletions": "CASE WHEN total_deletions = 0 THEN '' ELSE cast(total_deletions AS varchar) END",
             "languages": "languages",
             "mainChanges": "main",
         },
-    )
-    + f" AS prompt FROM main_changes JOIN {_FILES_TEXT} USING (change_id) LEFT JOIN langs USING (change_id)",
+        "path",
+        "main_changes LEFT JOIN langs USING (change_id)",
+    ),
     "main_changes",
     "files",
     "langs",
 )
 add(
     "description_prompt",
-    "SELECT change_id, 'description' AS kind, cast(0 AS bigint) AS cell_no, "
-    + template(
+    pieces(
+        "description",
         fixed.DESCRIPTION_PROMPT,
         {
-            "files": "file_lines",
             "keyChanges": "keys",
             "patterns": "array_to_string(patterns, chr(10) || '- ')",
             "securityIssues": "lines",
         },
-    )
-    + f" AS prompt FROM main_changes JOIN {_FILES_TEXT} USING (change_id) JOIN security_lines USING (change_id)"
-    " JOIN (SELECT change_id, string_agg('File: ' || path || chr(10) || change, chr(10) || chr(10) ORDER BY rank)"
-    " AS keys FROM keyed GROUP BY change_id) USING (change_id)",
+        "'- ' || path || ' (' || status || '): +' || additions || ' -' || deletions",
+        "main_changes JOIN security_lines USING (change_id)"
+        " JOIN (SELECT change_id, string_agg('File: ' || path || chr(10) || change, chr(10) || chr(10) ORDER BY rank)"
+        " AS keys FROM keyed GROUP BY change_id) USING (change_id)",
+    ),
     "main_changes",
     "files",
     "security_lines",
@@ -549,10 +562,12 @@ add(
     "SELECT change_id, 'tests' AS kind, file_idx, "
     + template(
         fixed.TEST_PROMPT,
-        {"file": "path", "language": _TEST_LANGUAGE, "functions": "functions", "codeSnippets": "codes"},
+        {"file": "path", "language": _TEST_LANGUAGE, "functions": "functions", "codeSnippets": "codes",
+         "existingTestPatterns": "checks"},
     )
     + " AS prompt FROM chosen LEFT JOIN (SELECT change_id, file_idx, string_agg(name, chr(10) || '- '"
-    " ORDER BY name_idx) AS functions FROM names GROUP BY ALL) USING (change_id, file_idx)"
+    " ORDER BY name_idx) AS functions, string_agg('checks ' || name, chr(10) || '- ' ORDER BY name_idx)"
+    " FILTER (name_idx < 2) AS checks FROM names GROUP BY ALL) USING (change_id, file_idx)"
     " LEFT JOIN (SELECT change_id, file_idx, string_agg(snippet, chr(10) || chr(10) ORDER BY snippet_idx) AS codes"
     " FROM snippets GROUP BY ALL) USING (change_id, file_idx)",
     "chosen",
@@ -691,7 +706,14 @@ add(
     " FROM numbered",
     "numbered",
 )
-add("suggestion_totals", "SELECT * FROM suggestion_sums", "suggestion_sums")
+add(
+    "suggestion_totals",
+    "SELECT * FROM suggestion_sums UNION ALL SELECT DISTINCT change_id, 0, 0, 0, 0, 0 FROM files"
+    " ANTI JOIN testable USING (change_id)",
+    "suggestion_sums",
+    "files",
+    "testable",
+)
 add(
     "suggestion_texts",
     f"SELECT change_id, type, number, concat_ws({_NN}, '### ' || number || '. ' || description, '**Scenario:** ' ||"
@@ -794,13 +816,19 @@ _GENERATED = [
     lines(5, "(SELECT * FROM numbered WHERE type = 'integration' AND number <= 2)", "number * 10 + 50",
           "number || '. ' || description", "'   - ' || scenario"),
 ]
-_REPORT_TABLES = ("scores", "factors", "details", "issue_rows", "rec_rows", "heads", "diff_findings")
+_REPORT_TABLES = ("scores", "factors", "details", "issue_rows", "rec_rows", "heads", "diff_findings", "facts",
+                  "rec_entries")
+_ENTRIES = (
+    " UNION ALL SELECT change_id, 1, 24, file_idx + 1, path FROM facts SEMI JOIN (SELECT change_id FROM factors"
+    " WHERE factor_idx = 1 AND score > 30) USING (change_id) WHERE complexity >= 15"
+    " UNION ALL SELECT change_id, 1, 81 + rec_idx, entry_no, rec FROM rec_entries WHERE rec_idx < 5 AND entry_no > 0"
+)
 
 
 def _report(parts: list[str]) -> str:
     return (
         "SELECT change_id, cast(section_idx AS bigint) AS section_idx, cast(line_idx AS bigint) AS line_idx,"
-        f" cast(0 AS bigint) AS cell_no, line FROM ({' UNION ALL '.join(parts)})"
+        f" cast(0 AS bigint) AS entry_no, line FROM ({' UNION ALL '.join(parts)}){_ENTRIES}"
     )
 
 

@@ -71,10 +71,10 @@ def test_file_choice_orders(parse_text):
 def test_zero_prints_as_nothing(parse_text):
     facts = summary.file_facts(parse_text("diff --git a/x b/x\n--- a/x\n+++ b/x\n@@ -1 +1 @@\n c"))
     profile = summary.profile(facts)
-    [title] = prompts.title_prompts(facts, profile).collect()
+    [title] = prompts.assemble(prompts.title_prompts(facts, profile)).collect()
     assert "\n\nFiles changed: x\nTotal additions: \nTotal deletions: \nLanguages: \nMain changes: Modified 1 file(s)\n\n" in (
         title.prompt)
-    [description] = prompts.description_prompts(facts, profile).collect()
+    [description] = prompts.assemble(prompts.description_prompts(facts, profile)).collect()
     assert "## Detected Patterns:\nGeneral code changes\n\n\n\nRequirements:" in description.prompt
     assert "Security Issues" not in description.prompt
 
@@ -85,7 +85,7 @@ def test_description_prompt(parse_text):
         "diff --git a/b.md b/b.md\n--- a/b.md\n+++ b/b.md\n@@ -1 +1 @@\n+x\n-y"
     )
     facts = summary.file_facts(parse_text(text))
-    [row] = prompts.description_prompts(facts, summary.profile(facts)).collect()
+    [row] = prompts.assemble(prompts.description_prompts(facts, summary.profile(facts))).collect()
     assert row.prompt.startswith(
         "Generate a pull request description for the following changes:\n\n## Changed Files:\n"
         "- a.md (modified): +1 -0\n- b.md (modified): +1 -1\n\n## Key Changes:\n"
@@ -176,15 +176,39 @@ def test_one_bad_answer_leaves_a_change_set_without_suggestions(spark):
     assert answers.suggestions(chosen, responses(spark, "some text", kind="tests")).count() == 0
 
 
-def test_prompt_cells_join_to_the_whole_prompt(spark):
-    """A change set of many parts: cells in order are what one cell would be."""
+def test_prompt_pieces_join_to_the_whole_prompt(spark):
+    """One rule for a change set of one file and of many."""
     text = "diff --git a/f{0} b/f{0}\n--- a/f{0}\n+++ b/f{0}\n@@ -1 +1 @@\n+x"
     parts = [(0, i, text.format(i)) for i in range(3000)] + [(i, 0, text.format(i)) for i in range(1, 6)]
     diffs = spark.createDataFrame(parts, "change_id bigint, part_idx bigint, diff_text string").repartition(8)
     facts = summary.file_facts(parse_files(diffs))
-    rows = prompts.title_prompts(facts, summary.profile(facts)).orderBy("change_id", "cell_no").collect()
-    big = [r for r in rows if r.change_id == 0]
-    assert [r.cell_no for r in big] == [0, 1, 2]
-    whole = "".join(r.prompt for r in big)
-    assert "Files changed: " + ", ".join(f"f{i}" for i in range(3000)) + "\nTotal additions: 3000\n" in whole
-    assert len(rows) == 8
+    pieces = prompts.title_prompts(facts, summary.profile(facts))
+    assert pieces.count() == 3005 + 2 * 6
+    whole = {r.change_id: r.prompt for r in prompts.assemble(pieces).collect()}
+    assert "Files changed: " + ", ".join(f"f{i}" for i in range(3000)) + "\nTotal additions: 3000\n" in whole[0]
+    assert "Files changed: f3\nTotal additions: 1\n" in whole[3] and len(whole) == 6
+    described = prompts.assemble(prompts.description_prompts(facts, summary.profile(facts)))
+    assert "- f3 (modified): +1 -0\n" in described.where("change_id = 3").first().prompt + "\n"
+
+
+def test_existing_patterns_come_into_the_test_prompt(spark):
+    chosen = spark.createDataFrame(
+        [(1, 0, "a.py", "python", ["f"], ["s"], ["uses pytest", "has fixtures"]), (2, 0, "b.py", "python", ["f"], ["s"], [])],
+        "change_id bigint, file_idx bigint, path string, test_language string, functions array<string>,"
+        " snippets array<string>, existing_patterns array<string>",
+    )
+    said = {r.change_id: r.prompt for r in prompts.test_prompts(chosen).collect()}
+    assert "uses pytest\n- has fixtures" in said[1]
+    without = {r.change_id: r.prompt for r in prompts.test_prompts(chosen.drop("existing_patterns")).collect()}
+    assert without[1] == without[2].replace("b.py", "a.py") and said[2] == without[2]
+
+
+def test_change_sets_without_testable_files_have_zero_totals(spark):
+    chosen = spark.createDataFrame(
+        [(0, 0, 1, "a.py", "python")],
+        "change_id bigint, file_idx bigint, file_rank bigint, path string, language string",
+    )
+    suggested = answers.suggestions(chosen, responses(spark, "some text", kind="tests"))
+    none = spark.createDataFrame([(7,), (7,)], "change_id bigint")
+    rows = {r.change_id: tuple(r)[1:] for r in answers.suggestion_totals(suggested, none).collect()}
+    assert rows == {0: (1, 1, 0, 0, 5), 7: (0, 0, 0, 0, 0)}

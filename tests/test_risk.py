@@ -86,7 +86,7 @@ def test_complex_files_and_split_by_type(spark):
     facts, assessment = assessed(spark, rows)
     [a] = assessment.collect()
     assert (a.n_complex, a.max_complexity, a.complexity_score) == (5, 30.0, 100.0)
-    recs = {r.rec_idx: r.recommendation for r in risk.recommendations(assessment, facts).collect()}
+    recs = joined(risk.recommendations(assessment, facts), "rec_idx", "recommendation")
     split = "Split by type: " + ", ".join(f".e{i} (1 files)" for i in range(5))
     assert list(map(recs.get, sorted(recs)))[:5] == [
         "Consider refactoring high complexity functions",
@@ -95,10 +95,14 @@ def test_complex_files_and_split_by_type(spark):
         "📦 Consider splitting this PR into smaller, focused changes",
         "Suggested splits: " + split,
     ]
-    details = {(r.factor_idx, r.detail_idx): r.detail for r in risk.risk_details(assessment, facts).collect()}
+    details = {
+        (f, k): text
+        for f in range(4)
+        for k, text in joined(risk.risk_details(assessment, facts).where(f"factor_idx = {f}"), "detail_idx", "detail").items()
+    }
     assert details[1, 1] == "High complexity files: " + ", ".join(f"pkg/Add{i}.e{i}" for i in range(5))
     assert details[2, 2] == split
-    lines = [r.line for r in report.complete(assessment, facts).orderBy("section_idx", "line_idx", "cell_no").collect()]
+    lines = list(joined(report.complete(assessment, facts).where("section_idx = 1"), "line_idx", "line").values())
     assert "    - High complexity files: " + ", ".join(f"pkg/Add{i}.e{i}" for i in range(5)) in lines
     assert "- Suggested splits: " + split in lines
 
@@ -136,3 +140,25 @@ def test_a_limit_on_findings_limits_what_counts(spark):
     [a] = risk.assess(facts, options=ScanOptions(max_findings=2)).collect()
     assert (a.n_findings, a.n_critical, a.n_low, a.n_high) == (2, 1, 1, 0)
     assert risk.assess(facts).collect()[0].n_critical == 2
+
+
+def joined(rows, key, text):
+    """Texts by key, the entries of a list after its heading."""
+    out = {}
+    for r in rows.orderBy(key, "entry_no").collect():
+        if r.entry_no == 0:
+            out[r[key]] = r[text]
+        else:
+            out[r[key]] += ("" if out[r[key]].endswith(": ") else ", ") + r[text]
+    return out
+
+
+def test_breakdown_has_every_detail(spark):
+    facts, assessment = assessed(spark, MOCK)
+    rows = risk.breakdown(assessment, facts).orderBy("factor_idx", "line_no", "entry_no").collect()
+    by_factor = {f: [r.line for r in rows if r.factor_idx == f] for f in range(4)}
+    for f, lines in by_factor.items():
+        assert lines[0].startswith("### ") and lines[1] == "Details:" and len(lines) > 2
+        assert all(line.startswith("  - ") for line in lines[2:])
+    [a] = assessment.collect()
+    assert by_factor[2][2:4] == [f"  - {a.total_files} files changed", f"  - +{a.total_additions} -{a.total_deletions} lines"]
