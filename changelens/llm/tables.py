@@ -1,43 +1,12 @@
-"""Tables the operators read, and intermediate tables in the shared folder."""
+"""Tables the operators read, and names that don't clash."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from pyspark.sql import DataFrame
 
-from pyspark.sql import DataFrame, SparkSession
+from changelens.sources.tables import cut, read_table as read
 
-
-def read(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that the session names in ``spark.checkpoint.dir``.
-
-    A local session that names none, as in tests, gets a folder of its own for
-    the life of the session.  On a cluster that is an error: executors don't
-    share a machine's folders.
-    """
-    context = spark.sparkContext
-    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
-    if folder is None:
-        if not context.master.startswith("local["):
-            raise ValueError("name a folder that all executors share in spark.checkpoint.dir")
-        folder = tempfile.mkdtemp(prefix="checkpoint-")
-        context.setCheckpointDir(folder)
-    return folder.rstrip("/")
-
-
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """Write the rows to a new table in the shared folder and go on from there.
-
-    A lost executor costs none of the work before it, and each reader gets the
-    same rows.  The table stays until the folder is cleared.
-    """
-    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+__all__ = ["cut", "fresh", "put_back", "read", "set_apart"]
 
 
 def fresh(df: DataFrame, *wanted: str) -> list[str]:

@@ -14,6 +14,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from changelens.llm.tables import fresh
+
 WORDS = 8
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Query parameters that only track a visit.
@@ -151,7 +153,9 @@ def judge_urls(
         F.count("*"), F.coalesce(F.sum(F.octet_length("listed_url")), F.lit(0))
     ).first()
     n_blocks = max(1, -(-n_listed // params.keys_per_block))
-    bloom = build_filter(entries, "listed_url", n_blocks).withColumnRenamed("block", "bloom_block")
+    block_, listed_, *words = fresh(pages, "bloom_block", "listed_url", *[f"w{j}" for j in range(WORDS)])
+    bloom = build_filter(entries, "listed_url", n_blocks).toDF(block_, *words)
+    entries = entries.withColumnRenamed("listed_url", listed_)
     if min(n_blocks, n_listed) * (WORDS + 1) * 8 <= params.broadcast_bytes:
         bloom = F.broadcast(bloom)
     if n_bytes + 16 * n_listed <= params.broadcast_bytes:
@@ -167,20 +171,20 @@ def judge_urls(
     rule, rule_verdict = fitting_rule(F.col("host"), F.col("path"), rules)
     found = F.lit(True)
     for j, bit in enumerate(_bits(F.col("canonical_url"))):
-        found = found & (F.col(f"w{j}").bitwiseAND(bit) != 0)
+        found = found & (F.col(words[j]).bitwiseAND(bit) != 0)
     probed = (
         rows.join(
             bloom,
             F.when(F.col("canonical_url").isNotNull(), _block(F.col("canonical_url"), n_blocks))
-            == F.col("bloom_block"),
+            == F.col(block_),
             "left",
         )
         .withColumn("maybe_listed", F.coalesce(found, F.lit(False)))
-        .drop("bloom_block", *[f"w{j}" for j in range(WORDS)])
+        .drop(block_, *words)
     )
     exact = probed.join(
         entries,
-        F.when(F.col("maybe_listed"), F.col("canonical_url")) == F.col("listed_url"),
+        F.when(F.col("maybe_listed"), F.col("canonical_url")) == F.col(listed_),
         "left",
     )
     return exact.select(
@@ -190,9 +194,9 @@ def judge_urls(
         "canonical_url",
         rule.alias("rule"),
         "maybe_listed",
-        F.col("listed_url").isNotNull().alias("listed"),
+        F.col(listed_).isNotNull().alias("listed"),
         F.coalesce(
             rule_verdict,
-            F.when(F.col("listed_url").isNotNull(), F.lit("block")).otherwise(F.lit("allow")),
+            F.when(F.col(listed_).isNotNull(), F.lit("block")).otherwise(F.lit("allow")),
         ).alias("verdict"),
     )
