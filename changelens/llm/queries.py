@@ -30,10 +30,10 @@ DOCUMENT_DIMS = (
 
 def damaged_replicas(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Two replicas of the pages' archives, 512 ids to an archive.  By the
-    digest of its id a record in 97 is changed in the second, one is lost there
+    digest of its id a record in 37 is changed in the second, one is lost there
     and one is lost in the first."""
     number = F.coalesce("page_id", -1 - F.abs(F.xxhash64("url", "html") / 2).cast("long"))
-    draw = F.conv(F.substring(F.md5(F.coalesce(F.col("page_id").cast("string"), F.lit(""))), 1, 4), 16, 10).cast("long") % 97
+    draw = F.conv(F.substring(F.md5(F.coalesce(F.col("page_id").cast("string"), F.lit(""))), 1, 4), 16, 10).cast("long") % 37
     url, html = F.coalesce("url", F.lit("")), F.coalesce("html", F.lit(""))
     other = F.concat(F.translate(F.substring(html, 1, 1), "<", "("), F.substring(html, 2, 1 << 30))
     rows = pages.select(
