@@ -32,6 +32,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from changelens.llm.components import components
 from changelens.llm.tables import cut, fresh
@@ -298,7 +299,11 @@ def verified(pairs: DataFrame, classes: DataFrame, rows: DataFrame, params: Join
 
 def _entries(classes: DataFrame, params: JoinParams) -> DataFrame:
     """Prefix shingles that two classes or more have: ``token, cls, n, ask,
-    pos``, and the token's pivot with its size and position."""
+    pos, before``, and the token's pivot with its size and position.
+
+    ``before`` counts such shingles earlier in the prefix: of the others there,
+    no class that shares this one has any.
+    """
     all_ = classes.select("cls", "n", "ask", F.posexplode("prefix").alias("pos", "token"))
     shared = (
         all_.groupBy(F.col("token").alias("shared"))
@@ -307,13 +312,22 @@ def _entries(classes: DataFrame, params: JoinParams) -> DataFrame:
         .select("shared", "pivot")
     )
     joined = all_.join(shared, F.col("token") == F.col("shared"))
-    return joined.select("token", "cls", "n", "ask", "pos", "pivot")
+    earlier = Window.partitionBy("cls").orderBy("pos")
+    return joined.select(
+        "token", "cls", "n", "ask", "pos", (F.row_number().over(earlier) - 1).alias("before"), "pivot"
+    )
 
 
 def _rest(entries: DataFrame, labels: DataFrame, params: JoinParams) -> DataFrame:
-    """Pairs ``a, b`` of different components that may still be linked."""
+    """Pairs ``a, b`` of different components that may still be linked.
+
+    What two sets share is at most what was shared before a common shingle and
+    what is left from there on in the shorter one.  Of the matches that are
+    asked for, each has at most one fewer than that before it, and no more than
+    the shared shingles before it in either prefix.
+    """
     tagged = (
-        entries.select("token", "cls", "n", "ask", "pos")
+        entries.select("token", "cls", "n", "ask", "pos", "before")
         .join(labels.withColumnRenamed("node", "cls"), "cls", "left")
         .withColumn("component", F.coalesce("component", "cls"))
     )
@@ -322,8 +336,9 @@ def _rest(entries: DataFrame, labels: DataFrame, params: JoinParams) -> DataFram
         F.min("component").alias("low"), F.max("component").alias("high")
     ).where("low != high").select("mixed")
     left = tagged.join(mixed_, F.col("token") == F.col("mixed"), "left_semi")
-    x = left.select("token", *[F.col(c).alias(f"{c}_a") for c in ("cls", "n", "ask", "pos", "component")])
-    y = left.select("token", *[F.col(c).alias(f"{c}_b") for c in ("cls", "n", "ask", "pos", "component")])
+    fields = ("cls", "n", "ask", "pos", "before", "component")
+    x = left.select("token", *[F.col(c).alias(f"{c}_a") for c in fields])
+    y = left.select("token", *[F.col(c).alias(f"{c}_b") for c in fields])
     asked = F.least("ask_a", "ask_b")
     needed = _overlap_needed(F.col("n_a"), F.col("n_b"), params.percent)
     room = F.least(F.col("n_a") - F.col("pos_a"), F.col("n_b") - F.col("pos_b"))
@@ -339,7 +354,7 @@ def _rest(entries: DataFrame, labels: DataFrame, params: JoinParams) -> DataFram
         & (F.col("cls_a") < F.col("cls_b"))
         & (F.col("component_a") != F.col("component_b"))
         & (100 * F.least("n_a", "n_b") >= params.percent * F.greatest("n_a", "n_b"))
-        & (room + asked - 1 >= needed)
+        & (room + F.least("before_a", "before_b", asked - 1) >= needed)
         & within("a")
         & within("b"),
     )
