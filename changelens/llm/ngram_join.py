@@ -196,8 +196,8 @@ def described(rows: DataFrame, params: JoinParams) -> DataFrame:
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, count = sent.value
         for batch in batches:
-            n_list, digests, asks, sizes, prefixes = [], [], [], [], []
-            for _, _, data, bounds in slices(batch.column(2)):
+            for i, j, data, bounds in slices(batch.column(2)):
+                n_list, digests, asks, sizes, prefixes = [], [], [], [], []
                 first, h = shingles(data, bounds, params.words)
                 often = np.zeros(len(h), dtype=np.int64)
                 if len(key):
@@ -220,19 +220,19 @@ def described(rows: DataFrame, params: JoinParams) -> DataFrame:
                     asks.append(ask)
                     sizes.append(n - need + ask)
                     prefixes.append(own[: n - need + ask])
-            flat = np.concatenate(prefixes).view(np.int64) if prefixes else np.empty(0, np.int64)
-            ends = pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32())
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0),
-                    batch.column(1),
-                    pa.array(n_list, pa.int64()),
-                    pa.array(digests, pa.binary()),
-                    pa.array(asks, pa.int32()),
-                    pa.ListArray.from_arrays(ends, pa.array(flat)),
-                ],
-                ["rid", "doc_id", "n", "digest", "ask", "prefix"],
-            )
+                flat = np.concatenate(prefixes).view(np.int64) if prefixes else np.empty(0, np.int64)
+                ends = pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32())
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column(0).slice(i, j - i),
+                        batch.column(1).slice(i, j - i),
+                        pa.array(n_list, pa.int64()),
+                        pa.array(digests, pa.binary()),
+                        pa.array(asks, pa.int32()),
+                        pa.ListArray.from_arrays(ends, pa.array(flat)),
+                    ],
+                    ["rid", "doc_id", "n", "digest", "ask", "prefix"],
+                )
 
     return rows.mapInArrow(describe, "rid bigint, doc_id bigint, n bigint, digest binary, ask int, prefix array<bigint>")
 
@@ -257,19 +257,17 @@ def verified(pairs: DataFrame, classes: DataFrame, rows: DataFrame, params: Join
 
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            digests, sets = [], []
-            for _, _, data, bounds in slices(batch.column(1)):
+            for i, j, data, bounds in slices(batch.column(1)):
                 first, h = shingles(data, bounds, params.words)
-                for a, b in zip(first[:-1], first[1:]):
-                    sets.append(h[a:b].tobytes())
-                    digests.append(hashlib.md5(sets[-1]).digest())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(digests, pa.binary()), pa.array(sets, pa.binary())], ["rid", "digest", "members"]
-            )
+                digests = [hashlib.md5(h[a:b].tobytes()).digest() for a, b in zip(first[:-1], first[1:])]
+                sets = pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(h.view(np.int64)))
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(i, j - i), pa.array(digests, pa.binary()), sets], ["rid", "digest", "members"]
+                )
 
     sets = (
         texts.select("rid", "text")
-        .mapInArrow(sets_of, "rid bigint, digest binary, members binary")
+        .mapInArrow(sets_of, "rid bigint, digest binary, members array<bigint>")
         .join(
             F.broadcast(reps) if small else reps,
             (F.col("rid") == F.col("rep_rid")) & (F.col("digest") == F.col("rep_digest")),
@@ -278,23 +276,13 @@ def verified(pairs: DataFrame, classes: DataFrame, rows: DataFrame, params: Join
         .agg(F.first("members").alias("members"))
     )
     sets = cut(sets, "shingle-sets")
-
-    def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2), batch.column(3)):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                common = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * common >= params.percent * (len(x) + len(y) - common))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
     both = (
         pairs.select("a", "b")
         .join(sets.select(F.col("cls").alias("a"), F.col("members").alias("set_a")), "a")
         .join(sets.select(F.col("cls").alias("b"), F.col("members").alias("set_b")), "b")
-        .select("a", "b", "set_a", "set_b")
+        .select("a", "b", (F.size("set_a") + F.size("set_b")).alias("both"), F.size(F.array_intersect("set_a", "set_b")).alias("common"))
     )
-    return both.mapInArrow(linked, "a bigint, b bigint")
+    return both.where(100 * F.col("common") >= params.percent * (F.col("both") - F.col("common"))).select("a", "b")
 
 
 def _entries(classes: DataFrame, params: JoinParams) -> DataFrame:

@@ -15,8 +15,8 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text handled at a time; a longer text is handled alone.
-SLICE_BYTES = 4 << 20
-_STRETCH = 1 << 19
+SLICE_BYTES = 1 << 19
+_STRETCH = 1 << 17
 _BASE = 0x9E3779B97F4A7C15 | 1
 _MASK = (1 << 64) - 1
 
