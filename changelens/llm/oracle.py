@@ -86,7 +86,8 @@ WITH split AS (
     AS n_exclamations FROM split LEFT JOIN repeats USING (rid)
 ), holdout AS (
   SELECT s.*, good FROM stats s JOIN (SELECT doc_id, max(quality) = 1 AS good FROM labels
-    WHERE quality IS NOT NULL GROUP BY doc_id) USING (doc_id)
+    WHERE quality IS NOT NULL GROUP BY doc_id) USING (doc_id) WHERE n_words >= {_RISK.min_words}
+    AND 100 * n_repeat_words <= {_RISK.max_repeat_percent} * n_words
 ), grid(rule, level, cutoff) AS (VALUES {_GRID}), counted AS (
   SELECT stratum, rule, level, cutoff, count(*) FILTER (good) AS n, count(*) FILTER (good AND {_VALUES} > cutoff) AS k,
     count(*) FILTER (NOT good AND {_VALUES} > cutoff) AS bad FROM holdout, grid GROUP BY ALL

@@ -50,8 +50,9 @@ RULES = (
 
 @dataclass(frozen=True)
 class RiskParams:
-    """At most ``max_false_rejection`` of a stratum's good documents are lost to
-    all rules together, with probability ``1 - error`` over all strata."""
+    """At most ``max_false_rejection`` of a stratum's good documents that pass
+    the base rules are lost to all others together, with probability ``1 -
+    error`` over all strata."""
 
     max_false_rejection: float = 0.03
     error: float = 0.05
@@ -223,15 +224,18 @@ def calibrate(labelled: DataFrame, params: RiskParams = RiskParams()) -> DataFra
     sums = counts.groupBy("stratum", "rule").agg(
         F.sum("good").alias("n_good"), F.collect_list(F.struct("level", "good", "bad")).alias("at")
     )
+    own = F.get(cutoffs, F.col("rule"))
     grid = sums.select(
-        "stratum", "rule", "n_good", "at", F.posexplode(F.get(cutoffs, F.col("rule"))).alias("pos", "cutoff")
+        "stratum", "rule", "n_good", "at", F.size(own).alias("n_cutoffs"), F.posexplode(own).alias("pos", "cutoff")
     ).withColumn("level", F.col("pos") + 1)
+    # what exceeds a cutoff exceeds all stricter ones, which follow it
+    exceeded = F.col("n_cutoffs") - F.col("pos")
 
     def above(name: str) -> Column:
         return F.aggregate(
             "at",
             F.lit(0).cast("long"),
-            lambda a, x: a + F.when(x["level"] >= F.col("level"), x[name]).otherwise(F.lit(0).cast("long")),
+            lambda a, x: a + F.when(x["level"] >= exceeded, x[name]).otherwise(F.lit(0).cast("long")),
         )
 
     counted = grid.select("stratum", "rule", "level", "cutoff", "n_good", above("good").alias("k_good"), above("bad").alias("k_bad"))
@@ -282,7 +286,8 @@ def judge(
     labelled = docs.select(F.col(id_col).alias("own_id"), F.col(text_col).alias("text"), stratum.alias("stratum")).join(
         holdout, F.col("own_id") == F.col("label_id")
     )
-    table = cut(calibrate(with_stats(labelled), params), "quality-cutoffs")
+    # what the base rules reject is lost anyway, and tells nothing about a cutoff
+    table = cut(calibrate(with_stats(labelled).where(~base_failed(params)), params), "quality-cutoffs")
     names = [f"cut_{i}" for i in range(len(params.rules))]
     cutoffs = table.where("chosen").groupBy(F.col("stratum").alias("cut_stratum")).agg(
         *[F.max(F.when(F.col("rule") == i, F.col("cutoff"))).alias(name) for i, name in enumerate(names)]

@@ -66,9 +66,25 @@ def test_certified_cutoffs_reject_bad_and_keep_good(spark):
     assert judged[902].kept  # too few labels in its stratum
 
 
+def test_counts_of_graded_statistics(spark):
+    """Symbols in every share of the words: each cutoff counts its own."""
+    rng = random.Random(11)
+    rows, labels = [], []
+    for i in range(400):
+        share = rng.random()
+        words = [f"w{rng.randrange(5000)}" + ("*" * rng.randrange(1, 4) if rng.random() < share else "") for _ in range(60)]
+        rows.append((i, " ".join(words), "en", "s", None))
+        labels.append((i, int(share < 0.3 or share < 0.5 and rng.random() < 0.2)))
+    labels_ = spark.createDataFrame(labels, "doc_id long, quality int")
+    check_table(spark, documents(spark, rows), labels_, quality.RiskParams(max_false_rejection=0.3))
+
+
 def test_guarantee_by_brute_force(spark):
     docs, labels = labelled_corpus(spark)
-    params = quality.RiskParams(max_false_rejection=0.06)
+    check_table(spark, docs, labels, quality.RiskParams(max_false_rejection=0.06))
+
+
+def check_table(spark, docs, labels, params):
     stats = quality.with_stats(docs).withColumn("stratum", F.col("lang")).join(labels, "doc_id")
     table = quality.calibrate(stats.withColumn("good", F.col("quality") == 1), params).collect()
     rows = stats.collect()
@@ -83,7 +99,15 @@ def test_guarantee_by_brute_force(spark):
         assert (r.n_good, r.k_good, r.k_bad) == (n, sum(over), len(over) - sum(over))
         exact = math.fsum(math.comb(n, i) * share**i * (1 - share) ** (n - i) for i in range(r.k_good + 1))
         if r.certified:
-            assert exact <= params.error / (2 * len(params.rules)) * (1 + 1e-9)
+            n_strata = len({x.stratum for x in rows})
+            assert exact <= params.error / (n_strata * len(params.rules)) * (1 + 1e-9)
+    by_sequence = {}
+    for r in table:
+        by_sequence.setdefault((r.stratum, r.rule), []).append(r)
+    for sequence in by_sequence.values():
+        certified = [r for r in sequence if r.certified and r.k_bad > r.k_good]
+        best = min(certified, key=lambda r: (r.k_good - r.k_bad, r.level), default=None)
+        assert [r for r in sequence if r.chosen] == ([best] if best else [])
     assert any(r.chosen for r in table) and not any(r.chosen and not r.certified for r in table)
 
 
