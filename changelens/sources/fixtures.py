@@ -84,7 +84,12 @@ def scan_files_sql(d: Dialect) -> list[str]:
     """Columns over ``documents``: doc_id, source, change_id, part_idx, path, text."""
     block = "cast(floor(sqrt(doc_id % 200)) as bigint)"
     notes = "CASE WHEN doc_id % 13 = 0 THEN concat(chr(10), '-- sql note', chr(10), '++ plus note') ELSE '' END"
-    planted = pick(_PLANTED, "doc_id % 23")
+    # whole change sets of deep code, and some whose documents plant nothing
+    deep = "CASE WHEN doc_id % 200 >= 169 THEN concat(" + ", ".join(
+        f"chr(10), repeat(' ', 24), 'deep{i}()'" for i in range(4)
+    ) + ") ELSE '' END"
+    quiet = "doc_id % 200 BETWEEN 4 AND 8"
+    planted = f"CASE WHEN {quiet} THEN 'nothing' ELSE {pick(_PLANTED, 'doc_id % 23')} END"
     planted = planted.replace("H,", "upper(md5(cast(doc_id as string))),")
     planted = planted.replace("h,", "md5(cast(doc_id as string)),")
     return [
@@ -93,7 +98,7 @@ def scan_files_sql(d: Dialect) -> list[str]:
         f"(doc_id {d.int_div} 200) * 15 + {block} AS change_id",
         f"doc_id % 200 - {block} * {block} AS part_idx",
         f"{pick(_PATHS, 'doc_id % 8')} AS path",
-        f"concat(text, chr(10), repeat(' ', cast(doc_id % 9 as int)), {planted}, {notes}) AS text",
+        f"concat(text, chr(10), repeat(' ', cast(doc_id % 9 as int)), {planted}, {deep}, {notes}) AS text",
     ]
 
 
@@ -130,6 +135,26 @@ _BINARY_FILE = [
     "concat('Binary files a/img_', doc_id, '.png and b/img_', doc_id, '.png differ')",
 ]
 
+# A binary file that has a hunk all the same, and a file with a malformed hunk line.
+_BINARY_HUNK = [
+    "concat('diff --git a/blob_', doc_id, '.ts b/blob_', doc_id, '.ts')",
+    "concat('--- a/blob_', doc_id, '.ts')",
+    "concat('+++ b/blob_', doc_id, '.ts')",
+    "concat('Binary files a/blob_', doc_id, '.ts and b/blob_', doc_id, '.ts differ')",
+    "'@@ -1,1 +1,2 @@'",
+    "'-old'",
+    "concat('+password = \"', md5(cast(doc_id as string)), '\"')",
+]
+_MALFORMED = [
+    "concat('diff --git a/odd_', doc_id, '.py b/odd_', doc_id, '.py')",
+    "concat('--- a/odd_', doc_id, '.py')",
+    "concat('+++ b/odd_', doc_id, '.py')",
+    "'@@ -1,1 +1,2 @@'",
+    "'-old'",
+    "'@@ malformed @@'",
+    "concat('+after', doc_id)",
+]
+
 
 def lines_sql(d: Dialect) -> list[str]:
     """Columns over scan files: their keys, ``l`` (lines), ``n`` and ``k``."""
@@ -158,7 +183,9 @@ def chunk_sql(d: Dialect) -> list[str]:
     chunk = pick([added, deleted, joined(*modified), joined(*modified), joined(*modified, *second)], "doc_id % 5")
     code = f"CASE WHEN doc_id % 4 = 1 THEN {joined(*_CODE_FILE)} END"
     binary = f"CASE WHEN doc_id % 11 = 0 THEN {joined(*_BINARY_FILE)} END"
-    return ["change_id", "part_idx", "doc_id", f"{joined(chunk, code, binary)} AS chunk"]
+    blob = f"CASE WHEN doc_id % 33 = 5 THEN {joined(*_BINARY_HUNK)} END"
+    odd = f"CASE WHEN doc_id % 29 = 6 THEN {joined(*_MALFORMED)} END"
+    return ["change_id", "part_idx", "doc_id", f"{joined(chunk, code, binary, blob, odd)} AS chunk"]
 
 
 # Text per source kind over the chunks; blank ones vary in form.

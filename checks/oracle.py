@@ -220,7 +220,8 @@ TABLES: dict[str, tuple[tuple[str, ...], str]] = {
         " row_number() OVER (PARTITION BY change_id, file_idx ORDER BY hunk_idx, change_idx) - 1 AS line_ord"
         " FROM changes WHERE type = 'addition'",
     ),
-    "diff_hits": (("added",), hits("added", "change_id, file_idx")),
+    "scanned": (("added", "files"), "SELECT a.* FROM added a JOIN files f USING (change_id, file_idx) WHERE NOT f.\"binary\""),
+    "diff_hits": (("scanned",), hits("scanned", "change_id, file_idx")),
     "diff_findings": (("diff_hits",), findings("diff_hits", "change_id, file_idx")),
     "doc_lines": (
         ("scan_files",),
