@@ -67,18 +67,9 @@ def _count_of(text: Column, chars: str) -> Column:
     return F.length(text) - F.length(F.translate(text, chars, ""))
 
 
-def _let(value: Column, body) -> Column:
-    """``body`` of a value that is computed once."""
-    return F.transform(F.array(value), body)[0]
-
-
-def repeated_words(words: Column) -> Column:
-    """Words inside three-word windows that occur twice or more.
-
-    Windows are compared by 64-bit hash.  Sorting (hash, place) brings equal
-    windows together; the places, sorted again, are merged into covered words.
-    """
-    hashes = F.when(
+def window_hashes(words: Column) -> Column:
+    """64-bit hashes of the three-word windows, in order."""
+    return F.when(
         F.size(words) >= 3,
         F.transform(
             F.sequence(F.lit(0), F.size(words) - 3),
@@ -86,26 +77,30 @@ def repeated_words(words: Column) -> Column:
         ),
     ).otherwise(F.array().cast("array<bigint>"))
 
-    def covered(ordered: Column) -> Column:
-        n = F.size(ordered)
-        again = F.filter(
-            ordered,
-            lambda x, i: ((i > 0) & (F.get(ordered, i - 1)["h"] == x["h"]))
-            | ((i < n - 1) & (F.get(ordered, i + 1)["h"] == x["h"])),
-        )
-        places = F.sort_array(F.transform(again, lambda x: x["p"]))
-        return F.aggregate(
-            places,
-            F.struct(F.lit(-3).alias("last"), F.lit(0).alias("n")),
-            lambda a, p: F.struct(p.alias("last"), (a["n"] + F.least(F.lit(3), p - a["last"])).alias("n")),
-            lambda a: a["n"],
-        )
 
-    def counted(h: Column) -> Column:
-        pairs = F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("p")))
-        return F.when(F.size(F.array_distinct(h)) < F.size(h), _let(F.sort_array(pairs), covered)).otherwise(0)
+def sorted_windows(hashes: Column) -> Column:
+    """(hash, place) by hash, so that equal windows stand together; empty where
+    no window occurs twice."""
+    pairs = F.transform(hashes, lambda x, i: F.struct(x.alias("h"), i.alias("p")))
+    none = F.array().cast("array<struct<h: bigint, p: int>>")
+    return F.when(F.size(F.array_distinct(hashes)) < F.size(hashes), F.sort_array(pairs)).otherwise(none)
 
-    return _let(hashes, counted)
+
+def covered_words(ordered: Column) -> Column:
+    """Words inside windows that occur twice or more: the places of such
+    windows, in order, each with the words that the one before has not."""
+    n = F.size(ordered)
+    again = F.filter(
+        ordered,
+        lambda x, i: ((i > 0) & (F.get(ordered, i - 1)["h"] == x["h"]))
+        | ((i < n - 1) & (F.get(ordered, i + 1)["h"] == x["h"])),
+    )
+    return F.aggregate(
+        F.sort_array(F.transform(again, lambda x: x["p"])),
+        F.struct(F.lit(-3).alias("last"), F.lit(0).alias("n")),
+        lambda a, p: F.struct(p.alias("last"), (a["n"] + F.least(F.lit(3), p - a["last"])).alias("n")),
+        lambda a: a["n"],
+    )
 
 
 def with_stats(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -116,30 +111,38 @@ def with_stats(docs: DataFrame, text_col: str = "text") -> DataFrame:
     or empty text has none.  Table columns of these names are replaced.
     """
     added = (*STATS, "n_lines", "n_capitals", "n_exclamations")
+    words, lines, hashes, ordered, row = fresh(docs, "words", "lines", "hashes", "ordered", "row")
     text = F.coalesce(F.col(text_col), F.lit(""))
-    words = F.array_remove(F.split(F.translate(text, SPACES, " " * len(SPACES)), " "), "")
-    lines = F.filter(F.split(text, "\n"), lambda x: F.btrim(x, F.lit(SPACES)) != "")
-    parts = F.struct(text.alias("text"), words.alias("words"), lines.alias("lines"))
-
-    def stats(part: Column) -> Column:
-        values = {
-            "n_words": F.size(part["words"]),
-            "word_chars": F.length(F.translate(part["text"], SPACES, "")),
-            "n_symbols": _count_of(part["text"], SYMBOLS),
-            "n_dup_lines": F.size(part["lines"]) - F.size(F.array_distinct(part["lines"])),
-            "n_repeat_words": repeated_words(part["words"]),
-            "n_lines": F.size(part["lines"]),
-            "n_capitals": _count_of(part["text"], CAPITALS),
-            "n_exclamations": _count_of(part["text"], "!"),
-        }
-        return F.struct(*[v.cast("long").alias(k) for k, v in values.items()])
-
-    # one element, so one row; a filter on its fields stays above, and the
-    # optimizer can't copy the work into it
-    (one,) = fresh(docs, "text_stats")
-    kept = [F.col(c) for c in docs.columns if c not in added or c == text_col]
-    row = docs.select(*kept, F.explode_outer(F.transform(F.array(parts), stats)).alias(one))
-    return row.select(*kept, *[F.col(one)[name].alias(name) for name in added])
+    flat = F.translate(text, SPACES, " " * len(SPACES))
+    # a column for each step: the steps that the engine compiles then stay compiled
+    steps = (
+        docs.drop(*[c for c in added if c != text_col])
+        .withColumns(
+            {
+                words: F.array_remove(F.split(flat, " "), ""),
+                lines: F.filter(F.split(text, "\n"), lambda x: F.btrim(x, F.lit(SPACES)) != ""),
+            }
+        )
+        .withColumn(hashes, window_hashes(F.col(words)))
+        .withColumn(ordered, sorted_windows(F.col(hashes)))
+    )
+    stats = {
+        "n_words": F.size(words),
+        "word_chars": F.length(F.translate(text, SPACES, "")),
+        "n_symbols": _count_of(text, SYMBOLS),
+        "n_dup_lines": F.size(lines) - F.size(F.array_distinct(lines)),
+        "n_repeat_words": covered_words(F.col(ordered)),
+        "n_lines": F.size(lines),
+        "n_capitals": _count_of(text, CAPITALS),
+        "n_exclamations": _count_of(text, "!"),
+    }
+    # the row number keeps the optimizer from moving a filter on statistics below
+    # them, where it would repeat their work
+    return (
+        steps.withColumns({**{k: v.cast("long") for k, v in stats.items()}, row: F.monotonically_increasing_id()})
+        .where(F.col(row) >= 0)
+        .drop(words, lines, hashes, ordered, row)
+    )
 
 
 def base_failed(params: RiskParams) -> Column:
