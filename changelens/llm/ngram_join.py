@@ -40,8 +40,6 @@ from changelens.llm.words import SPACED, mixed, slices, words_of
 
 _MULTIPLIER = 0xA0761D6478BD642F | 1
 _MASK = (1 << 64) - 1
-_BUCKETS = 1024
-
 
 @dataclass(frozen=True)
 class JoinParams:
@@ -99,7 +97,14 @@ def shingles(data: np.ndarray, bounds: np.ndarray, k: int) -> tuple[np.ndarray,
 
 def _counted(texts: DataFrame, params: JoinParams) -> DataFrame:
     """``key, n``: top halves of shingle hashes, and in how many texts they are,
-    for those in ``least_count`` texts or more."""
+    for those in ``least_count`` texts or more.
+
+    Ranges of keys, some for each shuffle partition, are summed by one task
+    each, which holds the distinct keys of its ranges and a buffer.
+    """
+    partitions = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    bits = min(16, max(6, (8 * partitions - 1).bit_length()))
+    shift = 32 - bits
 
     def keys_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -108,10 +113,10 @@ def _counted(texts: DataFrame, params: JoinParams) -> DataFrame:
                 for _, _, data, bounds in slices(batch.column(0))
             ]
             keys = np.sort(np.concatenate(parts)) if parts else np.empty(0, np.uint32)
-            edges = np.searchsorted(keys, np.arange(_BUCKETS + 1, dtype=np.uint64) << np.uint64(22))
+            edges = np.searchsorted(keys, np.arange((1 << bits) + 1, dtype=np.uint64) << np.uint64(shift))
             bucket, narrow, blob = [], [], []
             for b in np.flatnonzero(np.diff(edges)):
-                steps = np.diff(keys[edges[b] : edges[b + 1]], prepend=np.uint32(b << 22))
+                steps = np.diff(keys[edges[b] : edges[b + 1]], prepend=np.uint32(int(b) << shift))
                 small = bool(steps.max() < 1 << 16)
                 bucket.append(int(b))
                 narrow.append(small)
@@ -133,7 +138,7 @@ def _counted(texts: DataFrame, params: JoinParams) -> DataFrame:
         for batch in batches:
             for b, small, steps in zip(*(batch.column(c) for c in range(3))):
                 values = np.frombuffer(steps.as_buffer(), "<u2" if small.as_py() else "<u4").astype(np.uint32)
-                keys.append(np.cumsum(values, dtype=np.uint32) + np.uint32(b.as_py() << 22))
+                keys.append(np.cumsum(values, dtype=np.uint32) + np.uint32(b.as_py() << shift))
                 counts.append(np.ones(len(values), np.int64))
                 held += len(values)
                 if held > max(1 << 21, base):  # at most as much again as the distinct keys so far
