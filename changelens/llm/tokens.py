@@ -99,7 +99,7 @@ def pieces(docs: DataFrame, params: TokenParams, blocks: int, keep_ids: bool, id
                     part = ids[start : start + capacity].tobytes()
                     full = len(part) == 4 * capacity
                     rows.append((doc_id, start, len(part) // 4, part if keep_ids or not full else None, zlib.crc32(part), n, block))
-                if len(rows) >= 4096:
+                if len(rows) >= 1024:
                     yield _batch(rows)
                     rows = []
             if rows:
