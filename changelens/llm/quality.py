@@ -222,6 +222,7 @@ def calibrate(labelled: DataFrame, params: RiskParams = RiskParams()) -> DataFra
     counts = levels.groupBy("stratum", F.col("at.rule").alias("rule"), F.col("at.level").alias("level")).agg(
         F.sum(F.col("good").cast("long")).alias("good"), F.sum((~F.col("good")).cast("long")).alias("bad")
     )
+    counts = cut(counts, "quality-counts")
     # a stratum and rule have one row for each level, whatever the input
     cutoffs = F.array(*[F.array(*[F.lit(c) for c in r.cutoffs]) for r in rules])
     sums = counts.groupBy("stratum", "rule").agg(
@@ -242,7 +243,7 @@ def calibrate(labelled: DataFrame, params: RiskParams = RiskParams()) -> DataFra
         )
 
     counted = grid.select("stratum", "rule", "level", "cutoff", "n_good", above("good").alias("k_good"), above("bad").alias("k_bad"))
-    n_strata = labelled.select("stratum").distinct().agg(F.greatest(F.count("*"), F.lit(1)).alias("n_strata"))
+    n_strata = counts.select("stratum").distinct().agg(F.greatest(F.count("*"), F.lit(1)).alias("n_strata"))
     sequence = Window.partitionBy("stratum", "rule").orderBy("level").rowsBetween(Window.unboundedPreceding, 0)
     tested = (
         counted.withColumn("p_value", at_most(F.col("k_good"), F.col("n_good"), params.max_false_rejection / len(rules)))
