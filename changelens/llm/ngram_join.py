@@ -192,8 +192,8 @@ def matches_to_ask(counts: np.ndarray, n: int, percent: int, most: int) -> int:
 
 
 def described(rows: DataFrame, params: JoinParams) -> DataFrame:
-    """``rid, doc_id, n, digest, ask, prefix``: a document's set size, a digest
-    of its set, the matches it asks for and its prefix."""
+    """``rid, doc_id, text_key, n, digest, ask, prefix``: a document's set size,
+    a digest of its set, the matches it asks for and its prefix."""
     keys, counts = frequent(rows.select("text"), params)
     sent = rows.sparkSession.sparkContext.broadcast((keys, counts))
     percent, most = params.percent, params.most_matches
@@ -231,15 +231,19 @@ def described(rows: DataFrame, params: JoinParams) -> DataFrame:
                     [
                         batch.column(0).slice(i, j - i),
                         batch.column(1).slice(i, j - i),
+                        batch.column(3).slice(i, j - i),
                         pa.array(n_list, pa.int64()),
                         pa.array(digests, pa.binary()),
                         pa.array(asks, pa.int32()),
                         pa.ListArray.from_arrays(ends, pa.array(flat)),
                     ],
-                    ["rid", "doc_id", "n", "digest", "ask", "prefix"],
+                    ["rid", "doc_id", "text_key", "n", "digest", "ask", "prefix"],
                 )
 
-    return rows.mapInArrow(describe, "rid bigint, doc_id bigint, n bigint, digest binary, ask int, prefix array<bigint>")
+    return rows.mapInArrow(
+        describe,
+        "rid bigint, doc_id bigint, text_key binary, n bigint, digest binary, ask int, prefix array<bigint>",
+    )
 
 
 def _overlap_needed(n_a: Column, n_b: Column, percent: int) -> Column:
@@ -359,25 +363,40 @@ def _rest(entries: DataFrame, labels: DataFrame, params: JoinParams) -> DataFram
     )
 
 
+def _rid(id_col: str, text_col: str) -> Column:
+    """The id, or a hash of the text if null."""
+    return F.coalesce(F.col(id_col).cast("long"), F.xxhash64(F.col(text_col).cast("string")))
+
+
+def _text_key(text_col: str) -> Column:
+    return F.unhex(F.md5(F.col(text_col).cast("string").cast("binary")))
+
+
 def with_rid(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``rid, doc_id, text``; ``rid`` is the id, or a hash of the text if null."""
-    doc_id, text = F.col(id_col).cast("long"), F.col(text_col).cast("string")
+    """``rid, doc_id, text, text_key``; an id may have several texts, so ``rid``
+    and ``text_key`` together tell which rows are alike."""
     return docs.select(
-        F.coalesce(doc_id, F.xxhash64(text)).alias("rid"), doc_id.alias("doc_id"), text.alias("text")
+        _rid(id_col, text_col).alias("rid"),
+        F.col(id_col).cast("long").alias("doc_id"),
+        F.col(text_col).cast("string").alias("text"),
+        _text_key(text_col).alias("text_key"),
     )
 
 
 def near_duplicates(
     docs: DataFrame, params: JoinParams = JoinParams(), id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
-    """``rid, doc_id, n_shingles, component_id`` for each document.
+    """``rid, doc_id, text_key, n_shingles, component_id, stays`` for each document.
 
     ``component_id`` is the smallest document id reachable by links.  Null and
     empty texts have no shingles and stay alone; documents of fewer words than
     a shingle link to those of the same words.  Repeated rows are linked and
     give a row each.  A null document id stays null, takes part, and gives its
-    id to no component; a component of null ids alone has a null one.  Other
-    columns are not read; an empty table gives an empty one.
+    id to no component; a component of null ids alone has a null one.  Rows of
+    one id with different texts are documents of their own.  ``stays`` marks one
+    ``rid, text_key`` of each component, by the smallest id, null ids last, and
+    all without shingles.  Other columns are not read; an empty table gives an
+    empty one.
     """
     rows = with_rid(docs, id_col, text_col)
     members = cut(described(rows, params), "described")
@@ -387,6 +406,7 @@ def near_duplicates(
         .agg(
             F.min("rid").alias("rid"),
             F.min("doc_id").alias("doc_id"),
+            F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "rid", "text_key")).alias("least"),
             F.first("n").alias("n"),
             F.first("ask").alias("ask"),
             F.first("prefix").alias("prefix"),
@@ -415,43 +435,51 @@ def near_duplicates(
     more = verified(rest, classes, rows, params)
     links = star_links.unionByName(more)
     final = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
-    named = classes.select("cls", "digest", "doc_id").join(
+    named = classes.select("cls", "digest", "doc_id", "least").join(
         final.withColumnRenamed("node", "cls"), "cls", "left"
     ).withColumn("component", F.coalesce("component", "cls"))
     named = cut(named, "labelled")
-    ids = named.groupBy(F.col("component").alias("own")).agg(F.min("doc_id").alias("component_id"))
-    by_digest = named.join(ids, F.col("component") == F.col("own")).select(F.col("digest").alias("cls_digest"), "component_id")
+    ids = named.groupBy(F.col("component").alias("own")).agg(
+        F.min("doc_id").alias("component_id"), F.min("least").alias("stay")
+    )
+    by_digest = named.join(ids, F.col("component") == F.col("own")).select(
+        F.col("digest").alias("cls_digest"), "component_id", "stay"
+    )
     return members.join(
         by_digest, (F.col("digest") == F.col("cls_digest")) & (F.col("n") > 0), "left"
     ).select(
         "rid",
         "doc_id",
+        "text_key",
         F.col("n").alias("n_shingles"),
         F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
+        ((F.col("n") == 0) | ((F.col("rid") == F.col("stay.rid")) & (F.col("text_key") == F.col("stay.text_key")))).alias("stays"),
     )
 
 
 def keep_one(docs: DataFrame, params: JoinParams = JoinParams(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows without near copies: of each component the document of the
-    smallest id stays, of rows with that id and words the first; documents
+    smallest id stays, of rows with that id and text the first; documents
     without shingles all stay.  In a component of null ids one document stays.
+    Rows of one id whose texts are not linked all stay.
     """
     found = cut(near_duplicates(docs, params, id_col, text_col), "near-duplicates")
-    rid, gone_rid, turn = fresh(docs, "own_rid", "gone_rid", "own_turn")
-    # null ids: their component is known by no id, so the least hash of a text stays
-    whole = found.where("n_shingles > 0").withColumn("group", F.coalesce("component_id", "rid"))
-    gone = cut(whole.where(F.col("rid") != F.col("group")).select(F.col("rid").alias(gone_rid)).distinct(), "gone")
+    rid, text_key, gone_rid, gone_key = fresh(docs, "own_rid", "own_text_key", "gone_rid", "gone_text_key")
+    # an id may have several texts, and a null id has none: the text decides with it
+    whole = found.where("n_shingles > 0").select(F.col("rid").alias(gone_rid), F.col("text_key").alias(gone_key), "stays")
+    gone = cut(whole.where(~F.col("stays")).select(gone_rid, gone_key).distinct(), "gone")
     again = cut(
-        whole.where(F.col("rid") == F.col("group")).groupBy(F.col("rid").alias(gone_rid)).count().where("count > 1").drop("count"),
+        whole.where("stays").groupBy(gone_rid, gone_key).count().where("count > 1").drop("count"),
         "again",
     )
     if gone.count() <= params.broadcast_rows:
         gone = F.broadcast(gone)
-    keyed = docs.withColumn(rid, F.coalesce(F.col(id_col).cast("long"), F.xxhash64(F.col(text_col).cast("string"))))
-    kept = keyed.join(gone, F.col(rid) == F.col(gone_rid), "left_anti")
+    keyed = docs.withColumn(rid, _rid(id_col, text_col)).withColumn(text_key, _text_key(text_col))
+    same = (F.col(rid) == F.col(gone_rid)) & (F.col(text_key) == F.col(gone_key))
+    kept = keyed.join(gone, same, "left_anti")
     if again.isEmpty():
-        return kept.drop(rid)
-    # an id of several rows: one row of it
-    once = kept.join(again, F.col(rid) == F.col(gone_rid), "left_anti")
-    several = kept.join(again, F.col(rid) == F.col(gone_rid), "left_semi").dropDuplicates([rid])
-    return once.unionByName(several).drop(rid)
+        return kept.drop(rid, text_key)
+    # equal rows: one of them
+    once = kept.join(again, same, "left_anti")
+    several = kept.join(again, same, "left_semi").dropDuplicates([rid, text_key])
+    return once.unionByName(several).drop(rid, text_key)

@@ -88,6 +88,31 @@ def test_one_of_each_group_stays(spark):
     assert plain(ngram_join.keep_one(docs, JoinParams(broadcast_rows=0)).collect()) == plain(kept.collect())
 
 
+def test_one_near_copy_without_an_id_stays(spark):
+    rng = random.Random(12)
+    text, other = prose(rng, 200, 90000), prose(rng, 200, 90000)
+    rows = [(None, f"{text} end{i}", "en", "s", i) for i in range(4)]
+    rows += [(None, f"{other} end{i}", "en", "s", i) for i in range(2)] + [(7, other, "en", "s", 9)]
+    docs = documents(spark, rows)
+    for params in (JoinParams(), JoinParams(broadcast_rows=0)):
+        kept = ngram_join.keep_one(docs, params).collect()
+        assert [r.doc_id for r in kept if r.text.startswith(other)] == [7]
+        assert [r.doc_id for r in kept if r.text.startswith(text)] == [None]
+
+
+def test_texts_of_one_id_are_documents_of_their_own(spark):
+    rng = random.Random(13)
+    a, b, c = (prose(rng, 200, 90000) for _ in range(3))
+    rows = [(5, t, "en", "s", None) for t in (a, a, f"{a} end", b, "", None)]
+    rows += [(6, c, "en", "s", None), (6, f"{b} end", "en", "s", None), (6, None, "en", "s", None)]
+    docs = documents(spark, rows)
+    for params in (JoinParams(), JoinParams(broadcast_rows=0)):
+        kept = [(r.doc_id, r.text) for r in ngram_join.keep_one(docs, params).collect()]
+        assert sum(r in ((5, a), (5, f"{a} end")) for r in kept) == 1
+        rest = [r for r in kept if r not in ((5, a), (5, f"{a} end"))]
+        assert plain(rest) == plain([(5, b), (5, ""), (5, None), (6, c), (6, None)])
+
+
 def test_empty_table_and_texts_without_words(spark):
     assert ngram_join.near_duplicates(documents(spark, [])).count() == 0
     assert ngram_join.keep_one(documents(spark, [])).count() == 0
