@@ -20,13 +20,15 @@ SPACES = " \t\n\x0b\x0c\r"
 
 @dataclass(frozen=True)
 class SiteParams:
-    """Lines on more than ``max_ratio`` of a site's pages go, on sites of
-    ``min_pages`` pages or more.  Boilerplate of all sites together up to
+    """Lines on more than ``max_ratio`` of a site's pages and on
+    ``min_line_pages`` of them or more go, on sites of ``min_pages`` pages or
+    more.  Boilerplate of all sites together up to
     ``broadcast_bytes`` is sent to all executors; more is joined by shuffling,
     with each site dealt to ``salts`` parts."""
 
     max_ratio: float = 0.1
     min_pages: int = 20
+    min_line_pages: int = 1
     broadcast_bytes: int = 32 << 20
     salts: int = 64
 
@@ -52,7 +54,7 @@ def boilerplate(pages: DataFrame, site: Column, text: Column, params: SiteParams
         .groupBy("site", "line_key")
         .agg(F.count("*").alias("n_pages"))
         # what is left is thin; a line below this is common on no site that counts
-        .where(F.col("n_pages") > params.max_ratio * params.min_pages)
+        .where((F.col("n_pages") > params.max_ratio * params.min_pages) & (F.col("n_pages") >= params.min_line_pages))
     )
     return (
         counts.join(totals, F.col("site") == F.col("total_site"))
@@ -71,7 +73,7 @@ def drop_site_lines(
     ``n_lines, n_dropped`` (long, of lines with more than white space).
 
     No row is dropped.  A null text stays null, an empty one empty; rows
-    without a site and small sites stay as they are; blank lines stay; a line
+    without a site and sites below ``min_pages`` stay as they are; blank lines stay; a line
     repeated within a page counts once for the page, and all its copies go;
     repeated rows count as pages each.  Table columns of the added names are
     replaced.
@@ -79,7 +81,7 @@ def drop_site_lines(
     pages = pages.drop(*[c for c in ("n_lines", "n_dropped") if c not in (site_col, text_col)])
     found = cut(boilerplate(pages, F.col(site_col), F.col(text_col), params), "site-lines")
     site, keys, salt, lines = fresh(pages, "boiler_site", "boiler_keys", "boiler_salt", "boiler_lines")
-    # a site's list has at most (lines a page) / max_ratio entries
+    # a site's list has at most (lines a page) / max_ratio entries, fewer with a floor on a line's pages
     by_site = found.groupBy(F.col("site").alias(site)).agg(F.collect_list("line_key").alias(keys))
     if found.agg(F.coalesce(F.sum(F.octet_length("site") + 48), F.lit(0))).first()[0] <= params.broadcast_bytes:
         joined = pages.join(F.broadcast(by_site), F.col(site_col) == F.col(site), "left")

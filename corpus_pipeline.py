@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 from changelens.llm import cost_pack, decontam, ngram_join, quality, site_lines
 from changelens.llm.tables import cut, read
 
+#: Sources of any size are judged.  From 20 pages on, a tenth alone asks for three.
+SOURCE_LINES = site_lines.SiteParams(min_pages=1, min_line_pages=3)
+
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that neither the base rules nor the certified cutoffs reject."""
@@ -21,8 +24,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the lines that are common on their source."""
-    cleaned = site_lines.clean_texts(docs, "source")
+    """Documents without the lines on above a tenth of their source's documents, three at least."""
+    cleaned = site_lines.clean_texts(docs, "source", params=SOURCE_LINES)
     return cleaned.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 

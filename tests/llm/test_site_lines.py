@@ -1,6 +1,7 @@
 import random
 from collections import Counter
 
+import corpus_pipeline
 from changelens.llm import site_lines
 from pyspark.sql import functions as F
 
@@ -53,6 +54,23 @@ def test_against_brute_force(spark):
         assert results[0] == results[1] == brute(rows, params)
 
 
+def test_small_sources_are_judged_in_the_pipeline(spark):
+    def texts(n, with_line):
+        return [(i, f"page {n} {i}\nfooter {n}" if i < with_line else f"page {n} {i}", "en", f"s{n}", None) for i in range(n)]
+
+    sizes = ((1, 1), (2, 2), (4, 2), (4, 3), (19, 3), (20, 2), (20, 3), (40, 4), (40, 5))
+    rows = [(100 * k + i, t, g, f"{s} {k}", n) for k, (pages, hit) in enumerate(sizes) for i, t, g, s, n in texts(pages, hit)]
+    got = corpus_pipeline.line_dedup(spark, documents(spark, rows), "").collect()
+    left = Counter(r.doc_id // 100 for r in got if "footer" in r.text)
+    want = {k: hit for k, (pages, hit) in enumerate(sizes) if not (hit >= 3 and hit > 0.1 * pages)}
+    assert left == want and all(r.n_chars == len(r.text) for r in got)
+    # from 20 pages on, nothing but the ratio decides, as before
+    large = documents(spark, [r for r in rows if r[3][:3] in ("s20", "s40")])
+    before = site_lines.clean_texts(large, "source").select("doc_id", "text").collect()
+    after = corpus_pipeline.line_dedup(spark, large, "").select("doc_id", "text").collect()
+    assert plain(before) == plain(after)
+
+
 def test_own_columns_and_empty_table(spark):
     docs = documents(spark, clash=True)
     kept = site_lines.clean_texts(docs, "source")
