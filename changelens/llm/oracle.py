@@ -220,3 +220,15 @@ WITH RECURSIVE docs AS (
 SELECT d.doc_id, coalesce(any_value(n), 0) AS n_shingles, min(b) AS component_id
 FROM docs d JOIN reach ON a = d.doc_id LEFT JOIN sizes s ON s.doc_id = d.doc_id GROUP BY d.doc_id
 """
+
+# --- 13: groups of equal normalised texts
+
+STATEMENTS["op13_tree_dedup"] = r"""
+WITH t AS (
+  SELECT doc_id, row_number() OVER () AS place, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS normal
+  FROM documents
+)
+SELECT doc_id, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY normal) AS group_size,
+  row_number() OVER w = 1 AS kept, sha256(normal) AS text_sha256
+FROM t WINDOW w AS (PARTITION BY normal ORDER BY doc_id NULLS LAST, place)
+"""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from changelens.llm import best_fit, cost_pack, decontam, fixity, hilbert, ngram_join, pii, quality, site_lines, url_filter
+from changelens.llm import best_fit, cost_pack, decontam, exact_dedup, fixity, hilbert, ngram_join, pii, quality, site_lines, url_filter
 from changelens.llm.tables import cut, read
 
 #: The rules of the URL query.
@@ -154,6 +154,12 @@ def op10_hilbert_shards(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op13_tree_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """``documents`` with the row that stays of each group of equal texts."""
+    found = exact_dedup.exact_duplicates(read(spark, folder, "documents"))
+    return found.select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", "text_sha256")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc_fixity": op1_warc_fixity,
     "op2_quality_rules": op2_quality_rules,
@@ -165,4 +171,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pii": op8_pii,
     "op9_ngram_join": op9_ngram_join,
     "op10_hilbert_shards": op10_hilbert_shards,
+    "op13_tree_dedup": op13_tree_dedup,
 }
