@@ -221,6 +221,69 @@ SELECT d.doc_id, coalesce(any_value(n), 0) AS n_shingles, min(b) AS component_id
 FROM docs d JOIN reach ON a = d.doc_id LEFT JOIN sizes s ON s.doc_id = d.doc_id GROUP BY d.doc_id
 """
 
+# --- 12: costs back and edits forward, row by row; a checksum bit by bit
+
+_BITS = "list_concat([ascii(ch)], [-1, -1, -1, -1, -1, -1, -1, -1])"
+_CRC = f"""xor(4294967295, list_reduce(list_concat([4294967295], flatten(list_transform(string_split(key, ''), lambda ch: {_BITS}))),
+  lambda a, x: CASE WHEN x >= 0 THEN xor(a, cast(x AS bigint)) WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END))"""
+_STEP = "[3, 3, 4, 3][s]"  # states from 1: nothing, after system, after user, after assistant
+STATEMENTS["op12_conversation_repair"] = rf"""
+WITH RECURSIVE keyed AS (
+  SELECT conv_id, dense_rank() OVER (ORDER BY conv_id NULLS FIRST) AS c, turn, coalesce(role, ' ') AS role,
+    coalesce(text, ' ') AS txt, coalesce(cast(conv_id AS varchar), ' ') || ':' || coalesce(cast(turn AS varchar), ' ') AS key
+  FROM conversations
+), drawn AS (SELECT *, {_CRC} % 20 AS fault FROM keyed
+), damaged AS (
+  SELECT c, turn, CASE WHEN fault = 4 THEN 'user' ELSE role END AS role,
+    CASE fault WHEN 1 THEN '' WHEN 2 THEN regexp_replace(txt, '[.!?]', '', 'g') ELSE txt END AS txt,
+    unnest(CASE fault WHEN 0 THEN [] WHEN 3 THEN [0, 1] ELSE [0] END) AS copy FROM drawn
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, role, txt, copy) AS i, count(*) OVER (PARTITION BY c) AS n
+  FROM damaged
+), marked AS (
+  SELECT *, substr(role, 1, 1) AS initial, NOT regexp_matches(txt, '[^ 	-]') AS blank,
+    row_number() OVER (PARTITION BY c, role, txt ORDER BY i) > 1 AS repeated,
+    NOT regexp_matches(txt, '[.!?][ 	-]*$') AS cut_off FROM placed
+), f AS (
+  SELECT c, i, n, turn, role, txt, initial, blank, repeated AND NOT blank AS duplicate, blank OR repeated AS gone,
+    cut_off AND NOT blank AND NOT repeated AS truncated, CASE WHEN cut_off THEN 1 ELSE 0 END AS extra,
+    lag(initial) OVER (PARTITION BY c ORDER BY i) || initial AS pair,
+    CASE initial WHEN 's' THEN [2, 0, 0, 0] WHEN 'u' THEN [3, 3, 0, 3] WHEN 'a' THEN [0, 0, 4, 0] ELSE [0, 0, 0, 0] END AS kept
+  FROM marked
+), back(c, i, w) AS (
+  SELECT DISTINCT c, n + 1, [0, 4, 2, 0] FROM f
+  UNION ALL
+  SELECT c, i, [least(b[1], 2 + least(b[3], 2 + b[4])), least(b[2], 2 + least(b[3], 2 + b[4])), least(b[3], 2 + b[4]), least(b[4], 2 + b[3])]
+  FROM (SELECT f.c, f.i, list_transform([1, 2, 3, 4], lambda s: least(3 + w[s], CASE WHEN gone THEN 99999999 ELSE 2 + extra + w[{_STEP}] END,
+      CASE WHEN gone OR kept[s] = 0 THEN 99999999 ELSE extra + w[kept[s]] END)) AS b
+    FROM back JOIN f ON f.c = back.c AND f.i = back.i - 1)
+), paths(c, i, s, audit, rows_, done) AS (
+  SELECT DISTINCT c, cast(1 AS bigint), 1, '', cast([] AS varchar[]), false FROM f
+  UNION ALL
+  SELECT c, CASE WHEN e = 'I' OR e = '' THEN i ELSE i + 1 END,
+    CASE e WHEN 'K' THEN kept[s] WHEN 'I' THEN {_STEP} WHEN 'R' THEN {_STEP} ELSE s END, audit || e,
+    CASE e WHEN 'K' THEN list_append(rows_, role || ':' || txt)
+      WHEN 'R' THEN list_append(rows_, CASE WHEN s = 3 THEN 'assistant:' ELSE 'user:' END || txt)
+      WHEN 'I' THEN list_append(rows_, CASE WHEN s = 3 THEN 'assistant:' ELSE 'user:' END) ELSE rows_ END, e = ''
+  FROM (SELECT p.*, f.role, f.txt, f.kept, CASE
+      WHEN f.i IS NULL THEN CASE WHEN now.w[s] > 0 THEN 'I' ELSE '' END
+      WHEN 3 + then_.w[s] = now.w[s] THEN 'D'
+      WHEN 2 + now.w[{_STEP}] = now.w[s] THEN 'I'
+      WHEN NOT f.gone AND f.kept[s] > 0 AND f.extra + then_.w[f.kept[s]] = now.w[s] THEN 'K' ELSE 'R' END AS e
+    FROM paths p JOIN back now ON now.c = p.c AND now.i = p.i LEFT JOIN back then_ ON then_.c = p.c AND then_.i = p.i + 1
+      LEFT JOIN f ON f.c = p.c AND f.i = p.i WHERE NOT p.done)
+), counts AS (
+  SELECT c, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (blank) AS blank,
+    count(*) FILTER (duplicate) AS duplicate, count(*) FILTER (truncated) AS truncated,
+    count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal FROM f GROUP BY c
+)
+SELECT conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+  coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, cast(coalesce(w[1], 0) AS bigint) AS cost,
+  coalesce(audit, '') AS audit, sha256(coalesce(array_to_string(rows_, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT c, conv_id FROM keyed) k LEFT JOIN counts USING (c) LEFT JOIN (SELECT c, w FROM back WHERE i = 1) b USING (c)
+  LEFT JOIN (SELECT c, audit, rows_ FROM paths WHERE done) d USING (c)
+"""
+
 # --- 13: groups of equal normalised texts
 
 STATEMENTS["op13_tree_dedup"] = r"""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from changelens.llm import best_fit, cost_pack, decontam, exact_dedup, fixity, hilbert, ngram_join, pii, quality, site_lines, url_filter
+from changelens.llm import best_fit, conversation_repair, cost_pack, decontam, exact_dedup, fixity, hilbert, ngram_join, pii, quality, site_lines, url_filter
 from changelens.llm.tables import cut, read
 
 #: The rules of the URL query.
@@ -154,6 +154,38 @@ def op10_hilbert_shards(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def damaged_conversations(rows: DataFrame) -> DataFrame:
+    """The rows with faults planted by the checksum of conversation and turn."""
+    space = F.lit(" ")
+    key = F.concat(F.coalesce(F.col("conv_id").cast("string"), space), F.lit(":"), F.coalesce(F.col("turn").cast("string"), space))
+    fault = F.crc32(key.cast("binary")) % 20
+    role, text = F.coalesce("role", space), F.coalesce("text", space)
+    return rows.select(
+        "conv_id",
+        "turn",
+        F.when(fault == 4, F.lit("user")).otherwise(role).alias("role"),
+        F.when(fault == 1, F.lit("")).when(fault == 2, F.regexp_replace(text, "[.!?]", "")).otherwise(text).alias("text"),
+        F.explode(F.when(fault == 0, F.array().cast("array<int>")).when(fault == 3, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))).alias("copy"),
+    )
+
+
+def op12_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
+    """Faults and cheapest repairs of ``conversations``, damaged by plan."""
+    whole = read(spark, folder, "conversations")
+    found = conversation_repair.repair(damaged_conversations(whole))
+    counts = ["gaps", "blank", "duplicate", "truncated", "illegal", "cost"]
+    empty = [F.lit(None).cast("long").alias(c) for c in counts]
+    parts = found.conversations.select("conv", *counts, "audit", F.lit(None).cast("string").alias("sha256"))
+    hashes = conversation_repair.digests(found.rows).select("conv", *empty, F.lit(None).cast("string").alias("audit"), "sha256")
+    ids = whole.select(F.col("conv_id").alias("conv"), *empty, F.lit(None).cast("string").alias("audit"), F.lit(None).cast("string").alias("sha256"))
+    every = parts.unionByName(hashes).unionByName(ids).groupBy("conv")
+    return every.agg(
+        *[F.coalesce(F.max(c), F.lit(0)).cast("long").alias(c) for c in counts],
+        F.coalesce(F.max("audit"), F.lit("")).alias("audit"),
+        F.coalesce(F.max("sha256"), F.sha2(F.lit(""), 256)).alias("repaired_sha256"),
+    ).withColumnRenamed("conv", "conv_id")
+
+
 def op13_tree_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """``documents`` with the row that stays of each group of equal texts."""
     found = exact_dedup.exact_duplicates(read(spark, folder, "documents"))
@@ -171,5 +203,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pii": op8_pii,
     "op9_ngram_join": op9_ngram_join,
     "op10_hilbert_shards": op10_hilbert_shards,
+    "op12_conversation_repair": op12_conversation_repair,
     "op13_tree_dedup": op13_tree_dedup,
 }
