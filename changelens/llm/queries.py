@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from changelens.llm import best_fit, conversation_repair, cost_pack, decontam, exact_dedup, fixity, hilbert, ngram_join, pii, quality, site_lines, url_filter
+from changelens.llm import best_fit, conversation_repair, cost_pack, decontam, exact_dedup, fixity, hilbert, ngram_join, pii, quality, site_lines, url_filter, whitening
 from changelens.llm.tables import cut, read
 
 #: The rules of the URL query.
@@ -154,6 +154,11 @@ def op10_hilbert_shards(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op11_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    """The first 16 whitened coordinates of ``embeddings``."""
+    return whitening.whiten(read(spark, folder, "embeddings")).withColumnRenamed("id", "vec_id")
+
+
 def damaged_conversations(rows: DataFrame) -> DataFrame:
     """The rows with faults planted by the checksum of conversation and turn."""
     space = F.lit(" ")
@@ -203,6 +208,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pii": op8_pii,
     "op9_ngram_join": op9_ngram_join,
     "op10_hilbert_shards": op10_hilbert_shards,
+    "op11_whitening": op11_whitening,
     "op12_conversation_repair": op12_conversation_repair,
     "op13_tree_dedup": op13_tree_dedup,
 }
