@@ -14,10 +14,10 @@ from pyspark.sql import functions as F
 from changelens.functions import fixed, paths
 from changelens.functions.rows import each
 from changelens.functions.text import texts
-from changelens.operators import answers, filters, parse, prompts, report, risk, scan, summary
+from changelens.operators import answers, filters, hunk_parts, long_texts, parse, pattern_sets, prompts, report, risk, scan, summary
 from changelens.params import RiskParams, ScanOptions, SecretPattern
 from changelens.plans import analysis
-from changelens.sources import diffs, fixtures
+from changelens.sources import diffs, fixtures, sinks, tables
 from changelens.sources.tables import cut, read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -59,6 +59,10 @@ def _files(spark: SparkSession, folder: str) -> DataFrame:
     return parse.parse_files(fixtures.parts(spark, folder))
 
 
+def _numbered(spark: SparkSession, folder: str) -> DataFrame:
+    return parse.parse_files(parse.number_parts(fixtures.parts(spark, folder)))
+
+
 def _facts(spark: SparkSession, folder: str) -> DataFrame:
     return summary.file_facts(_files(spark, folder))
 
@@ -141,6 +145,34 @@ def scan_context(spark, folder):
     )
 
 
+@query
+def scan_pattern_sets(spark, folder):
+    """Two repositories, each with its own patterns, in one scan."""
+    files = fixtures.scan_files(spark, folder).selectExpr("*", "if(doc_id % 2 = 0, 'usual', 'custom') AS repository")
+    sets = pattern_sets.pattern_sets(spark, {"usual": ScanOptions(), "custom": CUSTOM})
+    found = pattern_sets.scan_with_sets(files, ["doc_id"], sets, "repository")
+    return found.select("doc_id", "line", "column", "type", "severity", "content")
+
+
+@query
+def scan_findings_written(spark, folder):
+    """Findings as they are read back from the sink, which is written twice."""
+    path = tables.new_path(spark, "findings")
+    found = scan.scan_content(fixtures.scan_files(spark, folder), ["doc_id"])
+    for _ in range(2):
+        sinks.write_rows(found, path, ["severity"], ["doc_id", "line_ord"])
+    return spark.read.parquet(path).select("doc_id", "line", "column", "type", "severity")
+
+
+@query
+def scan_context_in_blocks(spark, folder):
+    found = long_texts.scan_blocks(fixtures.scan_files(spark, folder), ["doc_id"], CONTEXT, block_lines=16)
+    return found.select(
+        "doc_id", "line", "pattern_idx", "match_idx",
+        text("context_before").alias("context_before"), text("context_after").alias("context_after"),
+    )
+
+
 @query
 def scan_finding_text(spark, folder):
     found = scan.finding_text(scan.scan_content(fixtures.scan_files(spark, folder), ["doc_id"]))
@@ -216,7 +248,7 @@ def diff_source_staged_only(spark, folder):
 
 @query
 def diff_files(spark, folder):
-    return _files(spark, folder).select(
+    return _numbered(spark, folder).select(
         "change_id", "file_idx", "path", "old_path", "status", "language", "binary", "additions", "deletions",
         "n_hunks", "parse_warning",
     )
@@ -224,12 +256,22 @@ def diff_files(spark, folder):
 
 @query
 def diff_hunks(spark, folder):
-    return parse.hunks(_files(spark, folder))
+    return parse.hunks(_numbered(spark, folder))
 
 
 @query
 def diff_changes(spark, folder):
-    return parse.changes(_files(spark, folder))
+    return parse.changes(_numbered(spark, folder))
+
+
+@query
+def diff_part_files(spark, folder):
+    return hunk_parts.parse_hunk_parts(fixtures.hunk_parts(spark, folder)).files
+
+
+@query
+def diff_part_changes(spark, folder):
+    return hunk_parts.parse_hunk_parts(fixtures.hunk_parts(spark, folder)).changes()
 
 
 @query

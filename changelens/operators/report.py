@@ -16,6 +16,7 @@ from changelens.functions.text import non_empty, one_decimal, round_half_up, tex
 from changelens.operators import risk, scan, summary
 from changelens.operators.parse import FILE_KEY
 from changelens.params import ScanOptions
+from changelens.sources.tables import lookup
 
 HEADER, RISK, CONTENT, SUMMARY, FINDINGS, TESTS, FOOTER = range(7)
 _COLUMNS = ["change_id", "section_idx", "line_idx", "entry_no", "line"]
@@ -97,9 +98,9 @@ def _risk_lines() -> list[str]:
 def risk_lists(assessment: DataFrame, facts: DataFrame) -> DataFrame:
     """What grows with a change set: the names of all complex files, and five
     recommendations with the entries of theirs."""
+    scored = assessment.where("complexity_score > 30").select("change_id")
     complex_part = (
-        risk.complex_file_details(facts)
-        .join(assessment.where("complexity_score > 30").select("change_id"), "change_id", "left_semi")
+        lookup(risk.complex_file_details(facts), scored, ["change_id"], "left_semi", spread="path")
         .selectExpr("change_id", f"{RISK}L AS section_idx", "24L AS line_idx", "entry_no", "path AS line")
     )
     recs = risk.recommendations(assessment, facts).where("rec_idx < 5").selectExpr(

@@ -19,6 +19,7 @@ from changelens.functions.sql import quote
 from changelens.functions.text import one_decimal, round_half_up, texts, when
 from changelens.operators import summary
 from changelens.params import RiskParams, ScanOptions
+from changelens.sources.tables import lookup
 
 FACTORS = ["security", "complexity", "changeSize", "criticalFiles"]
 _SCORES = dict(zip(FACTORS, ("security_score", "complexity_score", "size_score", "critical_score"), strict=True))
@@ -305,10 +306,9 @@ def risk_details(assessment: DataFrame, facts: DataFrame) -> DataFrame:
     large = assessment.where("is_too_large").selectExpr(
         "change_id", "if(split_directory IS NULL, 2L, 3L) AS detail_idx"
     )
-    type_rows = (
-        summary.type_split(summary.name_counts(facts))
-        .join(large, "change_id")
-        .selectExpr("change_id", "2L AS factor_idx", "detail_idx", "entry_no", "text AS detail")
+    types = summary.type_split(summary.name_counts(facts))
+    type_rows = lookup(types, large, ["change_id"], spread="entry_no").selectExpr(
+        "change_id", "2L AS factor_idx", "detail_idx", "entry_no", "text AS detail"
     )
     return (
         fixed_rows.selectExpr("change_id", "factor_idx", "detail_idx", "0L AS entry_no", "detail")
@@ -344,7 +344,7 @@ def _filled(assessment: DataFrame, facts: DataFrame, items: str, idx: str, name:
     plain = rows.where("_r.slot = 'text'").selectExpr("change_id", idx, "0L AS entry_no", f"_r.text AS {name}")
     slots = rows.where("_r.slot = 'types'").selectExpr("change_id", idx, "_r.text AS _prefix")
     entries = summary.type_split(summary.name_counts(facts))
-    filled = slots.join(entries, "change_id").selectExpr(
+    filled = lookup(entries, slots, ["change_id"], spread="entry_no").selectExpr(
         "change_id", idx, "entry_no", f"if(entry_no = 0, concat(_prefix, text), text) AS {name}"
     )
     return plain.unionByName(filled)

@@ -9,6 +9,7 @@ meet the patterns themselves.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -45,7 +46,7 @@ BUILT_IN = tuple(
     for n, (kind, regex, severity, confidence, exclude) in enumerate(fixed.SECRET_PATTERNS)
 )
 
-_FALSE_POSITIVE = "|".join(java(p, ignore_case) for p, ignore_case in fixed.FALSE_POSITIVES)
+FALSE_POSITIVE = "|".join(java(p, ignore_case) for p, ignore_case in fixed.FALSE_POSITIVES)
 
 HIGH_CONFIDENCE = 0.8
 
@@ -103,6 +104,28 @@ def active_patterns(files: DataFrame, keys: Sequence[str], path: str = "path") -
 # --- the scan plan ------------------------------------------------------------------
 
 
+Rule = tuple[tuple[str, ...], tuple[str, ...]]
+
+
+def chosen_patterns(options: ScanOptions) -> list[tuple[int, SecretPattern, Rule | None]]:
+    """The patterns to try, with their numbers and path rules (excluded, included).
+
+    Custom patterns are added after the path rules, so those do not bind them.
+    """
+    least = fixed.SEVERITY_PRIORITY.get(options.min_severity or "", 0)
+    ruled = [(p, (p.exclude_files, p.include_files)) for p in BUILT_IN]
+    every = ruled + [(p, None) for p in options.custom_patterns]
+    return [
+        (n, p, rule)
+        for n, (p, rule) in enumerate(every)
+        if p.type not in options.exclude_types and fixed.SEVERITY_PRIORITY[p.severity] >= least
+    ]
+
+
+def is_scanned(path: str) -> str:
+    return f"NOT {paths.is_excluded(path)}"
+
+
 class _Scan:
     """Chosen patterns and the SQL expressions to run them.
 
@@ -111,22 +134,14 @@ class _Scan:
     """
 
     def __init__(self, options: ScanOptions):
-        least = fixed.SEVERITY_PRIORITY.get(options.min_severity or "", 0)
-        # Custom patterns are added after the path rules, so those do not bind them.
-        chosen = [(p, (p.exclude_files, p.include_files)) for p in BUILT_IN]
-        chosen += [(p, None) for p in options.custom_patterns]
-        self.patterns = [p for p, _ in chosen]
-        used = [
-            (n, p, rule)
-            for n, (p, rule) in enumerate(chosen)
-            if p.type not in options.exclude_types and fixed.SEVERITY_PRIORITY[p.severity] >= least
-        ]
+        self.patterns = [*BUILT_IN, *options.custom_patterns]
+        used = chosen_patterns(options)
         self._rules = sorted({rule for _, _, rule in used if rule is not None})
         self._used = [(n, p, None if rule is None else self._rules.index(rule)) for n, p, rule in used]
 
     def rules(self, path: str) -> str:
         """Per file: which distinct path rules hold, as an array of booleans."""
-        scanned = f"NOT {paths.is_excluded(path)}"
+        scanned = is_scanned(path)
         return "array(" + ", ".join(f"{scanned} AND {_rule_holds(r, path)}" for r in self._rules) + ")"
 
     def any_rule(self) -> str:
@@ -158,8 +173,8 @@ class _Scan:
         by_pattern = ", ".join(one(n, p, rule) for n, p, rule in self._used)
         with_hits = let("low", "lower(line)", f"filter(array_compact(array({by_pattern})), p -> size(p.found) > 0)")
         return (
-            f"filter(flatten(transform({with_hits}, p -> {_POSITIONED})),"
-            f" m -> NOT m.content rlike {quote(_FALSE_POSITIVE)})"
+            f"filter(flatten(transform({with_hits}, p -> {positioned()})),"
+            f" m -> NOT m.content rlike {quote(FALSE_POSITIVE)})"
         )
 
     def describe(self, idx: str) -> list[str]:
@@ -176,15 +191,18 @@ class _Scan:
 
 _MATCHES = "array<struct<pattern_idx:bigint,match_idx:bigint,column:bigint,content:string>>"
 
-# The matches of one pattern (lambda variable ``p``) with their columns: the text
-# before the j-th match is the first j+1 pieces between matches plus the first
-# j matches.
-_POSITIONED = let(
-    "before",
-    sums_before("transform(p.found, (f, j) -> cast(char_length(f) + char_length(get(p.pieces, j)) as bigint))"),
-    "transform(p.found, (f, j) -> named_struct('pattern_idx', p.pattern_idx, 'match_idx', cast(j as bigint),"
-    " 'column', get(before, j) + char_length(get(p.pieces, j)), 'content', f))",
-)
+
+def positioned(p: str = "p") -> str:
+    """The matches of one pattern (a lambda variable with ``pattern_idx, found,
+    pieces``) with their columns: the text before the j-th match is the first j+1
+    pieces between matches plus the first j matches."""
+    lengths = f"transform({p}.found, (f, j) -> cast(char_length(f) + char_length(get({p}.pieces, j)) as bigint))"
+    return let(
+        "before",
+        sums_before(lengths),
+        f"transform({p}.found, (f, j) -> named_struct('pattern_idx', {p}.pattern_idx, 'match_idx', cast(j as bigint),"
+        f" 'column', get(before, j) + char_length(get({p}.pieces, j)), 'content', f))",
+    )
 
 
 def _rule_holds(rule: tuple[tuple[str, ...], tuple[str, ...]], path: str) -> str:
@@ -218,7 +236,7 @@ _RESULT = ["file", "line", "column", "type", "severity", "content", "pattern", "
            "confidence", "line_ord", "pattern_idx", "match_idx"]
 
 
-def _findings_sql(path: str, lines: str, options: ScanOptions, skip: str = "false") -> str:
+def findings_sql(path: str, lines: str, options: ScanOptions, skip: str = "false") -> str:
     """All findings in an array of (i, line, content), as an array in discovery order."""
     scan = _Scan(options)
     context, contents = "", "null"
@@ -243,14 +261,14 @@ def _findings_sql(path: str, lines: str, options: ScanOptions, skip: str = "fals
 def text_findings(path: str, text: str, options: ScanOptions = ScanOptions()) -> str:
     """The findings in a whole text column as an array; lines count from one."""
     lines = f"transform(split({text}, '\\n', -1), (s, i) -> named_struct('i', i, 'line', i + 1L, 'content', s))"
-    return _findings_sql(path, lines, options)
+    return findings_sql(path, lines, options)
 
 
 def file_findings(options: ScanOptions = ScanOptions()) -> str:
     """The findings in a diff file's added lines as an array; binary files have none."""
     line = "named_struct('i', i, 'line', c.line_number, 'content', c.content)"
     lines = f"transform(added, (c, i) -> {line})"
-    return _findings_sql("path", lines, options, skip="binary")
+    return findings_sql("path", lines, options, skip="binary")
 
 
 def scan_content(
@@ -294,19 +312,23 @@ def explode_findings(
     flat = found.selectExpr(
         *keys, "file", *scan.describe("_m.pattern_idx"), *[f"_m.{c} AS {c}" for c in fields]
     ).select(*keys, *_RESULT, *context)
-    return _limit(flat, limit_keys or keys, options.max_findings)
+    return limit(flat, limit_keys or keys, options.max_findings)
 
 
-def _order(findings: DataFrame) -> list[str]:
+def discovery_order(findings: DataFrame) -> list[str]:
     """Discovery order within a text or change set."""
     return [c for c in ("file_idx", "line_ord", "pattern_idx", "match_idx") if c in findings.columns]
 
 
-def _limit(findings: DataFrame, keys: Sequence[str], max_findings: int) -> DataFrame:
+def unlimited(options: ScanOptions) -> ScanOptions:
+    return replace(options, max_findings=0)
+
+
+def limit(findings: DataFrame, keys: Sequence[str], max_findings: int) -> DataFrame:
     """The first findings in discovery order, per text or change set."""
     if max_findings <= 0:
         return findings
-    return first_n(findings, max_findings, keys, _order(findings), rank="_n").drop("_n")
+    return first_n(findings, max_findings, keys, discovery_order(findings), rank="_n").drop("_n")
 
 
 def priority(severity: str = "severity") -> str:
@@ -322,7 +344,7 @@ def apply_filters(findings: DataFrame, keys: Sequence[str], options: ScanOptions
     """The result filters alone: least severity, then the first N per key."""
     if options.min_severity:
         findings = at_least(findings, options.min_severity)
-    return _limit(findings, keys, options.max_findings)
+    return limit(findings, keys, options.max_findings)
 
 
 def severity_order() -> list[str]:
@@ -347,7 +369,7 @@ def severity_counts(findings: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def type_counts(findings: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Counts by issue type; ``first_seen`` orders types as a sorted report meets them."""
-    seen = ", ".join(f"'{c}', {c}" for c in _order(findings))
+    seen = ", ".join(f"'{c}', {c}" for c in discovery_order(findings))
     return findings.groupBy(*keys, "type").agg(
         F.expr("count(*) AS n"), F.expr(f"min(named_struct('p', -{priority()}, {seen})) AS first_seen")
     )
@@ -358,22 +380,27 @@ def scan_summary(change_sets: DataFrame, findings: DataFrame) -> DataFrame:
 
     ``change_sets`` needs ``change_id, total_files``.
     """
+    return summary_of_types(change_sets, type_counts(findings, ["change_id", "severity"]))
+
+
+def summary_of_types(change_sets: DataFrame, counts: DataFrame) -> DataFrame:
+    """The same from ``type_counts`` by change set and severity."""
     names = [f"n_{s.lower()}" for s in fixed.SEVERITY_PRIORITY]
     # One entry per issue type and severity at most is collected.
     entries = "transform(array_sort(collect_list(struct(first_seen, type, n))), t -> struct(t.type, t.n))"
-    by_type = type_counts(findings, ["change_id", "severity"]).groupBy("change_id", "type").agg(
+    by_type = counts.groupBy("change_id", "type").agg(
         F.expr("sum(n) AS n"),
         F.expr("min(first_seen) AS first_seen"),
         *[F.expr(f"sum(if(severity = '{s}', n, 0L)) AS n_{s.lower()}") for s in fixed.SEVERITY_PRIORITY],
     )
-    counts = by_type.groupBy("change_id").agg(
+    totals = by_type.groupBy("change_id").agg(
         *[F.expr(f"sum({c}) AS {c}") for c in names],
         F.expr("sum(n) AS n_findings"),
         F.expr(f"map_from_entries({entries}) AS by_type"),
     )
     return (
         change_sets.selectExpr("change_id", "total_files AS files_scanned")
-        .join(counts, "change_id", "left")
+        .join(totals, "change_id", "left")
         .selectExpr(
             "change_id",
             "files_scanned",

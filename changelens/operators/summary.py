@@ -14,7 +14,7 @@ from changelens.operators import scan
 from changelens.operators.parse import FILE_KEY
 from changelens.operators.scan import file_findings, severity_count
 from changelens.params import ScanOptions
-from changelens.sources.tables import cut
+from changelens.sources.tables import cut, lookup
 
 
 def with_metadata(files: DataFrame) -> DataFrame:
@@ -175,7 +175,7 @@ def path_list_texts(facts: DataFrame) -> DataFrame:
     """
     rows = path_lists(facts)
     first = rows.groupBy("change_id", "list").agg(F.min("file_idx").alias("_first"))
-    return rows.join(first, ["change_id", "list"]).selectExpr(
+    return lookup(rows, first, ["change_id", "list"], spread="file_idx").selectExpr(
         "change_id", "list", "file_idx", "if(file_idx = _first, path, concat(', ', path)) AS text"
     )
 
@@ -256,7 +256,7 @@ def type_split(counts: DataFrame) -> DataFrame:
     """
     types = counts.where("by = 'extension'")
     several = types.groupBy("change_id").agg(F.expr("count(*) AS _n")).where("_n > 1").select("change_id")
-    entries = types.join(several, "change_id", "left_semi").selectExpr(
+    entries = lookup(types, several, ["change_id"], "left_semi", spread="name").selectExpr(
         "change_id", "first + 1 AS entry_no", f"{_LABEL} AS text"
     )
     return several.selectExpr("change_id", "0L AS entry_no", f"{quote(TYPE_SPLIT)} AS text").unionByName(entries)

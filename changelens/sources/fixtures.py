@@ -223,6 +223,14 @@ def parts(spark: SparkSession, folder: str) -> DataFrame:
     return chunks.selectExpr("change_id", "part_idx", "'main' AS base_branch", "chunk AS diff_text")
 
 
+def hunk_parts(spark: SparkSession, folder: str) -> DataFrame:
+    """The same cut at hunk heads: ``change_id, part_idx, base_branch, diff_text``,
+    some thousand numbers to a document."""
+    cuts = "posexplode(split(diff_text, '(?m)^(?=@@ )', -1)) AS (cut, piece)"
+    pieces = parts(spark, folder).selectExpr("change_id", "part_idx", "base_branch", cuts)
+    return pieces.selectExpr("change_id", "part_idx * 1000 + cut AS part_idx", "base_branch", "piece AS diff_text")
+
+
 # --- generated answers ------------------------------------------------------------------
 
 # Answer texts by kind; a text is put into JSON as it stands, so line ends are

@@ -119,6 +119,17 @@ add(
     "doc_findings",
     "doc_lines",
 )
+add(
+    "scan_pattern_sets",
+    'SELECT doc_id, line, "column", type, severity, content FROM doc_findings WHERE doc_id % 2 = 0 UNION ALL'
+    ' SELECT doc_id, cast(line AS bigint), cast(col AS bigint), coalesce(type, \'INTERNAL_HOST\'),'
+    f" coalesce(severity, 'MEDIUM'), m FROM custom_hits LEFT JOIN {PATTERNS} USING (pattern_idx)"
+    " WHERE coalesce(type, '') <> 'DATABASE_URL' AND coalesce(priority, 2) >= 2 AND doc_id % 2 = 1",
+    "doc_findings",
+    "custom_hits",
+)
+add("scan_findings_written", 'SELECT doc_id, line, "column", type, severity FROM doc_findings', "doc_findings")
+STATEMENTS["scan_context_in_blocks"] = STATEMENTS["scan_context"]
 add(
     "scan_finding_text",
     "SELECT doc_id, line, pattern_idx, match_idx, severity || ' - ' || type || chr(10) || '   File: ' || file || ':'"
@@ -192,18 +203,27 @@ add(
     f" WHERE source_kind = 'staged' AND {trimmed('diff_text')} <> ''",
     "sources",
 )
-add(
-    "diff_files",
-    'SELECT change_id, file_idx, path, old_path, status, language, "binary", additions, deletions, n_hunks,'
-    " parse_warning FROM files",
-    "files",
+# file numbers without a gap
+_DENSE = (
+    " JOIN (SELECT change_id, file_idx, row_number() OVER (PARTITION BY change_id ORDER BY file_idx) - 1 AS dense FROM files)"
+    " USING (change_id, file_idx)"
 )
+_FILE_ROWS = (
+    'SELECT change_id, dense AS file_idx, path, old_path, status, language, "binary", additions, deletions, n_hunks,'
+    f" parse_warning FROM files{_DENSE}"
+)
+_CHANGE_ROWS = f"SELECT * EXCLUDE (dense) REPLACE (dense AS file_idx) FROM changes{_DENSE}"
+add("diff_files", _FILE_ROWS, "files")
 add(
     "diff_hunks",
-    "SELECT change_id, file_idx, path, hunk_idx, old_start, old_lines, new_start, new_lines, header FROM hunks",
+    "SELECT change_id, dense AS file_idx, path, hunk_idx, old_start, old_lines, new_start, new_lines, header"
+    f" FROM hunks{_DENSE}",
     "hunks",
+    "files",
 )
-add("diff_changes", "SELECT * FROM changes", "changes")
+add("diff_changes", _CHANGE_ROWS, "changes", "files")
+add("diff_part_files", _FILE_ROWS, "files")
+add("diff_part_changes", _CHANGE_ROWS, "changes", "files")
 add(
     "diff_stat",
     "SELECT change_id, path, sum(additions) AS additions, sum(deletions) AS deletions, count(*) AS n_files"

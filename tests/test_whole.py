@@ -154,7 +154,7 @@ def test_texts_move_by_part_and_never_by_change_set(spark, no_broadcast):
     """A third of all parts in one change set; no task gets it whole."""
     rows = [(0 if i % 3 == 0 else i, i, "branch", one_file(f"f{i}.py", ["+x"])) for i in range(9000)]
     df = spark.createDataFrame(rows, PARTS).repartition(8)
-    chosen = diffs.choose_source(df)
+    chosen = diffs.choose_source(df, limit=0)
     with_text = [e for e in _exchanges_of_text(chosen) if "part_idx" in e]
     assert len(with_text) >= 2
     held = chosen.withColumn("p", F.spark_partition_id()).groupBy("p").count().collect()
@@ -190,8 +190,6 @@ def test_stream_gives_the_batch_findings(spark, tmp_path):
     want = scan.scan_content(files, ["doc_id"])
     assert got.count() == want.count() > 0
     assert got.exceptAll(want).count() == 0
-    with pytest.raises(ValueError):
-        scan_stream(stream, ["doc_id"], ScanOptions(max_findings=1))
 
 
 def test_diff_stream(spark, tmp_path):
@@ -200,8 +198,6 @@ def test_diff_stream(spark, tmp_path):
     stream = spark.readStream.schema(parts.schema).parquet(str(tmp_path / "in"))
     write_findings(scan_diff_stream(stream), str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).count() == scan.scan_diff(parse.parse_files(parts)).count()
-    with pytest.raises(ValueError):
-        scan_diff_stream(stream, ScanOptions(max_findings=1))
 
 
 @pytest.fixture(scope="module")
