@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from changelens.llm.components import components
-from changelens.llm.tables import cut, fresh
+from changelens.llm.tables import cut, drop_tables, fresh, lookup
 from changelens.llm.words import SPACED, mixed, slices, words_of
 
 _MULTIPLIER = 0xA0761D6478BD642F | 1
@@ -59,9 +59,10 @@ class JoinParams:
     broadcast_rows: int = 1_000_000
 
 
-def shingles(data: np.ndarray, bounds: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """``(first, hashes)``: each text's distinct shingles, sorted by hash; text
-    d has those from ``first[d]`` to ``first[d + 1]``.
+def shingles(data: np.ndarray, bounds: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``(first, hashes, checks)``: each text's distinct shingles, sorted by
+    hash; text d has those from ``first[d]`` to ``first[d + 1]``.  ``checks`` are
+    32 bits of a second, independent hash of each.
 
     A text of fewer words is one shingle of all of them; one without words has
     none.
@@ -70,20 +71,19 @@ def shingles(data: np.ndarray, bounds: np.ndarray, k: int) -> tuple[np.ndarray,
     counts, doc = words.counts(), words.doc()
     factors = [pow(_MULTIPLIER, j + 1, 1 << 64) for j in range(k)]
 
-    def combined(first: np.ndarray, n: int) -> np.ndarray:
+    def combined(of: np.ndarray, first: np.ndarray, n: int) -> np.ndarray:
         total = np.full(len(first), n, dtype=np.uint64)
         for j in range(n):
-            total += words.hash[first + j] * np.uint64(factors[j])
+            total += of[first + j] * np.uint64(factors[j])
         return mixed(total)
 
     starts = np.arange(max(0, len(words.hash) - k + 1))
     starts = starts[doc[starts] == doc[starts + k - 1]] if len(starts) else starts
-    hashes, owner = [combined(starts, k)], [doc[starts]]
-    for n in range(1, k):
-        short = np.flatnonzero(counts == n)
-        hashes.append(combined(words.first[:-1][short], n))
-        owner.append(short)
-    all_hashes, all_docs = np.concatenate(hashes), np.concatenate(owner)
+    groups = [(starts, k), *[(words.first[:-1][np.flatnonzero(counts == n)], n) for n in range(1, k)]]
+    owner = [doc[starts], *[np.flatnonzero(counts == n) for n in range(1, k)]]
+    all_hashes = np.concatenate([combined(words.hash, first, n) for first, n in groups])
+    all_checks = np.concatenate([combined(words.check, first, n) >> np.uint64(32) for first, n in groups]).astype(np.uint32)
+    all_docs = np.concatenate(owner)
     order = np.argsort(all_hashes)
     n_docs = len(bounds) - 1
     small = all_docs[order].astype(np.uint16 if n_docs < 1 << 16 else np.int64)
@@ -91,8 +91,14 @@ def shingles(data: np.ndarray, bounds: np.ndarray, k: int) -> tuple[np.ndarray,
     h, d = all_hashes[order], all_docs[order]
     new = np.ones(len(h), dtype=bool)
     new[1:] = (h[1:] != h[:-1]) | (d[1:] != d[:-1])
-    h, d = h[new], d[new]
-    return np.searchsorted(d, np.arange(n_docs + 1)), h
+    return np.searchsorted(d[new], np.arange(n_docs + 1)), h[new], all_checks[order][new]
+
+
+def set_digests(first: np.ndarray, hashes: np.ndarray, checks: np.ndarray) -> list[bytes]:
+    """A digest of each text's set, over both hashes of its shingles."""
+    return [
+        hashlib.md5(hashes[a:b].tobytes() + checks[a:b].tobytes()).digest() for a, b in zip(first[:-1], first[1:])
+    ]
 
 
 def _counted(texts: DataFrame, params: JoinParams) -> DataFrame:
@@ -158,7 +164,8 @@ def _counted(texts: DataFrame, params: JoinParams) -> DataFrame:
 def frequent(texts: DataFrame, params: JoinParams) -> tuple[np.ndarray, np.ndarray]:
     """Keys, sorted, and counts of the most frequent shingles: all above the
     lowest power of two that leaves no more than the limit."""
-    counts = cut(_counted(texts, params), "shingle-counts")
+    used: list[str] = []
+    counts = cut(_counted(texts, params), "shingle-counts", used)
     by_size = counts.groupBy(F.floor(F.log2("n")).cast("int").alias("size")).count().collect()
     room, least = params.frequent_limit, 64
     for size, n in sorted(((r["size"], r["count"]) for r in by_size), reverse=True):
@@ -166,6 +173,7 @@ def frequent(texts: DataFrame, params: JoinParams) -> tuple[np.ndarray, np.ndarr
             break
         room, least = room - n, size
     table = counts.where(F.col("n") >= F.lit(1 << least).cast("long")).toArrow() if least < 63 else None
+    drop_tables(texts.sparkSession, used)
     if table is None:
         return np.empty(0, np.uint32), np.empty(0, np.int64)
     key, n = table["key"].to_numpy().astype(np.uint32), table["n"].to_numpy()
@@ -202,8 +210,9 @@ def described(rows: DataFrame, params: JoinParams) -> DataFrame:
         key, count = sent.value
         for batch in batches:
             for i, j, data, bounds in slices(batch.column(2)):
-                n_list, digests, asks, sizes, prefixes = [], [], [], [], []
-                first, h = shingles(data, bounds, params.words)
+                n_list, asks, sizes, prefixes = [], [], [], []
+                first, h, checks = shingles(data, bounds, params.words)
+                digests = set_digests(first, h, checks)
                 often = np.zeros(len(h), dtype=np.int64)
                 if len(key):
                     short = (h >> np.uint64(32)).astype(np.uint32)
@@ -212,7 +221,6 @@ def described(rows: DataFrame, params: JoinParams) -> DataFrame:
                 for a, b in zip(first[:-1], first[1:]):
                     n, own, seen = int(b - a), h[a:b], often[a:b]
                     n_list.append(n)
-                    digests.append(hashlib.md5(own.tobytes()).digest())
                     if not n:
                         asks.append(0)
                         sizes.append(0)
@@ -253,12 +261,14 @@ def _overlap_needed(n_a: Column, n_b: Column, percent: int) -> Column:
 
 def verified(pairs: DataFrame, classes: DataFrame, rows: DataFrame, params: JoinParams) -> DataFrame:
     """Those of the pairs ``a, b`` (class numbers) whose sets are linked."""
+    used: list[str] = []
     wanted = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct()
     reps = cut(
         classes.join(wanted, "cls", "left_semi").select(
             "cls", F.col("rid").alias("rep_rid"), F.col("digest").alias("rep_digest")
         ),
         "candidates",
+        used,
     )
     small = reps.count() <= params.broadcast_rows
     ids = reps.select("rep_rid").distinct()
@@ -267,31 +277,53 @@ def verified(pairs: DataFrame, classes: DataFrame, rows: DataFrame, params: Join
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, j, data, bounds in slices(batch.column(1)):
-                first, h = shingles(data, bounds, params.words)
-                digests = [hashlib.md5(h[a:b].tobytes()).digest() for a, b in zip(first[:-1], first[1:])]
-                sets = pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(h.view(np.int64)))
+                first, h, checks = shingles(data, bounds, params.words)
+                ends = pa.array(first, pa.int32())
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(i, j - i), pa.array(digests, pa.binary()), sets], ["rid", "digest", "members"]
+                    [
+                        batch.column(0).slice(i, j - i),
+                        pa.array(set_digests(first, h, checks), pa.binary()),
+                        pa.ListArray.from_arrays(ends, pa.array(h.view(np.int64))),
+                        pa.ListArray.from_arrays(ends, pa.array(checks.view(np.int32))),
+                    ],
+                    ["rid", "digest", "members", "checks"],
                 )
 
     sets = (
         texts.select("rid", "text")
-        .mapInArrow(sets_of, "rid bigint, digest binary, members array<bigint>")
+        .mapInArrow(sets_of, "rid bigint, digest binary, members array<bigint>, checks array<int>")
         .join(
             F.broadcast(reps) if small else reps,
             (F.col("rid") == F.col("rep_rid")) & (F.col("digest") == F.col("rep_digest")),
         )
         .groupBy("cls")
-        .agg(F.first("members").alias("members"))
+        .agg(F.first(F.struct("members", "checks")).alias("own"))
     )
-    sets = cut(sets, "shingle-sets")
+    sets = cut(sets, "shingle-sets", used)
+    sides = [sets.select(F.col("cls").alias(side), F.col("own").alias(f"set_{side}")) for side in "ab"]
     both = (
         pairs.select("a", "b")
-        .join(sets.select(F.col("cls").alias("a"), F.col("members").alias("set_a")), "a")
-        .join(sets.select(F.col("cls").alias("b"), F.col("members").alias("set_b")), "b")
-        .select("a", "b", (F.size("set_a") + F.size("set_b")).alias("both"), F.size(F.array_intersect("set_a", "set_b")).alias("common"))
+        .join(sides[0], "a")
+        .join(sides[1], "b")
+        .select(
+            "a",
+            "b",
+            (F.size("set_a.members") + F.size("set_b.members")).alias("both"),
+            F.size(F.array_intersect("set_a.members", "set_b.members")).alias("common"),
+            F.array_distinct("set_a.checks").alias("checks_a"),
+            F.array_distinct("set_b.checks").alias("checks_b"),
+            (F.size("set_a.checks") + F.size("set_b.checks")).alias("n_checks"),
+        )
+        .where(100 * F.col("common") >= params.percent * (F.col("both") - F.col("common")))
     )
-    return both.where(100 * F.col("common") >= params.percent * (F.col("both") - F.col("common"))).select("a", "b")
+    # what one hash says is common has to be so by the other; its 32 bits may
+    # agree by chance within a set, which the sizes before tell
+    surplus = F.col("n_checks") - F.size("checks_a") - F.size("checks_b")
+    agreed = F.size(F.array_intersect("checks_a", "checks_b")) + surplus
+    linked = both.where(100 * agreed >= params.percent * (F.col("both") - agreed)).select("a", "b")
+    linked = cut(linked, "verified")
+    drop_tables(rows.sparkSession, used)
+    return linked
 
 
 def _entries(classes: DataFrame, params: JoinParams) -> DataFrame:
@@ -315,7 +347,7 @@ def _entries(classes: DataFrame, params: JoinParams) -> DataFrame:
     )
 
 
-def _rest(entries: DataFrame, labels: DataFrame, params: JoinParams) -> DataFrame:
+def _rest(entries: DataFrame, labels: DataFrame, params: JoinParams, used: list[str]) -> DataFrame:
     """Pairs ``a, b`` of different components that may still be linked.
 
     What two sets share is at most what was shared before a common shingle and
@@ -328,7 +360,7 @@ def _rest(entries: DataFrame, labels: DataFrame, params: JoinParams) -> DataFram
         .join(labels.withColumnRenamed("node", "cls"), "cls", "left")
         .withColumn("component", F.coalesce("component", "cls"))
     )
-    tagged = cut(tagged, "prefix-entries")
+    tagged = cut(tagged, "prefix-entries", used)
     mixed_ = tagged.groupBy(F.col("token").alias("mixed")).agg(
         F.min("component").alias("low"), F.max("component").alias("high")
     ).where("low != high").select("mixed")
@@ -398,8 +430,11 @@ def near_duplicates(
     all without shingles.  Other columns are not read; an empty table gives an
     empty one.
     """
+    spark = docs.sparkSession
     rows = with_rid(docs, id_col, text_col)
     members = cut(described(rows, params), "described")
+    used: list[str] = []
+    early: list[str] = []
     classes = (
         members.where("n > 0")
         .groupBy("digest")
@@ -412,8 +447,8 @@ def near_duplicates(
             F.first("prefix").alias("prefix"),
         )
     )
-    classes = cut(classes.withColumn("cls", F.monotonically_increasing_id()), "classes")
-    entries = cut(_entries(classes, params), "shared-prefixes")
+    classes = cut(classes.withColumn("cls", F.monotonically_increasing_id()), "classes", used)
+    entries = cut(_entries(classes, params), "shared-prefixes", early)
 
     pivot_n, pivot_pos = F.col("pivot.n"), F.col("pivot.pos")
     slack = F.least(F.col("n") - F.col("pos"), pivot_n - pivot_pos) - _overlap_needed(F.col("n"), pivot_n, params.percent)
@@ -429,20 +464,20 @@ def near_duplicates(
         .agg(F.max(F.struct("met", "b")).alias("best"))
         .select("a", F.col("best.b").alias("b"))
     )
-    star_links = cut(verified(cut(stars, "stars"), classes, rows, params), "star-links")
+    star_links = verified(cut(stars, "stars", early), classes, rows, params)
     labels = components(star_links.select(F.col("a").alias("u"), F.col("b").alias("v")))
-    rest = cut(_rest(entries, labels, params), "rest")
-    more = verified(rest, classes, rows, params)
-    links = star_links.unionByName(more)
+    rest = cut(_rest(entries, labels, params, early), "rest", used)
+    drop_tables(spark, early)
+    links = star_links.unionByName(verified(rest, classes, rows, params))
     final = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
     named = classes.select("cls", "digest", "doc_id", "least").join(
         final.withColumnRenamed("node", "cls"), "cls", "left"
     ).withColumn("component", F.coalesce("component", "cls"))
     named = cut(named, "labelled")
-    ids = named.groupBy(F.col("component").alias("own")).agg(
-        F.min("doc_id").alias("component_id"), F.min("least").alias("stay")
-    )
-    by_digest = named.join(ids, F.col("component") == F.col("own")).select(
+    drop_tables(spark, used)
+    ids = cut(named.groupBy("component").agg(F.min("doc_id").alias("component_id"), F.min("least").alias("stay")), "components")
+    # a component may have most of the classes
+    by_digest = lookup(named.select("cls", "digest", "component"), ids, ["component"], spread="cls").select(
         F.col("digest").alias("cls_digest"), "component_id", "stay"
     )
     return members.join(

@@ -136,7 +136,7 @@ WITH texts AS (
 ), totals AS (SELECT host, count(*) AS pages FROM texts GROUP BY host
 ), common AS (
   SELECT host, list(line) AS gone FROM (SELECT host, line, count(*) AS n FROM filled GROUP BY ALL) JOIN totals USING (host)
-  WHERE pages >= {_SITE.min_pages} AND n > {_SITE.max_ratio}::DOUBLE * pages GROUP BY host
+  WHERE n >= {_SITE.min_line_pages} AND n > {_SITE.max_ratio}::DOUBLE * pages GROUP BY host
 ), marked AS (
   SELECT page_id, host, text, ls, list_filter(ls, lambda x: trim(x, {_SPACES}) <> '') AS full_,
     list_filter(ls, lambda x: NOT list_contains(coalesce(gone, []), trim(x, {_SPACES}))) AS kept
@@ -241,9 +241,11 @@ WITH RECURSIVE keyed AS (
   SELECT *, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, role, txt, copy) AS i, count(*) OVER (PARTITION BY c) AS n
   FROM damaged
 ), marked AS (
-  SELECT *, substr(role, 1, 1) AS initial, NOT regexp_matches(txt, '[^ 	-]') AS blank,
+  SELECT *, substr(role, 1, 1) AS initial, NOT regexp_matches(txt, '[^ 	-
+]') AS blank,
     row_number() OVER (PARTITION BY c, role, txt ORDER BY i) > 1 AS repeated,
-    NOT regexp_matches(txt, '[.!?][ 	-]*$') AS cut_off FROM placed
+    NOT regexp_matches(txt, '[.!?][ 	-
+]*$') AS cut_off FROM placed
 ), f AS (
   SELECT c, i, n, turn, role, txt, initial, blank, repeated AND NOT blank AS duplicate, blank OR repeated AS gone,
     cut_off AND NOT blank AND NOT repeated AS truncated, CASE WHEN cut_off THEN 1 ELSE 0 END AS extra,

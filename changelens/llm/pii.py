@@ -20,11 +20,17 @@ BASE_KINDS = ("email", "ip", "card", "phone")
 #: The method's own kinds, listed after the base kinds.
 ADDED_KINDS = ("iban", "ssn")
 
-#: Lengths of account numbers by country.
+#: Lengths of account numbers by country, as registered.
 IBAN_LENGTHS = {
-    "AT": 20, "BE": 16, "BG": 22, "CH": 21, "CY": 28, "CZ": 24, "DE": 22, "DK": 18, "EE": 20, "ES": 24,
-    "FI": 18, "FR": 27, "GB": 22, "GR": 27, "HR": 21, "HU": 28, "IE": 22, "IT": 27, "LI": 21, "LT": 20,
-    "LU": 20, "LV": 21, "MT": 31, "NL": 18, "NO": 15, "PL": 28, "PT": 25, "RO": 24, "SE": 24, "SI": 19, "SK": 24,
+    "AD": 24, "AE": 23, "AL": 28, "AT": 20, "AZ": 28, "BA": 20, "BE": 16, "BG": 22, "BH": 22, "BI": 27, "BR": 29,
+    "BY": 28, "CH": 21, "CR": 22, "CY": 28, "CZ": 24, "DE": 22, "DJ": 27, "DK": 18, "DO": 28, "EE": 20, "EG": 29,
+    "ES": 24, "FI": 18, "FK": 18, "FO": 18, "FR": 27, "GB": 22, "GE": 22, "GI": 23, "GL": 18, "GR": 27, "GT": 28,
+    "HN": 28, "HR": 21, "HU": 28, "IE": 22, "IL": 23, "IQ": 23, "IS": 26, "IT": 27, "JO": 30, "KW": 30, "KZ": 20,
+    "LB": 28, "LC": 32, "LI": 21, "LT": 20, "LU": 20, "LV": 21, "LY": 25, "MC": 27, "MD": 24, "ME": 22, "MK": 19,
+    "MN": 20, "MR": 27, "MT": 31, "MU": 30, "NI": 28, "NL": 18, "NO": 15, "OM": 23, "PK": 24, "PL": 28, "PS": 29,
+    "PT": 25, "QA": 29, "RO": 24, "RS": 22, "RU": 33, "SA": 24, "SC": 31, "SD": 18, "SE": 24, "SI": 19, "SK": 24,
+    "SM": 27, "SO": 23, "ST": 25, "SV": 28, "TL": 23, "TN": 24, "TR": 26, "UA": 29, "VA": 22, "VG": 24, "XK": 20,
+    "YE": 30,
 }
 #: Words within ``context_chars`` before or after a span that speak for its kind.
 CONTEXT = {
@@ -43,7 +49,7 @@ _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz01234567
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
+_IBAN_START = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}")
 _SSN = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 _DIGIT = re.compile(r"[0-9]")
 
@@ -92,19 +98,32 @@ def emails(text: str) -> Iterator[tuple[int, int]]:
         at = text.find("@", max(at + 1, done))
 
 
-def _iban_end(match: re.Match) -> int | None:
-    """End of the account number that begins the match, if it is one."""
-    length = IBAN_LENGTHS.get(match[0][:2])
+def _iban_end(text: str, start: int) -> int | None:
+    """End of the account number that begins here, if one does: as many letters
+    and digits as its country has, in groups of four or without a space."""
+    length = IBAN_LENGTHS.get(text[start : start + 2])
     if length is None:
         return None
-    compact, end = "", match.start()
-    for c in match[0]:
-        end += 1
-        if c != " ":
-            compact += c
-        if len(compact) == length:
-            return end if mod_97(compact) else None
-    return None
+    compact, at = "", start
+    while len(compact) < length:
+        if compact and len(compact) % 4 == 0 and text[at : at + 1] == " ":
+            at += 1
+        c = text[at : at + 1]
+        if not ("0" <= c <= "9" or "A" <= c <= "Z"):
+            return None
+        compact += c
+        at += 1
+    after = text[at : at + 1]
+    return at if mod_97(compact) and not (after.isascii() and after.isalnum()) else None
+
+
+def ibans(text: str) -> Iterator[tuple[int, int]]:
+    """Tried at each start; after an account from its end on."""
+    done = 0
+    for m in _IBAN_START.finditer(text):
+        if m.start() >= done and (end := _iban_end(text, m.start())):
+            yield m.start(), end
+            done = end
 
 
 def proposed(text: str) -> Iterator[tuple[str, int, int]]:
@@ -127,9 +146,8 @@ def proposed(text: str) -> Iterator[tuple[str, int, int]]:
         for m in _PHONE.finditer(text):
             if 9 <= len(digits_of(m[0])) <= 15:
                 yield "phone", m.start(), m.end()
-    for m in _IBAN.finditer(text):
-        if end := _iban_end(m):
-            yield "iban", m.start(), end
+    for start, end in ibans(text):
+        yield "iban", start, end
     for m in _SSN.finditer(text):
         if m[0][:3] not in ("000", "666") and m[0][0] != "9":
             yield "ssn", m.start(), m.end()

@@ -20,15 +20,14 @@ SPACES = " \t\n\x0b\x0c\r"
 
 @dataclass(frozen=True)
 class SiteParams:
-    """Lines on more than ``max_ratio`` of a site's pages and on
-    ``min_line_pages`` of them or more go, on sites of ``min_pages`` pages or
-    more.  Boilerplate of all sites together up to
+    """Lines on more than ``max_ratio`` of a site's pages go if they are on
+    ``min_line_pages`` of them at least, whatever the site's size: on fewer a
+    line's share says nothing.  Boilerplate of all sites together up to
     ``broadcast_bytes`` is sent to all executors; more is joined by shuffling,
     with each site dealt to ``salts`` parts."""
 
     max_ratio: float = 0.1
-    min_pages: int = 20
-    min_line_pages: int = 1
+    min_line_pages: int = 3
     broadcast_bytes: int = 32 << 20
     salts: int = 64
 
@@ -53,12 +52,12 @@ def boilerplate(pages: DataFrame, site: Column, text: Column, params: SiteParams
         rows.select("site", F.explode(_keys(F.col("text"))).alias("line_key"))
         .groupBy("site", "line_key")
         .agg(F.count("*").alias("n_pages"))
-        # what is left is thin; a line below this is common on no site that counts
-        .where((F.col("n_pages") > params.max_ratio * params.min_pages) & (F.col("n_pages") >= params.min_line_pages))
+        # what is left is thin
+        .where(F.col("n_pages") >= params.min_line_pages)
     )
     return (
         counts.join(totals, F.col("site") == F.col("total_site"))
-        .where((F.col("site_pages") >= params.min_pages) & (F.col("n_pages") > params.max_ratio * F.col("site_pages")))
+        .where(F.col("n_pages") > params.max_ratio * F.col("site_pages"))
         .select("site", "line_key", "n_pages", "site_pages")
     )
 
@@ -73,7 +72,7 @@ def drop_site_lines(
     ``n_lines, n_dropped`` (long, of lines with more than white space).
 
     No row is dropped.  A null text stays null, an empty one empty; rows
-    without a site and sites below ``min_pages`` stay as they are; blank lines stay; a line
+    without a site stay as they are; blank lines stay; a line
     repeated within a page counts once for the page, and all its copies go;
     repeated rows count as pages each.  Table columns of the added names are
     replaced.

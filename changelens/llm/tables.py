@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-from changelens.sources.tables import cut, drop_tables, read_table as read
+from changelens.sources.tables import cut, drop_tables, lookup, read_table as read
 
-__all__ = ["cut", "drop_tables", "fresh", "put_back", "read", "set_apart"]
+__all__ = ["cut", "drop_tables", "fresh", "lookup", "put_back", "read", "set_apart"]
 
 
 def fresh(df: DataFrame, *wanted: str) -> list[str]:

@@ -153,13 +153,12 @@ def judge_urls(
         F.count("*"), F.coalesce(F.sum(F.octet_length("listed_url")), F.lit(0))
     ).first()
     n_blocks = max(1, -(-n_listed // params.keys_per_block))
-    block_, listed_, *words = fresh(pages, "bloom_block", "listed_url", *[f"w{j}" for j in range(WORDS)])
+    ask_, block_, listed_, *words = fresh(pages, "asked_block", "bloom_block", "listed_url", *[f"w{j}" for j in range(WORDS)])
     bloom = build_filter(entries, "listed_url", n_blocks).toDF(block_, *words)
     entries = entries.withColumnRenamed("listed_url", listed_)
     if min(n_blocks, n_listed) * (WORDS + 1) * 8 <= params.broadcast_bytes:
         bloom = F.broadcast(bloom)
-    if n_bytes + 16 * n_listed <= params.broadcast_bytes:
-        entries = F.broadcast(entries)
+    small = n_bytes + 16 * n_listed <= params.broadcast_bytes
 
     url = F.col(url_col)
     rows = pages.select(
@@ -172,21 +171,21 @@ def judge_urls(
     found = F.lit(True)
     for j, bit in enumerate(_bits(F.col("canonical_url"))):
         found = found & (F.col(words[j]).bitwiseAND(bit) != 0)
+    # a row without a canonical URL asks a block by its place, so they are not one key
+    has_url = F.col("canonical_url").isNotNull()
+    asked = F.when(has_url, _block(F.col("canonical_url"), n_blocks)).otherwise(F.monotonically_increasing_id() % n_blocks)
     probed = (
-        rows.join(
-            bloom,
-            F.when(F.col("canonical_url").isNotNull(), _block(F.col("canonical_url"), n_blocks))
-            == F.col(block_),
-            "left",
-        )
-        .withColumn("maybe_listed", F.coalesce(found, F.lit(False)))
-        .drop(block_, *words)
-    )
-    exact = probed.join(
-        entries,
-        F.when(F.col("maybe_listed"), F.col("canonical_url")) == F.col(listed_),
-        "left",
+        rows.withColumn(ask_, asked)
+        .join(bloom, F.col(ask_) == F.col(block_), "left")
+        .withColumn("maybe_listed", has_url & F.coalesce(found, F.lit(False)))
+        .drop(ask_, block_, *words)
     )
+    if small:
+        own = F.when(F.col("maybe_listed"), F.col("canonical_url"))
+        exact = probed.join(F.broadcast(entries), own == F.col(listed_), "left")
+    else:  # rows without a hit meet nothing: they stay where they are
+        hits = probed.where("maybe_listed").join(entries, F.col("canonical_url") == F.col(listed_), "left")
+        exact = hits.unionByName(probed.where("NOT maybe_listed").withColumn(listed_, F.lit(None).cast("string")))
     return exact.select(
         *kept,
         "host",

@@ -1,9 +1,12 @@
 """Words of many texts at once, as arrays: places and 64-bit hashes.
 
-A batch's texts lie one after the other in one byte buffer.  A word's hash is a
-polynomial of its bytes, taken from running sums, so no Python code runs per
-word.  Buffers are worked through in stretches of bounded size, cut between
-words, so memory stays a small multiple of the batch.
+A batch's texts lie one after the other in one byte buffer.  A word's bytes make
+four polynomials modulo primes, taken from running sums, so no Python code runs
+per word; mixed together they give its hash, and mixed differently a second,
+independent one.  (Modulo a power of two there are words, such as those of the
+Thue-Morse sequence, that agree for every base.)  Buffers are worked through in
+stretches of bounded size, cut between words, so memory stays a small multiple
+of the batch.
 """
 
 from __future__ import annotations
@@ -17,8 +20,9 @@ import pyarrow as pa
 #: Bytes of text handled at a time; a longer text is handled alone.
 SLICE_BYTES = 1 << 19
 _STRETCH = 1 << 17
-_BASE = 0x9E3779B97F4A7C15 | 1
-_MASK = (1 << 64) - 1
+#: Primes below 2^31 and a base for each.
+_CHANNELS = ((2147483647, 1103515245), (2147483629, 1664525017), (2147483587, 1013904223), (2147483579, 742938285))
+_MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 
 
 def byte_table(separators: bytes) -> np.ndarray:
@@ -75,15 +79,53 @@ def ranges(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int)
     return (sums[ends] - sums[starts]) * inverse[starts]
 
 
+_PRIME_TABLES: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+
+def _prime_powers(prime: int, base: int, n: int) -> np.ndarray:
+    out = np.ones(n, dtype=np.uint64)
+    done = 1
+    while done < n:  # each round doubles the powers that are known
+        more = min(done, n - done)
+        out[done : done + more] = out[:more] * np.uint64(pow(base, done, prime)) % np.uint64(prime)
+        done += more
+    return out
+
+
+def _prime_tables(channel: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    kept = _PRIME_TABLES.get(channel)
+    if kept is None or len(kept[0]) < n:
+        prime, base = _CHANNELS[channel]
+        size = max(n, _STRETCH * 2)
+        kept = _prime_powers(prime, base, size), _prime_powers(prime, pow(base, -1, prime), size)
+        if size <= _STRETCH * 4:
+            _PRIME_TABLES[channel] = kept
+    return kept
+
+
+def _polynomials(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, channel: int) -> np.ndarray:
+    """Polynomials modulo the channel's prime of the ranges of an array of bytes."""
+    prime = np.uint64(_CHANNELS[channel][0])
+    power, inverse = _prime_tables(channel, len(values) + 1)
+    terms = values * power[: len(values)]
+    if len(values) > 1 << 24:  # sums of more such products need not fit 64 bits
+        terms %= prime
+    sums = np.zeros(len(values) + 1, dtype=np.uint64)
+    np.cumsum(terms, out=sums[1:])
+    return (sums[ends] - sums[starts]) % prime * inverse[starts] % prime
+
+
 @dataclass
 class Words:
-    """Words of a slice: ``first[d]`` is the index of document d's first word."""
+    """Words of a slice: ``first[d]`` is the index of document d's first word.
+    ``hash`` and ``check`` are two hashes of each word."""
 
     data: np.ndarray
     start: np.ndarray
     end: np.ndarray
     first: np.ndarray
     hash: np.ndarray
+    check: np.ndarray
 
     def counts(self) -> np.ndarray:
         return np.diff(self.first)
@@ -120,18 +162,23 @@ def words_of(data: np.ndarray, bounds: np.ndarray, table: np.ndarray) -> Words:
         start = np.sort(np.concatenate([start, split]))
         end = np.sort(np.concatenate([end, split]))
     low = LOWER[data]
-    hashes = np.empty(len(start), dtype=np.uint64)
+    channels = np.empty((4, len(start)), dtype=np.uint64)
     i = 0
     while i < len(start):
         j = max(i + 1, int(np.searchsorted(end, start[i] + _STRETCH, "right")))
         at = start[i]
         values = low[at : end[j - 1]].astype(np.uint64)
         values += np.uint64(1)
-        hashes[i:j] = ranges(values, start[i:j] - at, end[i:j] - at, _BASE)
+        for channel in range(4):
+            channels[channel, i:j] = _polynomials(values, start[i:j] - at, end[i:j] - at, channel)
         i = j
-    lengths = (end - start).astype(np.uint64)
-    hashes = mixed(hashes + lengths * np.uint64(0xD6E8FEB86659FD93))
-    return Words(low, start, end, np.searchsorted(start, bounds), hashes)
+    # a word's length and its four remainders: two numbers of 62 bits
+    left = channels[0] << np.uint64(31) | channels[1]
+    right = channels[2] << np.uint64(31) | channels[3]
+    left = mixed(left + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    hashes = mixed(left * np.uint64(_MIX[0]) + mixed(right))
+    checks = mixed(mixed(right * np.uint64(_MIX[1])) ^ left)
+    return Words(low, start, end, np.searchsorted(start, bounds), hashes, checks)
 
 
 def slices(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:

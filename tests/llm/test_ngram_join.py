@@ -156,7 +156,7 @@ def test_counts_are_those_of_all_texts(spark):
     want = {}
     for r in rows:
         data = np.frombuffer(r[1].encode(), np.uint8)
-        _, h = ngram_join.shingles(data, np.array([0, len(data)]), 3)
+        _, h, _ = ngram_join.shingles(data, np.array([0, len(data)]), 3)
         assert len(h) == len(shingle_set(r[1], 3))
         for key in (h >> np.uint64(32)).tolist():
             want[key] = want.get(key, 0) + 1
@@ -188,3 +188,44 @@ def test_query_against_brute_force(spark):
     assert got.columns == ["doc_id", "n_shingles", "component_id"]
     assert plain(got.collect()) == brute(docs, JoinParams(words=3, percent=90))
     assert F
+
+
+@pytest.mark.parametrize("n", [1024, 4096])
+def test_words_that_agree_modulo_powers_of_two(spark, n):
+    """Words of the Thue-Morse sequence and its complement agree in every
+    polynomial modulo 2^64; their documents share nothing."""
+    bits = [bin(i).count("1") % 2 for i in range(n)]
+    one, two = ("".join("ab"[b ^ turn] for b in bits) for turn in (0, 1))
+    rows = [(1, f"{one} x y", None, None, None), (2, f"{two} x y", None, None, None), (3, f"{one} {two} {one} {two} {two}", None, None, None)]
+    found = ngram_join.near_duplicates(documents(spark, rows), JoinParams(words=3, percent=90))
+    assert plain(found.select("doc_id", "n_shingles", "component_id").collect()) == [(1, 1, 1), (2, 1, 2), (3, 3, 3)]
+
+
+def test_largest_task_of_one_component(spark):
+    """A component with a third of all nodes, its centre with most links."""
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in settings}
+    links = spark.range(3, 30_000, 3).selectExpr("id AS u", "0L AS v").unionByName(
+        spark.range(1, 30_000, 3).selectExpr("id AS u", "id + 1 AS v"))
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        found = {r.node: r.component for r in components(links).collect()}
+        from changelens.llm.tables import lookup
+        least = links.groupBy("v").agg(F.min("u").alias("m"))
+        dealt = lookup(links, least, ["v"], spread="u", limit=0)
+        sizes = sorted(r["count"] for r in dealt.groupBy(F.spark_partition_id()).count().collect())
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert found == {**{i: 0 for i in range(3, 30_000, 3)}, **{i + 1: i for i in range(1, 30_000, 3)}}
+    assert sizes[-1] < 2 * sizes[len(sizes) // 2]
+
+
+def test_no_table_but_the_last_ones_stays(spark, tmp_path):
+    import os
+
+    spark.sparkContext.setCheckpointDir(str(tmp_path))
+    ngram_join.near_duplicates(documents(spark, families(1))).collect()
+    left = [d.rsplit("-", 1)[0] for folder in os.listdir(tmp_path) for d in os.listdir(tmp_path / folder)]
+    assert sorted(set(left)) == ["components", "described", "labelled"] or not left, left

@@ -1,4 +1,5 @@
 import hashlib
+import itertools
 import random
 import re
 import time
@@ -80,3 +81,54 @@ def test_query_against_brute_force(spark):
         assert r.base_sha256 == hashlib.sha256(joined.encode()).hexdigest()
         assert r.spans.startswith(joined)
         assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(k == x for k, *_ in want) for x in pii.BASE_KINDS]
+
+
+def account(country, n, rng):
+    """A valid account number of a country."""
+    body = "".join(rng.choice("0123456789" if rng.random() < 0.8 else "ABCXYZ") for _ in range(n - 4))
+    rest = int("".join(str(int(c, 36)) for c in f"{body}{country}00")) % 97
+    return f"{country}{98 - rest:02d}{body}"
+
+
+def test_every_account_is_found():
+    found = lambda text: [text[s:e] for k, s, e in pii.proposed(text) if k == "iban"]
+    two = "BE68 5390 0754 7034 BE71 0961 2345 6769"
+    assert found(two) == [two[:19], two[20:]]
+    assert found("REF AB12 CDEF GH34 BE68 5390 0754 7034") == ["BE68 5390 0754 7034"]
+    assert found("iban TR33 0006 1005 1978 6457 8413 26.") == ["TR33 0006 1005 1978 6457 8413 26"]
+    assert found("BE68 5390 0754 7035") == found("xBE68539007547034") == found("BE685390075470341") == []
+
+
+def test_accounts_against_brute_force():
+    rng = random.Random(4)
+    countries = sorted(pii.IBAN_LENGTHS)
+    for _ in range(400):
+        parts = []
+        for _ in range(rng.randrange(1, 7)):
+            own = account(c := rng.choice(countries), pii.IBAN_LENGTHS[c], rng)
+            if rng.random() < 0.2:
+                own = own[:-1] + rng.choice("0123456789AZ")
+            if rng.random() < 0.5:
+                own = " ".join(own[i : i + 4] for i in range(0, len(own), 4))
+            parts += [own, rng.choice(["", "REF", "AB12", "x.", "7", "DE44 5001"])]
+        text = rng.choice([" ", "", ", "]).join(parts)
+        got = [(s, e) for k, s, e in pii.proposed(text) if k == "iban"]
+        want, at = [], 0
+        while at < len(text):
+            end = next((e for e in range(at + 15, min(len(text), at + 42) + 1) if whole_account(text, at, e)), None)
+            if end:
+                want.append((at, end))
+            at = end or at + 1
+        assert got == want, text
+
+
+def whole_account(text, start, end):
+    if start and text[start - 1].isalnum() or end < len(text) and text[end].isalnum():
+        return False
+    own = text[start:end]
+    groups = own.split(" ")
+    compact = "".join(groups)
+    if not re.fullmatch("[A-Z]{2}[0-9]{2}[A-Z0-9]+", compact) or len(compact) != pii.IBAN_LENGTHS.get(compact[:2]):
+        return False
+    cuts = list(itertools.accumulate(map(len, groups)))[:-1]
+    return all(c % 4 == 0 and g for c, g in zip(cuts, groups)) and pii.mod_97(compact)

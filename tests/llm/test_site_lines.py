@@ -26,7 +26,8 @@ def brute(rows, params):
         filled = [x for x in lines if x.strip(SPACES)]
         gone = [
             x for x in filled
-            if totals[site] >= params.min_pages and counts[site, x.strip(SPACES)] > params.max_ratio * totals[site]
+            if counts[site, x.strip(SPACES)] >= params.min_line_pages
+            and counts[site, x.strip(SPACES)] > params.max_ratio * totals[site]
         ]
         kept = [x for x in lines if x not in gone]
         out.append((doc_id, "\n".join(kept) if gone else text, len(filled), len(gone)))
@@ -48,13 +49,13 @@ def pages(seed=4, n=400):
 def test_against_brute_force(spark):
     for rows in (pages(), hard_rows() * 9):
         results = []
-        for params in (site_lines.SiteParams(min_pages=10), site_lines.SiteParams(min_pages=10, broadcast_bytes=-1, salts=3)):
+        for params in (site_lines.SiteParams(), site_lines.SiteParams(broadcast_bytes=-1, salts=3)):
             got = site_lines.drop_site_lines(documents(spark, rows, clash=True), "source", params=params)
             results.append(plain(got.select("doc_id", "text", "n_lines", "n_dropped").collect()))
         assert results[0] == results[1] == brute(rows, params)
 
 
-def test_small_sources_are_judged_in_the_pipeline(spark):
+def test_sources_of_any_size_are_judged(spark):
     def texts(n, with_line):
         return [(i, f"page {n} {i}\nfooter {n}" if i < with_line else f"page {n} {i}", "en", f"s{n}", None) for i in range(n)]
 
@@ -64,11 +65,16 @@ def test_small_sources_are_judged_in_the_pipeline(spark):
     left = Counter(r.doc_id // 100 for r in got if "footer" in r.text)
     want = {k: hit for k, (pages, hit) in enumerate(sizes) if not (hit >= 3 and hit > 0.1 * pages)}
     assert left == want and all(r.n_chars == len(r.text) for r in got)
-    # from 20 pages on, nothing but the ratio decides, as before
-    large = documents(spark, [r for r in rows if r[3][:3] in ("s20", "s40")])
-    before = site_lines.clean_texts(large, "source").select("doc_id", "text").collect()
-    after = corpus_pipeline.line_dedup(spark, large, "").select("doc_id", "text").collect()
-    assert plain(before) == plain(after)
+    # one rule: the query's operator does the same
+    before = site_lines.clean_texts(documents(spark, rows), "source").select("doc_id", "text").collect()
+    assert plain(before) == plain((r.doc_id, r.text) for r in got)
+
+
+def test_very_long_lines_and_texts(spark):
+    footer = "foot " * 40_000
+    rows = [(i, "\n".join([footer, *(f"line {i} {j}" for j in range(3000))]), None, "s", None) for i in range(4)]
+    got = site_lines.drop_site_lines(documents(spark, rows), "source").collect()
+    assert all(r.n_dropped == 1 and r.n_lines == 3001 and r.text.startswith("line") for r in got)
 
 
 def test_own_columns_and_empty_table(spark):

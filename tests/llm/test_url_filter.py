@@ -2,6 +2,7 @@ import random
 import re
 
 from changelens.llm import queries, url_filter
+from pyspark.sql import functions as F
 
 from tests.llm.cases import plain
 
@@ -76,3 +77,30 @@ def test_equal_forms_and_clashing_columns(spark):
     rows = url_filter.judge_urls(pages, listed, (), listed_col="link").collect()
     assert [(r.verdict, r.w0) for r in rows] == [("block", 7)] * 2
     assert url_filter.judge_urls(pages.where("false"), listed, (), listed_col="link").count() == 0
+
+
+def test_shuffled_rows_are_spread(spark):
+    """Beyond the broadcast size, rows without a hit or a URL are not one key."""
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in settings}
+    pages = spark.range(20_000).selectExpr("id AS page_id", "if(id % 3 = 0, null, concat('http://h', id % 900, '.org/', id)) AS url")
+    listed = pages.where("page_id % 50 = 1").select("url")
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        judged = url_filter.judge_urls(pages, listed, (), params=url_filter.BloomParams(broadcast_bytes=0, keys_per_block=1))
+        sizes = sorted(r["count"] for r in judged.groupBy(F.spark_partition_id()).count().collect())
+        hits = judged.where("listed").count()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    want = {p for p in range(1, 20_000, 50) if p % 3}
+    assert hits == len(want) and sum(sizes) == 20_000
+    assert sizes[-1] < 2 * sizes[-4]  # half of the partitions are those of the few hits
+
+
+def test_very_long_urls(spark):
+    long = "http://a.org/" + "p/" * 200_000 + "?" + "&".join(f"k{i}=v" for i in range(5000))
+    pages = spark.createDataFrame([(1, long), (2, long + "x"), (3, "http://" + "h" * 100_000)], "page_id long, url string")
+    rows = {r.page_id: r for r in url_filter.judge_urls(pages, pages.where("page_id = 1"), queries.URL_RULES).collect()}
+    assert rows[1].listed and not rows[2].listed and rows[3].host == "h" * 100_000
