@@ -53,7 +53,7 @@ FROM damaged, top WHERE digest_a IS DISTINCT FROM digest_b
 # --- 2: statistics by exploded windows, cutoffs by the exact tail
 
 _RISK = quality.RiskParams()
-_SHARE = _RISK.max_false_rejection / len(_RISK.rules)
+_SHARE = _RISK.max_false_rejection
 
 
 def _value(rule: quality.Rule) -> str:
@@ -61,16 +61,14 @@ def _value(rule: quality.Rule) -> str:
     return f"({top} / nullif({bottom}, 0))"
 
 
-_GRID = ", ".join(
-    f"({i}, {k}, {cutoff}::DOUBLE)" for i, r in enumerate(_RISK.rules) for k, cutoff in enumerate(r.cutoffs, 1)
-)
+_GRID = ", ".join(f"({step}, {i}, {cutoff}::DOUBLE)" for step, (i, cutoff) in enumerate(_RISK.steps, 1))
 _VALUES = "CASE rule " + " ".join(f"WHEN {i} THEN {_value(r)}" for i, r in enumerate(_RISK.rules)) + " END"
 _REJECTED = "CASE " + " ".join(
     f"WHEN {_value(r)} > cut_{i} THEN '{r.name}'" for i, r in enumerate(_RISK.rules)
 ) + " END"
 STATEMENTS["op2_quality_rules"] = f"""
 WITH split AS (
-  SELECT row_number() OVER () AS rid, doc_id, coalesce(lang, '') AS stratum, coalesce(text, '') AS text,
+  SELECT row_number() OVER () AS rid, doc_id, lang AS stratum, dense_rank() OVER (ORDER BY lang) AS s, coalesce(text, '') AS text,
     regexp_extract_all(coalesce(text, ''), {_WORD}) AS w,
     list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, {_WORD})) AS l FROM documents
 ), windows AS (
@@ -79,35 +77,39 @@ WITH split AS (
 ), repeats AS (
   SELECT rid, count(DISTINCT i + j) AS n_repeat_words FROM windows, range(3) t(j) WHERE n > 1 GROUP BY rid
 ), stats AS (
-  SELECT doc_id, stratum, len(w) AS n_words, cast(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS bigint)
+  SELECT doc_id, stratum, s, text, len(w) AS n_words, cast(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS bigint)
     AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
     len(l) - len(list_distinct(l)) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, len(l) AS n_lines,
     length(regexp_replace(text, '[^A-Z]', '', 'g')) AS n_capitals, length(regexp_replace(text, '[^!]', '', 'g'))
     AS n_exclamations FROM split LEFT JOIN repeats USING (rid)
 ), holdout AS (
-  SELECT s.*, good FROM stats s JOIN (SELECT doc_id, max(quality) = 1 AS good FROM labels
-    WHERE quality IS NOT NULL GROUP BY doc_id) USING (doc_id) WHERE n_words >= {_RISK.min_words}
-    AND 100 * n_repeat_words <= {_RISK.max_repeat_percent} * n_words
-), grid(rule, level, cutoff) AS (VALUES {_GRID}), counted AS (
-  SELECT stratum, rule, level, cutoff, count(*) FILTER (good) AS n, count(*) FILTER (good AND {_VALUES} > cutoff) AS k,
-    count(*) FILTER (NOT good AND {_VALUES} > cutoff) AS bad FROM holdout, grid GROUP BY ALL
+  SELECT s, any_value(columns(* EXCLUDE (s, good, text))), max(good) AS good FROM (
+    SELECT stats.*, good FROM stats JOIN (SELECT doc_id, max(quality) = 1 AS good FROM labels
+      WHERE quality IS NOT NULL GROUP BY doc_id) USING (doc_id) WHERE n_words >= {_RISK.min_words}
+      AND 100 * n_repeat_words <= {_RISK.max_repeat_percent} * n_words) GROUP BY s, text
+), grid(step, rule, cutoff) AS (VALUES {_GRID}
+), firsts AS (
+  SELECT h.*, (SELECT min(step) FROM grid WHERE {_VALUES} > cutoff) AS first FROM (SELECT *, row_number() OVER () AS trial FROM holdout) h
+), counted AS (
+  SELECT s, step, rule, cutoff, count(*) FILTER (good) AS n, count(*) FILTER (good AND first <= step) AS k,
+    count(*) FILTER (NOT good AND first <= step) AS bad FROM firsts, grid GROUP BY ALL
 ), tails AS (
-  SELECT stratum, rule, level, sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({_SHARE}::DOUBLE)
+  SELECT s, step, sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({_SHARE}::DOUBLE)
     + (n - i) * ln(1 - {_SHARE}::DOUBLE))) AS tail FROM (SELECT *, unnest(range(k + 1)) AS i FROM counted
     WHERE n > 0 AND k < n * {_SHARE}::DOUBLE) GROUP BY ALL
 ), tested AS (
-  SELECT c.*, bool_and(coalesce(tail, 1) <= {_RISK.error}::DOUBLE / ((SELECT count(DISTINCT stratum) FROM counted) * {len(_RISK.rules)}))
-    OVER (PARTITION BY stratum, rule ORDER BY level) AS certified
-  FROM counted c LEFT JOIN tails USING (stratum, rule, level)
+  SELECT c.*, bool_and(coalesce(tail, 1) <= {_RISK.error}::DOUBLE / (SELECT count(DISTINCT s) FROM counted))
+    OVER (PARTITION BY s ORDER BY step) AS certified
+  FROM counted c LEFT JOIN tails USING (s, step)
 ), chosen AS (
-  SELECT stratum, rule, cutoff FROM tested WHERE certified AND bad > k
-  QUALIFY row_number() OVER (PARTITION BY stratum, rule ORDER BY bad - k DESC, level) = 1
+  SELECT s, step AS last FROM tested WHERE certified AND bad > k
+  QUALIFY row_number() OVER (PARTITION BY s ORDER BY bad - k DESC, step) = 1
 ), cutoffs AS (
-  SELECT stratum, {', '.join(f'max(cutoff) FILTER (rule = {i}) AS cut_{i}' for i in range(len(_RISK.rules)))}
-  FROM chosen GROUP BY stratum
+  SELECT s, {', '.join(f'min(cutoff) FILTER (rule = {i}) AS cut_{i}' for i in range(len(_RISK.rules)))}
+  FROM tested JOIN chosen USING (s) WHERE step <= last GROUP BY s
 ), judged AS (
-  SELECT s.*, n_words < {_RISK.min_words} OR 100 * n_repeat_words > {_RISK.max_repeat_percent} * n_words AS base_failed,
-    {_REJECTED} AS rejected_by FROM stats s LEFT JOIN cutoffs USING (stratum)
+  SELECT stats.*, n_words < {_RISK.min_words} OR 100 * n_repeat_words > {_RISK.max_repeat_percent} * n_words AS base_failed,
+    {_REJECTED} AS rejected_by FROM stats LEFT JOIN cutoffs USING (s)
 )
 SELECT doc_id, {', '.join(f'cast({c} AS bigint) AS {c}' for c in quality.STATS)}, base_failed,
   NOT base_failed AND rejected_by IS NULL AS kept, stratum, rejected_by FROM judged

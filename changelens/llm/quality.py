@@ -1,13 +1,14 @@
 """Quality rules whose cutoffs are fixed by labelled holdouts.
 
-Each rule compares one text statistic with a cutoff.  For each stratum and rule
-the cutoffs are tested from the mildest to the strictest: a cutoff is certified
-if, were the rule to reject more than the allowed share of good documents, so
-few rejections among the labelled good ones would be unlikely by the exact
-binomial distribution.  The sequence ends at the first cutoff that fails, so a
-sequence costs one test's error; the error is divided by the number of
-sequences (Bonferroni).  Of the certified cutoffs the one that rejects most bad
-documents less good ones is taken.  Everything is DataFrame operations.
+Each rule compares one text statistic with a cutoff.  One fixed sequence of
+steps takes the rules' cutoffs in turn, mildest first; a step's rules reject
+together.  For each stratum the steps are tested in order: a step is certified
+if, were it to reject more than the allowed share of good documents, so few
+rejections among the distinct labelled good ones would be unlikely by the exact
+binomial distribution.  The sequence ends at the first step that fails, so it
+costs one test's error; the error is divided by the number of strata
+(Bonferroni).  Of the certified steps the one that rejects most bad documents
+less good ones is taken.  Everything is DataFrame operations.
 """
 
 from __future__ import annotations
@@ -62,6 +63,13 @@ class RiskParams:
     #: Labels up to this many rows are sent to all executors, else shuffled.
     broadcast_rows: int = 2_000_000
 
+    @property
+    def steps(self) -> list[tuple[int, float]]:
+        """The fixed sequence, ``(rule, cutoff)``: each rule's mildest cutoff in
+        turn, then each one's next; a step keeps those before it."""
+        longest = max(len(r.cutoffs) for r in self.rules)
+        return [(i, r.cutoffs[k]) for k in range(longest) for i, r in enumerate(self.rules) if k < len(r.cutoffs)]
+
 
 def _count_of(text: Column, chars: str) -> Column:
     return F.length(text) - F.length(F.translate(text, chars, ""))
@@ -195,63 +203,67 @@ def at_most(k: Column, n: Column, p: float) -> Column:
     return F.when((n <= 0) | (kd >= nd * p), F.lit(1.0)).otherwise(F.least(F.lit(1.0), top * total))
 
 
-def _level(rule: Rule) -> Column:
-    """How many of the rule's cutoffs the statistic exceeds."""
-    value = F.expr(rule.statistic.replace("/", "/ nullif(") + ", 0)")
-    level = F.lit(0)
-    for cutoff in rule.cutoffs:
-        level = level + F.when(value > cutoff, 1).otherwise(0)
-    return level
+def _value(rule: Rule) -> Column:
+    return F.expr(rule.statistic.replace("/", "/ nullif(") + ", 0)")
+
+
+def first_step(params: RiskParams) -> Column:
+    """The first step of the sequence that rejects a document, null if none."""
+    found = [F.when(_value(params.rules[i]) > cutoff, step) for step, (i, cutoff) in enumerate(params.steps, 1)]
+    # a rule's cutoffs fall, so of the steps that reject the least is the first
+    return F.array_min(F.array(*found))
 
 
-def calibrate(labelled: DataFrame, params: RiskParams = RiskParams()) -> DataFrame:
-    """``stratum, rule, level, cutoff, n_good, k_good, k_bad, p_value,
-    certified, chosen``: each cutoff's counts in the holdout and its verdict.
+def trials(labelled: DataFrame, params: RiskParams) -> DataFrame:
+    """``stratum, good, step``: one for each distinct text of a stratum that
+    passes the base rules; of several labels the best counts.
 
-    ``labelled`` has the columns of ``with_stats``, ``stratum`` and ``good``
-    (boolean).  A stratum with too few good documents certifies nothing.
+    Copies of a text, and repeated rows, are judged alike, so they are no
+    independent trials.
     """
-    rules = params.rules
-    levels = labelled.select(
-        "stratum",
-        "good",
-        F.explode(
-            F.array(*[F.struct(F.lit(i).alias("rule"), _level(r).alias("level")) for i, r in enumerate(rules)])
-        ).alias("at"),
-    )
-    counts = levels.groupBy("stratum", F.col("at.rule").alias("rule"), F.col("at.level").alias("level")).agg(
-        F.sum(F.col("good").cast("long")).alias("good"), F.sum((~F.col("good")).cast("long")).alias("bad")
+    rows = with_stats(labelled).where(~base_failed(params))
+    thin = rows.select("stratum", "good", first_step(params).alias("step"), F.md5(F.col("text").cast("binary")).alias("digest"))
+    return thin.groupBy("stratum", "digest").agg(F.max("good").alias("good"), F.min("step").alias("step")).drop("digest")
+
+
+def calibrate(holdout: DataFrame, params: RiskParams = RiskParams()) -> DataFrame:
+    """``stratum, step, rule, cutoff, n_good, k_good, k_bad, p_value, certified,
+    chosen``: how many good and bad trials each step's cutoffs reject together,
+    and the verdict.
+
+    ``holdout`` has rows as of ``trials``.  A stratum's steps are tested in order
+    until one fails, each at the whole error of its stratum; the error is shared
+    among the strata alone.  Of the certified steps that of the largest gain is
+    chosen, bad ones rejected less good ones.  A stratum with too few good trials
+    certifies nothing.
+    """
+    counts = cut(
+        holdout.groupBy("stratum", "step").agg(
+            F.sum(F.col("good").cast("long")).alias("good"), F.sum((~F.col("good")).cast("long")).alias("bad")
+        ),
+        "quality-counts",
     )
-    counts = cut(counts, "quality-counts")
-    # a stratum and rule have one row for each level, whatever the input
-    cutoffs = F.array(*[F.array(*[F.lit(c) for c in r.cutoffs]) for r in rules])
-    sums = counts.groupBy("stratum", "rule").agg(
-        F.sum("good").alias("n_good"), F.collect_list(F.struct("level", "good", "bad")).alias("at")
+    # a stratum has one row for each step, whatever the input
+    sums = counts.groupBy("stratum").agg(F.sum("good").alias("n_good"), F.collect_list(F.struct("step", "good", "bad")).alias("at"))
+    steps = F.array(*[F.struct(F.lit(i).alias("rule"), F.lit(c).alias("cutoff")) for i, c in params.steps])
+    grid = sums.select("stratum", "n_good", "at", F.posexplode(steps).alias("pos", "own")).select(
+        "stratum", "n_good", "at", (F.col("pos") + 1).alias("step"), "own.*"
     )
-    own = F.get(cutoffs, F.col("rule"))
-    grid = sums.select(
-        "stratum", "rule", "n_good", "at", F.size(own).alias("n_cutoffs"), F.posexplode(own).alias("pos", "cutoff")
-    ).withColumn("level", F.col("pos") + 1)
-    # what exceeds a cutoff exceeds all stricter ones, which follow it
-    exceeded = F.col("n_cutoffs") - F.col("pos")
-
-    def above(name: str) -> Column:
-        return F.aggregate(
-            "at",
-            F.lit(0).cast("long"),
-            lambda a, x: a + F.when(x["level"] >= exceeded, x[name]).otherwise(F.lit(0).cast("long")),
-        )
 
-    counted = grid.select("stratum", "rule", "level", "cutoff", "n_good", above("good").alias("k_good"), above("bad").alias("k_bad"))
-    n_strata = counts.select("stratum").distinct().agg(F.greatest(F.count("*"), F.lit(1)).alias("n_strata"))
-    sequence = Window.partitionBy("stratum", "rule").orderBy("level").rowsBetween(Window.unboundedPreceding, 0)
+    def rejected(name: str) -> Column:
+        zero = F.lit(0).cast("long")
+        return F.aggregate("at", zero, lambda a, x: a + F.when(x["step"] <= F.col("step"), x[name]).otherwise(zero))
+
+    counted = grid.select("stratum", "step", "rule", "cutoff", "n_good", rejected("good").alias("k_good"), rejected("bad").alias("k_bad"))
+    n_strata = sums.agg(F.greatest(F.count("*"), F.lit(1)).alias("n_strata"))
+    sequence = Window.partitionBy("stratum").orderBy("step").rowsBetween(Window.unboundedPreceding, 0)
     tested = (
-        counted.withColumn("p_value", at_most(F.col("k_good"), F.col("n_good"), params.max_false_rejection / len(rules)))
+        counted.withColumn("p_value", at_most(F.col("k_good"), F.col("n_good"), params.max_false_rejection))
         .crossJoin(F.broadcast(n_strata))
-        .withColumn("passes", F.col("p_value") <= params.error / (F.col("n_strata") * len(rules)))
+        .withColumn("passes", F.col("p_value") <= params.error / F.col("n_strata"))
         .withColumn("certified", F.min("passes").over(sequence))
     )
-    best = Window.partitionBy("stratum", "rule").orderBy(F.col("gain").desc_nulls_last(), "level")
+    best = Window.partitionBy("stratum").orderBy(F.col("gain").desc_nulls_last(), "step")
     gain = F.when(F.col("certified") & (F.col("k_bad") > F.col("k_good")), F.col("k_bad") - F.col("k_good"))
     return (
         tested.withColumn("gain", gain)
@@ -275,13 +287,14 @@ def judge(
     labels of a document the best counts, null ones don't.  ``rejected_by`` is
     the first rule that rejects, in the order of the rules.
 
-    Null strata are a stratum; null ids have no label; repeated rows are judged
-    alike; without labels, or with too few, the base rules alone decide.  No
-    row is dropped, an empty table gives an empty one.
+    The null stratum is one of its own; null ids have no label; repeated rows
+    are judged alike and are one trial, as are equal texts of a stratum; without
+    labels, or with too few, the base rules alone decide.  No row is dropped, an
+    empty table gives an empty one.
     """
     added = ("stratum", "base_failed", "rejected_by", "kept")
     docs = docs.drop(*[c for c in added if c not in (id_col, text_col, stratum_col)])
-    stratum = F.coalesce(F.col(stratum_col).cast("string"), F.lit(""))
+    stratum = F.col(stratum_col).cast("string")
     holdout = labels.where(F.col(id_col).isNotNull() & F.col("quality").isNotNull()).groupBy(
         F.col(id_col).alias("label_id")
     ).agg((F.max("quality") == 1).alias("good"))
@@ -291,20 +304,22 @@ def judge(
         holdout, F.col("own_id") == F.col("label_id")
     )
     # what the base rules reject is lost anyway, and tells nothing about a cutoff
-    table = cut(calibrate(with_stats(labelled).where(~base_failed(params)), params), "quality-cutoffs")
+    table = cut(calibrate(trials(labelled, params), params), "quality-cutoffs")
     names = [f"cut_{i}" for i in range(len(params.rules))]
-    cutoffs = table.where("chosen").groupBy(F.col("stratum").alias("cut_stratum")).agg(
-        *[F.max(F.when(F.col("rule") == i, F.col("cutoff"))).alias(name) for i, name in enumerate(names)]
+    last = table.where("chosen").select(F.col("stratum").alias("cut_stratum"), F.col("step").alias("last_step"))
+    cutoffs = (
+        table.join(last, F.col("stratum").eqNullSafe(F.col("cut_stratum")) & (F.col("step") <= F.col("last_step")))
+        .groupBy("cut_stratum")
+        .agg(*[F.min(F.when(F.col("rule") == i, F.col("cutoff"))).alias(name) for i, name in enumerate(names)])
     )
     if table.count() <= params.broadcast_rows:
         cutoffs = F.broadcast(cutoffs)
     judged = with_stats(docs, text_col).withColumn("stratum", stratum).join(
-        cutoffs, F.col("stratum") == F.col("cut_stratum"), "left"
+        cutoffs, F.col("stratum").eqNullSafe(F.col("cut_stratum")), "left"
     )
     rejected = F.lit(None).cast("string")
     for name, rule in reversed(list(zip(names, params.rules))):
-        value = F.expr(rule.statistic.replace("/", "/ nullif(") + ", 0)")
-        rejected = F.when(value > F.col(name), F.lit(rule.name)).otherwise(rejected)
+        rejected = F.when(_value(rule) > F.col(name), F.lit(rule.name)).otherwise(rejected)
     return (
         judged.withColumn("base_failed", base_failed(params))
         .withColumn("rejected_by", rejected)

@@ -85,30 +85,61 @@ def test_guarantee_by_brute_force(spark):
 
 
 def check_table(spark, docs, labels, params):
-    stats = quality.with_stats(docs).withColumn("stratum", F.col("lang")).join(labels, "doc_id")
-    table = quality.calibrate(stats.withColumn("good", F.col("quality") == 1), params).collect()
-    rows = stats.collect()
-    share = params.max_false_rejection / len(params.rules)
-    for r in table:
-        rule = params.rules[r.rule]
-        cutoff = rule.cutoffs[r.level - 1]
-        top, bottom = rule.statistic.split(" / ")
-        own = [x for x in rows if x.stratum == r.stratum]
-        over = [x.quality for x in own if x[bottom] and x[top] / x[bottom] > cutoff]
-        n = sum(x.quality for x in own)
-        assert (r.n_good, r.k_good, r.k_bad) == (n, sum(over), len(over) - sum(over))
-        exact = math.fsum(math.comb(n, i) * share**i * (1 - share) ** (n - i) for i in range(r.k_good + 1))
-        if r.certified:
-            n_strata = len({x.stratum for x in rows})
-            assert exact <= params.error / (n_strata * len(params.rules)) * (1 + 1e-9)
-    by_sequence = {}
-    for r in table:
-        by_sequence.setdefault((r.stratum, r.rule), []).append(r)
-    for sequence in by_sequence.values():
-        certified = [r for r in sequence if r.certified and r.k_bad > r.k_good]
-        best = min(certified, key=lambda r: (r.k_good - r.k_bad, r.level), default=None)
-        assert [r for r in sequence if r.chosen] == ([best] if best else [])
-    assert any(r.chosen for r in table) and not any(r.chosen and not r.certified for r in table)
+    labelled = docs.withColumn("stratum", F.col("lang")).join(labels, "doc_id").withColumn("good", F.col("quality") == 1)
+    table = quality.calibrate(quality.trials(labelled, params), params).collect()
+    rows = {}
+    for r in quality.with_stats(labelled).collect():
+        if r.n_words >= params.min_words and 100 * r.n_repeat_words <= params.max_repeat_percent * r.n_words:
+            known = rows.setdefault((r.stratum, r.text), [r, False])
+            known[1] |= r.good
+    n_strata = len({stratum for stratum, _ in rows})
+    by_stratum = {}
+    for r in sorted(table, key=lambda r: r.step):
+        by_stratum.setdefault(r.stratum, []).append(r)
+
+    def exceeds(row, rule, cutoff):
+        top, bottom = params.rules[rule].statistic.split(" / ")
+        return bool(row[bottom]) and row[top] / row[bottom] > cutoff
+
+    for stratum, steps in by_stratum.items():
+        assert [(r.rule, r.cutoff) for r in steps] == params.steps
+        own = [v for (s, _), v in rows.items() if s == stratum]
+        n = sum(good for _, good in own)
+        share, going = params.max_false_rejection, True
+        for r in steps:
+            over = [good for row, good in own if any(exceeds(row, *c) for c in params.steps[: r.step])]
+            assert (r.n_good, r.k_good, r.k_bad) == (n, sum(over), len(over) - sum(over))
+            exact = math.fsum(math.comb(n, i) * share**i * (1 - share) ** (n - i) for i in range(r.k_good + 1))
+            going = going and n > 0 and r.k_good < n * share and exact <= params.error / n_strata
+            assert r.certified == going
+        certified = [r for r in steps if r.certified and r.k_bad > r.k_good]
+        best = min(certified, key=lambda r: (r.k_good - r.k_bad, r.step), default=None)
+        assert [r for r in steps if r.chosen] == ([best] if best else [])
+    assert any(r.chosen for r in table)
+
+
+def test_repeated_rows_are_one_trial(spark):
+    """Eight times the rows, and copies under other ids, certify nothing more."""
+    docs, labels = labelled_corpus(spark, 300)
+    params = quality.RiskParams(max_false_rejection=0.05)
+    many = docs
+    copies, more = docs.withColumn("doc_id", F.col("doc_id") + 10_000), labels.withColumn("doc_id", F.col("doc_id") + 10_000)
+    for _ in range(3):
+        many = many.unionByName(many)
+    single = {r.doc_id: (r.kept, r.rejected_by) for r in quality.judge(docs, labels, params).collect()}
+    for table, holdout in ((many, labels), (docs.unionByName(copies), labels.unionByName(more))):
+        got = {r.doc_id: (r.kept, r.rejected_by) for r in quality.judge(table, holdout, params).where("doc_id < 10000").collect()}
+        assert got == single
+    assert any(by for _, by in single.values())
+
+
+def test_null_and_empty_strata_are_apart(spark):
+    docs, labels = labelled_corpus(spark, 300)
+    docs = docs.withColumn("lang", F.when(F.col("lang") == "en", None).otherwise(""))
+    params = quality.RiskParams(max_false_rejection=0.05)
+    rows = quality.judge(docs, labels, params).collect()
+    assert any(r.rejected_by for r in rows if r.stratum is None)
+    assert not any(r.rejected_by for r in rows if r.stratum == "")
 
 
 def test_cases_without_labels_rows_or_names(spark):
