@@ -42,6 +42,10 @@ def window_hashes(words: Words, length: int) -> np.ndarray:
     return mixed(ranges(words.hash, places, places + length, _BASE))
 
 
+#: Stands for a null item id until the items are handed out.
+NO_ID = "\0"
+
+
 def item_windows(benchmark: DataFrame, params: WindowParams, id_col: str, text_col: str) -> DataFrame:
     """``item`` (its id as a string), ``n`` words and ``words`` of each window."""
     most = params.window
@@ -63,7 +67,7 @@ def item_windows(benchmark: DataFrame, params: WindowParams, id_col: str, text_c
                 ["item", "n", "words"],
             )
 
-    rows = benchmark.select(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.col(text_col).cast("string"))
+    rows = benchmark.select(F.coalesce(F.col(id_col).cast("string"), F.lit(NO_ID)), F.col(text_col).cast("string"))
     return rows.mapInArrow(extract, "item string, n int, words binary").distinct()
 
 
@@ -121,8 +125,9 @@ def scan(
     ids, as strings, of the items met), ``spans`` (byte ranges ``[from, to)`` of
     the UTF-8 text, one after the other, that cover the hit words).
 
-    Null and empty texts have no words; an empty benchmark hits nothing; a null
-    item id is an empty string; repeated rows are scanned alike.  ``carry``
+    Null and empty texts have no words; an empty benchmark hits nothing; the
+    items of a null id are one, apart from those of an empty id, and it stands in
+    ``items`` as an empty string; repeated rows are scanned alike.  ``carry``
     columns of the names above are dropped.
     """
     added = ("n_words", "n_hit", "items", "spans")
@@ -144,7 +149,8 @@ def scan(
         if block:  # one block's windows at a time are in an executor's memory
             rows = cut(rows, "decontaminated")
         rows = _pass(rows, WindowSet([tuple(r) for r in part.select("item", "n", "words").collect()]), len(carry))
-    return rows.drop(text)
+    named = F.transform("items", lambda x: F.when(x == NO_ID, "").otherwise(x))
+    return rows.drop(text).withColumn("items", named)
 
 
 def _pass(rows: DataFrame, windows: WindowSet, n_carry: int) -> DataFrame:

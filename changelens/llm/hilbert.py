@@ -45,7 +45,7 @@ def quantised(dim: Dimension, bits: int) -> Column:
     top = (1 << bits) - 1
     value = F.col(dim.column)
     if dim.kind == "log":
-        code = F.floor(F.log2(F.greatest(value.cast("double"), F.lit(1.0))) * 2) + 1
+        code = F.floor(F.log2(F.greatest(value.cast("double"), F.lit(1.0)))) + 1
     elif dim.kind == "category":
         code = F.pmod(F.xxhash64(value), F.lit(top)) + 1
     else:
@@ -95,15 +95,18 @@ def curve_index(cells: Sequence[Column], bits: int) -> Column:
     return F.aggregate(F.array(*[F.lit(q) for q in masks]), point, turned, interleaved)
 
 
-def rank_by_cell(rows: DataFrame, cell: str, parts: int, order: Sequence[Column], rank: str) -> DataFrame:
+def rank_by_cell(
+    rows: DataFrame, cell: str, parts: int, order: Sequence[Column], rank: str, deal: Sequence[Column] | None = None
+) -> DataFrame:
     """Adds the gapless global rank, from 0, in the order of ``cell``.
 
-    Within a cell rows are dealt to ``parts`` by hash.  Counts of (cell, part)
+    Within a cell rows are dealt to ``parts`` by hash of ``deal`` (the order, if
+    not given).  Counts of (cell, part)
     give each part its first rank; only the rows of one part meet in a task.
     ``cell`` must have a bounded number of values; rows need a unique ``order``.
     """
     cell_, part, n, before, start, local = fresh(rows, "rank_cell", "rank_part", "rank_n", "rank_before", "rank_start", "rank_local")
-    dealt = rows.withColumn(part, F.pmod(F.xxhash64(*order), F.lit(parts)).cast("int"))
+    dealt = rows.withColumn(part, F.pmod(F.xxhash64(*(deal or order)), F.lit(parts)).cast("int"))
     counts = dealt.groupBy(F.col(cell).alias(cell_), F.col(part).alias(part + "_")).agg(F.count("*").alias(n))
     by_cell = counts.groupBy(cell_).agg(F.sum(n).alias(n))
     # one row for each cell of the curve, 32,768 at most
@@ -125,9 +128,15 @@ def rank_by_cell(rows: DataFrame, cell: str, parts: int, order: Sequence[Column]
     )
 
 
-def shard_rows(rows: DataFrame, dims: Sequence[Dimension], params: CurveParams = CurveParams()) -> DataFrame:
+def shard_rows(
+    rows: DataFrame, dims: Sequence[Dimension], params: CurveParams = CurveParams(), ties: Sequence[str] = ()
+) -> DataFrame:
     """The rows and ``curve`` (int), ``shard`` (int), ``slot`` (long).
 
+    Rows of one cell go by the columns of ``ties``, first of all the row's id,
+    so that another layout of the table gives the same shards; rows that are
+    alike in these, or have no id, go as they stand in the table.
+
     Shards are runs of the curve order whose row counts differ by one at most;
     slots count from 0 in each.  The rows are written to the shared folder
     once, so hand over only the columns that are wanted.
@@ -146,7 +155,9 @@ def shard_rows(rows: DataFrame, dims: Sequence[Dimension], params: CurveParams =
         "hilbert",
     )
     n = placed.agg(F.count("*").alias(total))
-    ranked = rank_by_cell(placed, "curve", params.parts, [F.col(uid)], rank).crossJoin(F.broadcast(n))
+    order = [F.col(c) for c in (*ties, uid)]
+    deal = [*order[:-1], F.when(order[0].isNull(), F.col(uid))] if ties else order
+    ranked = rank_by_cell(placed, "curve", params.parts, order, rank, deal).crossJoin(F.broadcast(n))
     shards = F.lit(params.shards).cast("long")
     shard = F.call_function("div", F.col(rank) * shards, F.col(total))
     first = F.call_function("div", shard * F.col(total) + shards - 1, shards)

@@ -141,7 +141,7 @@ def op10_hilbert_shards(spark: SparkSession, folder: str) -> DataFrame:
         "source",
         "lang",
     )
-    sharded = hilbert.shard_rows(rows, DOCUMENT_DIMS)
+    sharded = hilbert.shard_rows(rows, DOCUMENT_DIMS, ties=["doc_id", "text_crc32", "size"])
     return sharded.select(
         "doc_id",
         "size",

@@ -9,6 +9,7 @@ one.
 from __future__ import annotations
 
 import base64
+import hashlib
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -79,26 +80,35 @@ def n_blocks(docs: DataFrame, text_col: str, params: TokenParams) -> int:
 def pieces(docs: DataFrame, params: TokenParams, blocks: int, keep_ids: bool, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Documents cut into full sequences and a rest: rows of ``PIECES``.
 
-    Rows are dealt to the blocks in turn, each task from another start, so
-    blocks are even whatever the ids are.  ``ids`` (little-endian, four bytes
-    each) is null for full pieces unless ``keep_ids``.
+    Each piece is dealt to a block by a digest of its document's id and length,
+    its place and its ids, so a long document is spread over the blocks, and a
+    piece's block doesn't depend on the layout of the table.  Pieces that are
+    alike in all of these are told apart by their number in the task: rows that
+    are repeated any number of times are spread too.  ``ids`` (little-endian,
+    four bytes each) is null for full pieces unless ``keep_ids``.
     """
     capacity = params.capacity
 
-    def cut_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
+    def block_of(key: tuple, seen: dict[bytes, int]) -> int:
+        digest = hashlib.blake2b(repr(key).encode(), digest_size=8).digest()
+        n = seen[digest] = seen.get(digest, -1) + 1
+        if n:
+            digest = hashlib.blake2b(digest + n.to_bytes(8, "little"), digest_size=8).digest()
+        return int.from_bytes(digest, "little") % blocks
 
-        turn = TaskContext.get().partitionId() * 7919
+    def cut_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[bytes, int] = {}
         for batch in batches:
             rows = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 ids = encode(text.as_py(), params)
-                block, n = turn % blocks, len(ids)
-                turn += 1
+                n = len(ids)
                 for start in range(0, n, capacity):
                     part = ids[start : start + capacity].tobytes()
                     full = len(part) == 4 * capacity
-                    rows.append((doc_id, start, len(part) // 4, part if keep_ids or not full else None, zlib.crc32(part), n, block))
+                    crc = zlib.crc32(part)
+                    block = block_of((doc_id, start, crc, n), seen)
+                    rows.append((doc_id, start, len(part) // 4, part if keep_ids or not full else None, crc, n, block))
                 if len(rows) >= 1024:
                     yield _batch(rows)
                     rows = []

@@ -90,3 +90,10 @@ def test_query_against_brute_force(spark):
         n, hit, items = brute(texts[r.doc_id], windows)
         joined = hashlib.sha256(",".join(items).encode()).hexdigest()
         assert tuple(r)[1:] == (n, hit, len(items), joined, hit > 0)
+
+
+def test_items_without_an_id_are_apart_from_those_of_an_empty_one(spark):
+    ten = " ".join(f"w{i}" for i in range(10))
+    items = spark.createDataFrame([(None, ten), ("", ten), ("b", ten)], "item_id string, text string")
+    [row] = decontam.scan(documents(spark, [(1, f"x {ten} y", None, None, None)]), items).collect()
+    assert row["items"] == ["", "", "b"] and row.n_hit == 10

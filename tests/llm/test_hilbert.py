@@ -72,3 +72,37 @@ def test_ranges_and_files(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out")).count() == docs.count()
     ranges = sorted(hilbert.shard_ranges(sharded, dims).collect())
     assert sum(r.n_rows for r in ranges) == docs.count()
+
+
+def test_another_layout_gives_the_same_shards(spark):
+    rows = [(i, "x" * (i % 40), "en" if i % 3 else "de", f"s{i % 5}", i % 40) for i in range(600)]
+    dims = [hilbert.Dimension("source", "category"), hilbert.Dimension("n_chars", "log")]
+    results = []
+    for docs in (documents(spark, rows).coalesce(1), documents(spark, rows[::-1]).repartition(9)):
+        got = hilbert.shard_rows(docs, dims, hilbert.CurveParams(shards=7), ties=["doc_id"])
+        results.append(sorted((r.doc_id, r.shard, r.slot) for r in got.collect()))
+    assert results[0] == results[1]
+
+
+def test_index_by_brute_force():
+    """The curve of the quantised cells, by turning and flipping quadrants."""
+    from pyspark.sql import SparkSession
+
+    spark, bits = SparkSession.getActiveSession(), 3
+
+    def walk(n):  # points of the two-dimensional curve in order
+        if n == 0:
+            return [(0, 0)]
+        half, inner = 1 << (n - 1), walk(n - 1)
+        return (
+            [(y, x) for x, y in inner]
+            + [(x, y + half) for x, y in inner]
+            + [(x + half, y + half) for x, y in inner]
+            + [(2 * half - 1 - y, half - 1 - x) for x, y in inner]
+        )
+
+    points = spark.createDataFrame([(x, y) for x in range(8) for y in range(8)], "x int, y int")
+    index = {(r.x, r.y): r.i for r in points.select("x", "y", hilbert.curve_index([F.col("x"), F.col("y")], bits).alias("i")).collect()}
+    order = sorted(index, key=index.get)
+    turned = [[(y, x) for x, y in walk(bits)], walk(bits)]
+    assert order in turned and sorted(index.values()) == list(range(64))

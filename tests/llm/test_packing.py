@@ -1,3 +1,4 @@
+import random
 import zlib
 from collections import defaultdict
 
@@ -140,3 +141,66 @@ def test_round_trip_of_matrices(spark, slow, tmp_path):
 def test_empty_tables(spark):
     assert cost_pack.pack(documents(spark, [])).count() == 0
     assert best_fit.pack(documents(spark, [])).count() == 0
+
+
+def placed(packed):
+    return sorted((r.doc_id, r.start, r.length, r.sequence_id, r.offset) for r in packed)
+
+
+def test_another_layout_gives_the_same_sequences(spark):
+    rng = random.Random(2)
+    rows = [(i, " ".join(rng.choices(["ab", "cd", "xyz", "9"], k=rng.randrange(1, 900))), None, None, None) for i in range(120)]
+    rows += [(500 + i, "a copy", None, None, None) for i in range(60)]
+    docs, params = documents(spark, rows), TokenParams(block_bytes=8000)
+    one, other = docs.coalesce(1), docs.repartition(7)
+    assert placed(cost_pack.pack(one, params).collect()) == placed(cost_pack.pack(other, params).collect())
+    matrices = [sorted((r.sequence_id, r.input_ids) for r in best_fit.pack(d, params).collect()) for d in (one, other)]
+    assert matrices[0] == matrices[1]
+
+
+def test_a_long_document_and_repeated_rows_are_spread(spark):
+    long = [(1, " ".join(f"word{i}" for i in range(60_000)), None, None, None)]
+    rows = long + [(i, f"short text {i}", None, None, None) for i in range(2, 900)] + [(7, "again", None, None, None)] * 400 + [(None, None, None, None, None)] * 400
+    docs, params = documents(spark, rows).coalesce(2), TokenParams(block_bytes=40_000)
+    blocks = tokens.n_blocks(docs, "text", params)
+    cut = tokens.pieces(docs, params, blocks, keep_ids=True).selectExpr("block", "doc_id", "octet_length(ids) AS n")
+    sizes = sorted(r["sum(n)"] for r in cut.groupBy("block").sum("n").collect())
+    assert blocks >= 10 and len(sizes) == blocks and sizes[-1] < 2.5 * sizes[len(sizes) // 2]
+    for doc in ("doc_id = 7", "doc_id IS NULL"):
+        counts = [r["count"] for r in cut.where(doc).groupBy("block").count().collect()]
+        assert len(counts) == blocks and max(counts) < 100
+
+
+def best_place(lengths, capacity, costs):
+    """The rule spelt out: longest first, to the cheapest sequence with room,
+    else cut at the roomiest."""
+    cost = lambda n: costs.linear * n + costs.quadratic * n * n
+    full = [i for i, n in enumerate(lengths) if n == capacity]
+    out = [(i, 0, capacity, s, 0) for s, i in enumerate(full)]
+    rest = sorted((i for i, n in enumerate(lengths) if 0 < n < capacity), key=lambda i: -lengths[i])
+    total = sum(lengths[i] for i in rest)
+    open_ = [[0, 0.0] for _ in range(-(-total // capacity))]
+    for i in rest:
+        begin, left = 0, lengths[i]
+        while left:
+            fits = [s for s, (used, _) in enumerate(open_) if capacity - used >= left]
+            s = min(fits, key=lambda s: (open_[s][1], s)) if fits else None
+            n = left
+            if s is None:
+                most = max(capacity - used for used, _ in open_)
+                s = min((s for s, (used, _) in enumerate(open_) if capacity - used == most), key=lambda s: (open_[s][1], s))
+                n = most
+            out.append((i, begin, n, len(full) + s, open_[s][0]))
+            open_[s][0] += n
+            open_[s][1] += cost(n)
+            begin, left = begin + n, left - n
+    return out
+
+
+def test_placement_by_cost_against_brute_force():
+    rng = random.Random(6)
+    for _ in range(200):
+        capacity = rng.choice([4, 16, 64])
+        lengths = [rng.randrange(1, capacity + 1) for _ in range(rng.randrange(1, 40))]
+        costs = cost_pack.CostParams()
+        assert cost_pack.place(lengths, capacity, costs) == best_place(lengths, capacity, costs)
