@@ -62,7 +62,7 @@ class JoinParams:
 def shingles(data: np.ndarray, bounds: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """``(first, hashes, checks)``: each text's distinct shingles, sorted by
     hash; text d has those from ``first[d]`` to ``first[d + 1]``.  ``checks`` are
-    32 bits of a second, independent hash of each.
+    a second, independent hash of each.
 
     A text of fewer words is one shingle of all of them; one without words has
     none.
@@ -82,7 +82,7 @@ def shingles(data: np.ndarray, bounds: np.ndarray, k: int) -> tuple[np.ndarray,
     groups = [(starts, k), *[(words.first[:-1][np.flatnonzero(counts == n)], n) for n in range(1, k)]]
     owner = [doc[starts], *[np.flatnonzero(counts == n) for n in range(1, k)]]
     all_hashes = np.concatenate([combined(words.hash, first, n) for first, n in groups])
-    all_checks = np.concatenate([combined(words.check, first, n) >> np.uint64(32) for first, n in groups]).astype(np.uint32)
+    all_checks = np.concatenate([combined(words.check, first, n) for first, n in groups])
     all_docs = np.concatenate(owner)
     order = np.argsort(all_hashes)
     n_docs = len(bounds) - 1
@@ -283,44 +283,30 @@ def verified(pairs: DataFrame, classes: DataFrame, rows: DataFrame, params: Join
                     [
                         batch.column(0).slice(i, j - i),
                         pa.array(set_digests(first, h, checks), pa.binary()),
-                        pa.ListArray.from_arrays(ends, pa.array(h.view(np.int64))),
-                        pa.ListArray.from_arrays(ends, pa.array(checks.view(np.int32))),
+                        # candidates met by one hash; the other one has to agree
+                        pa.ListArray.from_arrays(ends, pa.array(checks.view(np.int64))),
                     ],
-                    ["rid", "digest", "members", "checks"],
+                    ["rid", "digest", "members"],
                 )
 
     sets = (
         texts.select("rid", "text")
-        .mapInArrow(sets_of, "rid bigint, digest binary, members array<bigint>, checks array<int>")
+        .mapInArrow(sets_of, "rid bigint, digest binary, members array<bigint>")
         .join(
             F.broadcast(reps) if small else reps,
             (F.col("rid") == F.col("rep_rid")) & (F.col("digest") == F.col("rep_digest")),
         )
         .groupBy("cls")
-        .agg(F.first(F.struct("members", "checks")).alias("own"))
+        .agg(F.first("members").alias("members"))
     )
     sets = cut(sets, "shingle-sets", used)
-    sides = [sets.select(F.col("cls").alias(side), F.col("own").alias(f"set_{side}")) for side in "ab"]
     both = (
         pairs.select("a", "b")
-        .join(sides[0], "a")
-        .join(sides[1], "b")
-        .select(
-            "a",
-            "b",
-            (F.size("set_a.members") + F.size("set_b.members")).alias("both"),
-            F.size(F.array_intersect("set_a.members", "set_b.members")).alias("common"),
-            F.array_distinct("set_a.checks").alias("checks_a"),
-            F.array_distinct("set_b.checks").alias("checks_b"),
-            (F.size("set_a.checks") + F.size("set_b.checks")).alias("n_checks"),
-        )
-        .where(100 * F.col("common") >= params.percent * (F.col("both") - F.col("common")))
+        .join(sets.select(F.col("cls").alias("a"), F.col("members").alias("set_a")), "a")
+        .join(sets.select(F.col("cls").alias("b"), F.col("members").alias("set_b")), "b")
+        .select("a", "b", (F.size("set_a") + F.size("set_b")).alias("both"), F.size(F.array_intersect("set_a", "set_b")).alias("common"))
     )
-    # what one hash says is common has to be so by the other; its 32 bits may
-    # agree by chance within a set, which the sizes before tell
-    surplus = F.col("n_checks") - F.size("checks_a") - F.size("checks_b")
-    agreed = F.size(F.array_intersect("checks_a", "checks_b")) + surplus
-    linked = both.where(100 * agreed >= params.percent * (F.col("both") - agreed)).select("a", "b")
+    linked = both.where(100 * F.col("common") >= params.percent * (F.col("both") - F.col("common"))).select("a", "b")
     linked = cut(linked, "verified")
     drop_tables(rows.sparkSession, used)
     return linked
