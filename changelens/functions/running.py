@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from changelens.sources.tables import cut
+from changelens.sources.tables import cut, drop_tables
 
 CHUNK_ROWS = 4096
 
@@ -28,20 +28,22 @@ def running(
     before the first.  ``place`` is added: it grows with keys and order.  Order
     must tell the rows of a key apart.
 
-    No window sees a key whole: rows are range-partitioned and sorted once and
-    written, their place gives chunks of bounded length, and what windows over a
+    No window sees a key whole: rows are written, as ranges are found by a pass
+    of its own, then range-partitioned and sorted once and written; their place gives chunks of bounded length, and what windows over a
     key is one row for each chunk.
     """
     lasts = lasts or {}
     by = [*keys, *order]
+    own: list[str] = []
     ordered = cut(
-        rows.repartitionByRange(*[F.col(c).asc_nulls_first() for c in by])
+        cut(rows, "running-rows", own).repartitionByRange(*[F.col(c).asc_nulls_first() for c in by])
         .sortWithinPartitions(*[F.col(c).asc_nulls_first() for c in by])
         .withColumn("place", F.monotonically_increasing_id())
         .withColumn("_chunk", F.floor(F.col("place") / chunk_rows).cast("long")),
         "running",
         paths,
     )
+    drop_tables(rows.sparkSession, own)
     last = {
         name: F.expr(f"max(if({condition}, named_struct('place', place, 'value', {value}), null))")
         for name, (value, condition) in lasts.items()
