@@ -264,6 +264,23 @@ def diff_changes(spark, folder):
     return parse.changes(_numbered(spark, folder))
 
 
+@query
+def diff_nested(spark, folder):
+    """The nested view: a file's hunks with their lines, and its added lines, each as a digest."""
+    line = "concat_ws(':', c.change_idx, c.line_number, coalesce(cast(c.old_line_number as string), ''), c.type, c.content)"
+    head = "concat_ws(',', h.hunk_idx, h.old_start, h.old_lines, h.new_start, h.new_lines)"
+    lines = f"array_join(transform(h.changes, c -> {line}), chr(10))"
+    return _files(spark, folder).selectExpr(
+        "change_id",
+        "file_idx",
+        "cast(size(hunks) as bigint) AS n_hunks",
+        "aggregate(hunks, 0L, (n, h) -> n + size(h.changes)) AS n_changes",
+        "cast(size(added) as bigint) AS n_added",
+        f"md5(array_join(transform(hunks, h -> concat({head}, chr(10), {lines})), chr(10))) AS hunks_md5",
+        "md5(array_join(transform(added, a -> concat_ws(':', a.line_number, a.content)), chr(10))) AS added_md5",
+    )
+
+
 @query
 def diff_part_files(spark, folder):
     return hunk_parts.parse_hunk_parts(fixtures.hunk_parts(spark, folder)).files

@@ -233,8 +233,21 @@ def hunk_parts(spark: SparkSession, folder: str) -> DataFrame:
 
 # --- generated answers ------------------------------------------------------------------
 
+# Control characters but the line end.
+_CONTROLS = f"concat({', '.join(f'chr({i})' for i in range(1, 32) if i != 10)})"
+
+
+def _json_text(text: str) -> str:
+    """A text as it stands in a JSON string; control characters become spaces."""
+    escaped = f"translate({text}, {_CONTROLS}, repeat(' ', 30))"
+    for plain, written in (("chr(92)", "chr(92)"), ("'\"'", "'\"'"), ("chr(10)", "'n'")):
+        escaped = f"replace({escaped}, {plain}, concat(chr(92), {written}))"
+    return escaped
+
+
 # Answer texts by kind; a text is put into JSON as it stands, so line ends are
-# written as the two characters of their JSON escape.
+# written as the two characters of their JSON escape.  The last of each kind is
+# made of a document's own text.
 _TITLES = [
     "concat('feat(auth): add login flow ', change_id)",
     "concat('fix: handle empty rows in batch ', change_id)",
@@ -242,6 +255,7 @@ _TITLES = [
     "concat('feat(reports): ', repeat('very ', 14), 'long title ', change_id)",
     "'fix: x'",
     "concat('  Improve the pipeline a lot ', change_id, '! ')",
+    _json_text("split_part(text, chr(10), 1)"),
 ]
 _N = "', chr(92), 'n"
 _DESCRIPTIONS = [
@@ -251,6 +265,7 @@ _DESCRIPTIONS = [
     f"concat('## What Changed{_N}- Dropped field{_N}## Why{_N}cleanup{_N}## Impact{_N}"
     f"Breaking change: clients of ', change_id, ' must update{_N}Breaking changes:{_N}- second one')",
     f"concat('Plain words only about ', change_id, '{_N}and a second line')",
+    f"concat('## What Changed{_N}', {_json_text('text')}, '{_N}## Why{_N}Texts of ', change_id)",
 ]
 _TESTS = [
     f"concat('Here:{_N}```typescript{_N}it(', chr(39), 'should load ', doc_id, chr(39), ', run){_N}```{_N}"
@@ -259,6 +274,7 @@ _TESTS = [
     f" ', f){_N}}}){_N}describe(', chr(39), 'b', chr(39), ', () => browser())')",
     f"concat('Check totals for ', doc_id, '{_N}with zero rows{_N}{_N}When the database is down{_N}{_N} {_N}')",
     "'   '",
+    _json_text("text"),
 ]
 
 
@@ -271,7 +287,7 @@ def _answer_sql(text: str, n: str) -> str:
 
 
 def responses_sql() -> list[tuple[list[str], str]]:
-    """Columns and filter over the document keys, for each kind of answer.
+    """Columns and filter over the scan files, for each kind of answer.
 
     Titles and descriptions: one per change set, made from its first document.
     Tests: one per file that a document's part may hold.
@@ -283,15 +299,15 @@ def responses_sql() -> list[tuple[list[str], str]]:
 
     none, first = "cast(null as bigint)", f"part_idx * {FILES_PER_PART}"
     return [
-        (columns("title", _TITLES, "change_id % 6", "change_id", none), "part_idx = 0"),
-        (columns("description", _DESCRIPTIONS, "change_id % 4", "change_id", none), "part_idx = 0"),
-        (columns("tests", _TESTS, "doc_id % 4", "doc_id", first), "true"),
+        (columns("title", _TITLES, "change_id % 13 % 7", "change_id", none), "part_idx = 0"),
+        (columns("description", _DESCRIPTIONS, "change_id % 11 % 5", "change_id", none), "part_idx = 0"),
+        (columns("tests", _TESTS, "doc_id % 9 % 5", "doc_id", first), "true"),
         (columns("tests", _TESTS, "((doc_id % 16) - (doc_id % 4)) % 7 % 4", "doc_id", f"{first} + 1"), "doc_id % 4 = 1"),
     ]
 
 
 def responses(spark: SparkSession, folder: str) -> DataFrame:
     """``change_id, kind, file_idx, raw, duration_ms``: answers to the prompts."""
-    keys = scan_files(spark, folder).select("change_id", "part_idx", "doc_id")
-    rows = [keys.where(condition).selectExpr(*columns) for columns, condition in responses_sql()]
+    files = scan_files(spark, folder).select("change_id", "part_idx", "doc_id", "text")
+    rows = [files.where(condition).selectExpr(*columns) for columns, condition in responses_sql()]
     return reduce(DataFrame.unionByName, rows)

@@ -125,7 +125,7 @@ _SOURCES = " UNION ALL ".join(
 
 def _responses() -> str:
     return " UNION ALL ".join(
-        f"SELECT {', '.join(columns)} FROM chunks WHERE {where}" for columns, where in fixtures.responses_sql()
+        f"SELECT {', '.join(columns)} FROM scan_files WHERE {where}" for columns, where in fixtures.responses_sql()
     )
 
 
@@ -501,7 +501,7 @@ TABLES: dict[str, tuple[tuple[str, ...], str]] = {
         " FROM changes SEMI JOIN testable USING (change_id, file_idx)) WHERE type = 'addition')"
         " GROUP BY change_id, file_idx, island, chunk) WHERE snippet_idx < 3",
     ),
-    "responses": (("chunks",), _responses()),
+    "responses": (("scan_files",), _responses()),
     "parsed": (
         ("responses",),
         "SELECT *, CASE WHEN status = 'ok' THEN "

@@ -222,6 +222,24 @@ add(
     "files",
 )
 add("diff_changes", _CHANGE_ROWS, "changes", "files")
+TABLES["hunk_texts"] = (
+    ("hunks", "changes"),
+    "SELECT h.change_id, h.file_idx, h.hunk_idx, count(c.type) AS n_changes, any_value(h.hunk_idx || ',' || old_start || ','"
+    " || old_lines || ',' || new_start || ',' || new_lines) || chr(10) || coalesce(string_agg(change_idx || ':' ||"
+    " line_number || ':' || coalesce(cast(old_line_number AS varchar), '') || ':' || c.type || ':' || content,"
+    " chr(10) ORDER BY change_idx), '') AS told FROM hunks h LEFT JOIN changes c ON h.change_id = c.change_id"
+    " AND h.file_idx = c.file_idx AND h.hunk_idx = c.hunk_idx GROUP BY h.change_id, h.file_idx, h.hunk_idx",
+)
+add(
+    "diff_nested",
+    "SELECT change_id, file_idx, count(*) AS n_hunks, cast(sum(n_changes) AS bigint) AS n_changes,"
+    " coalesce(any_value(n), 0) AS n_added, md5(string_agg(told, chr(10) ORDER BY hunk_idx)) AS hunks_md5,"
+    " md5(coalesce(any_value(said), '')) AS added_md5 FROM hunk_texts LEFT JOIN (SELECT change_id, file_idx, count(*) AS n,"
+    " string_agg(line || ':' || txt, chr(10) ORDER BY line_ord) AS said FROM added GROUP BY change_id, file_idx)"
+    " USING (change_id, file_idx) GROUP BY change_id, file_idx",
+    "hunk_texts",
+    "added",
+)
 add("diff_part_files", _FILE_ROWS, "files")
 add("diff_part_changes", _CHANGE_ROWS, "changes", "files")
 add(
