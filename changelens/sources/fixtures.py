@@ -38,7 +38,7 @@ SPARK = Dialect(
 _PATHS = [
     "concat('src/auth/doc_', doc_id, '.ts')",
     "concat('docs/doc_', doc_id, '.md')",
-    "concat('test/doc_', doc_id, '.py')",
+    "concat(CASE WHEN doc_id % 400 = 202 THEN 'app/tests' ELSE 'test' END, '/doc_', doc_id, '.py')",
     "concat('pkg_', doc_id, '/package.json')",
     "concat('dist/doc_', doc_id, '.js')",
     "CASE WHEN doc_id % 16 = 5 THEN concat('deploy_', doc_id, '/.env') ELSE concat('config/app_', doc_id, '.yml') END",
@@ -88,7 +88,12 @@ def scan_files_sql(d: Dialect) -> list[str]:
     deep = "CASE WHEN doc_id % 200 >= 169 THEN concat(" + ", ".join(
         f"chr(10), repeat(' ', 24), 'deep{i}()'" for i in range(4)
     ) + ") ELSE '' END"
-    quiet = "doc_id % 200 BETWEEN 4 AND 8"
+    quiet = "doc_id % 200 BETWEEN 4 AND 8 OR doc_id % 600 BETWEEN 396 AND 399 OR doc_id % 600 BETWEEN 596 AND 599"
+    # small change sets of high risk that have no critical issue; of two, one is large and deep too
+    certificates = f"repeat(concat(chr(10), {_PLANTED[19]}), 30)"
+    steps = "repeat(concat(chr(10), repeat(' ', 24), 'step()'), 20)"
+    long = f"concat(repeat(concat(chr(10), 'row'), 600), {certificates})"
+    warned = f"CASE doc_id % 600 WHEN 399 THEN {certificates} WHEN 597 THEN {steps} WHEN 598 THEN {steps} WHEN 599 THEN {long} ELSE '' END"
     planted = f"CASE WHEN {quiet} THEN 'nothing' ELSE {pick(_PLANTED, 'doc_id % 23')} END"
     planted = planted.replace("H,", "upper(md5(cast(doc_id as string))),")
     planted = planted.replace("h,", "md5(cast(doc_id as string)),")
@@ -98,7 +103,7 @@ def scan_files_sql(d: Dialect) -> list[str]:
         f"(doc_id {d.int_div} 200) * 15 + {block} AS change_id",
         f"doc_id % 200 - {block} * {block} AS part_idx",
         f"{pick(_PATHS, 'doc_id % 8')} AS path",
-        f"concat(text, chr(10), repeat(' ', cast(doc_id % 9 as int)), {planted}, {deep}, {notes}) AS text",
+        f"concat(text, chr(10), repeat(' ', cast(doc_id % 9 as int)), {planted}, {warned}, {deep}, {notes}) AS text",
     ]
 
 
@@ -181,7 +186,8 @@ def chunk_sql(d: Dialect) -> list[str]:
                 marked("-", "2", "k"), marked("+", "(k + 1)", "n")]
     second = ["concat('@@ -', n + 10, ' +', n + 10, ',2 @@ fn')", "' tail'", "'+    more'"]
     chunk = pick([added, deleted, joined(*modified), joined(*modified), joined(*modified, *second)], "doc_id % 5")
-    code = f"CASE WHEN doc_id % 4 = 1 THEN {joined(*_CODE_FILE)} END"
+    # one document without a code file leaves its change set nothing to test
+    code = f"CASE WHEN doc_id % 4 = 1 AND doc_id % 400 <> 201 THEN {joined(*_CODE_FILE)} END"
     binary = f"CASE WHEN doc_id % 11 = 0 THEN {joined(*_BINARY_FILE)} END"
     blob = f"CASE WHEN doc_id % 33 = 5 THEN {joined(*_BINARY_HUNK)} END"
     odd = f"CASE WHEN doc_id % 29 = 6 THEN {joined(*_MALFORMED)} END"
