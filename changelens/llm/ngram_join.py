@@ -27,6 +27,8 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
+from operator import and_
 
 import numpy as np
 import pyarrow as pa
@@ -48,7 +50,8 @@ class JoinParams:
     ``frequent_limit``: most shingles whose counts are sent to the executors.
     ``most_matches``: largest number of shared prefix shingles to ask for.
     ``broadcast_rows``: most ids that are sent to the executors for a lookup;
-    beyond, tables are shuffled.
+    beyond, tables are shuffled.  ``token_classes``: classes of a shingle whose
+    pairs are one task's; of more, the pairs are dealt to a square of tasks.
     """
 
     words: int = 5
@@ -57,6 +60,7 @@ class JoinParams:
     least_count: int = 8
     most_matches: int = 6
     broadcast_rows: int = 1_000_000
+    token_classes: int = 1024
 
 
 def shingles(data: np.ndarray, bounds: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -333,6 +337,23 @@ def _entries(classes: DataFrame, params: JoinParams) -> DataFrame:
     )
 
 
+def dealt_pairs(entries: DataFrame, keys: list[str], params: JoinParams) -> tuple[DataFrame, DataFrame]:
+    """Both sides of a join of a table's classes with each other, by ``keys``.
+
+    The table has ``n_classes``, the classes of its ``token``.  The pairs of a
+    token of many are a square that is cut into tiles: a class stands in one row
+    of tiles on the left and in one column of them on the right, so each ordered
+    pair meets in one tile, and a tile's rows grow with the square root.
+    """
+    side = F.ceil(F.sqrt(F.col("n_classes") / F.lit(params.token_classes))).cast("int")
+    whole = entries.withColumn("tile_side", side)
+    own = F.pmod(F.xxhash64("cls"), F.col("tile_side")).cast("int")
+    every = F.explode(F.sequence(F.lit(0), F.col("tile_side") - 1))
+    x = whole.select("token", own.alias("tile_row"), every.alias("tile_column"), *[F.col(c).alias(f"{c}_a") for c in keys])
+    y = whole.select("token", every.alias("tile_row"), own.alias("tile_column"), *[F.col(c).alias(f"{c}_b") for c in keys])
+    return x, y
+
+
 def _rest(entries: DataFrame, labels: DataFrame, params: JoinParams, used: list[str]) -> DataFrame:
     """Pairs ``a, b`` of different components that may still be linked.
 
@@ -348,12 +369,10 @@ def _rest(entries: DataFrame, labels: DataFrame, params: JoinParams, used: list[
     )
     tagged = cut(tagged, "prefix-entries", used)
     mixed_ = tagged.groupBy(F.col("token").alias("mixed")).agg(
-        F.min("component").alias("low"), F.max("component").alias("high")
-    ).where("low != high").select("mixed")
-    left = tagged.join(mixed_, F.col("token") == F.col("mixed"), "left_semi")
-    fields = ("cls", "n", "ask", "pos", "before", "component")
-    x = left.select("token", *[F.col(c).alias(f"{c}_a") for c in fields])
-    y = left.select("token", *[F.col(c).alias(f"{c}_b") for c in fields])
+        F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n_classes")
+    ).where("low != high").select("mixed", "n_classes")
+    left = tagged.join(mixed_, F.col("token") == F.col("mixed"))
+    x, y = dealt_pairs(left, ["cls", "n", "ask", "pos", "before", "component"], params)
     asked = F.least("ask_a", "ask_b")
     needed = _overlap_needed(F.col("n_a"), F.col("n_b"), params.percent)
     room = F.least(F.col("n_a") - F.col("pos_a"), F.col("n_b") - F.col("pos_b"))
@@ -363,9 +382,12 @@ def _rest(entries: DataFrame, labels: DataFrame, params: JoinParams, used: list[
         n = F.col(f"n_{side}")
         return F.col(f"pos_{side}") < n - F.ceil(params.percent * n / F.lit(100)) + asked
 
+    tile = ["token", "tile_row", "tile_column"]
+    y = y.withColumnsRenamed({c: f"{c}_b" for c in tile})
+    together = (F.col(c) == F.col(f"{c}_b") for c in tile)
     met = x.join(
-        y.withColumnRenamed("token", "token_b"),
-        (F.col("token") == F.col("token_b"))
+        y,
+        reduce(and_, together)
         & (F.col("cls_a") < F.col("cls_b"))
         & (F.col("component_a") != F.col("component_b"))
         & (100 * F.least("n_a", "n_b") >= params.percent * F.greatest("n_a", "n_b"))

@@ -60,7 +60,7 @@ def families(seed, n_families=12, most=14):
 PARAMS = [
     JoinParams(words=3, percent=90),
     JoinParams(),
-    JoinParams(words=2, percent=60, least_count=2, frequent_limit=100000),
+    JoinParams(words=2, percent=60, least_count=2, frequent_limit=100000, token_classes=1),
     JoinParams(words=3, percent=80, least_count=2, frequent_limit=40, broadcast_rows=0),
     JoinParams(words=1, percent=50, least_count=2, most_matches=1),
 ]
@@ -229,3 +229,29 @@ def test_no_table_but_the_last_ones_stays(spark, tmp_path):
     ngram_join.near_duplicates(documents(spark, families(1))).collect()
     left = [d.rsplit("-", 1)[0] for folder in os.listdir(tmp_path) for d in os.listdir(tmp_path / folder)]
     assert sorted(set(left)) == ["components", "described", "labelled"] or not left, left
+
+
+def test_pairs_of_a_frequent_shingle_are_dealt_to_tiles(spark):
+    """Each ordered pair meets once, and no tile has a large share of the rows."""
+    n, params = 600, JoinParams(token_classes=6)
+    entries = spark.range(n).selectExpr("7L AS token", "id AS cls", f"{n}L AS n_classes").unionByName(
+        spark.range(3).selectExpr("8L AS token", "id AS cls", "3L AS n_classes"))
+    x, y = ngram_join.dealt_pairs(entries, ["cls"], params)
+    tile = ["token", "tile_row", "tile_column"]
+    met = x.join(y, tile)
+    assert met.count() == met.distinct().count() == n * n + 9
+    for side in (x, y):
+        sizes = [r["count"] for r in side.where("token = 7").groupBy(*tile).count().collect()]
+        assert len(sizes) == 100 and max(sizes) < 2 * n / 10
+        assert side.where("token = 8").count() == 3
+
+
+def test_frequent_shingles_of_unlinked_documents(spark):
+    """One passage in most documents, which share nothing else."""
+    rng = random.Random(3)
+    passage = prose(rng, 30, 9000)
+    rows = [(i, f"{passage} {prose(rng, 6 + i % 9, 90000)}", "en", "s", 1) for i in range(120)]
+    rows += [(200 + i, rows[i][1] + " tail", "en", "s", 1) for i in range(0, 120, 7)]
+    params = JoinParams(words=3, percent=90, least_count=2, token_classes=4)
+    found = ngram_join.near_duplicates(documents(spark, rows), params)
+    assert plain(found.select("doc_id", "n_shingles", "component_id").collect()) == brute(rows, params)
